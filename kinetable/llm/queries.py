@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinetable.llm import language
+from kinetable.llm import language, licenses, mixing, secrets
 from kinetable.llm.common import table
 
 
+def joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def span_digest(found: DataFrame, base: list[str]) -> DataFrame:
+    """doc_id, a count for each base kind, the digest of the base spans, and all spans, in the order they come."""
+    own = F.filter("spans", lambda s: s["kind"].isin(base))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(secrets.find_secrets(table(spark, sf_dir, "documents")), [r.kind for r in secrets.BASE_RULES])
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op3_source_mixing": op3_source_mixing,
+    "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.SQL}
