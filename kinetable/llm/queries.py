@@ -15,8 +15,11 @@ def joined(spans: Column) -> Column:
 
 def span_digest(found: DataFrame, base: list[str]) -> DataFrame:
     """doc_id, a count for each base kind, the digest of the base spans, and all spans, in the order they come."""
-    own = F.filter("spans", lambda s: s["kind"].isin(base))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    own, counts = of(*base), [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
     return found.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
