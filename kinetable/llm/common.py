@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of a side that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -45,6 +49,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_texts(docs: DataFrame, keep: list[str], fields: str, fn: Callable[[list], Sequence], column: str = "text") -> DataFrame:
+    """The columns ``keep`` as they are, and new ``fields``: ``fn`` gets a batch's texts and returns a sequence for each field."""
+    new = to_arrow_schema(T.StructType.fromDDL(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = fn(batch.column(batch.num_columns - 1).to_pylist())
+            old = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, f.type, from_pandas=False) for x, f in zip(made, new, strict=True))], names)
+
+    rows = docs.select(*keep, F.col(column).alias("_text"))
+    out = T.StructType([*rows.schema.fields[: len(keep)], *T.StructType.fromDDL(fields).fields])
+    names = out.names
+    return rows.mapInArrow(run, out)
+
+
+def filter_texts(docs: DataFrame, fn: Callable[[list], Sequence[bool]]) -> DataFrame:
+    """The rows, with all their columns, for whose texts ``fn`` says true."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(x) for x in fn(batch.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def small_join(df: DataFrame, side: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a stored side that has one row per key: by broadcast if it is counted small, else by shuffle."""
     few = side.limit(limit + 1).count() <= limit

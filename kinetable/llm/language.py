@@ -18,12 +18,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetable.llm.common import filter_texts, map_texts
+
 #: Bound of the training sample: documents of each language, and windows of each of these.
 TRAIN_DOCS, TRAIN_WINDOWS = 300, 6
 WINDOW, HIDDEN, EPOCHS, BATCH, RATE = 64, 6, 12, 128, 0.03
 #: Windows that go through the network at once.
 LANES = 1024
 UNKNOWN = "und"
+#: A text whose likeliest language has less than this probability is rejected by a filter.
+LEAST_SCORE = 0.4
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -204,29 +208,39 @@ def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> tuple[list[str],
     return langs, net
 
 
-def predict(docs: DataFrame, langs: list[str], net: ByteGRU | None) -> DataFrame:
-    """Adds held_out, lang_pred and score to (doc_id, text); reads nothing but the text."""
-
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n = len(pdf)
-            pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            own = [i for i, t in enumerate(pdf.text) if t is not None and t == t and _LETTER.search(t)]
-            if own and net is not None:
-                texts = [pdf.text.iat[i].encode("utf-8", "replace") for i in own]
-                x, size, owner = windows(texts)
-                total = np.zeros((len(own), len(langs)))
-                for i in range(0, len(x), LANES):
-                    np.add.at(total, owner[i : i + LANES], net.pooled(x[i : i + LANES], size[i : i + LANES]))
-                total /= np.array([len(t) for t in texts])[:, None]
-                p = np.exp(total - total.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                pred[own], score[own] = np.array(langs, object)[p.argmax(1)], p.max(1)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "lang_pred": pred, "score": score})
+def classify(texts: list, langs: list[str], net: ByteGRU | None) -> tuple[np.ndarray, np.ndarray]:
+    """The language of each text, and the network's probability for it."""
+    pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    own = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)]
+    if own and net is not None:
+        raw = [texts[i].encode("utf-8", "replace") for i in own]
+        x, size, owner = windows(raw)
+        total = np.zeros((len(own), len(langs)))
+        for i in range(0, len(x), LANES):
+            np.add.at(total, owner[i : i + LANES], net.pooled(x[i : i + LANES], size[i : i + LANES]))
+        total /= np.array([len(t) for t in raw])[:, None]
+        p = np.exp(total - total.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        pred[own], score[own] = np.array(langs, object)[p.argmax(1)], p.max(1)
+    return pred, score
 
+
+def predict(docs: DataFrame, langs: list[str], net: ByteGRU | None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row; the prediction reads nothing but the text."""
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(label, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return map_texts(rows, ["doc_id", "held_out"], "lang_pred string, score double", lambda texts: classify(texts, langs, net))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, *train(docs))
+
+
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows, with all their columns, whose text has a language that the network is sure of."""
+    langs, net = train(docs)
+
+    def sure(texts: list) -> np.ndarray:
+        pred, score = classify(texts, langs, net)
+        return (pred != UNKNOWN) & (score >= least)
+
+    return filter_texts(docs, sure)

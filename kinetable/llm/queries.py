@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import language, licenses, mixing, secrets
+from kinetable.llm import decontaminate, language, licenses, mixing, neardup, secrets
 from kinetable.llm.common import table
 
 
@@ -23,6 +23,10 @@ def span_digest(found: DataFrame, base: list[str]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -39,11 +43,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
     "op3_source_mixing": op3_source_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.SQL}

@@ -11,7 +11,6 @@ Spans are code points, end exclusive; spans of one kind never overlap, those of
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,8 +18,10 @@ from re import _constants as C
 from re import _parser
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinetable.llm.common import map_texts
 
 MOST_EXACT = 64
 
@@ -220,20 +221,41 @@ def blocks(texts: list[str]) -> Iterator[slice]:
     yield slice(start, len(texts))
 
 
+def spans_of(texts: list, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[str, int, int]]]:
+    """The spans of each text."""
+    scanner, texts = Scanner(rules), [t or "" for t in texts]
+    return [s for own in blocks(texts) for s in scanner.scan(texts[own])]
+
+
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) for every row of (doc_id, text)."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(rules)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf.text]
-            spans = [s for own in blocks(texts) for s in scanner.scan(texts[own])]
-            rows = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "spans": pd.Series(rows, index=pdf.index, dtype=object)})
+    def found(texts: list) -> tuple[list]:
+        return ([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in spans_of(texts, rules)],)
+
+    return map_texts(docs, ["doc_id"], "spans array<struct<kind:string,start:bigint,end:bigint>>", found)
+
+
+def masked(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
+    """The text with the mark of its kind in place of each span; of spans that overlap, in place of all together."""
+    if not spans:
+        return text
+    out, done = [], 0
+    for kind, start, end in spans:
+        if start >= done:
+            out += [text[done:start], f"[{kind}]"]
+        done = max(done, end)
+    return "".join([*out, text[done:]])
+
 
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {doc_id}, spans array<struct<kind:string,start:long,end:long>>")
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All rows and columns, with the secrets of ``text`` masked and ``n_chars``, if there is one, counted again."""
 
+    def hidden(texts: list) -> tuple[list]:
+        return ([masked(t, s) for t, s in zip(texts, spans_of(texts, rules), strict=True)],)
 
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+    names = docs.columns
+    rows = map_texts(docs, [c for c in names if c != "text"], "text string", hidden)
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*names)
