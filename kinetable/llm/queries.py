@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, language, licenses, mixing, neardup, secrets
+from kinetable.llm import decontaminate, language, licenses, mixing, neardup, secrets, vectors
 from kinetable.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secrets.find_secrets(table(spark, sf_dir, "documents")), [r.kind for r in secrets.BASE_RULES])
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
     "op3_source_mixing": op3_source_mixing,
+    "op5_vector_dedup": op5_vector_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
     "op10_near_dedup": op10_near_dedup,
