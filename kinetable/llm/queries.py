@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, language, licenses, mixing, neardup, secrets, vectors
+from kinetable.llm import decontaminate, language, licenses, mixing, neardup, secrets, vectors, warc
 from kinetable.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.summary(warc.read(warc.write(pages), payloads=False), pages.schema["page_id"].dataType.simpleString())
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
     "op3_source_mixing": op3_source_mixing,
+    "op4_warc": op4_warc,
     "op5_vector_dedup": op5_vector_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
