@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, language, licenses, mixing, neardup, secrets, vectors, warc
+from kinetable.llm import decontaminate, language, licenses, mixing, neardup, pii, secrets, vectors, warc
 from kinetable.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(pii.find_personal_data(table(spark, sf_dir, "documents")), list(pii.KINDS))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secrets.find_secrets(table(spark, sf_dir, "documents")), [r.kind for r in secrets.BASE_RULES])
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_warc": op4_warc,
     "op5_vector_dedup": op5_vector_dedup,
+    "op6_personal_data": op6_personal_data,
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
     "op10_near_dedup": op10_near_dedup,
