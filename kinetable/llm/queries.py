@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, language, licenses, mixing, neardup, pii, secrets, vectors, warc
+from kinetable.llm import decontaminate, extract, language, licenses, mixing, neardup, pii, secrets, vectors, warc
 from kinetable.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_personal_data": op6_personal_data,
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
+    "op9_main_text": op9_main_text,
     "op10_near_dedup": op10_near_dedup,
 }
 
