@@ -5,6 +5,8 @@ All rotations go through quaternions, whose half angle comes from atan2: no bran
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,14 @@ from kinetable.functions.values import col, norm
 TINY = 1e-12
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def unit(q: Column | str) -> Column:
     """Of length one; null for a quaternion without length."""
-    q = col(q)
-    n = norm(q)
-    return F.when(n > TINY, F.transform(q, lambda x: x.cast("double") / n))
+    return let(col(q), lambda p: let(norm(p), lambda n: F.when(n > TINY, F.transform(p, lambda x: x.cast("double") / n))))
 
 
 def conjugate(q: Column) -> Column:
@@ -35,32 +40,34 @@ def times(p: Column, q: Column) -> Column:
 
 def rotate(q: Column, v: Column) -> Column:
     """v turned by the unit quaternion q."""
-    turned = times(times(q, F.array(v[0], v[1], v[2], F.lit(0.0))), conjugate(q))
-    return F.slice(turned, 1, 3)
+    return let(times(q, F.array(v[0], v[1], v[2], F.lit(0.0))), lambda t: F.slice(times(t, conjugate(q)), 1, 3))
 
 
 def matrix(q: Column | str) -> Column:
     """Row-major 3 x 3 rotation matrix."""
-    u = unit(q)
-    x, y, z, w = (u[i] for i in range(4))
-    return F.when(
-        u.isNotNull(),
-        F.array(1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)),
-    )
+
+    def cells(u: Column) -> Column:
+        x, y, z, w = (u[i] for i in range(4))
+        rows = ((1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)), (2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)), (2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)))
+        return F.when(u.isNotNull(), F.array(*[c for row in rows for c in row]))
+
+    return let(unit(q), cells)
 
 
 def rotation_vector(q: Column) -> Column:
     """Axis times angle (0 to pi) of a unit quaternion."""
-    v = F.slice(q, 1, 3)
-    n = norm(v)
-    sign = F.when(q[3] < 0, -1.0).otherwise(1.0)
-    scale = F.when(n > TINY, sign * 2 * F.atan2(n, F.abs(q[3])) / n).otherwise(2.0 * sign)
-    return F.transform(v, lambda x: x * scale)
+
+    def scaled(p: Column) -> Column:
+        sign = F.when(p[3] < 0, -1.0).otherwise(1.0)
+        scale = let(norm(F.slice(p, 1, 3)), lambda n: F.when(n > TINY, sign * 2 * F.atan2(n, F.abs(p[3])) / n).otherwise(2.0 * sign))
+        return let(scale, lambda k: F.transform(F.slice(p, 1, 3), lambda x: x * k))
+
+    return let(q, scaled)
 
 
 def turn_between(p: Column, q: Column) -> Column:
     """The angle between two orientations, whatever their signs."""
-    w = F.abs(times(conjugate(unit(p)), unit(q))[3])
+    w = let(unit(p), lambda a: let(unit(q), lambda b: F.abs(a[0] * b[0] + a[1] * b[1] + a[2] * b[2] + a[3] * b[3])))
     return 2 * F.acos(F.least(w, F.lit(1.0)))
 
 
@@ -88,9 +95,11 @@ def is_displayable(pose: Column | str) -> Column:
 
 def local_motion(a: Column, b: Column) -> Column:
     """Six values: how pose b lies in the frame of pose a, as translation and rotation vector."""
-    qa, qb = unit(orientation(a)), unit(orientation(b))
-    step = rotate(conjugate(qa), F.zip_with(position(b), position(a), lambda x, y: x - y))
-    return F.concat(step, rotation_vector(times(conjugate(qa), qb)))
+    def moved(back: Column) -> Column:
+        step = let(F.zip_with(position(b), position(a), lambda x, y: x - y), lambda d: rotate(back, d))
+        return F.concat(step, let(unit(orientation(b)), lambda q: rotation_vector(times(back, q))))
+
+    return let(let(unit(orientation(a)), conjugate), moved)
 
 
 def relabelled(pose: Column, axes: tuple[int, int, int], signs: tuple[int, int, int]) -> Column:

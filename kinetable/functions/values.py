@@ -43,7 +43,8 @@ def percent(c: Column | str) -> Column:
 
 
 def micros(ts: Column | str) -> Column:
-    return F.unix_micros(col(ts).cast("timestamp"))
+    """Microseconds since 1970 of a timestamp without time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col(ts).cast("timestamp_ntz"))
 
 
 def to_ns(c: Column | str, unit: str) -> Column:

@@ -6,7 +6,7 @@ time: each bucket then begins with the last row before it, which takes one small
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _BACK, _AHEAD = "_back", "_ahead"
@@ -57,7 +57,7 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, direction: s
 def _carried(both: DataFrame, by: list[str], direction: str) -> DataFrame:
     """For each bucket the right row before it and the right row after it, as rows of the bucket."""
     right = both.filter("_side = 0")
-    edge = right.groupBy(*by, "_b").agg(F.max(F.struct("_t", "_tie", "_held")).alias("_last"), F.min(F.struct("_t", F.col("_tie").alias("_tie"), "_held")).alias("_first"))
+    edge = right.groupBy(*by, "_b").agg(F.max(F.struct("_t", "_tie", "_held")).alias("_last"), F.min(F.struct("_t", "_tie", "_held")).alias("_first"))
     edge = edge.unionByName(both.select(*by, "_b").distinct(), allowMissingColumns=True).groupBy(*by, "_b").agg(F.max("_last").alias("_last"), F.max("_first").alias("_first"))
     w = Window.partitionBy(*by).orderBy("_b")
     edge = edge.withColumn("_before", F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -75,14 +75,10 @@ def nearest_valid(left: DataFrame, right: DataFrame, by: list[str], on: str, val
 
 
 def binned(samples: DataFrame, frames: DataFrame, by: list[str], on: str, period: float, frame: str) -> DataFrame:
-    """Each sample with its frame: the last that began at or before it.  Samples before the first frame or a period
-    after the last have a null frame, so that they can be counted."""
+    """Each sample with its frame: the last that began at or before it.  Samples before the first frame, or a period
+    or more after theirs began, have a null frame, so that they can be counted."""
     found = asof(samples, frames.select(*by, on, frame), by, on, "backward", prefix="f_")
-    return found.withColumn(frame, F.when(F.col(on) < F.col(f"f_{on}") + _last_gap(frames, by, on, period), F.col(f"f_{frame}"))).drop(f"f_{frame}", f"f_{on}", "f__at")
-
-
-def _last_gap(frames: DataFrame, by: list[str], on: str, period: float) -> Column:
-    return F.lit(period)
+    return found.withColumn(frame, F.when(F.col(on) < F.col(f"f_{on}") + period, F.col(f"f_{frame}"))).drop(f"f_{frame}", f"f_{on}")
 
 
 def first_from(samples: DataFrame, frames: DataFrame, by: list[str], on: str) -> DataFrame:
@@ -138,7 +134,7 @@ def hits(targets: DataFrame, others: DataFrame, by: list[str], on: str, low: flo
     o = others.select(*by, F.col(on).alias("_o")).withColumn("_b", F.floor(F.col("_o") / span))
     t = targets.withColumn("_b", F.explode(F.sequence(F.floor((F.col(on) + low) / span), F.floor((F.col(on) + high) / span))))
     met = t.join(o, [*by, "_b"], "left").withColumn("_d", F.when((F.col("_o") - F.col(on)).between(low, high), F.col("_o") - F.col(on)))
-    return met.groupBy(*targets.columns).agg(F.count("_d").alias("hits"), F.min_by("_d", F.struct(F.abs("_d"), "_d")).alias("nearest"))
+    return met.groupBy(*targets.columns).agg(F.count("_d").alias("hits"), F.min_by("_d", F.when(F.col("_d").isNotNull(), F.struct(F.abs("_d"), "_d"))).alias("nearest"))
 
 
 def keep_first(df: DataFrame, by: list[str], order: list) -> DataFrame:

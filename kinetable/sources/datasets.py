@@ -10,7 +10,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinetable.functions.values import chunk_of, episode_index
 
@@ -142,6 +141,7 @@ def ragged(df: DataFrame, values: str, key: str = "episode_index") -> DataFrame:
     return df.select(key, F.col("frame_index").alias("_frame_index"), F.posexplode(values).alias("_position", values.split(".")[-1]))
 
 
-FRAMES = T.StructType.fromDDL("episode_index bigint, frame_index bigint, timestamp float, task_index bigint, wall_time double, hardware_ns bigint, raw_hw_ns bigint, action array<float>")
-EPISODES = T.StructType.fromDDL("episode_index bigint, task_index bigint, start_frame_index bigint, end_frame_index bigint, length bigint, created_at double, duration_sec double, drop_stats string, video_codec string, calibration string, force_matrix_specs string")
-ANNOTATIONS = T.StructType.fromDDL("id string, episode_id string, label string, start_frame_index bigint, end_frame_index bigint, sort_order int, status string, source_scope array<string>, keyframes array<struct<frame_index:bigint,event:string>>")
+#: Schemas of the tables at rest.
+FRAMES = "episode_index bigint, frame_index bigint, timestamp float, task_index bigint, wall_time double, hardware_ns bigint, raw_hw_ns bigint, action array<float>"
+EPISODES = "episode_index bigint, task_index bigint, start_frame_index bigint, end_frame_index bigint, length bigint, created_at double, duration_sec double, drop_stats string, video_codec string, calibration string, force_matrix_specs string"
+ANNOTATIONS = "id string, episode_id string, label string, start_frame_index bigint, end_frame_index bigint, sort_order int, status string, source_scope array<string>, keyframes array<struct<frame_index:bigint,event:string>>"
