@@ -122,7 +122,7 @@ def episode_index(name: Column | str) -> Column:
 
 def token(c: Column | str) -> Column:
     """A name with all but letters and digits as single underscores, in lower case."""
-    return F.trim(F.lit("_"), F.lower(F.regexp_replace(col(c), r"[^0-9A-Za-z]+", "_")))
+    return F.trim(F.lower(F.regexp_replace(col(c), r"[^0-9A-Za-z]+", "_")), F.lit("_"))
 
 
 def unwrapped_step(d: Column, bits: int = 32) -> Column:

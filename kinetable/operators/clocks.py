@@ -52,7 +52,7 @@ def jumps(df: DataFrame, by: list[str], order: list, ts: str, nominal: Column |
     out = s.groupBy(*by).agg(F.first("nominal").alias("nominal"), F.first(floor).alias("floor"), F.count_if(gap).alias("gaps"), F.count_if(F.col("step") < F.col("nominal") * COMPRESSED).alias("compressed"), F.max(F.when(gap, F.col("step"))).alias("largest"))
     high = F.col("floor") * BURSTY_ERROR if bursty else F.col("nominal") * JUMP_ERROR
     bad = (F.col("largest") >= high) | (F.col("gaps") >= JUMP_ERRORS)
-    return out.drop("floor").withColumn("severity", F.when(F.col("gaps") == 0, "info").when(bad, "error").otherwise("warn"))
+    return out.withColumn("severity", F.when(F.col("gaps") == 0, "info").when(bad, "error").otherwise("warn")).drop("floor")
 
 
 def counts(df: DataFrame, by: list[str], order: list, samples: str) -> DataFrame:
