@@ -7,7 +7,7 @@ stand at the same place of nearly all pages are the host's template; the place t
 the article is its slot.  A page then gives the blocks of its slot that aren't template.  Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are known by their elements and class names.
 
-Copies of a page count once for the template, and hosts with fewer than ``PAGES`` different pages have none, nor do
+Copies of a page count once for the template, pages without text not at all, and hosts with fewer than ``PAGES`` different pages have none, nor do
 pages without a host: these are read on their own.  A null html gives an empty text; a null url has no host; repeated
 rows give repeated results, an empty table none.  Nothing is cut, however long a page is.
 """
@@ -358,10 +358,10 @@ def induced(pages: DataFrame) -> DataFrame:
 
     def guides(texts: list) -> tuple[list, list]:
         own = [read_page(t)[0] for t in texts]
-        return [_packed(g) for g in own], [text_hash(str(g.hashes)) for g in own]
+        return [_packed(g) for g in own], [text_hash(str(g.hashes)) if any(g.hashes) else None for g in own]
 
     rows = map_texts(pages.filter(F.col("host") != ""), ["host"], f"guide {GUIDE}, content bigint", guides, "html")
-    rows = stored(rows.groupBy("host", "content").agg(F.any_value("guide").alias("guide")), "guides")
+    rows = stored(rows.filter("content is not null").groupBy("host", "content").agg(F.any_value("guide").alias("guide")), "guides")
     hosts = rows.groupBy("host").agg(F.min_by("guide", "content").alias("reference"), F.count("*").alias("pages")).filter(F.col("pages") >= PAGES)
     hosts = stored(hosts, "references")
 
