@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,31 @@ def filter_texts(docs: DataFrame, fn: Callable[[list], Sequence[bool]]) -> DataF
     return docs.mapInArrow(run, docs.schema)
 
 
+def by_group(df: DataFrame, key: str, fn: Callable[[pa.Table], list[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``fn`` over all rows of each ``key``; groups have to be small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            if rest and rest[0].column(0)[0].as_py() != keys[0]:
+                yield from fn(pa.Table.from_batches(rest))
+                rest = []
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                rest.append(batch.slice(a, z - a))
+                if z < len(keys):
+                    yield from fn(pa.Table.from_batches(rest))
+                    rest = []
+        if rest:
+            yield from fn(pa.Table.from_batches(rest))
+
+    other = [c for c in df.columns if c != key]
+    return df.select(key, *other).repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def small_join(df: DataFrame, side: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a stored side that has one row per key: by broadcast if it is counted small, else by shuffle."""
     few = side.limit(limit + 1).count() <= limit

@@ -8,8 +8,8 @@ candidates; those whose sets of shingles have a Jaccard similarity of ``SIMILARI
 links join is a class.
 
 Exact copies (the same words in the same order) are one text from the start.  In each bucket of a band texts are
-first compared with one text only; pairs that share a bucket are then compared wherever that has not already put
-them into one class, so a large group of near copies costs about one comparison each, and no pair is left out.
+first compared with one text only; buckets that then still hold more than one class are compared whole, in pairs of
+blocks, as products of matrices within a task.  So no pair that shares a bucket is left out, and none is a row.
 
 A text of one to four words is one shingle.  Texts without words (null, empty) are copies of one another.
 Documents with the same doc_id are one.  A row whose doc_id is null links with nothing (class_id null, kept).
@@ -18,19 +18,22 @@ Repeated rows give repeated results, an empty table none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.llm import tokens
-from kinetable.llm.common import components, map_texts, salted_join, small_join, stored
+from kinetable.llm.common import by_group, components, map_texts, salted_join, small_join, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band once in 4,500 times, at 0.85 once in 100,000.
 BANDS, ROWS = 16, 4
+#: Texts of a block of a bucket, and shingles that are compared at once.
+BLOCK, COLUMNS = 128, 4096
 #: Texts whose registers are filled at once.
 LANES = 4000
 
@@ -93,6 +96,38 @@ def _similarities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "similarity": out})
 
 
+def _links_between(least: float) -> Callable[[pa.Table], list[pa.RecordBatch]]:
+    def links(group: pa.Table) -> list[pa.RecordBatch]:
+        """One link for each two classes of a pair of blocks (of a block with itself) that have one."""
+        side, label = group.column("side").to_numpy(), group.column("label").to_numpy()
+        texts, n = group.column("text").to_pylist(), group.num_rows
+        words = tokens.words_of(texts)
+        items, owner, _ = tokens.counted(*tokens.shingles(words, SHINGLE))
+        size = np.bincount(owner, minlength=n)
+        distinct, column, times = np.unique(items, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        column, owner = (np.cumsum(times > 1) - 1)[column[shared]], owner[shared]
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1) if (side == 1).any() else a
+        both = np.zeros((len(a), len(b)))
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+            held = np.zeros((n, COLUMNS), np.float32)
+            held[owner[lo:hi], column[lo:hi] - start] = 1
+            both += held[a] @ held[b].T
+        near = both >= least * (size[a][:, None] + size[b][None, :] - both)
+        x, y = np.nonzero(near & (label[a][:, None] != label[b][None, :]))
+        if not len(x):
+            return []
+        _, one = np.unique(np.sort(np.stack([label[a[x]], label[b[y]]], 1), 1), axis=0, return_index=True)
+        ids = group.column("node")
+        return [pa.RecordBatch.from_arrays([ids.take(pa.array(a[x[one]])).combine_chunks(), ids.take(pa.array(b[y[one]])).combine_chunks()], names=["a", "b"])]
+
+    return links
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts are at least so similar, with their similarity."""
     sided = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
@@ -103,6 +138,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and kept for every row of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(map_texts(docs, ["doc_id"], "key binary, bands array<bigint>", _sketches), "sketches")
     texts = stored(
         rows.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "texts"
@@ -123,20 +159,18 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         return df.join(labels.withColumnRenamed("node", key), key, "left").withColumn("label", F.coalesce("label", key))
 
     placed = labelled(members.select("node", "bucket"), "node")
-    parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("k")).filter("k > 1")
-    placed = stored(salted_join(placed, mixed.select("bucket", "major"), "bucket", "inner"), "mixed")
-    other = placed.filter("label <> major").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
-    pairs = (
-        placed.join(other, "bucket")
-        .filter((F.col("label") != F.col("lx")) & ((F.col("label") == F.col("major")) | (F.col("node") < F.col("x"))))
-        .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = stored(verified(stored(pairs, "pairs"), candidates, least), "more")
+    # Buckets of the same texts are compared once, and only where they hold more than one class.
+    sets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.min("node").alias("a"), F.max("node").alias("z"), F.min("label").alias("l"), F.max("label").alias("m"))
+    mixed = sets.filter("l < m").groupBy("n", "x", "a", "z").agg(F.min("bucket").alias("bucket"))
+    placed = salted_join(placed, mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "bucket", "inner")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pair = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
+    sides = placed.select(pair.alias("c"), "node", "label", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+    sides = stored(sides, "blocks").join(candidates.withColumnRenamed("doc_id", "node"), "node")
+    link = _links_between(least)
+    more = stored(by_group(sides.select("c", "node", "label", "side", "text"), "c", link, f"a {kind}, b {kind}").distinct(), "more")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = components(links.select("a", "b").unionByName(more))
     classes = labelled(texts.select("key", "node"), "node").select("key", F.col("label").alias("class_id"))
     # Rows of one doc_id with several texts share the smallest class.
     found = salted_join(rows.select("doc_id", "key"), classes, "key")

@@ -15,14 +15,14 @@ vector.  An empty table gives no rows.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.llm.common import components, salted_join, stored
+from kinetable.llm.common import by_group, components, salted_join, stored
 
 LEAST = 0.95
 #: Neighbours of a list, and of one that has been enlarged once and twice.
@@ -46,31 +46,6 @@ def matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True)) if len(column) else x
 
 
-def by_group(df: DataFrame, key: str, fn: Callable[[pa.Table], list[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` over all rows of each ``key``; groups have to be small."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            if rest and rest[0].column(0)[0].as_py() != keys[0]:
-                yield from fn(pa.Table.from_batches(rest))
-                rest = []
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                rest.append(batch.slice(a, z - a))
-                if z < len(keys):
-                    yield from fn(pa.Table.from_batches(rest))
-                    rest = []
-        if rest:
-            yield from fn(pa.Table.from_batches(rest))
-
-    other = [c for c in df.columns if c != key]
-    return df.select(key, *other).repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
-
-
 PAIRS = "v bigint, u bigint, cos double"
 _PAIRS = ["v", "u", "cos"]
 
