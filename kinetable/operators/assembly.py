@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,10 @@ def assembled(frames: DataFrame, parts: list[DataFrame], keys: list[str]) -> Dat
     return frames
 
 
+def _or(fill: Column) -> Callable[[Column], Column]:
+    return lambda x: F.coalesce(x, fill)
+
+
 def filled(df: DataFrame, number: float = 0.0) -> DataFrame:
     """Nulls by the end of a column's name: false for ``_valid`` and ``next.done``, -1 for ``_fingers``, nothing for
     texts, else ``number`` (0 or NaN); those within arrays too."""
@@ -39,7 +45,7 @@ def filled(df: DataFrame, number: float = 0.0) -> DataFrame:
             c = F.coalesce(c, F.lit(0).cast(f.dataType))
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
             fill = F.lit(number if isinstance(f.dataType.elementType, T.FractionalType) else 0).cast(f.dataType.elementType)
-            c = F.transform(c, lambda x, fill=fill: F.coalesce(x, fill))
+            c = F.transform(c, _or(fill))
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -174,8 +180,9 @@ def sampled(df: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
     w = Window.partitionBy(*by)
     rows = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
     # Row i is the rint(k (n - 1) / (most - 1)) of some k.
-    k = F.rint(F.col("_i") * (most - 1) / (F.col("_n") - 1))
-    hit = F.rint(k * (F.col("_n") - 1) / (most - 1)) == F.col("_i")
+    steps = F.greatest(F.col("_n") - 1, F.lit(1))
+    k = F.rint(F.col("_i") * (most - 1) / steps)
+    hit = F.rint(k * steps / max(1, most - 1)) == F.col("_i")
     return rows.filter((F.col("_n") <= most) | hit).drop("_i", "_n")
 
 

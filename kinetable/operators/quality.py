@@ -95,7 +95,7 @@ def decode_error(probe: DataFrame) -> DataFrame:
 def black_screen(probe: DataFrame) -> DataFrame:
     """Probe reports (duration, black_ranges array<struct<start, end>>)."""
     total = F.aggregate(F.filter("black_ranges", lambda r: r["end"] - r["start"] >= 0.5), F.lit(0.0), lambda s, r: s + r["end"] - r["start"])
-    own = probe.withColumn("_s", total / F.col("duration"))
+    own = probe.withColumn("_s", F.try_divide(total, F.col("duration")))
     return found(own, "video.black_screen", graded(F.col("_s"), F.col("_s") > 0, F.col("_s") >= 0.05), "_s", "share of the time that is black")
 
 
@@ -137,7 +137,7 @@ def frozen_array(rows: DataFrame) -> DataFrame:
 @check("glove.gate_floor", "1", ("tactile",), ("glove_sensor",), floor=500, share=0.05)
 def gate_floor(rows: DataFrame) -> DataFrame:
     low = F.sum(F.size(F.filter("values", lambda x: (x > 0) & (x < 500))))
-    own = rows.groupBy(*KEY).agg((low / F.sum(F.size(F.filter("values", lambda x: x > 0)))).alias("v")).fillna(0.0, ["v"])
+    own = rows.groupBy(*KEY).agg(F.try_divide(low, F.sum(F.size(F.filter("values", lambda x: x > 0)))).alias("v")).fillna(0.0, ["v"])
     return found(own, "glove.gate_floor", graded(F.col("v"), F.col("v") > 0, F.col("v") > 0.05), "v", "share of positive values under the gate")
 
 

@@ -42,7 +42,7 @@ def status_summary(episodes: DataFrame, key: str, status: str, frames: str, rece
     """Per project and status the episodes, with the project's own mean length and last arrival."""
     by = episodes.groupBy(key, status).agg(F.count("*").alias("episodes"), F.sum(frames).alias("_s"), F.count(frames).alias("_n"), F.max(received).alias("_r"))
     w = Window.partitionBy(key)
-    out = by.withColumn("avg_frames", F.sum("_s").over(w) / F.sum("_n").over(w)).withColumn("last_received", F.max("_r").over(w))
+    out = by.withColumn("avg_frames", F.try_divide(F.sum("_s").over(w), F.sum("_n").over(w))).withColumn("last_received", F.max("_r").over(w))
     return out.drop("_s", "_n", "_r")
 
 

@@ -49,7 +49,7 @@ def coverage(df: DataFrame, by: list[str], start: str, end: str, total: Column)
     new = F.greatest(F.col(end) - F.greatest(F.col(start) - 1, F.coalesce("_r", F.col(start) - 1)), F.lit(0))
     sums = own.groupBy(*by).agg(F.sum(new).alias("covered"), F.count_if(F.col(start) > F.col("_r") + 1).alias("gaps"), F.count_if(F.col(start) <= F.col("_r")).alias("overlaps"))
     out = bad.join(sums, by, "left").fillna(0, ["covered", "gaps", "overlaps"])
-    return out.withColumn("ratio", F.bround(F.col("covered") / F.col("total"), 6))
+    return out.withColumn("ratio", F.bround(F.try_divide(F.col("covered"), F.col("total")), 6))
 
 
 def density(df: DataFrame, by: list[str], ts: str, width: int) -> DataFrame:
