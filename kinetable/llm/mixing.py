@@ -6,7 +6,7 @@ certain.  For the rest, documents have inclusion probabilities in proportion to
 (one at most), are ranked by random odds over inclusion odds, and are taken in that order up to the words that
 remain; the document at the cut is taken if that comes nearer.
 
-A null text has size 0 and is never counted; a null source is a source of its own, the last; a null doc_id is
+A null text has size 0 and gets no copy beyond the certain ones; a null source is a source of its own, the last; a null doc_id is
 drawn like any other; repeated rows are drawn separately and have equal draws; an empty table gives no rows.
 No source is ever gathered: the cut is found through two levels of histogram over the ranks, and only the rows
 of one bucket in 2**20 are put in order.
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: i
     marked = small_join(small_join(drawn, coarse, "key", "left"), fine, "key", "left")
     edge = (F.col("fine") == F.col("cut_fine")) & F.col("rank").isNotNull() & (F.col("size") > 0)
     edge = F.coalesce(edge, F.lit(False))
-    sure = marked.filter(~edge).withColumn("extra", F.coalesce((F.col("coarse") < F.col("cut_coarse")) | (F.col("fine") < F.col("cut_fine")), F.lit(False)))
+    sure = marked.filter(~edge).withColumn("extra", F.coalesce((F.col("size") > 0) & ((F.col("coarse") < F.col("cut_coarse")) | (F.col("fine") < F.col("cut_fine"))), F.lit(False)))
     until = F.col("before_fine") + F.sum("size").over(order)
     close = marked.filter(edge).withColumn("extra", 2 * until - F.col("size") <= 2 * F.col("rest"))
     copies = F.col("whole") + F.col("extra").cast("long")
