@@ -586,3 +586,161 @@ def label_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grip_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = numbered_events(spark, sf_dir).select("user_id", "frame", (F.col("value") * 10).alias("left"), F.col("value").alias("right"), F.col("value").alias("opening"))
     return tracks.grip_events(e, ["user_id"], "frame", "left", "right", "opening")
+
+
+@query(f"""WITH {_E}, {_SEGMENTS}, w AS (SELECT *, max(z) OVER (PARTITION BY user_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g), i AS (SELECT *, sum(CASE WHEN a <= reach + {HOUR} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY a, z) AS run FROM w)
+SELECT user_id, min(a) AS a, max(z) AS z, count(*) AS parts FROM i GROUP BY user_id, run""")
+def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.merged_ranges(segments(spark, sf_dir).drop("seg"), ["user_id"], "a", "z", HOUR)
+
+
+@query(f"""WITH {_E}, r AS (SELECT user_id, (us // {DAY})::DOUBLE AS a, (us // {DAY})::DOUBLE + 1 AS z, event_type FROM e) SELECT user_id::VARCHAR AS episode_id, a AS start_sec, z AS end_sec, event_type AS code FROM r GROUP BY ALL""")
+def range_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.floor(F.col("us") / DAY).cast("double")
+    own = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("episode_id"), F.array(F.struct(day.alias("start_sec"), (day + 1).alias("end_sec"), F.col("event_type").alias("code"))).alias("ranges"))
+    return quality.timeline(own)
+
+
+@query("""WITH s AS (SELECT c_custkey AS episode_id, CASE c_custkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'completed' ELSE 'processing' END AS status, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal < 0 END AS blocking FROM customer)
+SELECT episode_id, CASE WHEN coalesce(blocking, false) AND status <> 'processing' THEN 'to_review' ELSE status END AS status, NOT coalesce(blocking, false) AS can_approve FROM s""")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "episode_id")
+    status = F.element_at(F.array(*map(F.lit, ("approved", "reviewed", "completed", "processing"))), (F.col("episode_id") % 4 + 1).cast("int"))
+    reports = c.filter("episode_id % 5 <> 0").select("episode_id", (F.col("c_acctbal") < 0).alias("blocking"))
+    return quality.gated(c.select("episode_id", status.alias("status")), reports)
+
+
+@query("""WITH d AS (SELECT DISTINCT o_custkey AS episode_id, o_orderpriority AS slug FROM orders), o AS (SELECT o_custkey AS episode_id, o_orderpriority AS slug, o_orderkey::VARCHAR AS value, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS r FROM orders WHERE o_orderstatus = 'F')
+SELECT d.episode_id, d.slug, 'limit' AS param, coalesce(o.value, 'default') AS value FROM d LEFT JOIN o ON d.episode_id = o.episode_id AND d.slug = o.slug AND r = 1""")
+def check_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("episode_id"), F.col("o_orderpriority").alias("slug"), F.lit("limit").alias("param"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("device_pos"), "o_orderstatus")
+    defaults = o.select("episode_id", "slug", "param").distinct().withColumn("value", F.lit("default"))
+    return quality.resolved_config(defaults, o.filter("o_orderstatus = 'F'").drop("o_orderstatus"))
+
+
+@query(f"""WITH {_E}, f AS (SELECT us // {DAY} AS day, event_type, min(us) AS t FROM e GROUP BY ALL), p AS (SELECT x.event_type AS a, y.event_type AS b, y.t - x.t AS d FROM f x JOIN f y ON x.day = y.day AND x.event_type < y.event_type)
+SELECT a, b, count(*) AS n, round(quantile_cont(d, 0.5), 2) AS median, round(quantile_cont(d, 0.75) - quantile_cont(d, 0.25), 2) AS iqr, abs(quantile_cont(d, 0.5)) <= {HOUR} AS same_epoch FROM p GROUP BY ALL""")
+def stream_pair_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.floor(F.col("us") / DAY).cast("long")
+    first = events(spark, sf_dir).groupBy(day.alias("day"), "event_type").agg(F.min("us").alias("us"))
+    return rounded(clocks.pair_offsets(first, ["day"], "event_type", "us", HOUR), 2)
+
+
+@query(f"""WITH {_E}, w AS (SELECT user_id, event_id, us, event_type <> 'error' AS ok, lead(us) OVER (PARTITION BY user_id ORDER BY event_id) AS nx, coalesce(lag(event_type <> 'error') OVER (PARTITION BY user_id ORDER BY event_id), true) AS pok FROM e), i AS (SELECT *, sum((NOT ok AND pok)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM w),
+s AS (SELECT user_id, run, max(coalesce(nx, us)) - min(us) AS stall FROM i WHERE NOT ok GROUP BY ALL) SELECT user_id, count(*) AS stalls, sum(stall)::BIGINT AS stalled, max(stall) AS longest FROM s GROUP BY 1""")
+def read_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumn("ok", F.col("event_type") != "error")
+    return clocks.stalls(e, ["user_id"], ["event_id"], "us", "ok")
+
+
+@query("""WITH t AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type IN ('click', 'view')) SELECT user_id, count(*) FILTER (event_type <> p) AS flips, count(*) AS "rows" FROM t GROUP BY 1""")
+def label_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").withColumn("label", F.when(F.col("event_type").isin("click", "view"), F.col("event_type")))
+    return rollups.fingers_flips(e, ["user_id"], "event_id", "label")
+
+
+@query("""WITH b AS (SELECT s_suppkey AS id, 'task ' || (s_suppkey % 40) AS name, s_nationkey AS count, 10 AS target FROM supplier WHERE s_suppkey % 3 <> 0), l AS (SELECT s_suppkey AS id, 'task ' || (s_suppkey % 40) AS name, s_suppkey % 7 AS count, s_suppkey % 4 AS synced FROM supplier WHERE s_suppkey % 2 = 0),
+j AS (SELECT id, coalesce(b.name, l.name) AS name, b.name IS NULL AS only_local, coalesce(b.count, 0) + coalesce(l.count, 0) - least(coalesce(l.synced, 0), coalesce(l.count, 0)) AS shown, coalesce(b.target, 0) AS target FROM b FULL JOIN l USING (id)), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY only_local, id) AS r FROM j)
+SELECT id, name, shown::BIGINT AS shown, CASE WHEN target > 0 AND shown >= target THEN 'completed' WHEN shown > 0 THEN 'in_progress' ELSE 'pending' END AS status FROM r WHERE r = 1""")
+def merged_task_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier").withColumn("id", F.col("s_suppkey")).withColumn("name", F.concat(F.lit("task "), (F.col("s_suppkey") % 40).cast("string")))
+    backend = s.filter("id % 3 <> 0").select("id", "name", F.col("s_nationkey").alias("count"), F.lit(10).alias("target"))
+    local = s.filter("id % 2 = 0").select("id", "name", (F.col("id") % 7).alias("count"), (F.col("id") % 4).alias("synced"))
+    return rounded(rollups.merged_tasks(backend, local, "id", "name"))
+
+
+@query("""WITH g AS (SELECT regexp_replace(lower(p_name || CASE p_partkey % 3 WHEN 0 THEN '_left' WHEN 1 THEN '_right' ELSE '' END), '[_.-]?(left|right|l|r)$', '') AS base, CASE p_partkey % 3 WHEN 0 THEN 'l' WHEN 1 THEN 'r' ELSE left(regexp_extract(lower(p_name), '(left|right|l|r)$', 1), 1) END AS side FROM part)
+SELECT base, count(*) AS streams, bool_or(side = 'l') AND bool_or(side = 'r') AS stereo FROM g GROUP BY 1""")
+def camera_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, ("_left", "_right", ""))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return rollups.groups_by_prefix(read(spark, sf_dir, "part").select(F.concat("p_name", ending).alias("name")), "name")
+
+
+@query("""WITH s AS (SELECT user_id, event_type AS source, count(*) AS points, count(DISTINCT ts::DATE) AS frames FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY points DESC, frames DESC, source DESC) AS r FROM s) SELECT user_id, source FROM r WHERE r = 1""")
+def best_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("source")).agg(F.count("*").alias("points"), F.countDistinct(F.to_date("ts")).alias("frames"))
+    return rollups.best_source(s, ["user_id"], "source")
+
+
+@query("SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
+def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.latest(read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", "o_orderkey", "pending")
+
+
+_UPLOADS = "u AS (SELECT o_custkey AS path, o_orderpriority AS episode, o_orderkey AS id, o_orderdate AS created_at, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'uploading' END AS status FROM orders)"
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("uploading")
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderpriority").alias("episode"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), status.alias("status"))
+
+
+@query(f"""WITH {_UPLOADS}, r AS (SELECT *, row_number() OVER (PARTITION BY path, episode ORDER BY created_at DESC, id DESC) AS r FROM u) SELECT path, episode, id, CASE WHEN status = 'done' THEN 'done' WHEN created_at < TIMESTAMP '2000-01-01' - INTERVAL 700 DAY THEN 'old' WHEN status = 'uploading' THEN 'status' END AS skip FROM r WHERE r = 1""")
+def resumable_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.resumable(uploads(spark, sf_dir), "2000-01-01", 700).select("path", "episode", "id", "skip")
+
+
+@query(f"WITH {_UPLOADS} SELECT id FROM u WHERE status = 'pending' OR (status = 'uploading' AND created_at + INTERVAL 30 DAY < TIMESTAMP '1998-01-01')")
+def claimable_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = uploads(spark, sf_dir)
+    status = F.when(F.col("status") == "pending", "queued").when(F.col("status") == "uploading", "running").otherwise("completed")
+    return rollups.claimable(u.withColumn("status", status).withColumn("lease_until", F.col("created_at") + F.expr("interval 30 days")), "1998-01-01").select("id")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (o_orderdate::DATE = DATE '1998-03-01') AS today, 0::BIGINT AS processing, count(*) FILTER (o_orderstatus = 'O') AS to_review, count(*) FILTER (o_orderstatus = 'F') AS approved, count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders""")
+def overview_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.element_at(F.create_map(*map(F.lit, ("O", "completed", "F", "reviewed", "P", "failed"))), F.col("o_orderstatus"))
+    return rollups.overview(read(spark, sf_dir, "orders").withColumn("status", status), "status", F.to_date("o_orderdate"), "1998-03-01")
+
+
+@query("""WITH r AS (SELECT vec_id, label, sqrt((embedding[1]::DOUBLE - embedding[4]) * (embedding[1]::DOUBLE - embedding[4]) + (embedding[2]::DOUBLE - embedding[5]) * (embedding[2]::DOUBLE - embedding[5]) + (embedding[3]::DOUBLE - embedding[6]) * (embedding[3]::DOUBLE - embedding[6])) * 1000 AS d FROM embeddings)
+SELECT label::BIGINT AS label, round(quantile_cont(d, 0.5), 3) AS median, round(quantile_cont(d, 0.75) - quantile_cont(d, 0.25), 3) AS iqr, round(avg((d NOT BETWEEN 55 AND 115)::INT), 4) AS outside FROM r GROUP BY 1""")
+def bone_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    out = rollups.bone_lengths(e.select("label", F.slice("v", 1, 3).alias("a"), F.slice("v", 4, 3).alias("b")), ["label"], "a", "b")
+    return rounded(out.withColumn("median", F.round("median", 3)).withColumn("iqr", F.round("iqr", 3)))
+
+
+@query("""WITH n AS (SELECT o_custkey, count(*) AS rows FROM orders GROUP BY 1), p AS (SELECT o_custkey AS k, rows, rows + o_custkey % 9 AS video FROM n)
+SELECT k AS episode_id, 'video.frame_drop' AS rule, CASE WHEN abs(video - rows) > 5 * greatest(2, floor(rows * 0.005)) THEN 'fail' WHEN abs(video - rows) > greatest(2, floor(rows * 0.005)) THEN 'warn' ELSE 'pass' END AS status, abs(video - rows)::DOUBLE AS value FROM p""")
+def video_frame_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("episode_id")).agg(F.count("*").alias("rows"))
+    return quality.frame_drop(p.withColumn("frame_count", F.col("rows") + F.col("episode_id") % 9)).drop("stream", "message")
+
+
+@query()
+def pose_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("episode_id"), F.lit("pose").alias("stream"), F.col("vec_id").alias("frame_index"), F.slice(F.col("embedding").cast("array<double>"), 1, 7).alias("values"))
+    return quality.pose_jumps(e).select("episode_id", "frame_index", F.round("speed", 6).alias("speed"), F.round("turn", 6).alias("turn"))
+
+
+@query()
+def trajectory_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    e = read(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") / 30).alias("t"), F.slice(v, 1, 3).alias("a"), F.transform(F.slice(v, 1, 3), lambda x: -x + 1).alias("b"))
+    return poses.trajectory_errors(e, ["label"], "t", "a", "b")
+
+
+@query("SELECT epoch_us(date_trunc('day', ts)) AS day, count(*) AS n FROM events GROUP BY 1")
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files, counted by day; the stream works through all that is there and ends."""
+    from kinetable.sources.datasets import scratch
+    from kinetable.streaming import incremental
+
+    own = scratch(spark, "daily")
+    stream = incremental.source(spark, f"{sf_dir}/events.parquet*", read(spark, sf_dir, "events").schema)
+    counts = incremental.tumbling(stream, "ts", "1 day", "0 seconds")
+    incremental.started(counts, f"{own}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{own}/counts"), "complete").awaitTermination()
+    return spark.read.parquet(f"{own}/counts").select(F.unix_micros("start").alias("day"), "n")
+
+
+@query("SELECT event_type, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, min(value) AS \"min\", max(value) AS \"max\", count(*) AS count FROM events GROUP BY 1")
+def stream_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each batch of files, kept in a form that adds up."""
+    from kinetable.sources.datasets import scratch
+    from kinetable.streaming import incremental
+
+    own = scratch(spark, "stats")
+    stream = incremental.source(spark, f"{sf_dir}/events.parquet*", read(spark, sf_dir, "events").schema)
+    incremental.running_stats(stream, ["event_type"], "value", f"{own}/blocks", f"{own}/checkpoint").awaitTermination()
+    return rounded(stats.from_blocks(incremental.whole_stats(spark, f"{own}/blocks", ["event_type"])))

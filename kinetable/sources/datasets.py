@@ -6,6 +6,7 @@ Writers use Hadoop's file system through the session, so that local and shared s
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,12 @@ ALIASES = {"observation.tactile.left": "observation.left_glove", "observation.ta
 EPISODE_DEFAULTS = {"created_at": 0.0, "duration_sec": 0.0, "drop_stats": "{}", "video_codec": "{}", "calibration": "{}", "force_matrix_specs": "{}"}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: below the one that the session names for checkpoints, a local one if none is."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_frames(spark: SparkSession, root: str, episode: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """All frames, or one episode's; files may differ in columns, and a column that none has is null."""
     df = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{root}/data")
