@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetable.functions import values as V
-from kinetable.operators import align, assembly, clocks, poses, quality, rollups, runs, stats, tracks
+from kinetable.operators import align, assembly, audits, clocks, poses, quality, rollups, runs, stats, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -744,3 +744,71 @@ def stream_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = incremental.source(spark, f"{sf_dir}/events.parquet*", read(spark, sf_dir, "events").schema)
     incremental.running_stats(stream, ["event_type"], "value", f"{own}/blocks", f"{own}/checkpoint").awaitTermination()
     return rounded(stats.from_blocks(incremental.whole_stats(spark, f"{own}/blocks", ["event_type"])))
+
+
+@query("""WITH r AS (SELECT o_custkey, count(*) AS rows, max(epoch_us(o_orderdate)) - min(epoch_us(o_orderdate)) AS span FROM orders GROUP BY 1), m AS (SELECT o_custkey, rows + (o_custkey % 10 = 0)::INT AS length, span * (CASE WHEN o_custkey % 7 = 0 THEN 1.05 ELSE 1 END)::DOUBLE AS duration FROM r WHERE o_custkey % 13 <> 0)
+SELECT r.o_custkey, rows AS "rows", CASE WHEN length IS NULL THEN 'no meta row' WHEN rows <> length THEN 'length' WHEN abs(span - duration) > 0.01 * duration THEN 'duration' END AS problem FROM r LEFT JOIN m USING (o_custkey)""")
+def meta_length_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_custkey", V.micros("o_orderdate").alias("t"))
+    own = o.groupBy("o_custkey").agg(F.count("*").alias("rows"), (F.max("t") - F.min("t")).alias("span")).filter("o_custkey % 13 <> 0")
+    longer = F.when(F.col("o_custkey") % 7 == 0, 1.05).otherwise(1.0)
+    meta = own.select("o_custkey", (F.col("rows") + (F.col("o_custkey") % 10 == 0).cast("int")).alias("length"), (F.col("span") * longer).alias("duration"))
+    return audits.meta_length(o, meta, ["o_custkey"], "t").select("o_custkey", "rows", "problem")
+
+
+@query(f"""WITH {_E}, c AS (SELECT user_id, us // {DAY} AS day, event_type, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT DISTINCT event_type FROM c), d AS (SELECT DISTINCT user_id, day FROM c)
+SELECT d.user_id, t.event_type, count(*) AS "rows" FROM d CROSS JOIN t LEFT JOIN c ON c.user_id = d.user_id AND c.day = d.day AND c.event_type = t.event_type WHERE n IS NULL GROUP BY ALL""")
+def lonely_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ["view", "error", "purchase", "click", "signup"]
+    day = F.floor(F.col("us") / DAY).cast("long")
+    own = events(spark, sf_dir).groupBy("user_id", day.alias("day")).pivot("event_type", kinds).count()
+    rows = own.select("user_id", "day", F.explode(F.array(*[F.struct(F.lit(k).alias("event_type"), F.coalesce(k, F.lit(0)).alias("n")) for k in kinds])).alias("s")).select("user_id", "day", "s.*")
+    return audits.lonely_gaps(rows, ["user_id"], "day", "event_type", "n")
+
+
+@query(f"""WITH {_E}, s AS (SELECT user_id, event_type AS stream, count(*) AS samples FROM e GROUP BY ALL), m AS (SELECT user_id, 'view' AS stream, 60::BIGINT AS received, 2::BIGINT AS adjust, 3::BIGINT AS dropped FROM (SELECT DISTINCT user_id FROM e))
+SELECT s.user_id, s.stream, samples, received + adjust AS said, samples - received - adjust AS difference, coalesce(dropped, 0) AS dropped FROM s LEFT JOIN m ON s.user_id = m.user_id AND s.stream = m.stream""")
+def recorder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    said = e.select("user_id").distinct().withColumn("drop_stats", F.lit('{"view": {"received": 60, "dropped": 3, "offline_adjust": 2}}'))
+    streams = e.groupBy("user_id", F.col("event_type").alias("stream")).agg(F.count("*").alias("samples"))
+    return audits.self_reported(streams, said, ["user_id"], "drop_stats")
+
+
+@query(f"""WITH {_E}, x AS (SELECT user_id, event_id, us, us + (value * 1000)::BIGINT - (CASE WHEN event_id % 50 = 0 THEN {DAY} ELSE 0 END) AS dev FROM e), w AS (SELECT *, row_number() OVER k AS i, greatest(us - lag(us) OVER k - {8 * HOUR}, 0) AS a, greatest(dev - lag(dev) OVER k - {8 * HOUR}, 0) AS b FROM x WINDOW k AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, CASE WHEN a >= {HOUR} THEN a ELSE 0 END AS la, CASE WHEN b >= {HOUR} THEN b ELSE 0 END AS lb FROM w), f AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY user_id ORDER BY i) <= 2 THEN 0 ELSE 1 END AS st FROM g WHERE la > 0 OR lb > 0), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY i) AS run FROM f),
+o AS (SELECT user_id, min(event_id) AS first, max(event_id) AS last, sum(la)::BIGINT AS lost_wall, sum(lb)::BIGINT AS lost_device FROM r GROUP BY user_id, run) SELECT *, CASE WHEN lost_device = 0 THEN 'wall' WHEN lost_wall = 0 THEN 'device' WHEN abs(lost_wall - lost_device) <= {8 * HOUR} THEN 'both' ELSE 'mismatch' END AS kind FROM o""")
+def dual_clock_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    device = F.col("us") + F.rint(F.col("value") * 1000).cast("long") - F.when(F.col("event_id") % 50 == 0, DAY).otherwise(0)
+    return audits.gap_events(e.select("user_id", "event_id", "us", device.alias("dev")), ["user_id"], "event_id", "us", "dev", 8 * HOUR, HOUR, 2)
+
+
+@query("""WITH s AS (SELECT user_id, event_type, count(*) AS samples, avg(value) AS o FROM events GROUP BY ALL) SELECT event_type, sum(samples)::BIGINT AS samples, (14 * count(*))::BIGINT AS expected, 1.0::DOUBLE AS coverage, round(sum(o * samples) / sum(samples), 4) AS "offset", round(100 * (sum(samples) - 14 * count(*)) / (14 * count(*))::DOUBLE, 4) AS deviation_pct FROM s GROUP BY 1""")
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("samples"), F.avg("value").alias("offset"))
+    return rounded(audits.stream_totals(s.withColumn("expected", F.lit(14)).withColumn("coverage", F.lit(1.0)), ["event_type"]))
+
+
+@query(f"""WITH {_FINDINGS} SELECT rule, count(DISTINCT episode_id) AS episodes, count(*) FILTER (status = 'fail') AS error, count(*) FILTER (status = 'warn') AS warn, count(*) FILTER (status = 'pass') AS info FROM f WHERE status <> 'pending_review' GROUP BY 1""")
+def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    severity = F.element_at(F.create_map(*map(F.lit, ("fail", "error", "warn", "warn", "pass", "info"))), F.col("status"))
+    f = findings(spark, sf_dir).withColumn("severity", severity)
+    return audits.summary(f, "rule", "severity", "episode_id", F.col("status") == "pending_review")
+
+
+@query("""WITH c AS (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), d AS (SELECT label, i, stddev_pop(x) AS s FROM c GROUP BY ALL) SELECT label::BIGINT AS label, 0.0::DOUBLE AS nan_share, count(*) FILTER (s > 1e-6) AS active FROM d GROUP BY 1""")
+def column_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(audits.column_health(read(spark, sf_dir, "embeddings"), ["label"], "embedding"))
+
+
+@query("""WITH e AS (SELECT md5(text) AS k, doc_id FROM documents) SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1 THEN 'new_batch' ELSE 'reupload' END AS kind, doc_id = max(doc_id) OVER (PARTITION BY k) AS latest FROM e""")
+def upload_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "documents").select(F.md5("text").alias("k"), "doc_id")
+    return audits.upload_history(own, "k", "doc_id").select("doc_id", "kind", "latest")
+
+
+@query(f"""WITH {_E}, f AS (SELECT user_id, min(us) AS f0, max(us) AS f1 FROM e WHERE event_type = 'view' GROUP BY 1), s AS (SELECT user_id, min(us) AS s0, max(us) AS s1 FROM e WHERE event_type = 'click' GROUP BY 1) SELECT f.user_id, coalesce(s0 <= f0 AND s1 >= f1, false) AS covered FROM f LEFT JOIN s USING (user_id)""")
+def samples_cover_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    return audits.covering(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"), ["user_id"], "us").select("user_id", "covered")
