@@ -26,8 +26,9 @@ WINDOW, HIDDEN, EPOCHS, BATCH, RATE = 64, 6, 12, 128, 0.03
 #: Windows that go through the network at once.
 LANES = 1024
 UNKNOWN = "und"
-#: A text whose likeliest language has less than this probability is rejected by a filter.
-LEAST_SCORE = 0.4
+#: A filter rejects texts without a letter, and texts whose likeliest language has less than this probability.  Of
+#: clean texts that mix languages or repeat a few words some score little more than chance, so 0 is the default.
+LEAST_SCORE = 0.0
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -236,7 +237,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows, with all their columns, whose text has a language that the network is sure of."""
+    """The rows, with all their columns, whose text has a language."""
     langs, net = train(docs)
 
     def sure(texts: list) -> np.ndarray:
