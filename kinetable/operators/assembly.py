@@ -143,10 +143,17 @@ def task_indexes(labels: DataFrame, text: str, order: str) -> DataFrame:
     return first.select(text, (F.row_number().over(Window.orderBy("_o", text)) - 1).cast("long").alias("task_index"))
 
 
-def split(episodes: DataFrame, order: str, ratio: float = 0.9) -> DataFrame:
-    """``train`` for the first max(1, int(n ratio)) episodes by order, ``val`` for the others."""
-    n = episodes.count()
-    cut = episodes.select(order).orderBy(order).offset(max(1, int(n * ratio)) - 1).limit(1).first() if n else None
+def split(episodes: DataFrame, order: str, ratio: float = 0.9, width: int = 100_000) -> DataFrame:
+    """``train`` for the first max(1, int(n ratio)) episodes by their number, ``val`` for the others.
+
+    The last number of ``train`` lies in one block of numbers, which counts of all blocks tell; only that is sorted.
+    """
+    block = F.floor(F.col(order) / width)
+    counts = episodes.groupBy(block.alias("_b")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_b"))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    k = F.greatest(F.lit(1), F.floor(F.col("_all") * ratio))
+    hit = counts.filter((F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)).select("_b", (k - (F.col("_upto") - F.col("_n"))).alias("nth")).first()
+    cut = episodes.filter(block == hit["_b"]).select(order).orderBy(order).offset(int(hit["nth"]) - 1).limit(1).first() if hit else None
     return episodes.withColumn("split", F.when(F.col(order) <= (cut[0] if cut else 0), "train").otherwise("val"))
 
 

@@ -10,18 +10,23 @@ from kinetable.functions.values import finite, not_nan
 QUANTILES = {"q01": 0.01, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q99": 0.99}
 
 
-def moments(x: Column, quantiles: bool = True) -> list[Column]:
-    """NaN is skipped, infinities count, except in quantiles; the deviation is the population's."""
+def moments(x: Column, quantiles: bool = True, accuracy: int | None = None) -> list[Column]:
+    """NaN is skipped, infinities count, except in quantiles; the deviation is the population's.
+
+    Quantiles are exact and interpolated, from counts of a group's distinct values; for groups of more distinct values
+    than a task can hold, ``accuracy`` asks for approximate ones, whose rank is off by 1 / accuracy at most.
+    """
     v = not_nan(x)
     out = [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
     if quantiles:
-        out += [F.percentile(finite(x), F.lit(q)).alias(name) for name, q in QUANTILES.items()]
+        own = finite(x)
+        out += [(F.percentile(own, F.lit(q)) if accuracy is None else F.percentile_approx(own, F.lit(q), accuracy)).alias(name) for name, q in QUANTILES.items()]
     return [*out, F.count(v).alias("count")]
 
 
-def scalar_stats(df: DataFrame, keys: list[str], value: str, quantiles: bool = True) -> DataFrame:
+def scalar_stats(df: DataFrame, keys: list[str], value: str, quantiles: bool = True, accuracy: int | None = None) -> DataFrame:
     """Groups without a finite value are left out."""
-    out = df.groupBy(*keys).agg(*moments(F.col(value), quantiles), F.count(finite(value)).alias("_finite"))
+    out = df.groupBy(*keys).agg(*moments(F.col(value), quantiles, accuracy), F.count(finite(value)).alias("_finite"))
     return out.filter("_finite > 0").drop("_finite")
 
 

@@ -36,6 +36,7 @@ def test_propagated_slots_and_splits(spark):
     assert [r["x"] for r in assembly.unpropagated(df, {"state": ["x"]}).collect()] == [1.0, None, 3.0]
     e = spark.createDataFrame([(i,) for i in range(10)], "i long")
     assert [r["split"] for r in assembly.split(e, "i", 0.75).orderBy("i").collect()] == ["train"] * 7 + ["val"] * 3
+    assert [r["split"] for r in assembly.split(e, "i", 0.75, width=3).orderBy("i").collect()] == ["train"] * 7 + ["val"] * 3
     assert assembly.split(e.limit(1), "i", 0.1).first()["split"] == "train" and assembly.split(e.limit(0), "i").count() == 0
     assert {r["split"] for r in assembly.hashed_split(e, "i", 0.5).collect()} <= {"train", "val"}
 

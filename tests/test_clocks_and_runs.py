@@ -133,6 +133,8 @@ def test_statistics_skip_nan_and_merge(spark):
     out = {r["k"]: r for r in stats.scalar_stats(df, ["k"], "x").collect()}
     assert set(out) == {"a", "c"} and (out["a"]["mean"], out["a"]["std"], out["a"]["count"], out["a"]["q50"]) == (2.0, 1.0, 2, 2.0)
     assert out["c"]["max"] == inf and out["c"]["q50"] == 1.0
+    near = stats.scalar_stats(df.filter("k = 'a'"), ["k"], "x", accuracy=1000).first()
+    assert near["q99"] == 3.0 and near["q01"] == 1.0
     whole = stats.from_blocks(stats.merged(stats.blocks(df.filter("k <> 'c'"), ["k"], "x"), [])).first()
     assert (whole["mean"], whole["std"], whole["count"]) == (2.0, 1.0, 2)
     empty = stats.from_blocks(stats.merged(stats.blocks(df.filter("k = 'b'"), ["k"], "x"), [])).first()
