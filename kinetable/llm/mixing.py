@@ -72,7 +72,7 @@ def chances(rows: DataFrame, rest: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken for every row of (doc_id, source, text)."""
+    """doc_id, size, source_size, target, taken, copies and source for every row of (doc_id, source, text)."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     size = words(F.col("text"))
     rows = stored(docs.select("doc_id", "source", key.alias("key"), size.alias("size")), "sizes")
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: i
     until = F.col("before_fine") + F.sum("size").over(order)
     close = marked.filter(edge).withColumn("extra", 2 * until - F.col("size") <= 2 * F.col("rest"))
     copies = F.col("whole") + F.col("extra").cast("long")
-    return sure.unionByName(close).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return sure.unionByName(close).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
 
 
 SQL = r"""
@@ -152,5 +152,5 @@ WITH r AS (
 ), y AS (
   SELECT *, CAST(whole + CASE WHEN rank IS NOT NULL AND size > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM z
 )
-SELECT doc_id, source, size, source_size, target, copies, CAST(copies * size AS BIGINT) AS taken FROM y
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies, source FROM y
 """

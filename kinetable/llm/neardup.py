@@ -183,3 +183,24 @@ def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     kept = near_duplicates(docs, least).filter("kept and doc_id is not null").select("doc_id").distinct()
     own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return own.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+#: The same classes by all pairs of documents that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), p AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8::DOUBLE * (x.n + y.n - k)
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), m AS (
+  SELECT a, min(b) AS class_id FROM r GROUP BY 1
+)
+SELECT doc_id, class_id, coalesce(doc_id = class_id, true) AS kept FROM documents LEFT JOIN m ON doc_id = a
+"""

@@ -50,18 +50,17 @@ PAIRS = "v bigint, u bigint, cos double"
 _PAIRS = ["v", "u", "cos"]
 
 
-def _ordered(vectors: DataFrame, seed: int) -> DataFrame:
-    """Pairs of vectors that are near in an order by random hyperplanes, the nearest K of each."""
+def _ordered(vectors: DataFrame, seeds: list[int]) -> DataFrame:
+    """Pairs of vectors that are near in an order by random hyperplanes, the nearest K of each; one shuffle for all orders."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1))
-            code = np.zeros(len(x), np.int64)
-            if len(x):
-                planes = np.random.default_rng(seed).normal(size=(BITS, x.shape[1]))
-                for bit in (x @ planes.T > 0).T:
+            for seed in seeds if len(x) else ():
+                code = np.zeros(len(x), np.int64)
+                for bit in (x @ np.random.default_rng(seed).normal(size=(BITS, x.shape[1])).T > 0).T:
                     code = code * 2 + bit
-            yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], names=["code", "v", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), seed, np.int32)), pa.array(code), *batch.columns], names=["seed", "code", "v", "vector"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: pa.RecordBatch | None = None
@@ -74,9 +73,10 @@ def _ordered(vectors: DataFrame, seed: int) -> DataFrame:
                 yield from nearest(i, y @ y.T, np.full(len(i), -2.0))
 
     kind = vectors.schema["vector"].dataType.simpleString()
-    coded_rows = vectors.select("v", "vector").mapInArrow(coded, f"code bigint, v bigint, vector {kind}")
+    coded_rows = vectors.select("v", "vector").mapInArrow(coded, f"seed int, code bigint, v bigint, vector {kind}")
     order = coded_rows.withColumn("_n", F.xxhash64("v"))
-    return order.repartitionByRange("code", "_n").sortWithinPartitions("code", "_n").select("v", "vector").mapInArrow(near, PAIRS)
+    order = order.repartitionByRange("seed", "code", "_n").sortWithinPartitions("seed", "code", "_n")
+    return order.select("v", "vector").mapInArrow(near, PAIRS)  # a window over the end of an order does no harm
 
 
 def nearest(ids: np.ndarray, cos: np.ndarray, above: np.ndarray, use: np.ndarray | None = None) -> list[pa.RecordBatch]:
@@ -149,13 +149,11 @@ def audited(lists: DataFrame, vectors: DataFrame, least: float, queries: int = A
 
 def neighbour_graph(vectors: DataFrame, least: float = LEAST, k: int = K) -> DataFrame:
     """(v, u, cos): the lists of NN-descent over (v, vector)."""
-    lists, seed = None, 0
+    lists = None
     for attempt in range(1 + MORE):
-        for _ in range(ORDERS):
-            seed += 1
-            own = _ordered(vectors, seed).withColumn("fresh", F.lit(True))
-            met = own if lists is None or _ else own.union(lists.select("v", "u", "cos", F.lit(False)))
-            every = met if not _ else every.union(met)
+        every = _ordered(vectors, list(range(1 + attempt * ORDERS, 1 + (attempt + 1) * ORDERS))).withColumn("fresh", F.lit(True))
+        if lists is not None:
+            every = every.union(lists.select("v", "u", "cos", F.lit(False)))
         lists = stored(shortlist(every, k, least), "lists")
         total = lists.count()
         for r in range(ROUNDS):
@@ -216,3 +214,21 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     out = salted_join(keyed.select("vec_id", "key"), found, "key")
     component = F.coalesce(F.col("component_id").cast(vectors.schema["vec_id"].dataType), F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+#: The same links and components by all pairs.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL
+    AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), n AS (
+  SELECT a, count(*) AS n FROM p GROUP BY 1
+), r(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), m AS (
+  SELECT a, min(b) AS c FROM r GROUP BY 1
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(vec_id = coalesce(c, vec_id), true) AS kept FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN m ON vec_id = m.a
+"""
