@@ -128,7 +128,7 @@ def test_slots_keep_hands_apart_when_labels_flip(spark):
 
 
 def test_tactile_baseline_and_lone_cells(spark):
-    base = [100.0] * 256
+    base = [1000.0] * 256
     press = list(base)
     for c in (17, 18, 33):
         press[c] += 5000
