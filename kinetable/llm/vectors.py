@@ -35,7 +35,7 @@ MOST = 48
 #: Rounds end when fewer than this share of the entries are new; queries of the audit; recall that ends the search.
 STILL, AUDIT, RECALL = 0.002, 500, 0.98
 #: Vectors of a block in the final count.
-BLOCK = 512
+BLOCK = 128
 _log = logging.getLogger(__name__)
 
 
