@@ -4,10 +4,16 @@ Equal vectors are one from the start.  A neighbour graph begins with what lies s
 random hyperplanes, and is refined in rounds: at each vector the neighbours, of both directions, are compared with
 one another, and each keeps the nearest that it has met.  A list that is full of links is saturated and is enlarged,
 twice at most.  After the rounds, recall is audited against brute force over a bounded sample of queries; while it is
-too low, more orders and rounds follow.  Edges at the threshold are kept and make components; within each of these
-all pairs are then compared in blocks, so that links are counted whole however many a vector has.
+too low, more orders and rounds follow.  Edges at the threshold are kept and make components.
 
-Null vectors, vectors with null or non-finite components, zero vectors, vectors of another length than most, and rows
+A list takes no more than K vectors of a group and ends at 4 K, so links of vectors that have K or more can be crowded
+out of it.  All such vectors are in components of more than K; these are cut into blocks, and two blocks of different
+components are compared whole unless their centres and radii say that no link can be between them.  Within each
+component all pairs are then compared in blocks, so that links are counted whole however many a vector has.  The counts
+are audited against brute force, without a cap; where too many links are missing, all pairs are compared.
+
+Vectors of different lengths don't link.  Each length with many vectors has a graph of its own; the others, with up to
+FEW vectors each, are compared whole.  Null vectors, vectors with null or non-finite components, zero vectors and rows
 without a vec_id link with nothing.  Rows that repeat a vector count as vectors; rows of one vec_id should hold one
 vector.  An empty table gives no rows.
 """
@@ -34,8 +40,10 @@ ROUNDS, MORE = 3, 3
 MOST = 48
 #: Rounds end when fewer than this share of the entries are new; queries of the audit; recall that ends the search.
 STILL, AUDIT, RECALL = 0.002, 500, 0.98
-#: Vectors of a block in the final count.
-BLOCK = 128
+#: Vectors of a block in the final count; blocks whose centres are compared at once.
+BLOCK, BALLS = 128, 1024
+#: Vectors of a length that are compared whole, if it isn't the most frequent one.
+FEW = 4096
 _log = logging.getLogger(__name__)
 
 
@@ -125,28 +133,45 @@ def refined(lists: DataFrame, vectors: DataFrame, k: int, least: float, seed: in
     return stored(shortlist(old.union(met.withColumn("fresh", F.lit(True))), k, least), "lists")
 
 
-def audited(lists: DataFrame, vectors: DataFrame, least: float, queries: int = AUDIT) -> float:
-    """The share of links of a bounded sample of vectors, by brute force over all, that their lists hold (up to their size)."""
+def _brute_force(vectors: DataFrame, least: float, queries: int) -> DataFrame | None:
+    """(v, n): the links of a bounded sample of (v, vector, copies) with all others, each as often as it is repeated."""
     n = vectors.count()
     drawn = vectors.filter(F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, queries / max(1, n)) * (1 << 30))).limit(4 * queries)
     table = drawn.select("v", "vector").toArrow().combine_chunks()
     if not table.num_rows:
-        return 1.0
+        return None
     ids, q = table.column("v").to_numpy(), matrix(table.column("vector").combine_chunks())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(len(ids), np.int64)
         for batch in batches:
             if batch.num_rows:
-                count += ((q @ matrix(batch.column(1)).T >= least) & (ids[:, None] != batch.column(0).to_numpy())).sum(1)
+                count += ((q @ matrix(batch.column(1)).T >= least) & (ids[:, None] != batch.column(0).to_numpy())) @ batch.column(2).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count)], names=["v", "n"])
 
-    true = vectors.select("v", "vector").mapInArrow(search, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
+    rows = vectors.select("v", "vector", F.col("copies").cast("long"))
+    return rows.mapInArrow(search, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
+
+
+def audited(lists: DataFrame, vectors: DataFrame, least: float, queries: int = AUDIT) -> float:
+    """The share of links of a bounded sample of vectors, by brute force over all, that their lists hold (up to their size)."""
+    true = _brute_force(vectors.withColumn("copies", F.lit(1)), least, queries)
+    if true is None:
+        return 1.0
     have = lists.filter(F.col("cos") >= least).groupBy("v").agg(F.count("*").alias("k"))
     got = true.join(have, "v", "left").agg(F.sum(F.least("n", F.lit(4 * K))).alias("n"), F.sum(F.least("n", F.coalesce("k", F.lit(0)))).alias("k")).first()
     return float((got["k"] or 0) / got["n"]) if got["n"] else 1.0
 
 
+def recall_of(counts: DataFrame, vectors: DataFrame, least: float, queries: int = AUDIT) -> float:
+    """The share of links of a bounded sample of vectors, by brute force over all, that have been counted."""
+    true = _brute_force(vectors, least, queries)
+    if true is None:
+        return 1.0
+    got = true.join(counts.withColumnRenamed("n", "k"), "v", "left").agg(F.sum("n").alias("n"), F.sum(F.coalesce("k", F.lit(0))).alias("k")).first()
+    return float(got["k"] / got["n"]) if got["n"] else 1.0
+
+
 def neighbour_graph(vectors: DataFrame, least: float = LEAST, k: int = K) -> DataFrame:
     """(v, u, cos): the lists of NN-descent over (v, vector)."""
     lists = None
@@ -167,48 +192,146 @@ def neighbour_graph(vectors: DataFrame, least: float = LEAST, k: int = K) -> Dat
     return lists.select("v", "u", "cos")
 
 
-def _counts(group: pa.Table) -> list[pa.RecordBatch]:
-    """Links within a pair of blocks: of side 0 with side 1, both ways; of a block with itself."""
-    ids, x, side = group.column("v").to_numpy(), matrix(group.column("vector").combine_chunks()), group.column("side").to_numpy()
-    weight, least = group.column("copies").to_numpy(), group.column("least").to_numpy()
+def _linked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of side 0, rows of side 1 (those of side 0 if there are none), and which of them are links."""
+    x, side = matrix(group.column("vector").combine_chunks()), group.column("side").to_numpy()
     a = np.flatnonzero(side == 0)
     b = np.flatnonzero(side == 1) if (side == 1).any() else a
-    linked = x[a] @ x[b].T >= least[0]
+    linked = x[a] @ x[b].T >= group.column("least")[0].as_py()
     if b is a:
         np.fill_diagonal(linked, False)
+    return a, b, linked
+
+
+def _counts(group: pa.Table) -> list[pa.RecordBatch]:
+    """Links within a pair of blocks: of side 0 with side 1, both ways; of a block with itself."""
+    ids, weight = group.column("v").to_numpy(), group.column("copies").to_numpy()
+    a, b, linked = _linked(group)
+    if b is a:
         out, n = ids[a], linked @ weight[b]
     else:
         out, n = np.concatenate([ids[a], ids[b]]), np.concatenate([linked @ weight[b], linked.T @ weight[a]])
     return [pa.RecordBatch.from_arrays([pa.array(out), pa.array(n.astype(np.int64))], names=["v", "n"])]
 
 
+def _edges(a: np.ndarray, b: np.ndarray) -> list[pa.RecordBatch]:
+    return [pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])] if len(a) else []
+
+
+def _spanned(group: pa.Table) -> list[pa.RecordBatch]:
+    """Edges that join what links of a pair of blocks join: each vector with the smallest that it reaches."""
+    ids = group.column("v").to_numpy()
+    a, b, linked = _linked(group)
+    root, last, top = ids.copy(), None, np.iinfo(np.int64).max
+    while last is None or (root != last).any():
+        last = root.copy()
+        root[a] = np.minimum(root[a], np.where(linked, root[b][None, :], top).min(1, initial=top))
+        root[b] = np.minimum(root[b], np.where(linked, root[a][:, None], top).min(0, initial=top))
+    return _edges(ids[root != ids], root[root != ids])
+
+
+def _bridged(group: pa.Table) -> list[pa.RecordBatch]:
+    """One edge for each two labels that have a link between a pair of blocks."""
+    label = group.column("label").to_numpy()
+    a, b, linked = _linked(group)
+    x, y = np.nonzero(linked & (label[a][:, None] != label[b][None, :]))
+    found = np.unique(np.sort(np.stack([label[a[x]], label[b[y]]], 1), 1), axis=0)
+    return _edges(found[:, 0], found[:, 1])
+
+
+def _ball(group: pa.Table) -> list[pa.RecordBatch]:
+    """The centre of a block and the largest angle from it."""
+    x = matrix(group.column("vector").combine_chunks())
+    centre = x.sum(0)
+    size = np.sqrt(centre @ centre)
+    centre = centre / size if size > 0 else x[0]
+    radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+    return [pa.RecordBatch.from_arrays([*(group.column(c).slice(0, 1).combine_chunks() for c in ("block", "label")), pa.array([centre.tolist()]), pa.array([radius])], names=["block", "label", "vector", "radius"])]
+
+
+def _near_balls(group: pa.Table) -> list[pa.RecordBatch]:
+    """Pairs of blocks of different labels that a link can be between."""
+    block, label, radius = (group.column(c).to_numpy() for c in ("block", "label", "radius"))
+    x, side = matrix(group.column("vector").combine_chunks()), group.column("side").to_numpy()
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if (side == 1).any() else a
+    reach = np.arccos(group.column("least")[0].as_py()) + radius[a][:, None] + radius[b][None, :] + 1e-6
+    near = (np.arccos(np.clip(x[a] @ x[b].T, -1, 1)) <= reach) & (label[a][:, None] != label[b][None, :])
+    i, j = np.nonzero(np.triu(near) if b is a else near)
+    return _edges(block[a[i]], block[b[j]])
+
+
+def _in_pairs(rows: DataFrame, key: str, number: str, least: float) -> DataFrame:
+    """Rows of each ``key``, which has ``k`` blocks, once for each pair of blocks ``c`` that they are in."""
+    own = rows.withColumn("at", F.pmod(F.xxhash64(number), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pair = F.xxhash64(key, F.least("at", "other"), F.greatest("at", "other"))
+    return own.select(pair.alias("c"), *[c for c in rows.columns if c != "k"], F.when(F.col("at") <= F.col("other"), 0).otherwise(1).alias("side"), F.lit(float(least)).alias("least"))
+
+
 def counted_links(vectors: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """(v, n): links of each vector with others of its component, each as often as it is repeated."""
     size = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     own = vectors.join(labels.withColumnRenamed("node", "v"), "v")
-    own = salted_join(own, size, "label", "inner").withColumn("block", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    pair = F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other"))
-    rows = spread.select(pair.alias("c"), "v", "vector", "copies", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), F.lit(float(least)).alias("least"))
+    own = salted_join(own, size, "label", "inner").select("label", "k", "v", "vector", "copies")
+    rows = _in_pairs(own, "label", "v", least).drop("label")
     return by_group(rows, "c", _counts, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
 
 
+def all_links(vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b): edges that join what the links of all pairs of one length join."""
+    size = vectors.groupBy("length").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    own = vectors.join(F.broadcast(size), "length").select("length", "k", "v", "vector")
+    return stored(by_group(_in_pairs(own, "length", "v", least).drop("length"), "c", _spanned, "a bigint, b bigint").distinct(), "edges")
+
+
+def bridges(vectors: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(a, b): an edge for each two components of more than K vectors that have a link; exact, in blocks that can hold one."""
+    size = labels.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > K)
+    own = salted_join(vectors.join(labels.withColumnRenamed("node", "v"), "v"), size, "label", "inner")
+    block = F.xxhash64("label", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / BLOCK)))
+    own = stored(own.select(block.alias("block"), "label", "length", "vector"), "dense")
+    lengths = own.groupBy("block").agg(F.first("length").alias("length"))
+    balls = by_group(own.drop("length"), "block", _ball, "block bigint, label bigint, vector array<double>, radius double")
+    balls = stored(balls.join(lengths, "block"), "balls")
+    k = F.lit(max(1, -(-balls.count() // BALLS)))
+    pairs = by_group(_in_pairs(balls.withColumn("k", k), "length", "block", least).drop("length"), "c", _near_balls, "a bigint, b bigint")
+    pairs = stored(pairs.select(F.xxhash64("a", "b").alias("c"), F.explode(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))).alias("s")).select("c", "s.*"), "pairs")
+    rows = own.join(pairs, "block").select("c", "label", "vector", "side", F.lit(float(least)).alias("least"))
+    return stored(by_group(rows, "c", _bridged, "a bigint, b bigint").distinct(), "edges")
+
+
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of (vec_id, embedding)."""
     rows = vectors.select("vec_id", "embedding")
     fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     fine = F.coalesce(fine & F.col("vec_id").isNotNull(), F.lit(False))
-    common = rows.filter(fine).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    fine = fine & (F.size("embedding") == (common["n"] if common else 0))
     key = F.when(fine, F.sha2(F.to_json(F.struct("embedding")), 256))
     keyed = stored(rows.withColumn("key", key), "keyed")
     distinct = keyed.filter("key is not null").groupBy("key").agg(F.min("vec_id").cast("long").alias("v"), F.count("*").alias("copies"), F.any_value("embedding").alias("vector"))
     distinct = stored(distinct, "vectors")
-    nodes = distinct.select("v", "vector", "copies")
-    graph = neighbour_graph(nodes.select("v", "vector"), least)
-    links = stored(graph.filter(F.col("cos") >= least).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct(), "links")
-    labels = components(links)
-    n = counted_links(nodes, labels, least)
+    nodes = distinct.select("v", "vector", "copies", F.size("vector").alias("length"))
+    sizes = nodes.groupBy("length").count()
+    first = sizes.orderBy(F.desc("count"), "length").first()
+    long = [first["length"], *(r["length"] for r in sizes.filter((F.col("count") > FEW) & (F.col("length") != first["length"])).collect())] if first else []
+    edges = all_links(nodes.filter(~F.col("length").isin(long)), least)
+    for n in long:
+        graph = neighbour_graph(nodes.filter(F.col("length") == n).select("v", "vector"), least)
+        edges = edges.union(graph.filter(F.col("cos") >= least).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct())
+    edges = stored(edges, "links")
+    labels = components(edges)
+    more = bridges(nodes, labels, least)
+    if not more.isEmpty():
+        edges = edges.union(more)
+        labels = components(edges)
+    n = stored(counted_links(nodes, labels, least), "counts")
+    low = []
+    for length in long:
+        recall = recall_of(n, nodes.filter(F.col("length") == length), least)
+        _log.info("recall of the counted links of length %d: %.4f", length, recall)
+        low += [length] * (recall < RECALL)
+    if low:
+        labels = components(edges.union(all_links(nodes.filter(F.col("length").isin(low)), least)))
+        n = counted_links(nodes, labels, least)
     found = distinct.select("key", "v", "copies").join(labels.withColumnRenamed("node", "v"), "v", "left").join(n, "v", "left")
     found = found.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("label", "v").alias("component_id"))
     out = salted_join(keyed.select("vec_id", "key"), found, "key")

@@ -58,3 +58,30 @@ def test_recall_of_the_graph_alone(spark, rows):
     good = [(i, v) for i, v in rows if i < 1000]
     df = spark.createDataFrame(good, "v long, vector array<float>")
     assert vectors.audited(vectors.neighbour_graph(df), df, 0.95, 2000) >= 0.9
+
+
+def in_groups(rng, near, cross, n, size=64):
+    """Two groups of n vectors at about ``near`` among themselves, ``cross`` with the other group."""
+    axes = np.linalg.qr(rng.normal(size=(size, size)))[0]
+    turn = np.arccos(cross / near) / 2
+    own = rng.normal(size=(2 * n, size - 2)) @ axes[2:]
+    own /= np.linalg.norm(own, axis=1)[:, None]
+    centre = np.cos(turn) * axes[0] + np.repeat([-1, 1], n)[:, None] * np.sin(turn) * axes[1]
+    return np.sqrt(near) * centre + np.sqrt(1 - near) * own
+
+
+def test_links_between_dense_groups_are_whole(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([in_groups(rng, 0.99, 0.955, 200), rng.normal(size=(600, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    n = (x @ x.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
+    assert n[:400].min() > 380 and got == {i: (n[i], 0 if i < 400 else i) for i in range(1000)}
+
+
+def test_each_length_is_a_set_of_its_own(spark):
+    rows = [(i, [1.0, 0.0, 0.1 * i]) for i in range(3)] + [(10 + i, [1.0, 0.01 * i]) for i in range(2)] + [(20, [1.0]), (21, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(df).collect()}
+    assert got == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), 10: (1, 10, True), 11: (1, 10, False), 20: (0, 20, True), 21: (0, 21, True)}
