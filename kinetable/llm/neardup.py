@@ -1,7 +1,8 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-Documents are weighted sets of five-word shingles; a shingle that occurs n times weighs 1 + ln n.  Each shingle
-is a Poisson process of its weight's rate whose arrivals fall into random registers; a register keeps the shingle
+Documents are weighted sets of five-word shingles.  All are sketched with a weight of 1 for each shingle, for which
+probability Jaccard is the Jaccard similarity that is verified; documents that repeat a shingle are sketched again with
+a weight of 1 + ln n for one that occurs n times, and have the bands of both.  Each shingle is a Poisson process of its weight's rate whose arrivals fall into random registers; a register keeps the shingle
 of its first arrival, and arrivals end where they can't change a register any more.  Two documents agree in a
 register with their probability Jaccard similarity.  Documents that agree in a whole band of registers are
 candidates; those whose sets of shingles have a Jaccard similarity of ``SIMILARITY`` or more are linked, and what
@@ -57,14 +58,24 @@ def probminhash(items: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int
     return sketch.reshape(n, m)
 
 
-def band_hashes(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-    """A key of each text's words, and a (texts, BANDS) array of the bands of its sketch."""
+def band_hashes(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
+    """A key of each text's words, and the bands of its sketch, or of both sketches where shingles are repeated."""
     words = tokens.words_of(texts)
     hashes, owner = tokens.shingles(words, SHINGLE)
     items, owner, times = tokens.counted(hashes, owner)
-    sketch = probminhash(tokens.mix(items), owner, 1 + np.log(times), len(texts), BANDS * ROWS)
-    rows = sketch.reshape(len(texts), BANDS, ROWS) * tokens.powers(0xD6E8FEB86659FD93, ROWS)
-    return tokens.text_keys(words), tokens.mix(rows.sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    items = tokens.mix(items)
+
+    def banded(items: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        rows = probminhash(items, owner, weight, n, BANDS * ROWS).reshape(n, BANDS, ROWS) * tokens.powers(0xD6E8FEB86659FD93, ROWS)
+        return tokens.mix(rows.sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+    bands = list(banded(items, owner, np.ones(len(items)), len(texts)))
+    repeats = np.unique(owner[times > 1])
+    some = np.isin(owner, repeats)
+    again = banded(items[some], np.searchsorted(repeats, owner[some]), 1 + np.log(times[some]), len(repeats))
+    for i, own in zip(repeats.tolist(), again, strict=True):
+        bands[i] = np.unique(np.concatenate([bands[i], own]))
+    return tokens.text_keys(words), bands
 
 
 def _sketches(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
@@ -74,7 +85,7 @@ def _sketches(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
         for a in range(own.start, own.stop, LANES):
             k, b = band_hashes(texts[a : min(own.stop, a + LANES)])
             keys += k
-            bands += list(b)
+            bands += b
     return keys, bands
 
 

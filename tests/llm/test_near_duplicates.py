@@ -116,3 +116,15 @@ def test_shingles_of_short_texts():
     for x, o in zip(s.tolist(), owner.tolist()):
         by[o].append(x)
     assert [len(by[i]) for i in range(4)] == [1, 2, 0, 1] and by[0] == by[3]
+
+
+def test_pairs_with_other_repeat_counts_share_a_band():
+    rng = random.Random(7)
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(WORDS) for _ in range(104)]
+        texts += [" ".join(base), " ".join(base + base[:24] * 50)]
+    classes = brute_force(list(enumerate(texts)))
+    assert all(classes[i] == i - i % 2 for i in range(120))  # sets alike at 0.8 or more
+    _, bands = neardup.band_hashes(texts)
+    assert all(set(bands[i].tolist()) & set(bands[i + 1].tolist()) for i in range(0, 120, 2))
