@@ -123,13 +123,21 @@ _SPOKEN_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:[\x20\t]+(?:{_DOT})[\x20\
 _SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{'|'.join(PLUS_WORDS)})[\x20\t-]+|\+[\x20\t]?)?(?:(?:{_NUMBER})(?![^\W_])|[0-9]+)(?:[\x20\t,.-]{{1,2}}(?:(?:{_NUMBER})(?![^\W_])|[0-9]+(?![^\W_]))){{2,}}", re.I)
 _PIECE = re.compile(r"[^\W_]+|\+")
 LEAST_SPELLED = 3
-_ALIKE_SET, _DOT_HINT = frozenset(ALIKE), frozenset(DOT_WORDS)
-_DIGIT_HINT = frozenset(w + end for w in _VALUE for end in ("", ",", "."))
+_ALIKE_SET, _AT_HINT, _DOT_HINT = frozenset(ALIKE), frozenset(AT_WORDS), frozenset(DOT_WORDS)
+_RUN = re.compile(r"[^\W_]+")
+#: Three digit words in a run of digit words (1) and digits (2).
+_DIGIT_RUN = re.compile(rb"\x01\x02*\x01\x02*\x01")
+#: Spoken "at" before a domain with literal dots: a word like any other unless the domain ends in one of these.
+ENDINGS = "com org net edu gov mil int info biz io dev app ai co uk ie de at ch fr es it nl be pt pl se no dk fi cz gr eu us ca mx br ar cl au nz jp cn kr in ru tr za example test".split()
+_AT_DOMAIN = re.compile(rf"[\x20\t](?:{'|'.join(x for w in AT_WORDS for x in (w, w.upper(), w.capitalize()))})[\x20\t]+(?:[A-Za-z0-9-]{{1,63}}\.)+(?:{'|'.join(x for w in ENDINGS for x in (w, w.upper()))})(?!\.?[A-Za-z0-9-])")
 
 
-def _spells(words: list[str]) -> bool:
-    """Two digit words in a row, which any spelled number has; single ones are frequent."""
-    return b"\1\1" in bytes(map(_DIGIT_HINT.__contains__, words))
+def _spells(low: str) -> bool:
+    """Whether three digit words stand in a run of such and of digits, whatever separates them; any spelled number has that."""
+    words = _RUN.findall(low)
+    if sum(map(_VALUE.__contains__, words)) < LEAST_SPELLED:
+        return False
+    return _DIGIT_RUN.search(bytes(1 if w in _VALUE else 2 if w.isdigit() else 0 for w in words)) is not None
 
 
 @dataclass
@@ -181,12 +189,12 @@ def at_and_dot(tape: Tape) -> Tape:
     if " @" in text or "\t@" in text:
         tape = tape.rewritten([(m.start(), m.end(), "@") for m in _SPACED.finditer(text)])
         text, low = tape.text, tape.text.lower()
-    if any(w in low for w in DOT_WORDS):
+    if any(w in low for w in DOT_WORDS) or _AT_DOMAIN.search(text):
         edits = []
         for m in _SPOKEN.finditer(text):
             dots = [(x.start(), x.end(), ".") for x in _SPOKEN_DOT.finditer(text, *m.span())]
             ats = [(x.start(), x.end(), "@") for x in _SPOKEN_AT.finditer(text, *m.span())]
-            if dots:  # "at" alone is a word like any other
+            if dots or _AT_DOMAIN.search(text, m.start(), m.end() + 2):  # "at" alone is a word like any other
                 edits += dots + ats
         for m in _SPOKEN_IP.finditer(text):
             edits += [(x.start(), x.end(), ".") for x in _SPOKEN_DOT.finditer(text, *m.span())]
@@ -195,7 +203,7 @@ def at_and_dot(tape: Tape) -> Tape:
 
 
 def spelled_digits(tape: Tape) -> Tape:
-    if not _spells(tape.text.lower().replace("-", " ").split()):
+    if not _spells(tape.text.lower()):
         return tape
     edits = []
     for m in _SPELLED.finditer(tape.text):
@@ -221,14 +229,16 @@ TRANSDUCERS = (look_alikes, at_and_dot, spelled_digits)
 def normal_form(text: str) -> Tape | None:
     """The tape after all transducers, None if none has rewritten anything."""
     # A text that can't change has no tape made for it.
-    words = text.lower().replace("-", " ").split()
+    low = text.lower()
+    words = low.split()
     if not (
         (not text.isascii() and not _ALIKE_SET.isdisjoint(text))
         or not _DOT_HINT.isdisjoint(words)
         or " @" in text
         or "\t@" in text
         or (any(c in text for c in "[({<") and (_AT_MARK.search(text) or _DOT_MARK.search(text)))
-        or _spells(words)
+        or (not _AT_HINT.isdisjoint(words) and _AT_DOMAIN.search(text))
+        or _spells(low)
     ):
         return None
     tape = Tape.of(text)

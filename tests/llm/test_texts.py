@@ -138,6 +138,22 @@ def test_tapes_map_back_to_the_source():
     assert pii.spelled_digits(pii.Tape.of("nothing five here")).text == "nothing five here"
 
 
+@pytest.mark.parametrize("text, kind", [
+    ("call four,one,five,five,five,zero,one,nine,nine now", "hidden_phone"),
+    ("call four.one.five.five.five.zero.one.nine.nine now", "hidden_phone"),
+    ("call (four 1 five 5 five 0 one 9 nine) now", "hidden_phone"),
+    ("write to jane at example.com today", "hidden_email"),
+    ("write to jane at mail.example.co.uk.", "hidden_email"),
+])
+def test_disguises_with_other_separators(text, kind):
+    assert [s[0] for s in pii.spans_of(text)] == [kind]
+
+
+def test_words_that_are_no_disguise():
+    for text in ("we met at home.Then we left", "one or two, three of us", "at 5 p.m. and at no.7", "look at main.py and at index.html"):
+        assert not [s for s in pii.spans_of(text) if s[0].startswith("hidden")], text
+
+
 def test_languages_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
