@@ -12,15 +12,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of a side that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Copies of the unique side of a join whose other side may hold one key in a third of its rows.
-SALTS = 8
+#: Rows of one key that a task of a join takes; keys with more go to several tasks.
+HOT_ROWS = 1_000
+#: Edges that a task reduces to a forest at once.
+EDGES = 1_000_000
 
 _own_dir: list[str] = []
 
@@ -30,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one where that is unset and all is on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors see")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _own_dir[0]
@@ -50,6 +54,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(name: str, columns: Sequence[str]) -> str:
+    """The name with as many underscores before it as it takes to be none of these, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def map_texts(docs: DataFrame, keep: list[str], fields: str, fn: Callable[[list], Sequence], column: str = "text") -> DataFrame:
     """The columns ``keep`` as they are, and new ``fields``: ``fn`` gets a batch's texts and returns a sequence for each field."""
     new = to_arrow_schema(T.StructType.fromDDL(fields))
@@ -60,7 +77,7 @@ def map_texts(docs: DataFrame, keep: list[str], fields: str, fn: Callable[[list]
             old = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, f.type, from_pandas=False) for x, f in zip(made, new, strict=True))], names)
 
-    rows = docs.select(*keep, F.col(column).alias("_text"))
+    rows = docs.select(*map(quoted, keep), quoted(column).alias(unused("text", keep)))
     out = T.StructType([*rows.schema.fields[: len(keep)], *T.StructType.fromDDL(fields).fields])
     names = out.names
     return rows.mapInArrow(run, out)
@@ -108,32 +125,74 @@ def small_join(df: DataFrame, side: DataFrame, on, how: str = "inner", limit: in
     return df.join(F.broadcast(side) if few else side, on, how)
 
 
-def salted_join(df: DataFrame, side: DataFrame, key: str, how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Join a side with unique keys where one key of ``df`` may be very frequent: its rows go to ``salts`` tasks."""
-    left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    right = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+def salted_join(df: DataFrame, side: DataFrame, key: str, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+    """Join a side with unique keys where some keys of ``df`` may be very frequent.
+
+    Rows of each key are counted (or ``counts`` (key, n) says how many there are); a key's rows go to one task for
+    every HOT_ROWS of them, and only such keys of the side are copied.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = stored(counts.filter(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_k")), "hot")
+    if hot.isEmpty():
+        return df.join(side, key, how)
+    tasks = F.when(F.col(key).isNull(), 1009).otherwise(F.coalesce("_k", F.lit(1)))
+    left = small_join(df, hot, key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), tasks).cast("int"))
+    right = small_join(side, hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1)))
+    return left.drop("_k").join(right.drop("_k"), [key, "_salt"], how).drop("_salt")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the edges of a task fewer that join the same nodes: each node with one that it reaches."""
+    held, rows = [], 0
+
+    def reduced(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        both = pa.chunked_array([b.column(i) for i in (0, 1) for b in parts]).combine_chunks().dictionary_encode()
+        n = len(both) // 2
+        code = both.indices.to_numpy()
+        a, b, root, last = code[:n], code[n:], np.arange(len(both.dictionary)), None
+        while last is None or (root != last).any():
+            last = root.copy()
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            np.minimum.at(root, last, root)  # what a node learns its root learns
+            root = root[root]
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(root[far])), both.dictionary.take(pa.array(far))], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= EDGES:
+            held, rows = [reduced(held)], 0
+    if held:
+        yield reduced(held)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) with the smallest node reachable, for every node of ``edges`` (a, b).
 
-    Each round takes the smallest label among a node's neighbours (summed before the shuffle) and then the
-    label's own label, so that chains halve; labels live in the shared folder between rounds.
+    Edges are first reduced to forests within tasks, so that a dense group costs as much as its nodes.  Each round
+    takes the smallest label among a node's neighbours (summed before the shuffle) and then the label's own label, so
+    that chains halve; labels live in the shared folder between rounds.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    every = stored(edges.select("a", "b"), "edges")
+    few = every.coalesce(max(1, every.count() // EDGES)).mapInArrow(_forest, every.schema)
+    both = stored(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    degrees = stored(both.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS), "degrees")
     labels = stored(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")),
         "labels",
     )
     for _ in range(rounds):
         near = (
-            salted_join(both, labels.select(F.col("node").alias("a"), "label"), "a", "inner")
+            salted_join(both, labels.select(F.col("node").alias("a"), "label"), "a", "inner", degrees)
             .groupBy(F.col("b").alias("node"))
             .agg(F.min("label").alias("near"))
         )
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        step = stored(step, "steps")
         step = stored(salted_join(step, jump, "label").select("node", "was", F.coalesce("root", "label").alias("label")), "labels")
         labels = step.select("node", "label")
         if step.filter("was <> label").isEmpty():

@@ -126,5 +126,46 @@ def test_pairs_with_other_repeat_counts_share_a_band():
         texts += [" ".join(base), " ".join(base + base[:24] * 50)]
     classes = brute_force(list(enumerate(texts)))
     assert all(classes[i] == i - i % 2 for i in range(120))  # sets alike at 0.8 or more
-    _, bands = neardup.band_hashes(texts)
+    _, bands, _ = neardup.band_hashes(texts)
     assert all(set(bands[i].tolist()) & set(bands[i + 1].tolist()) for i in range(0, 120, 2))
+
+
+def test_texts_that_repeat_other_lines_are_linked(documents):
+    """Set similarities of about 0.88, far lower ones of weighted sets: as many links as by brute force."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(20):
+        lines = [" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(10)]
+        rows += [(2 * g, " ".join(lines + lines[:5] * 60)), (2 * g + 1, " ".join(lines + lines[5:] * 60))]
+    want = brute_force(rows)
+    assert sum(want[i] != i for i in want) >= 15
+    df = documents(rows)
+    found = neardup.near_duplicates(df)
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == want
+    assert neardup.recall(df, found) == 1.0
+
+
+def test_recall_tells_lost_links(documents):
+    rows = corpus(4)
+    df = documents(rows)
+    lost = df.selectExpr("doc_id", "doc_id as class_id", "true as kept")
+    assert neardup.recall(df, neardup.near_duplicates(df)) == 1.0 and neardup.recall(df, lost) == 0.0
+
+
+def test_different_texts_of_one_id_are_not_lost(documents):
+    a, b, c = "one two three four five six seven", "red green blue black white grey pink", "up down left right north south east"
+    docs = documents([(1, a), (5, a), (5, b), (5, b), (7, c), (1, c), (None, a)])
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in neardup.deduplicate(docs).collect())
+    assert got == sorted([(1, a), (5, b), (1, c), (-1, a)])
+
+
+def test_a_hub_with_many_rays_is_compared_in_parts(documents, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    import kinetable.llm.common as common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "EDGES", 10)
+    rng = random.Random(3)
+    base = [rng.choice(WORDS) for _ in range(200)]
+    rows = [(i, " ".join(base[:100] + [rng.choice(WORDS)] + base[101:])) for i in range(60)] + [(100 + i, " ".join(rng.choice(WORDS) for _ in range(30))) for i in range(20)]
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(rows)).collect()} == brute_force(rows)
