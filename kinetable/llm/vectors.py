@@ -7,9 +7,10 @@ twice at most.  After the rounds, recall is audited against brute force over a b
 too low, more orders and rounds follow.  Edges at the threshold are kept and make components.
 
 A list takes no more than K vectors of a group and ends at 4 K, so links of vectors that have K or more can be crowded
-out of it.  All such vectors are in components of more than K; these are cut into blocks, and two blocks of different
-components are compared whole unless their centres and radii say that no link can be between them.  Within each
-component all pairs are then compared in blocks, so that links are counted whole however many a vector has.  The counts
+out of it.  All such vectors are in components of more than K; these are cut into blocks of near vectors, each with a
+centre and the largest angle from it.  By the triangle inequality the links of two blocks, of one component or of two,
+may be all of them, none, or unsure; unsure ones are compared whole, of the others only numbers are added up.  So
+links are counted whole however many a vector has, and a dense group costs little more than its vectors.  The counts
 are audited against brute force, without a cap; where too many links are missing, all pairs are compared.
 
 Vectors of different lengths don't link.  Each length with many vectors has a graph of its own; the others, with up to
@@ -40,8 +41,10 @@ ROUNDS, MORE = 3, 3
 MOST = 48
 #: Rounds end when fewer than this share of the entries are new; queries of the audit; recall that ends the search.
 STILL, AUDIT, RECALL = 0.002, 500, 0.98
-#: Vectors of a block in the final count; blocks whose centres are compared at once.
-BLOCK, BALLS = 128, 1024
+#: Vectors of a block in the final count; blocks whose centres are compared at once; bits that tell which vectors are near.
+BLOCK, BALLS, CELL_BITS = 256, 1024, 16
+#: What angles may be off by.
+SLACK = 1e-6
 #: Vectors of a length that are compared whole, if it isn't the most frequent one.
 FEW = 4096
 _log = logging.getLogger(__name__)
@@ -58,6 +61,14 @@ PAIRS = "v bigint, u bigint, cos double"
 _PAIRS = ["v", "u", "cos"]
 
 
+def hyperplane_code(x: np.ndarray, seed: int, bits: int) -> np.ndarray:
+    """On which sides of random hyperplanes vectors lie."""
+    code = np.zeros(len(x), np.int64)
+    for bit in (x @ np.random.default_rng(seed).normal(size=(bits, x.shape[1])).T > 0).T:
+        code = code * 2 + bit
+    return code
+
+
 def _ordered(vectors: DataFrame, seeds: list[int]) -> DataFrame:
     """Pairs of vectors that are near in an order by random hyperplanes, the nearest K of each; one shuffle for all orders."""
 
@@ -65,9 +76,7 @@ def _ordered(vectors: DataFrame, seeds: list[int]) -> DataFrame:
         for batch in batches:
             x = matrix(batch.column(1))
             for seed in seeds if len(x) else ():
-                code = np.zeros(len(x), np.int64)
-                for bit in (x @ np.random.default_rng(seed).normal(size=(BITS, x.shape[1])).T > 0).T:
-                    code = code * 2 + bit
+                code = hyperplane_code(x, seed, BITS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), seed, np.int32)), pa.array(code), *batch.columns], names=["seed", "code", "v", "vector"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +132,12 @@ def refined(lists: DataFrame, vectors: DataFrame, k: int, least: float, seed: in
     many = both.groupBy("c").agg(F.count("*").alias("n"))
     crowded = stored(many.filter(F.col("n") > MOST), "crowded")
     if not crowded.isEmpty():
-        both = salted_join(both, crowded, "c").withColumnRenamed("n", "nc")
-        both = salted_join(both, crowded.withColumnsRenamed({"c": "m", "n": "nm"}), "m")
+        both = salted_join(both, crowded, "c", "left", crowded).withColumnRenamed("n", "nc")
+        both = salted_join(both, crowded.withColumnsRenamed({"c": "m", "n": "nm"}), "m", "left", crowded.withColumnRenamed("c", "m"))
         most = F.greatest(F.coalesce("nc", F.lit(1)), F.coalesce("nm", F.lit(1)))
         both = both.filter(F.pmod(F.xxhash64(F.least("c", "m"), F.greatest("c", "m"), F.lit(seed)), most) < MOST).select("c", "m", "fresh")
-    sent = salted_join(both, vectors.join(bounds, "v", "left").select(F.col("v").alias("m"), "vector", F.coalesce("bound", F.lit(-2.0)).alias("bound")), "m", "inner", 2)
+    # No vector is here more than a few times MOST.
+    sent = both.join(vectors.join(bounds, "v", "left").select(F.col("v").alias("m"), "vector", F.coalesce("bound", F.lit(-2.0)).alias("bound")), "m")
     met = by_group(sent.select("c", "m", "vector", "fresh", "bound"), "c", _joined, PAIRS)
     old = lists.select("v", "u", "cos", F.lit(False).alias("fresh"))
     return stored(shortlist(old.union(met.withColumn("fresh", F.lit(True))), k, least), "lists")
@@ -203,17 +213,6 @@ def _linked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b, linked
 
 
-def _counts(group: pa.Table) -> list[pa.RecordBatch]:
-    """Links within a pair of blocks: of side 0 with side 1, both ways; of a block with itself."""
-    ids, weight = group.column("v").to_numpy(), group.column("copies").to_numpy()
-    a, b, linked = _linked(group)
-    if b is a:
-        out, n = ids[a], linked @ weight[b]
-    else:
-        out, n = np.concatenate([ids[a], ids[b]]), np.concatenate([linked @ weight[b], linked.T @ weight[a]])
-    return [pa.RecordBatch.from_arrays([pa.array(out), pa.array(n.astype(np.int64))], names=["v", "n"])]
-
-
 def _edges(a: np.ndarray, b: np.ndarray) -> list[pa.RecordBatch]:
     return [pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])] if len(a) else []
 
@@ -230,35 +229,54 @@ def _spanned(group: pa.Table) -> list[pa.RecordBatch]:
     return _edges(ids[root != ids], root[root != ids])
 
 
-def _bridged(group: pa.Table) -> list[pa.RecordBatch]:
-    """One edge for each two labels that have a link between a pair of blocks."""
-    label = group.column("label").to_numpy()
+def _compared(group: pa.Table) -> list[pa.RecordBatch]:
+    """Of a pair of blocks, or a block with itself: (v, n) links of each vector, and (v, u) one edge for each two labels with a link."""
+    ids, weight, label = (group.column(c).to_numpy() for c in ("v", "copies", "label"))
     a, b, linked = _linked(group)
+    out, n = ids[a], linked @ weight[b]
+    if b is not a:
+        out, n = np.concatenate([out, ids[b]]), np.concatenate([n, linked.T @ weight[a]])
     x, y = np.nonzero(linked & (label[a][:, None] != label[b][None, :]))
     found = np.unique(np.sort(np.stack([label[a[x]], label[b[y]]], 1), 1), axis=0)
-    return _edges(found[:, 0], found[:, 1])
+    n, none = pa.array(n.astype(np.int64)), pa.nulls(len(out), pa.int64())
+    counts = pa.RecordBatch.from_arrays([pa.array(out), none, n], names=["v", "u", "n"])
+    return [counts, pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64())], names=["v", "u", "n"])]
+
+
+BALL = "block bigint, label bigint, length int, vector array<double>, radius double, copies bigint"
+_BALL = [x.split()[0] for x in BALL.split(", ")]
 
 
 def _ball(group: pa.Table) -> list[pa.RecordBatch]:
-    """The centre of a block and the largest angle from it."""
+    """The centre of a block, the largest angle from it, and its vectors with their repeats."""
     x = matrix(group.column("vector").combine_chunks())
     centre = x.sum(0)
     size = np.sqrt(centre @ centre)
     centre = centre / size if size > 0 else x[0]
     radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
-    return [pa.RecordBatch.from_arrays([*(group.column(c).slice(0, 1).combine_chunks() for c in ("block", "label")), pa.array([centre.tolist()]), pa.array([radius])], names=["block", "label", "vector", "radius"])]
+    own = [group.column(c).slice(0, 1).combine_chunks() for c in _BALL[:3]]
+    return [pa.RecordBatch.from_arrays([*own, pa.array([centre.tolist()]), pa.array([radius]), pa.array([int(group.column("copies").to_numpy().sum())])], names=_BALL)]
+
+
+NEAR = "a bigint, b bigint, label_a bigint, label_b bigint, copies_a bigint, copies_b bigint, all boolean"
+_NEAR = [x.split()[0] for x in NEAR.split(", ")]
 
 
 def _near_balls(group: pa.Table) -> list[pa.RecordBatch]:
-    """Pairs of blocks of different labels that a link can be between."""
-    block, label, radius = (group.column(c).to_numpy() for c in ("block", "label", "radius"))
+    """Pairs of blocks (each with itself too) that a link can be between, and whether all links are there."""
+    block, label, radius, copies = (group.column(c).to_numpy() for c in ("block", "label", "radius", "copies"))
     x, side = matrix(group.column("vector").combine_chunks()), group.column("side").to_numpy()
     a = np.flatnonzero(side == 0)
     b = np.flatnonzero(side == 1) if (side == 1).any() else a
-    reach = np.arccos(group.column("least")[0].as_py()) + radius[a][:, None] + radius[b][None, :] + 1e-6
-    near = (np.arccos(np.clip(x[a] @ x[b].T, -1, 1)) <= reach) & (label[a][:, None] != label[b][None, :])
+    apart, most = np.arccos(np.clip(x[a] @ x[b].T, -1, 1)), np.arccos(group.column("least")[0].as_py())
+    if b is a:
+        np.fill_diagonal(apart, 0)
+    reach = radius[a][:, None] + radius[b][None, :] + SLACK
+    near = apart <= most + reach
     i, j = np.nonzero(np.triu(near) if b is a else near)
-    return _edges(block[a[i]], block[b[j]])
+    whole = (apart + reach <= most)[i, j]
+    p, q = a[i], b[j]
+    return [pa.RecordBatch.from_arrays([pa.array(c) for c in (block[p], block[q], label[p], label[q], copies[p], copies[q], whole)], names=_NEAR)]
 
 
 def _in_pairs(rows: DataFrame, key: str, number: str, least: float) -> DataFrame:
@@ -268,15 +286,6 @@ def _in_pairs(rows: DataFrame, key: str, number: str, least: float) -> DataFrame
     return own.select(pair.alias("c"), *[c for c in rows.columns if c != "k"], F.when(F.col("at") <= F.col("other"), 0).otherwise(1).alias("side"), F.lit(float(least)).alias("least"))
 
 
-def counted_links(vectors: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """(v, n): links of each vector with others of its component, each as often as it is repeated."""
-    size = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    own = vectors.join(labels.withColumnRenamed("node", "v"), "v")
-    own = salted_join(own, size, "label", "inner").select("label", "k", "v", "vector", "copies")
-    rows = _in_pairs(own, "label", "v", least).drop("label")
-    return by_group(rows, "c", _counts, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
-
-
 def all_links(vectors: DataFrame, least: float) -> DataFrame:
     """(a, b): edges that join what the links of all pairs of one length join."""
     size = vectors.groupBy("length").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
@@ -284,20 +293,62 @@ def all_links(vectors: DataFrame, least: float) -> DataFrame:
     return stored(by_group(_in_pairs(own, "length", "v", least).drop("length"), "c", _spanned, "a bigint, b bigint").distinct(), "edges")
 
 
-def bridges(vectors: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """(a, b): an edge for each two components of more than K vectors that have a link; exact, in blocks that can hold one."""
-    size = labels.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > K)
-    own = salted_join(vectors.join(labels.withColumnRenamed("node", "v"), "v"), size, "label", "inner")
-    block = F.xxhash64("label", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / BLOCK)))
-    own = stored(own.select(block.alias("block"), "label", "length", "vector"), "dense")
-    lengths = own.groupBy("block").agg(F.first("length").alias("length"))
-    balls = by_group(own.drop("length"), "block", _ball, "block bigint, label bigint, vector array<double>, radius double")
-    balls = stored(balls.join(lengths, "block"), "balls")
+def in_blocks(dense: DataFrame) -> DataFrame:
+    """(block, label, length, v, vector, copies) of (label, n, length, v, vector, copies): up to BLOCK vectors or so of one
+    label, near ones where there are more; ``n`` are the label's vectors."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, vectors = batch.column("length").to_numpy(), batch.column("vector")
+            code = np.zeros(batch.num_rows, np.int64)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                code[at] = hyperplane_code(matrix(vectors.take(pa.array(at))), 0, CELL_BITS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=[*batch.schema.names, "code"])
+
+    rows = dense.mapInArrow(coded, ", ".join([*(f"{c} {t}" for c, t in dense.dtypes), "code bigint"]))
+    bits = F.when(F.col("n") > BLOCK, F.least(F.lit(CELL_BITS), F.ceil(F.log2(F.col("n") / BLOCK)) + 1)).otherwise(0)
+    rows = stored(rows.withColumn("cell", F.xxhash64("label", F.floor(F.col("code") / F.pow(F.lit(2.0), CELL_BITS - bits)))), "cells")
+    cells = stored(rows.groupBy("cell").agg(F.count("*").alias("own")), "cell_sizes")
+    rows = salted_join(rows, cells, "cell", "inner", cells.withColumnRenamed("own", "n"))
+    block = F.xxhash64("cell", F.pmod(F.xxhash64("v"), F.ceil(F.col("own") / BLOCK)))
+    return rows.select(block.alias("block"), "label", "length", "v", "vector", "copies")
+
+
+def counted_links(vectors: DataFrame, labels: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(v, n): links of each vector with others of its component, and of other large ones, each as often as it is repeated;
+    (a, b): an edge for each two large components that have a link."""
+    size = stored(labels.groupBy("label").agg(F.count("*").alias("n")), "sizes")
+    own = vectors.join(labels.withColumnRenamed("node", "v"), "v")
+    own = stored(salted_join(own, size, "label", "inner", size).select("label", "n", "length", "v", "vector", F.col("copies").cast("long").alias("copies")), "labelled")
+    sided = [F.lit(float(least)).alias("least")]
+    few = own.filter(F.col("n") <= K).select(F.col("label").alias("c"), "label", "v", "vector", "copies", F.lit(0).alias("side"), *sided)
+    met = by_group(few, "c", _compared, "v bigint, u bigint, n bigint")
+    dense = stored(in_blocks(own.filter(F.col("n") > K)), "dense")
+    balls = stored(by_group(dense.drop("v"), "block", _ball, BALL), "balls")
     k = F.lit(max(1, -(-balls.count() // BALLS)))
-    pairs = by_group(_in_pairs(balls.withColumn("k", k), "length", "block", least).drop("length"), "c", _near_balls, "a bigint, b bigint")
-    pairs = stored(pairs.select(F.xxhash64("a", "b").alias("c"), F.explode(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))).alias("s")).select("c", "s.*"), "pairs")
-    rows = own.join(pairs, "block").select("c", "label", "vector", "side", F.lit(float(least)).alias("least"))
-    return stored(by_group(rows, "c", _bridged, "a bigint, b bigint").distinct(), "edges")
+    pairs = stored(by_group(_in_pairs(balls.withColumn("k", k), "length", "block", least).drop("length"), "c", _near_balls, NEAR), "pairs")
+    # What is sure is added up block by block.
+    sure = pairs.filter("all")
+    sums = sure.select(F.col("a").alias("block"), F.col("copies_b").alias("n"), (F.col("a") == F.col("b")).alias("itself"))
+    sums = sums.union(sure.filter("a <> b").select("b", "copies_a", F.lit(False)))
+    sums = sums.groupBy("block").agg(F.sum("n").alias("n"), F.bool_or("itself").alias("itself"))
+    added = dense.select("block", "v", "copies").join(sums, "block").select("v", F.lit(None).cast("long").alias("u"), (F.col("n") - F.when(F.col("itself"), F.col("copies")).otherwise(0)).alias("n"))
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))
+    unsure = pairs.filter("not all").select(F.xxhash64("a", "b").alias("c"), F.explode(sides).alias("s")).select("c", "s.*")
+    rows = dense.join(unsure, "block").select("c", "label", "v", "vector", "copies", "side", *sided)
+    met = stored(met.union(added).union(by_group(rows, "c", _compared, "v bigint, u bigint, n bigint")), "met")
+    edges = met.filter("u is not null").select(F.col("v").alias("a"), F.col("u").alias("b"))
+    edges = edges.union(sure.filter("label_a <> label_b").select(F.least("label_a", "label_b"), F.greatest("label_a", "label_b"))).distinct()
+    return stored(met.filter("u is null").groupBy("v").agg(F.sum("n").alias("n")), "counts"), stored(edges, "edges")
+
+
+def every_count(vectors: DataFrame, least: float) -> DataFrame:
+    """(v, n) by all pairs of one length."""
+    size = vectors.groupBy("length").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    own = vectors.join(F.broadcast(size), "length").select("length", "k", "v", "vector", F.col("copies").cast("long").alias("copies"), F.lit(0).cast("long").alias("label"))
+    found = by_group(_in_pairs(own, "length", "v", least).drop("length"), "c", _compared, "v bigint, u bigint, n bigint")
+    return found.groupBy("v").agg(F.sum("n").alias("n"))
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
@@ -319,19 +370,19 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
         edges = edges.union(graph.filter(F.col("cos") >= least).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct())
     edges = stored(edges, "links")
     labels = components(edges)
-    more = bridges(nodes, labels, least)
+    n, more = counted_links(nodes, labels, least)
     if not more.isEmpty():
         edges = edges.union(more)
         labels = components(edges)
-    n = stored(counted_links(nodes, labels, least), "counts")
     low = []
     for length in long:
         recall = recall_of(n, nodes.filter(F.col("length") == length), least)
         _log.info("recall of the counted links of length %d: %.4f", length, recall)
         low += [length] * (recall < RECALL)
     if low:
-        labels = components(edges.union(all_links(nodes.filter(F.col("length").isin(low)), least)))
-        n = counted_links(nodes, labels, least)
+        of_low = nodes.filter(F.col("length").isin(low))
+        labels = components(edges.union(all_links(of_low, least)))
+        n = n.join(of_low, "v", "left_anti").union(stored(every_count(of_low, least), "counts"))
     found = distinct.select("key", "v", "copies").join(labels.withColumnRenamed("node", "v"), "v", "left").join(n, "v", "left")
     found = found.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("label", "v").alias("component_id"))
     out = salted_join(keyed.select("vec_id", "key"), found, "key")

@@ -6,7 +6,7 @@ from kinetable.llm import vectors
 
 def brute_force(rows, least=0.95):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    good = [(i, v / np.linalg.norm(v)) for i, v in good if len(v) == 16]
+    good = [(i, v / np.linalg.norm(v)) for i, v in good]
     n, parent = {i: 0 for i, _ in rows}, {i: i for i, _ in rows}
 
     def find(x):
@@ -16,7 +16,7 @@ def brute_force(rows, least=0.95):
 
     for a in range(len(good)):
         for b in range(a):
-            if good[a][1] @ good[b][1] >= least:
+            if len(good[a][1]) == len(good[b][1]) and good[a][1] @ good[b][1] >= least:
                 n[good[a][0]] += 1
                 n[good[b][0]] += 1
                 p, q = find(good[a][0]), find(good[b][0])
@@ -34,12 +34,13 @@ def rows():
         for _ in range((1, 2, 3, 120)[g % 4] if g < 8 else 3):
             out.append((n, (base + rng.normal(size=16) * rng.choice((0.0, 0.05, 0.2))).astype(np.float32).tolist()))
             n += 1
-    out += [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0] * 5), (1004, [None] * 16), (1005, out[0][1]), (1006, [2 * x for x in out[0][1]])]
+    out += [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0] * 5), (1004, [None] * 16), (1005, out[0][1]), (1006, [2 * x for x in out[0][1]]), (1007, [1.0, 1.0, 0.0, 0.0, 0.0]), (1008, [1.0, 0.1, 0.0, 0.0, 0.1]), (1009, [1.0, 2.0])]
     return out
 
 
-def test_links_and_components_against_brute_force(spark, rows, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 50)
+@pytest.mark.parametrize("block", [7, 50])
+def test_links_and_components_against_brute_force(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as label", "2 as v", "'k' as key")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
     want = brute_force(rows)
@@ -85,3 +86,24 @@ def test_each_length_is_a_set_of_its_own(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(df).collect()}
     assert got == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), 10: (1, 10, True), 11: (1, 10, False), 20: (0, 20, True), 21: (0, 21, True)}
+
+
+def test_tight_groups_are_counted_without_comparing(spark, monkeypatch):
+    """Copies that lie within half the angle of a link: blocks of them are sure, no pair of theirs is compared."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 32))
+    x = np.concatenate([b + rng.normal(size=(90, 32)) * 0.02 for b in base] + [rng.normal(size=(40, 32))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pairs = []
+    monkeypatch.setattr(vectors, "stored", lambda df, name, f=vectors.stored: pairs.append(f(df, name)) or pairs[-1] if name == "pairs" else f(df, name))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
+    assert got == brute_force([(i, v.tolist()) for i, v in enumerate(x)])
+    assert pairs[0].filter("all").count() > 0 and pairs[0].filter("not all").count() == 0
+
+
+def test_low_recall_leads_to_all_pairs(spark, rows, monkeypatch):
+    monkeypatch.setattr(vectors, "recall_of", lambda *a: 0.5)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()} == brute_force(rows)
