@@ -1,20 +1,30 @@
 """Main text of web pages by wrapper induction.
 
 Every page is parsed into a tree and summed up in a guide: one node for each path of tags and classes, with hashes of
-the texts that stand there.  The guide of a host's first page is its reference; the guides of all its other pages are
-aligned with it by simple tree matching (the largest set of pairs that keeps ancestors, order and tags).  Texts that
-stand at the same place of nearly all pages are the host's template; the place that most pages' own reading takes for
-the article is its slot.  A page then gives the blocks of its slot that aren't template.  Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are known by their elements and class names.
-
-Copies of a page count once for the template, pages without text not at all, and hosts with fewer than ``PAGES`` different pages have none, nor do
-pages without a host: these are read on their own.  A null html gives an empty text; a null url has no host; repeated
-rows give repeated results, an empty table none.  Nothing is cut, however long a page is.
+the texts that stand there.  Pages of a host whose guides have the same containers share a layout.  The guide of a
+layout's first page is its reference; the guides of all its other pages are aligned with it by simple tree matching:
+the heaviest set of pairs of nodes that keeps ancestors and order.  Two children may be a pair if tag and name are
+equal, or if neither has its name on the other side and they are the same one of that tag among such.  Texts that
+stand at the same place of nearly all pages which have that place are the layout's template; the place that most
+pages' own reading takes for the article is its slot.  A page then gives the blocks of its slot that aren't template.
+Layouts of fewer than ``PAGES`` different pages use the wrapper of their whole host, made in the same way; a page
+that aligns with its reference in less than ``ALIGNED`` of its nodes uses its own slot.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by their
+elements and class names.  An element with such a class name that holds an article or main element counts as any other,
+and a page that has no text but under such names is read by its elements alone.
+
+Copies of a page count once for the template, pages without text not at all, and hosts with fewer than ``PAGES``
+different pages have none, nor do pages without a host: these are read on their own.  A null html gives an empty text; a
+null url has no host; repeated rows give repeated results, an empty table none.  Nothing is cut, however long or deep a
+page is: time and memory grow with its nodes.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
+import pickle
 import re
 from dataclasses import dataclass, field
 
@@ -27,6 +37,10 @@ from kinetable.llm.common import map_texts, salted_join, stored
 
 #: Different pages from which a host has a template; the share of them that hold a text of it, or agree on a slot.
 PAGES, TEMPLATE, SLOT = 4, 0.9, 0.5
+#: The share of a page's nodes that have a partner in a reference that it trusts.
+ALIGNED = 0.5
+#: Levels of named containers that make a layout.
+LEVELS = 4
 #: The share of the text that leads from a container to one of its parts, where no element says what the article is.
 DESCENT = 0.7
 #: Bytes of all wrappers together that are broadcast; beyond that pages are joined with them by shuffle.
@@ -47,9 +61,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: A start tag of these closes an open one of the same set, up to the container after the colon.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NUMBER = re.compile(r"(?=[0-9a-f-]*[0-9])[0-9a-f]{6,}|[0-9]+")
+MAIN = frozenset(("article", "main"))
+#: Tags that hold others, whose names make a layout.
+CONTAINERS = frozenset("body div main article section header center table".split())
 
 
 @dataclass(eq=False)
@@ -57,14 +75,15 @@ class Node:
     tag: str
     name: str = ""
     noise: bool = False
+    named: bool = False  # noise by its name alone
     parent: Node | None = None
     children: list = field(default_factory=list)
     guide: int = -1
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """The class (or id) of an element, and whether it says that this is not the article."""
-    name, noise = "", tag in SKIPPED
+def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The class (or id) of an element, its numbers as #, whether it is no part of the article, and whether its name alone says so."""
+    name, noise, named = "", tag in SKIPPED, False
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -72,8 +91,8 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
                 noise = True
             elif key in ("class", "id"):
                 name = name or value
-                noise = noise or not NOISE.isdisjoint(x.lower() for x in _NAME_PARTS.findall(value))
-    return name, noise
+                named = named or not NOISE.isdisjoint(x.lower() for x in _NAME_PARTS.findall(value))
+    return _NUMBER.sub("#", name), noise or named, named and not noise
 
 
 def parse(html: str) -> Node:
@@ -123,8 +142,17 @@ def parse(html: str) -> Node:
             close(*_CLOSES[tag])
         if tag == "body":
             close({"head"}, set())
-        name, noise = _named(tag, m[3])
-        node = Node(tag, name, noise, here)
+        name, noise, named = _named(tag, m[3])
+        node = Node(tag, name, noise, named, here)
+        if tag in MAIN:
+            up = here
+            while up is not None and not up.named:
+                up = up.parent
+            # The outermost of such names too: each is looked at once, as it is one no more.
+            while up is not None:
+                if up.named:
+                    up.named = up.noise = False
+                up = up.parent
         here.children.append(node)
         if tag in RAW and not m[3].rstrip().endswith("/"):
             here, raw = node, tag
@@ -269,54 +297,112 @@ def own_slot(g: Guide, own: list[Block]) -> int:
     return here
 
 
+def _options(a: Guide, b: Guide, x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """The pairs (place in x, place in y) of children that may be partners, in order."""
+    there = {(b.tag[j], b.name[j]): q for q, j in enumerate(y)}
+    held = {(a.tag[i], a.name[i]) for i in x}
+    free: dict[str, list[int]] = {}
+    for q, j in enumerate(y):
+        if (b.tag[j], b.name[j]) not in held:
+            free.setdefault(b.tag[j], []).append(q)
+    out, taken = [], dict.fromkeys(free, 0)
+    for p, i in enumerate(x):
+        tag = a.tag[i]
+        if (q := there.get((tag, a.name[i]))) is not None:
+            out.append((p, q))
+        elif taken.get(tag, 0) < len(free.get(tag, ())):
+            out.append((p, free[tag][taken[tag]]))
+            taken[tag] += 1
+    return out
+
+
+def _heaviest(pairs: list[tuple[int, int]], weights: list[float]) -> tuple[float, list[tuple[int, int]]]:
+    """Of pairs, of which none shares a place with another, the heaviest part that doesn't cross."""
+    # Ends q with the weight up to there, both increasing; beside each its pair and the one before.
+    ends: list[int] = []
+    best: list[tuple[float, int]] = []
+    before: list[int] = []
+    for n, (_, q) in enumerate(pairs):
+        at = bisect.bisect_left(ends, q)
+        total = weights[n] + (best[at - 1][0] if at else 0.0)
+        before.append(best[at - 1][1] if at else -1)
+        stop = at
+        while stop < len(ends) and best[stop][0] <= total:
+            stop += 1
+        ends[at:stop], best[at:stop] = [q], [(total, n)]
+    if not best:
+        return 0.0, []
+    out, n = [], best[-1][1]
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return best[-1][0], out
+
+
 def aligned(a: Guide, b: Guide) -> dict[int, int]:
-    """Simple tree matching: the pairs (node of a, node of b) of the largest match from the roots down."""
+    """Simple tree matching: the pairs (node of a, node of b) of the heaviest match from the roots down."""
+    if a.tag[0] != b.tag[0]:
+        return {}
     ca, cb = a.children, b.children
-    tables: dict[tuple[int, int], tuple[float, list[list[float]]]] = {}
-
-    def weight(i: int, j: int) -> float:
-        if a.tag[i] != b.tag[j]:
-            return 0.0
-        if (i, j) not in tables:
-            x, y = ca[i], cb[j]
-            m = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for p in range(1, len(x) + 1):
-                for q in range(1, len(y) + 1):
-                    w = weight(x[p - 1], y[q - 1])
-                    m[p][q] = max(m[p - 1][q], m[p][q - 1], m[p - 1][q - 1] + w)
-            # Of equal matches that with equal names is preferred.
-            tables[i, j] = (1.0 + 0.1 * (a.name[i] == b.name[j]) + m[-1][-1], m)
-        return tables[i, j][0]
-
-    out: dict[int, int] = {}
-    if not weight(0, 0):
-        return out
-    stack = [(0, 0)]
+    # Each node of a has one possible partner for each of its parent's; parents have one, so all pairs are few.
+    met, stack = [], [(0, 0)]
+    options: dict[int, list[tuple[int, int]]] = {}
+    while stack:
+        i, j = stack.pop()
+        met.append((i, j))
+        options[i] = _options(a, b, ca[i], cb[j])
+        stack += [(ca[i][p], cb[j][q]) for p, q in options[i]]
+    weight: dict[int, float] = {}
+    chosen: dict[int, list[tuple[int, int]]] = {}
+    for i, j in reversed(met):  # children come after their parents
+        total, chosen[i] = _heaviest(options[i], [weight[ca[i][p]] for p, _ in options[i]])
+        weight[i] = 1.0 + (a.name[i] == b.name[j]) + total
+    out, stack = {}, [(0, 0)]
     while stack:
         i, j = stack.pop()
         out[i] = j
-        m, x, y = tables[i, j][1], ca[i], cb[j]
-        p, q = len(x), len(y)
-        while p and q:
-            if m[p][q] == m[p - 1][q]:
-                p -= 1
-            elif m[p][q] == m[p][q - 1]:
-                q -= 1
-            else:
-                stack.append((x[p - 1], y[q - 1]))
-                p, q = p - 1, q - 1
+        stack += [(ca[i][p], cb[j][q]) for p, q in chosen[i]]
     return out
 
 
+def layout_of(g: Guide) -> int:
+    """A hash of the named containers of the upper levels."""
+    depth, paths = [0] * len(g.parent), [""] * len(g.parent)
+    held = []
+    for i in range(1, len(g.parent)):
+        up = g.parent[i]
+        depth[i] = depth[up] + 1
+        if depth[i] <= LEVELS and g.tag[i] in CONTAINERS:
+            paths[i] = f"{paths[up]}/{g.tag[i]}.{g.name[i]}"
+            if g.name[i] or g.tag[i] in MAIN:
+                held.append(paths[i])
+    return text_hash("|".join(sorted(held)))
+
+
 def read_page(html: str | None) -> tuple[Guide, list[Block]]:
     top = parse(html or "")
     own = blocks(top)
+    if not own and _unnamed(top):
+        own = blocks(top)
     return guide_of(top, own), own
 
 
+def _unnamed(top: Node) -> bool:
+    """Elements that only their names tell from the article count as any other; whether there are any."""
+    found, stack = False, [top]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, Node):
+                if child.named:
+                    child.named = child.noise = False
+                    found = True
+                stack.append(child)
+    return found
+
+
 @dataclass
 class Wrapper:
-    """A host's reference guide, its slot (-1: none), and the template: (node, hash)."""
+    """A layout's reference guide, its slot (-1: none), and the template: (node, hash)."""
 
     guide: Guide
     slot: int
@@ -324,29 +410,31 @@ class Wrapper:
 
 
 def main_text(html: str | None, wrapper: Wrapper | None = None) -> str:
-    g, own = read_page(html)
+    return text_of(*read_page(html), wrapper)
+
+
+def text_of(g: Guide, own: list[Block], wrapper: Wrapper | None = None) -> str:
     to = aligned(g, wrapper.guide) if wrapper else {}
-    roots = [i for i, j in to.items() if j == wrapper.slot] if wrapper else []
+    trusted = len(to) >= ALIGNED * len(g.parent)
+    roots = {i for i, j in to.items() if j == wrapper.slot} if wrapper and trusted else set()
 
-    def within(roots: list[int]) -> list[str]:
+    def within(roots: set[int]) -> list[str]:
         inside = np.zeros(len(g.parent), bool)
         for i in range(len(g.parent)):
             inside[i] = i in roots or (i > 0 and inside[g.parent[i]])
         template = wrapper.template if wrapper else ()
         return [b.text for b in own if inside[b.node.guide] and (to.get(b.node.guide), text_hash(b.text)) not in template]
 
-    return "\n".join((roots and within(roots)) or within([g.slot]))
-
-
-GUIDE = "struct<parent:array<int>,tag:array<string>,name:array<string>,hashes:array<array<bigint>>,slot:int>"
+    return "\n".join((roots and within(roots)) or within({g.slot}))
 
 
-def _packed(g: Guide) -> dict:
-    return {"parent": g.parent, "tag": g.tag, "name": g.name, "hashes": g.hashes, "slot": g.slot}
+def _packed(g: Guide) -> bytes:
+    return pickle.dumps((g.parent, g.tag, g.name, g.hashes, g.slot))
 
 
-def _unpacked(g: dict) -> Guide:
-    return Guide(list(g["parent"]), list(g["tag"]), list(g["name"]), [list(x) for x in g["hashes"]], [], g["slot"])
+def _unpacked(packed: bytes) -> Guide:
+    parent, tag, name, hashes, slot = pickle.loads(packed)
+    return Guide(parent, tag, name, hashes, [], slot)
 
 
 def host(url: Column) -> Column:
@@ -354,67 +442,79 @@ def host(url: Column) -> Column:
 
 
 def induced(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from (host, html): the hosts that have enough different pages."""
+    """(host, wrappers) from (host, html): those of its layouts, and of itself (layout 0), that have enough different pages."""
 
-    def guides(texts: list) -> tuple[list, list]:
+    def guides(texts: list) -> tuple[list, list, list]:
         own = [read_page(t)[0] for t in texts]
-        return [_packed(g) for g in own], [text_hash(str(g.hashes)) if any(g.hashes) else None for g in own]
-
-    rows = map_texts(pages.filter(F.col("host") != ""), ["host"], f"guide {GUIDE}, content bigint", guides, "html")
-    rows = stored(rows.filter("content is not null").groupBy("host", "content").agg(F.any_value("guide").alias("guide")), "guides")
-    hosts = rows.groupBy("host").agg(F.min_by("guide", "content").alias("reference"), F.count("*").alias("pages")).filter(F.col("pages") >= PAGES)
-    hosts = stored(hosts, "references")
-
-    def compared(pairs: list) -> tuple[list, list]:
-        slots, equal = [], []
+        return [_packed(g) for g in own], [text_hash(str(g.hashes)) if any(g.hashes) else None for g in own], [layout_of(g) for g in own]
+
+    rows = map_texts(pages.filter(F.col("host") != ""), ["host"], "guide binary, content bigint, layout bigint", guides, "html")
+    rows = rows.filter("content is not null").groupBy("host", "layout", "content").agg(F.any_value("guide").alias("guide"))
+    rows = stored(rows, "guides")
+    every = rows.withColumn("layout", F.explode(F.array("layout", F.lit(0).cast("long")))).withColumn("group", F.xxhash64("host", "layout"))
+    groups = every.groupBy("group").agg(F.first("host").alias("host"), F.first("layout").alias("layout"), F.min_by("guide", "content").alias("reference"), F.count("*").alias("n"))
+    groups = stored(groups.filter(F.col("n") >= PAGES), "references")
+
+    def compared(pairs: list) -> tuple[list, list, list]:
+        slots, places, equal = [], [], []
+        known: dict[bytes, Guide] = {}
         for pair in pairs:
-            g, reference = _unpacked(pair["guide"]), _reference(pair["reference"])
+            g, packed = _unpacked(pair["guide"]), pair["reference"]
+            if packed not in known:
+                known[packed] = _unpacked(packed)
+            reference = known[packed]
             to = aligned(g, reference)
             slots.append(to.get(g.slot, -1))
+            places.append(sorted(j for j in to.values() if reference.hashes[j]))
             equal.append([{"node": j, "hash": h} for i, j in to.items() for h in {*g.hashes[i]} & {*reference.hashes[j]}])
-        return slots, equal
+        return slots, places, equal
 
-    both = salted_join(rows.select("host", "guide"), hosts.select("host", "reference"), "host", "inner")
-    found = map_texts(both.select("host", F.struct("guide", "reference").alias("pair")), ["host"], "slot int, equal array<struct<node:int,hash:bigint>>", compared, "pair")
+    both = salted_join(every.select("group", "guide"), groups.select("group", "reference"), "group", "inner", groups.select("group", "n"))
+    fields = "slot int, places array<int>, equal array<struct<node:int,hash:bigint>>"
+    found = map_texts(both.select("group", F.struct("guide", "reference").alias("pair")), ["group"], fields, compared, "pair")
     found = stored(found, "alignments")
-    template = found.select("host", F.explode("equal").alias("e")).groupBy("host", "e").agg(F.count("*").alias("n"))
-    template = template.join(hosts.select("host", "pages"), "host").filter(F.col("n") >= TEMPLATE * F.col("pages"))
-    template = template.groupBy("host").agg(F.collect_list("e").alias("template"))  # no more than the reference's texts
-    votes = found.filter("slot >= 0").groupBy("host", "slot").agg(F.count("*").alias("n"))
-    votes = votes.groupBy("host").agg(F.max_by("slot", F.struct("n", "slot")).alias("slot"), F.max("n").alias("n"))
-    out = hosts.join(votes, "host", "left").join(template, "host", "left")
-    slot = F.when(F.col("n") >= SLOT * F.col("pages"), F.col("slot")).otherwise(-1)
+    held = found.select("group", F.explode("places").alias("node")).groupBy("group", "node").agg(F.count("*").alias("pages"))
+    template = found.select("group", F.explode("equal").alias("e")).groupBy("group", "e").agg(F.count("*").alias("n"))
+    template = template.withColumn("node", F.col("e.node")).join(held, ["group", "node"]).filter((F.col("n") >= TEMPLATE * F.col("pages")) & (F.col("pages") >= PAGES))
+    template = template.groupBy("group").agg(F.collect_list("e").alias("template"))  # no more than the reference's texts
+    votes = found.filter("slot >= 0").groupBy("group", "slot").agg(F.count("*").alias("votes"))
+    votes = votes.groupBy("group").agg(F.max_by("slot", F.struct("votes", "slot")).alias("slot"), F.max("votes").alias("votes"))
+    out = groups.join(votes, "group", "left").join(template, "group", "left")
+    slot = F.when(F.col("votes") >= SLOT * F.col("n"), F.col("slot")).otherwise(-1)
     nothing = F.array().cast("array<struct<node:int,hash:bigint>>")
-    return out.select("host", F.struct("reference", slot.alias("slot"), F.coalesce("template", nothing).alias("template")).alias("wrapper"))
+    out = out.select("host", F.struct("layout", "reference", slot.alias("slot"), F.coalesce("template", nothing).alias("template")).alias("w"))
+    out = out.groupBy("host").agg(F.collect_list("w").alias("w"))  # as many as the host has layouts of enough pages
 
+    def packed(hosts: list) -> tuple[list]:
+        kept = [{w["layout"]: (w["reference"], w["slot"], [(e["node"], e["hash"]) for e in w["template"]]) for w in ws} for ws in hosts]
+        return ([pickle.dumps(x) for x in kept],)
 
-_references: dict[int, Guide] = {}
+    return map_texts(out, ["host"], "wrappers binary", packed, "w")
 
 
-def _reference(packed: dict) -> Guide:
-    """Rows of one host follow one another often: its reference is unpacked once."""
-    key = hash(str(packed))
-    if key not in _references:
-        if len(_references) > 256:
-            _references.clear()
-        _references[key] = _unpacked(packed)
-    return _references[key]
+def _wrappers(packed: bytes) -> dict[int, Wrapper]:
+    """By layout."""
+    return {k: Wrapper(_unpacked(r), slot, {*template}) for k, (r, slot, template) in pickle.loads(packed).items()}
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of (page_id, url, html)."""
     rows = pages.select("page_id", "url", "html", F.coalesce(host(F.col("url")), F.lit("")).alias("host"))
     wrappers = stored(induced(rows.select("host", "html")), "wrappers")
-    size = wrappers.agg(F.sum(F.length(F.to_json("wrapper")))).first()[0] or 0
+    size = wrappers.agg(F.sum(F.length("wrappers"))).first()[0] or 0
     joined = rows.join(F.broadcast(wrappers), "host", "left") if size <= BROADCAST_BYTES else salted_join(rows, wrappers, "host")
 
     def texts(pairs: list) -> tuple[list]:
         out = []
+        known: dict[bytes, dict[int, Wrapper]] = {}
         for pair in pairs:
-            w = pair["wrapper"]
-            w = w and Wrapper(_reference(w["reference"]), w["slot"], {(e["node"], e["hash"]) for e in w["template"]})
-            out.append(main_text(pair["html"], w))
+            g, own = read_page(pair["html"])
+            packed = pair["wrappers"]
+            if packed is not None and packed not in known:
+                known[packed] = _wrappers(packed)
+            layouts = known[packed] if packed is not None else {}
+            out.append(text_of(g, own, layouts.get(layout_of(g)) or layouts.get(0)))
         return (out,)
 
-    found = map_texts(joined.select("page_id", "url", F.struct("html", "wrapper").alias("pair")), ["page_id", "url"], "text string", texts, "pair")
+    found = map_texts(joined.select("page_id", "url", F.struct("html", "wrappers").alias("pair")), ["page_id", "url"], "text string", texts, "pair")
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -115,17 +115,58 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r["text"] for r in extract.extract(df).collect()} == {"Words of the story that all copies have in common."}
 
 
-def test_driver_pages(spark, sf_dir):
+def article_of(page):
     import html
     import re
 
+    body = page[page.index("<article>") + 9 : page.index("</article>")]
+    parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body))
+    return "\n".join(p for p in parts if p)
+
+
+def test_driver_pages(spark, sf_dir):
+    """The whole query, with wrappers, and each page alone against the text of the article element."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {r["page_id"]: article_of(r["html"]) for r in rows.collect()}
+    assert all(extract.main_text(r["html"]) == want[r["page_id"]] for r in rows.collect())
+    out = extract.extract(rows).collect()
+    assert {r["page_id"]: r["text"] for r in out} == want and all(r["n_chars"] == len(r["text"]) for r in out)
+
+
+def test_wrappers_find_the_articles_of_driver_pages_without_article_elements(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    for r in rows.collect():
-        body = r["html"][r["html"].index("<article>") + 9 : r["html"].index("</article>")]
-        parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body))
-        assert extract.main_text(r["html"]) == "\n".join(p for p in parts if p)
-    out = extract.extract(rows)
-    assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
+    plain = rows.selectExpr("page_id", "url", "replace(replace(html, '<article>', '<div class=main-story>'), '</article>', '</div>') as html")
+    want = {r["page_id"]: article_of(r["html"]) for r in rows.collect()}
+    got = {r["page_id"]: r["text"] for r in extract.extract(plain).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_layouts_of_a_host_have_wrappers_of_their_own(spark):
+    a = "<body><div class=top><p>Menu of the one kind</p></div><div class=content><p>%s</p><p>Read more of these</p></div></body>"
+    b = "<body><div class=content><p>%s</p></div><div class=links><p>Other things that we wrote about at length and with great care, year after year, in this place</p></div></body>"
+    rows, want = [], {}
+    for i in range(12):
+        want[i] = f"Story {i} of the host. " * 9
+        rows.append((i, f"https://two.example.com/{i}", (a if i % 5 < 3 else b) % want[i]))
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: t.strip() for i, t in want.items()}
+
+
+def test_long_and_deep_pages_of_one_host(spark):
+    rows = [(i, "http://big.example.com/", "<div>" * 5_000 + f"deep {i}") for i in range(5)]
+    rows += [(10 + i, "http://wide.example.com/", "<body><div class=top>Top</div><div class=text>" + "".join(f"<p id=u{i}x{chr(97 + k % 26)}{k}>par {i} {k}</p>" for k in range(20_000)) + "</div>") for i in range(5)]
+    rows += [(20 + i, "http://names.example.com/", "<body>" + "".join(f"<div class={'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100 % 6]}{'abcdefgh'[(i + k) % 8]}>item {i} {k}</div>" for k in range(3_000))) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract.extract(df).collect()}
+    assert got[3] == "deep 3" and got[12].count("\n") == 19_999 and got[22].startswith("item 2 0\nitem 2 1\n") and got[22].count("\n") == 2_999
+
+
+def test_unclosed_quotes_and_names_that_mislead():
+    assert extract.main_text('<p><a title="foo>link</a> and more</p>') == "link and more"
+    assert extract.main_text('<div><a title="a > b">x</a></div>') == "x"
+    assert extract.main_text("<body><div class=search-results><article><p>Found words</p></article></div><div class=menu>No</div></body>") == "Found words"
+    assert extract.main_text("<body><div class=social-science><p>All there is</p></div></body>") == "All there is"
+    assert extract.main_text("<body><nav>Menu</nav><div class=comments><p>First!</p></div><div class=x><p>Text</p></div></body>") == "Text"
 
 
 def test_alignment_is_a_largest_match():
@@ -134,3 +175,19 @@ def test_alignment_is_a_largest_match():
     to = extract.aligned(a, b)
     assert {(a.tag[i], a.name[i]): (b.tag[j], b.name[j]) for i, j in to.items()}[("div", "b")] == ("div", "b")
     assert len(to) == 6  # html, body, ul, li, div, p
+    x, y = (extract.read_page("<body>" + t)[0] for t in ("<div class=top>a</div><div class=content><p>b</p></div>", "<div class=content><p>c</p></div><div class=links>d</div>"))
+    assert {x.name[i]: y.name[j] for i, j in extract.aligned(x, y).items() if x.name[i]} == {"content": "content"}
+
+
+def test_the_heaviest_pairs_that_do_not_cross():
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randrange(1, 8)
+        q = rng.sample(range(10), n)
+        pairs, w = list(enumerate(q)), [rng.randrange(1, 9) for _ in range(n)]
+        want = max(sum(w[k] for k in c) for r in range(n + 1) for c in itertools.combinations(range(n), r) if all(q[a] < q[b] for a, b in zip(c, c[1:])))
+        got, chosen = extract._heaviest(pairs, w)
+        assert got == want and sum(w[p] for p, _ in chosen) == want and sorted(chosen) == sorted(chosen, key=lambda x: x[1])
