@@ -77,4 +77,4 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.SQL, "op5_vector_dedup": vectors.SQL, "op10_near_dedup": neardup.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.sql(), "op3_source_mixing": mixing.SQL, "op5_vector_dedup": vectors.SQL, "op10_near_dedup": neardup.SQL}

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,32 @@ def test_license_places(corpus):
     assert licenses.summary(licenses.scan(docs.limit(0))).count() == 0
 
 
+def test_all_license_columns_against_sql(corpus):
+    """Labels, places and scores of the method itself, by another engine, with whole and with damaged paragraphs."""
+    rows, docs = corpus
+    rng = random.Random(8)
+    for n, t in enumerate(licenses.TEMPLATES):
+        whole = " ".join(t.words)
+        damaged = " ".join("xyz" if rng.random() < 0.12 else w for w in t.words)
+        rows = [*rows, (2000 + 2 * n, f"Some text. {whole.upper()}! And more; {damaged}."), (2001 + 2 * n, damaged)]
+    docs = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    got = [r.asDict() for r in licenses.summary(licenses.scan(docs)).collect()]
+    c = duckdb.connect()
+    c.execute("create table documents(doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", rows)
+    found = c.execute(licenses.sql())
+    names = [x[0] for x in found.description]
+    want = [dict(zip(names, r)) for r in found.fetchall()]
+    key = lambda r: (str(r["doc_id"]), r["n_words"])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {r["score"] for r in got} - {0.0, 1.0} and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_words_share_branches():
+    words = ["a", "an", "and", "be", "cc", "cc0"]
+    assert [m[1] for m in re.finditer(licenses.any_of(words).replace("(?i)", ""), "an and ando b be,cc0 cc a")] == ["an", "and", "be", "cc0", "cc", "a"]
+
+
 def plain_secrets(t):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or ""):
