@@ -1,44 +1,47 @@
 """Benchmark decontamination by BM25 over an inverted index of test items, searched with block-max WAND.
 
 The index holds each test item's words with their BM25 weights, divided by the item's own total, so that an item
-scores 1 against itself; items are in blocks, and each word has a largest weight for each block.  Every document is
-cut into overlapping passages that cover it whole.  A passage first sums the block maxima of its words; in the blocks
-whose sum reaches the threshold, a WAND search over the postings finds all items that score at least as much.  For
-each of these, question and answer must both overlap with the passage: so large a share of their words must stand in
-runs of ``RUN`` words that the passage has too.
+scores 1 against itself; document frequencies and the mean length are of the whole benchmark.  Items are in blocks of
+``BLOCK``, and each word has a largest weight for each block and for all.  Every document is cut into overlapping
+passages that cover it whole.  For all passages at once the largest weights of their words in groups of ``GROUP``
+blocks are summed; a passage whose sum reaches the threshold for no group can hold no item.  The others are searched
+document at a time: cursors over whole postings move to a pivot item, and past whole blocks whose largest weights
+don't reach the threshold.  All items that score at least as much are found.  For each of these, question and answer must
+both overlap with the passage: so large a share of their words must stand in runs of ``RUN`` words that the passage
+has too.  An item of fewer than ``RUN`` words must stand there word for word, question and answer in a row.
 
 The documents are only read: nothing is shuffled.  The index is held in memory, so items are taken ``INDEX_WORDS``
-words at a time; a larger benchmark takes several passes over the documents.
+words at a time; a larger benchmark takes several passes over the documents, with the same scores.
 
-Null and empty texts match nothing, nor do items of fewer than ``RUN`` words.  Repeated rows give repeated results;
-a null doc_id is kept as null; an empty table, or an empty benchmark, gives none.
+Null and empty texts match nothing, nor do items without words.  Repeated rows give repeated results; a null doc_id is
+kept as null; an empty table, or an empty benchmark, gives none.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.llm import tokens
-from kinetable.llm.common import filter_texts, map_texts
+from kinetable.llm.common import filter_texts, map_texts, stored
 
 K1, B = 1.2, 0.75
 #: The share of an item's own BM25 score, and of the words of its question and of its answer.
 SCORE, OVERLAP = 0.5, 0.6
 RUN = 5
-#: Items of a block; words of a stride, at least; words of the items of a pass, which bound the index.
-BLOCK, STRIDE, INDEX_WORDS = 4, 64, 2_000_000
+#: Items of a block; blocks of a group; words of a stride, at least; words of the items of a pass, which bound the index.
+BLOCK, GROUP, STRIDE, INDEX_WORDS = 4, 4, 64, 2_000_000
 #: Test items that the driver reads for a pass.
 ITEMS = 20_000
-#: Words in so many of the blocks are multiplied as a dense matrix.
-COMMON = 0.25
+#: Words in so many of the groups are multiplied as a dense matrix; groups whose sums are held at once.
+COMMON, WIDTH = 0.25, 512
 _ANSWER = re.compile(r"\n\s*(?:answer|a)\s*:|(?<=\?)", re.IGNORECASE)
 
 
@@ -51,49 +54,64 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:at]), " ".join(words[at:])
 
 
+@dataclass(frozen=True)
+class Collection:
+    """What weights depend on: the items of the whole benchmark, their mean length, and the items that have each word."""
+
+    n: int
+    mean: float
+    words: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[np.ndarray]) -> Collection:
+        words, df = np.unique(np.concatenate([np.unique(x) for x in items]), return_counts=True)
+        return cls(len(items), max(1.0, float(np.mean([len(x) for x in items]))), words, df)
+
+    def idf(self, words: np.ndarray) -> np.ndarray:
+        df = self.df[np.searchsorted(self.words, words)]
+        return np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+
 @dataclass
 class Index:
-    """Items of similar length: BM25 postings with block maxima; ``stride`` words are no fewer than those of any item."""
+    """Items of similar length: BM25 postings with block maxima; ``stride`` words are no fewer than those of any item.
+
+    The postings of term t are ``items[first[t]:first[t + 1]]`` with ``weights``; its blocks and their maxima lie alike.
+    """
 
     ids: list
     question: list[np.ndarray]
     answer: list[np.ndarray]
     stride: int
-    terms: np.ndarray = field(init=False)
-    postings: list[list[tuple[int, float]]] = field(init=False)
-    block_max: list[dict[int, float]] = field(init=False)
+    collection: Collection
 
     def __post_init__(self) -> None:
-        items = [np.concatenate([q, a]) for q, a in zip(self.question, self.answer, strict=True)]
-        self.terms = np.unique(np.concatenate(items))
-        n, mean = len(items), max(1.0, np.mean([len(x) for x in items]))
-        found = [np.unique(np.searchsorted(self.terms, x), return_counts=True) for x in items]
-        df = np.bincount(np.concatenate([t for t, _ in found]), minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.postings = [[] for _ in self.terms]
-        for i, (t, tf) in enumerate(found):
-            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(items[i]) / mean))
-            for term, x in zip(t.tolist(), (w / w.sum()).tolist(), strict=True):
-                self.postings[term].append((i, x))
-        self.block_max = []
-        for own in self.postings:
-            most: dict[int, float] = {}
-            for i, x in own:
-                most[i // BLOCK] = max(x, most.get(i // BLOCK, 0.0))
-            self.block_max.append(most)
-        n_blocks = -(-n // BLOCK)
-        wide = np.array([len(x) >= max(2, COMMON * n_blocks) for x in self.block_max])
+        own = [np.concatenate([q, a]) for q, a in zip(self.question, self.answer, strict=True)]
+        self.terms, n = np.unique(np.concatenate(own)), len(own)
+        idf = self.collection.idf(self.terms)
+        found = [np.unique(np.searchsorted(self.terms, x), return_counts=True) for x in own]
+        term, tf = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        item = np.repeat(np.arange(n), [len(t) for t, _ in found])
+        length = np.array([len(x) for x in own])[item] / self.collection.mean
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
+        weight /= np.bincount(item, weight, n)[item]
+        order = np.lexsort((item, term))
+        term, self.items, self.weights = term[order], item[order], weight[order]
+        self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.most = np.maximum.reduceat(self.weights, self.first[:-1])
+        self.blocks, self.block_most, self.block_first = self._maxima(term, BLOCK)
+        groups, most, first = self._maxima(term, BLOCK * GROUP)
+        self.n_groups = -(-n // (BLOCK * GROUP))
+        wide = np.diff(first) >= max(2, COMMON * self.n_groups)
         #: Of each common word its row in the dense matrix; else -1.
         self.row = np.where(wide, np.cumsum(wide) - 1, -1)
-        self.dense = np.zeros((int(wide.sum()), n_blocks), np.float32)
-        for t in np.flatnonzero(wide).tolist():
-            for b, x in self.block_max[t].items():
-                self.dense[self.row[t], b] = x
-        rare = [[] if w else sorted(x.items()) for w, x in zip(wide.tolist(), self.block_max, strict=True)]
-        self.rare_n = np.array([len(x) for x in rare])
+        self.dense = np.zeros((int(wide.sum()), self.n_groups), np.float32)
+        at = np.repeat(np.arange(len(self.terms)), np.diff(first))
+        self.dense[self.row[at[wide[at]]], groups[wide[at]]] = most[wide[at]]
+        self.rare_n = np.where(wide, 0, np.diff(first))
         self.rare_first = np.cumsum(self.rare_n) - self.rare_n
-        self.rare_block = np.array([b for x in rare for b, _ in x], np.int64)
-        self.rare_max = np.array([m for x in rare for _, m in x])
+        self.rare_group, self.rare_most = groups[~wide[at]], most[~wide[at]]
         bits = max(12, int(16 * len(self.terms)).bit_length())
         self.shift = np.uint64(64 - bits)
         slot = (self.terms >> self.shift).astype(np.int64)
@@ -102,6 +120,12 @@ class Index:
         self.crowded = np.bincount(slot, minlength=1 << bits) > 1
         self.runs = [(runs_of(q), runs_of(a)) for q, a in zip(self.question, self.answer, strict=True)]
 
+    def _maxima(self, term: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks of so many items in which a term occurs, the largest weight there, and where each term's begin."""
+        block = self.items // size
+        start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        return block[start], np.maximum.reduceat(self.weights, start), np.searchsorted(term[start], np.arange(len(self.terms) + 1))
+
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word among the terms, or -1."""
         slot = (hashes >> self.shift).astype(np.int64)
@@ -114,51 +138,82 @@ class Index:
         found[again] = np.where(self.terms[at] == hashes[again], at, -1)
         return found
 
-    def upper_bounds(self, term: np.ndarray, segment: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        """(segments, blocks): the sum of the block maxima of the words of each segment and of the one that ``follows``."""
+    def hopeful(self, term: np.ndarray, segment: np.ndarray, follows: np.ndarray, least: float) -> np.ndarray:
+        """Of each segment, with the one that ``follows``, whether the largest weights of its words in some group sum up to ``least``."""
         n = len(follows)
         key = np.unique(segment * len(self.terms) + term)
         segment, term = key // len(self.terms), key % len(self.terms)
         row = self.row[term]
-        there = np.zeros((n, len(self.dense)), bool)
-        there[segment[row >= 0], row[row >= 0]] = True
-        there[:-1] |= there[1:] & follows[:-1, None]
+        there = np.zeros((n, len(self.dense)), np.float32)
+        there[segment[row >= 0], row[row >= 0]] = 1
+        there[:-1] = np.maximum(there[:-1], there[1:] * follows[:-1, None])
         count = self.rare_n[term]
         at = np.repeat(self.rare_first[term] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        cell = np.repeat(segment, count) * self.dense.shape[1] + self.rare_block[at]
-        bound = np.bincount(cell, self.rare_max[at], n * self.dense.shape[1]).reshape(n, -1)
-        bound[:-1] += bound[1:] * follows[:-1, None]
-        return bound + there.astype(np.float32) @ self.dense
-
-    def search(self, terms: list[int], blocks: list[int], least: float) -> list[tuple[int, float]]:
-        """Items in these blocks that score at least ``least``: block-max WAND over the words' postings."""
-        lists = [(self.postings[t], max(self.block_max[t].values()), self.block_max[t]) for t in terms]
-        out = []
-        for block in blocks:
-            end = (block + 1) * BLOCK
-            # Cursors to the first posting of the block, for lists that have any there.
-            cursors = [[bisect.bisect_left(p, (block * BLOCK,)), p, m[block]] for p, _, m in lists if block in m]
-            while cursors:
-                cursors.sort(key=lambda c: c[1][c[0]][0])
-                bound, pivot = 0.0, None
-                for c in cursors:
-                    bound += c[2]
-                    if bound >= least - 1e-9:
-                        pivot = c[1][c[0]][0]
-                        break
-                if pivot is None:
+        group, owner, most = self.rare_group[at], np.repeat(segment, count), self.rare_most[at]
+        out = np.zeros(n, bool)
+        for start in range(0, self.n_groups, WIDTH):
+            width = min(WIDTH, self.n_groups - start)
+            own = (group >= start) & (group < start + width)
+            bound = np.bincount(owner[own] * width + group[own] - start, most[own], n * width).astype(float).reshape(n, width)  # of nothing: whole numbers
+            bound[:-1] += bound[1:] * follows[:-1, None]
+            bound += there @ self.dense[:, start : start + width]
+            out |= (bound >= least - 1e-5).any(1)
+        return out
+
+    def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
+        """All items that score at least ``least``: block-max WAND over the postings of these terms."""
+        least -= 1e-9
+        items, weights, blocks, most = self.items, self.weights, self.blocks, self.block_most
+        # A cursor: its item, its place, its end, the term's largest weight, its block's place.
+        cursors = [[int(items[self.first[t]]), int(self.first[t]), int(self.first[t + 1]), float(self.most[t]), int(self.block_first[t]), int(self.block_first[t + 1])] for t in terms]
+        out: list[tuple[int, float]] = []
+
+        def move(c: list, item: int) -> None:
+            """To the first posting of an item from this one on."""
+            c[1] += int(np.searchsorted(items[c[1] : c[2]], item))
+            c[0] = int(items[c[1]]) if c[1] < c[2] else -1
+
+        while cursors:
+            cursors.sort(key=lambda c: c[0])
+            bound, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += c[3]
+                if bound >= least:
+                    pivot = c[0]
                     break
-                if cursors[0][1][cursors[0][0]][0] == pivot:
-                    score = sum(c[1][c[0]][1] for c in cursors if c[1][c[0]][0] == pivot)
-                    if score >= least - 1e-9:
+            if pivot < 0:
+                break
+            while k + 1 < len(cursors) and cursors[k + 1][0] == pivot:
+                k += 1
+            # The maxima of the pivot's block; a cursor's block moves without touching its postings.
+            block, bound, end = pivot // BLOCK, 0.0, -1
+            for c in cursors[: k + 1]:
+                while c[4] < c[5] and blocks[c[4]] < block:
+                    c[4] += 1
+                if c[4] < c[5] and blocks[c[4]] == block:
+                    bound += most[c[4]]
+                    end = (block + 1) * BLOCK
+                elif c[4] < c[5]:
+                    end = int(blocks[c[4]]) * BLOCK if end < 0 else min(end, int(blocks[c[4]]) * BLOCK)
+            if bound >= least:
+                if cursors[0][0] == pivot:
+                    score = float(sum(weights[c[1]] for c in cursors[: k + 1]))
+                    if score >= least:
                         out.append((pivot, score))
-                    to = pivot + 1
+                    for c in cursors[: k + 1]:
+                        move(c, pivot + 1)
                 else:
-                    to = pivot
-                for c in cursors:
-                    if c[1][c[0]][0] < to:
-                        c[0] = bisect.bisect_left(c[1], (to,), c[0])
-                cursors = [c for c in cursors if c[0] < len(c[1]) and c[1][c[0]][0] < end]
+                    for c in cursors[:k]:
+                        if c[0] < pivot:
+                            move(c, pivot)
+            else:
+                # No item before the block's end, or before the next cursor, can do.
+                to = max(pivot + 1, end) if end >= 0 else pivot + 1
+                if k + 1 < len(cursors):
+                    to = min(to, max(pivot + 1, cursors[k + 1][0]))
+                for c in cursors[: k + 1]:
+                    move(c, to)
+            cursors = [c for c in cursors if c[0] >= 0]
         return out
 
 
@@ -216,29 +271,44 @@ def matches(words: tokens.Words, index: Index, score: float, least: float) -> di
         z = min(a + LANES + 1, len(whose))  # one more, for the last one's passage
         lo, hi = np.searchsorted(segment_at, [a, z])
         follows = np.append(whose[a : z - 1] == whose[a + 1 : z], False)
-        own = index.upper_bounds(known_at[lo:hi], segment_at[lo:hi] - a, follows)[: min(LANES, len(whose) - a)]
-        for s in np.flatnonzero((own >= score - 1e-5).any(1)).tolist():
+        own = index.hopeful(known_at[lo:hi], segment_at[lo:hi] - a, follows, score)[: min(LANES, len(whose) - a)]
+        for s in np.flatnonzero(own).tolist():
             i = int(whose[a + s])
             start = int(words.first[i]) + (a + s - int(first[i])) * stride
             end = min(start + 2 * stride, int(words.first[i + 1]))
             terms = known[start:end]
             passage = None
-            for item, x in index.search(np.unique(terms[terms >= 0]).tolist(), np.flatnonzero(own[s] >= score - 1e-5).tolist(), score):
+            for item, x in index.search(np.unique(terms[terms >= 0]).tolist(), score):
                 passage = passage or Passages(words.hashes[start:end])
-                q = overlap(index.runs[item][0], len(index.question[item]), passage)
-                r = overlap(index.runs[item][1], len(index.answer[item]), passage)
+                q, r = overlaps(index, item, passage)
                 if min(q, r) >= least:
                     found[i, item] = max(found.get((i, item), (0.0, 0.0, 0.0)), (min(1.0, x), q, r))
     return found
 
 
-def indexes(items: list[tuple], most_words: int = INDEX_WORDS) -> Iterator[list[Index]]:
-    """Passes of indexes of (id, question, answer), each of items whose lengths are of one power of two."""
-    sized: dict[int, list] = {}
-    for id_, question, answer in items:
-        q, a = (tokens.words_of([x]).hashes for x in (question, answer))
-        if len(q) + len(a) >= RUN:
-            sized.setdefault(max(STRIDE, 1 << (len(q) + len(a) - 1).bit_length()), []).append((id_, q, a))
+def overlaps(index: Index, item: int, passage: Passages) -> tuple[float, float]:
+    """Of question and of answer; a short item is there whole or not at all."""
+    question, answer = index.question[item], index.answer[item]
+    if len(question) + len(answer) < RUN:
+        whole = np.concatenate([question, answer])
+        return (1.0, 1.0) if int(runs_of(whole)[0]) in passage[len(whole)] else (0.0, 0.0)
+    return overlap(index.runs[item][0], len(question), passage), overlap(index.runs[item][1], len(answer), passage)
+
+
+Item = tuple[object, np.ndarray, np.ndarray]
+
+
+def hashed(rows: list[tuple]) -> list[Item]:
+    """(id, question, answer) with the hashes of the words, of those that have any, in an order that depends on them alone."""
+    out = [(i, tokens.words_of([q]).hashes, tokens.words_of([a]).hashes) for i, q, a in sorted(rows, key=lambda r: (r[1], r[2], str(r[0])))]
+    return [x for x in out if len(x[1]) + len(x[2])]
+
+
+def indexes(items: list[Item], collection: Collection, most_words: int = INDEX_WORDS) -> Iterator[list[Index]]:
+    """Passes of indexes, each of items whose lengths are of one power of two."""
+    sized: dict[int, list[Item]] = {}
+    for x in items:
+        sized.setdefault(max(STRIDE, 1 << (len(x[1]) + len(x[2]) - 1).bit_length()), []).append(x)
     part, size = [], 0
     for stride, own in sorted(sized.items()):
         start = 0
@@ -247,7 +317,7 @@ def indexes(items: list[tuple], most_words: int = INDEX_WORDS) -> Iterator[list[
             while stop < len(own) and (stop == start or size + here + len(own[stop][1]) + len(own[stop][2]) <= most_words):
                 here += len(own[stop][1]) + len(own[stop][2])
                 stop += 1
-            part.append(Index(*map(list, zip(*own[start:stop], strict=True)), stride))
+            part.append(Index(*map(list, zip(*own[start:stop], strict=True)), stride, collection))
             size, start = size + here, stop
             if size >= most_words or start < len(own):
                 yield part
@@ -256,15 +326,44 @@ def indexes(items: list[tuple], most_words: int = INDEX_WORDS) -> Iterator[list[
         yield part
 
 
+def _words_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each item, and once, under a null word, its length."""
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        word, n = [], []
+        for row in zip(*columns, strict=True):
+            own = np.concatenate([tokens.words_of([x]).hashes for x in row])
+            if len(own):
+                word += [None, *np.unique(own).view(np.int64).tolist()]
+                n += [len(own), *[1] * len(np.unique(own))]
+        yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
+
+
+def collection_of(counts: DataFrame, items: list[Item]) -> Collection:
+    """The whole benchmark's numbers from (word, n, items), with the frequencies of these items' words (no more than a pass holds)."""
+    whole = counts.filter("word is null").first()
+    own = np.unique(np.concatenate([np.concatenate(x[1:]) for x in items]))
+    wanted = counts.sparkSession.createDataFrame(pa.table({"word": own.view(np.int64)}))
+    df = counts.join(wanted, "word").select("word", "items").toArrow()
+    word = df.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    return Collection(whole["items"], max(1.0, whole["n"] / whole["items"]), word[order], df.column("items").to_numpy()[order])
+
+
 def passes(benchmark: DataFrame, items_per_pass: int = ITEMS) -> Iterator[list[Index]]:
     """The indexes over (item_id, text), or (item_id, question, answer), as many at a time as memory is set aside for."""
     parts = {"question", "answer"} <= {*benchmark.columns}
     items = benchmark.select("item_id", *(["question", "answer"] if parts else ["text"]))
     k = -(-items.count() // items_per_pass)
+    counts = None
+    if k > 1:
+        counts = items.select(*items.columns[1:]).mapInArrow(_words_of_items, "word bigint, n bigint")
+        counts = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("items")), "frequencies")
     for j in range(k):
         own = items if k == 1 else items.filter(F.pmod(F.xxhash64(*items.columns), F.lit(k)) == j)
-        rows = [(r[0], *((r[1] or "", r[2] or "") if parts else question_and_answer(r[1] or ""))) for r in own.toLocalIterator()]
-        yield from indexes(sorted(rows, key=lambda r: (r[1], r[2], str(r[0]))))
+        rows = hashed([(r[0], *((r[1] or "", r[2] or "") if parts else question_and_answer(r[1] or ""))) for r in own.toLocalIterator()])
+        if rows:
+            yield from indexes(rows, Collection.of([np.concatenate(x[1:]) for x in rows]) if counts is None else collection_of(counts, rows))
 
 
 def leaks_of(texts: list, held: list[Index], score: float, least: float) -> list[list[dict]]:

@@ -1,5 +1,9 @@
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from kinetable.llm import decontaminate as d
@@ -29,23 +33,51 @@ def case():
 
 
 def brute_force(docs, items, score=d.SCORE, least=d.OVERLAP):
-    """All passages of all documents against all items, scored in full."""
+    """All passages of all documents against all items, in words and with plain formulas; shares no code with the operator."""
+
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+
+    def halves(t):
+        m = re.search(r"\n\s*(?:answer|a)\s*:|(?<=\?)", t or "", re.I)
+        if m and t[: m.start()].strip() and t[m.end() :].strip():
+            return words(t[: m.start()]), words(t[m.end() :])
+        w = (t or "").split()
+        at = len(w) - len(w) // 3
+        return words(" ".join(w[:at])), words(" ".join(w[at:]))
+
+    split = {i: halves(t) for i, t in items}
+    split = {i: x for i, x in split.items() if x[0] + x[1]}
+    mean = sum(len(q) + len(a) for q, a in split.values()) / len(split)
+    df = Counter(w for q, a in split.values() for w in {*q, *a})
+    weight = {}
+    for i, (q, a) in split.items():
+        own = {}
+        for w, tf in Counter(q + a).items():
+            own[w] = math.log(1 + (len(split) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(q + a) / mean))
+        weight[i] = {w: x / sum(own.values()) for w, x in own.items()}
+
+    def share(part, passage):
+        n = min(5, len(part))
+        if not n:
+            return 1.0
+        runs = {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}
+        held = {k + j for k in range(len(part) - n + 1) if tuple(part[k : k + n]) in runs for j in range(n)}
+        return len(held) / len(part)
+
     out = {}
-    for index in (x for p in d.indexes([(i, *d.question_and_answer(t or "")) for i, t in items]) for x in p):
-        full = [sum(x for p in index.postings for j, x in p if j == i) for i in range(len(index.ids))]
-        assert all(abs(f - 1) < 1e-9 for f in full)
-        for doc, text in docs:
-            w = tokens.words_of([text]).hashes
-            for start in range(0, len(w), index.stride):
-                passage = w[start : start + 2 * index.stride]
-                known = {int(k) for k in index.lookup(passage) if k >= 0}
-                runs = d.Passages(passage)
-                for i in range(len(index.ids)):
-                    s = sum(x for t in known for j, x in index.postings[t] if j == i)
-                    if s >= score - 1e-9:
-                        q, a = (d.overlap(index.runs[i][k], len((index.question, index.answer)[k][i]), runs) for k in (0, 1))
-                        if min(q, a) >= least:
-                            out[doc, index.ids[i]] = max(out.get((doc, index.ids[i]), 0.0), min(1.0, s))
+    for doc, text in docs:
+        w = words(text)
+        for i, (q, a) in split.items():
+            n = len(q) + len(a)
+            stride = 64
+            while stride < n:
+                stride *= 2
+            for start in range(0, len(w), stride):
+                passage = w[start : start + 2 * stride]
+                s = sum(x for t, x in weight[i].items() if t in {*passage})
+                if s >= score - 1e-9 and (share(q + a, passage) == 1 if n < 5 else min(share(q, passage), share(a, passage)) >= least):
+                    out[doc, i] = max(out.get((doc, i), 0.0), min(1.0, s))
     return out
 
 
@@ -55,18 +87,66 @@ def test_leaks_against_brute_force(spark, documents, case):
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in d.contaminated(documents(docs), bench).collect()}
     want = brute_force(docs, items)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
-    assert len({k[0] for k in got}) >= 20 - 3  # those planted in, but for items too short to tell
+    assert len({k[0] for k in got}) >= 20 - 3
+
 
+def built(items, most=d.INDEX_WORDS):
+    rows = d.hashed([(i, *d.question_and_answer(t or "")) for i, t in items])
+    return [x for p in d.indexes(rows, d.Collection.of([np.concatenate(r[1:]) for r in rows]), most) for x in p]
 
-def test_the_search_finds_all_items_above_a_threshold(case):
+
+def full_scores(index, terms):
+    out = [0.0] * len(index.ids)
+    for t in terms:
+        for at in range(index.first[t], index.first[t + 1]):
+            out[index.items[at]] += index.weights[at]
+    return out
+
+
+@pytest.mark.parametrize("least", [0.05, 0.2, 0.5])
+def test_the_search_finds_all_items_above_a_threshold(case, least):
     docs, items = case
-    for index in (x for p in d.indexes([(i, *d.question_and_answer(t or "")) for i, t in items]) for x in p):
-        blocks = list(range(-(-len(index.ids) // d.BLOCK)))
-        for _, text in docs[:30]:
+    rng = random.Random(1)
+    items = [*items, *((200 + i, sentence(rng, rng.choice((7, 30, 60)))) for i in range(300))]
+    for index in built(items):
+        assert all(abs(x - 1) < 1e-9 for x in full_scores(index, range(len(index.terms))))
+        for _, text in docs[:20]:
             known = sorted({int(k) for k in index.lookup(tokens.words_of([text]).hashes[:128]) if k >= 0})
-            want = {i: s for i in range(len(index.ids)) if (s := sum(x for t in known for j, x in index.postings[t] if j == i)) >= 0.2}
-            got = dict(index.search(known, blocks, 0.2))
+            want = {i: s for i, s in enumerate(full_scores(index, known)) if s >= least}
+            got = dict(index.search(known, least))
             assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+            bound = index.hopeful(np.array(known, np.int64), np.zeros(len(known), np.int64), np.array([False]), least)
+            assert bound[0] or not want
+
+
+def test_the_search_skips_postings(case, monkeypatch):
+    """Of long postings that can't reach the threshold together few are looked at."""
+    rng = random.Random(3)
+    common = sentence(rng, 12)
+    items = [(i, f"{common} u{i}a u{i}b u{i}c u{i}d") for i in range(2000)]
+    index = built(items)[0]
+    terms = sorted(int(k) for k in set(index.lookup(tokens.words_of([f"{common} u77a u77b u77c u77d"]).hashes).tolist()))
+    looked = []
+    monkeypatch.setattr(d.np, "searchsorted", lambda a, v, *x, f=np.searchsorted: looked.append(1) or f(a, v, *x))
+    assert [index.ids[i] for i, _ in index.search(terms, 0.9)] == [77]
+    assert len(looked) < 200  # of 24,000 postings
+
+
+def test_scores_do_not_depend_on_passes(spark, documents, case, monkeypatch):
+    docs, items = case
+    half = [(i, " ".join(t.split()[: int(len(t.split()) * 0.55)])) for i, t in items[:40]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = documents([*docs, *((300 + i, t) for i, t in half)])
+    run = lambda: sorted((r["doc_id"], r["item_id"], round(r["score"], 6)) for r in d.contaminated(df, bench, least=0.0).collect())
+    want = run()
+    monkeypatch.setattr(d, "passes", lambda b, n=3, f=d.passes: f(b, n))
+    assert len(list(d.passes(bench))) > 10 and run() == want
+
+
+def test_short_items_stand_word_for_word(spark, documents):
+    bench = spark.createDataFrame([(1, "nine lives? cat"), (2, "blue moon"), (3, "?!")], "item_id long, text string")
+    docs = documents([(1, "a nine lives cat sat"), (2, "cat of nine lives"), (3, "once in a Blue Moon, he said"), (4, "moon blue"), (None, "blue moon"), (3, "once in a Blue Moon, he said")])
+    assert sorted((r["doc_id"] or -1, r["item_id"]) for r in d.contaminated(docs, bench).collect()) == [(-1, 2), (1, 1), (3, 2), (3, 2)]
 
 
 def test_clean_documents_stay(spark, documents, case):
@@ -89,7 +169,7 @@ def test_passes_and_empty_tables(spark, documents, case, monkeypatch):
     docs, items = case
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(tuple(r) for r in d.contaminated(documents(docs), bench).select("doc_id", "item_id").collect())
-    monkeypatch.setattr(d, "indexes", lambda rows, most=300, f=d.indexes: f(rows, most))
+    monkeypatch.setattr(d, "indexes", lambda rows, c, most=300, f=d.indexes: f(rows, c, most))
     assert len(list(d.passes(bench, 10))) > 3
     got = sorted(tuple(r) for r in d.contaminated(documents(docs), bench).select("doc_id", "item_id").collect())
     assert got == want
