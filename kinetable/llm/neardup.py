@@ -33,7 +33,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band once in 4,500 times, at 0.85 once in 100,000.
 BANDS, ROWS = 16, 4
 #: Texts of a block of a bucket, shingles of all of a block's texts (one text may have more), and those compared at once.
-BLOCK, SHINGLES, COLUMNS = 512, 500_000, 4096
+BLOCK, SHINGLES, COLUMNS = 256, 500_000, 4096
 #: Texts whose registers are filled at once.
 LANES = 4000
 #: Texts of the audit, and shingles of all of them, at most.

@@ -60,3 +60,48 @@ def test_repeated_rows_are_drawn_apart(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = mixing.mix(df).collect()
     assert len(out) == 9 and sorted((r["doc_id"], r["copies"]) for r in out) == sorted((r["doc_id"], r["copies"]) for r in by_sql(rows))
+
+
+def test_a_cut_among_repeated_rows_comes_near(spark, monkeypatch):
+    """A third of all rows are repeats of one; the cut falls among them and is found without putting them in order."""
+    rng = random.Random(1)
+    rows = [(7, "a b c", "s")] * 400 + [(100 + i, "w " * rng.choice((2, 9)), rng.choice("st")) for i in range(60)]
+    for seed in range(3):
+        own = [(i, t + f" x{seed}", s) for i, t, s in rows]
+        df = spark.createDataFrame(own, "doc_id long, text string, source string").repartition(3)
+        got = sorted((r["doc_id"], r["copies"], r["taken"]) for r in mixing.mix(df).collect())
+        assert got == sorted((r["doc_id"], r["copies"], r["taken"]) for r in by_sql(own))
+
+
+def test_rows_are_taken_with_all_their_columns(spark, rows):
+    own = [(i, t, s) for i, t, s in rows] + [(5, "same words", "a")] * 9 + [(None, "null id one", "b"), (None, "null id two", "b")]
+    df = spark.createDataFrame(own, "doc_id long, text string, source string").selectExpr("*", "1 as copies", "2 as size", "'x' as row", "3 as `a.b`")
+    out = mixing.mixed(df)
+    assert out.columns == [*df.columns, "_copies"]
+    by_row = lambda x: sorted((str(r["doc_id"]), r["source"] or "", r["n"]) for r in x)
+    got = by_row({"doc_id": r["doc_id"], "source": r["source"], "n": r["_copies"]} for r in out.collect())
+    assert got == by_row({"doc_id": r["doc_id"], "source": r["source"], "n": r["copies"]} for r in by_sql(own) if r["copies"])
+
+
+def test_documents_are_included_as_often_as_their_odds_say(spark):
+    """Over many draws: equal sizes equally often; longer documents more often, in proportion to their bit length."""
+    rng = random.Random(3)
+    texts = ["w " * rng.choice((3, 3, 12, 60)) for _ in range(80)]
+    rows, draws = [], 150
+    for k in range(draws):
+        rows += [(1000 * k + i, t, f"s{k:03d}") for i, t in enumerate(texts)]
+    extra = defaultdict(int)
+    # Sources of equal sizes have the same target but for their weights, so those of one weight are alike.
+    for r in by_sql(rows):
+        if int(r["source"][1:]) % 3 == 1:
+            extra[r["doc_id"] % 1000] += r["copies"] - r["target"] // r["source_size"]
+    n, by = draws / 3, defaultdict(list)
+    for i, t in enumerate(texts):
+        by[len(t.split())].append(extra[i] / n)
+    mean = {k: sum(v) / len(v) for k, v in by.items()}
+    bits = {k: k.bit_length() for k in by}
+    ratio = {k: mean[k] / bits[k] for k in by}
+    assert max(ratio.values()) < 1.15 * min(ratio.values())
+    for k, v in by.items():
+        spread = (mean[k] * (1 - min(1, mean[k])) / n) ** 0.5
+        assert all(abs(x - mean[k]) < 4.5 * max(spread, 0.02) for x in v)
