@@ -77,10 +77,16 @@ def map_texts(docs: DataFrame, keep: list[str], fields: str, fn: Callable[[list]
             old = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, f.type, from_pandas=False) for x, f in zip(made, new, strict=True))], names)
 
-    rows = docs.select(*map(quoted, keep), quoted(column).alias(unused("text", keep)))
-    out = T.StructType([*rows.schema.fields[: len(keep)], *T.StructType.fromDDL(fields).fields])
+    rows = numbered(docs.select(*map(quoted, keep), quoted(column)))
+    fields_in = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rows.schema.fields[:-1])]
+    out = T.StructType([*fields_in, *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(T.StructType.fromDDL(fields).fields))])
     names = out.names
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, out).toDF(*keep, *T.StructType.fromDDL(fields).names)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns under plain names, as functions over batches can't take names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
 def filter_texts(docs: DataFrame, fn: Callable[[list], Sequence[bool]]) -> DataFrame:
@@ -91,7 +97,8 @@ def filter_texts(docs: DataFrame, fn: Callable[[list], Sequence[bool]]) -> DataF
         for batch in batches:
             yield batch.filter(pa.array([bool(x) for x in fn(batch.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = numbered(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def by_group(df: DataFrame, key: str, fn: Callable[[pa.Table], list[pa.RecordBatch]], schema: str) -> DataFrame:
