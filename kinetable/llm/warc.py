@@ -39,7 +39,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 #: Bytes of records that a dictionary is trained on, bytes of a dictionary, and of records in an archive.
 SAMPLE, DICTIONARY, ARCHIVE = 2_000_000, 64_000, 64_000_000
-CHUNK = 1 << 20
+#: Bytes that are read at once, and that are handed to the decoder at once.
+CHUNK, PIECE = 1 << 20, 1 << 14
+#: Payloads of several pages that are broadcast, at about a hundred bytes each; more are joined by shuffle.
+SHARED = 500_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -99,37 +102,37 @@ def archive(records: list[bytes]) -> bytes:
 
 def frames(source) -> Iterator[tuple[int, bytes | None, str | None]]:
     """(offset, record, error) of each frame of a file, which is read a chunk at a time."""
-    held, at, ended = b"", 0, False
+    held, used, at, ended = b"", 0, 0, False  # of what is held so much is used up
 
-    def fill(n: int) -> None:
-        nonlocal held, ended
-        while len(held) < n and not ended:
-            more = source.read(max(CHUNK, n - len(held)))
-            ended, held = not more, held + more
+    def fill(n: int) -> int:
+        """The bytes that are left, n of them unless the file ends before."""
+        nonlocal held, used, ended
+        while len(held) - used < n and not ended:
+            more = source.read(max(CHUNK, n - len(held) + used))
+            ended, held, used = not more, held[used:] + more, 0
+        return len(held) - used
 
-    def skip(n: int) -> bool:
-        nonlocal held, at
-        fill(n)
-        found, held, at = len(held) >= n, held[n:], at + n
-        return found
+    def skip(n: int) -> None:
+        nonlocal used, at
+        used, at = used + n, at + n
 
     unpacker = zstandard.ZstdDecompressor()
     first = True
     while True:
-        fill(8)
-        if not held:
+        left = fill(8)
+        if not left:
             return
-        if len(held) < 8:
+        if left < 8:
             yield at, None, "truncated frame"
             return
-        magic, size = struct.unpack("<II", held[:8])
+        magic, size = struct.unpack_from("<II", held, used)
         if magic & SKIPPABLE_MASK == SKIPPABLE:
             start = at
-            fill(8 + size)
-            body = held[8 : 8 + size]
-            if not skip(8 + size):
+            if fill(8 + size) < 8 + size:
                 yield start, None, "truncated skippable frame"
                 return
+            body = held[used + 8 : used + 8 + size]
+            skip(8 + size)
             if first and magic == DICTIONARY_FRAME:
                 try:
                     if body[:4] == struct.pack("<I", FRAME_MAGIC):
@@ -149,13 +152,12 @@ def frames(source) -> Iterator[tuple[int, bytes | None, str | None]]:
         one = unpacker.decompressobj()
         try:
             while not one.eof:
-                fill(1)
-                if not held:
+                if not fill(1):
                     yield start, None, "truncated frame"
                     return
-                out.append(one.decompress(held))
-                rest = one.unused_data if one.eof else b""
-                at, held = at + len(held) - len(rest), rest
+                piece = held[used : used + PIECE]
+                out.append(one.decompress(piece))
+                skip(len(piece) - (len(one.unused_data) if one.eof else 0))
         except zstandard.ZstdError as e:  # its end is unknown
             yield start, None, f"frame: {e}"
             return
@@ -215,7 +217,11 @@ def write(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) ->
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload")).withColumn("sha1", F.sha1("payload"))
     shared = rows.filter(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1")
-    rows = salted_join(rows, shared.select("sha1", "original"), "sha1")
+    shared = stored(shared, "shared")
+    # Payloads stay where they are while the shared ones are few enough to be broadcast.
+    few = shared.limit(SHARED + 1).count() <= SHARED
+    own = shared.select("sha1", "original")
+    rows = rows.join(F.broadcast(own), "sha1", "left") if few else salted_join(rows, own, "sha1", "left", shared.select("sha1", "n"))
     revisit = F.col("original").isNotNull() & (F.length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("original"))
     rows = rows.select("page_id", "url", "payload", F.when(revisit, F.col("original")).alias("refers_to"))
 

@@ -41,6 +41,14 @@ def test_least_size_of_revisits_and_empty_tables(pages):
     assert warc.read(warc.write(df.limit(0))).count() == 0
 
 
+def test_shared_payloads_by_shuffle(pages, monkeypatch):
+    _, df = pages
+    own = lambda: sorted(map(str, warc.summary(warc.read(warc.write(df), payloads=False)).collect()))
+    want = own()
+    monkeypatch.setattr(warc, "SHARED", 0)
+    assert own() == want
+
+
 def archive_of(n=200):
     return [warc.record(i, f"http://x/{i}", f"<p>text number {i} of a page that is like others</p>".encode() * 5) for i in range(n)]
 
@@ -60,6 +68,7 @@ def test_the_dictionary_comes_first_and_each_frame_is_a_record():
 @pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
 def test_frames_across_chunks(monkeypatch, chunk):
     monkeypatch.setattr(warc, "CHUNK", chunk)
+    monkeypatch.setattr(warc, "PIECE", max(1, chunk // 3))
     records = archive_of(30)
     data = warc.archive(records) + b"\x50\x2a\x4d\x18\x03\0\0\0abc"
     assert [raw for _, raw, _ in warc.frames(io.BytesIO(data))] == records
