@@ -14,14 +14,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.llm.common import map_texts
+from kinetable.llm.common import map_texts, quoted
 
 MOST_EXACT = 64
 
@@ -91,62 +89,149 @@ def any_of(words: set[str]):
 
 def trigram_query(pattern: str):
     """What the trigrams of a lower-cased text must satisfy if the pattern matches in the text."""
-    exact, query = _sequence(_parser.parse(pattern))
+    exact, query = _Reader(pattern).whole()
     return both(query, any_of(exact)) if exact is not None else query
 
 
-def _sequence(items) -> tuple[set[str] | None, object]:
-    """The set of lower-cased words that the items can match (None: too many), and a query for the rest."""
+# Of a part of an expression: the set of lower-cased words that it can match (None: too many), and a query for the rest.
+Part = tuple[set[str] | None, object]
+ANYTHING: Part = (None, True)
+NOTHING: Part = ({""}, True)
+
+
+def in_turn(parts: list[Part]) -> Part:
+    """One part after another."""
     run: set[str] = {""}
-    query, closed = True, True  # closed: run still is all that the items match
-    for op, arg in items:
-        exact, own = _item(op, arg)
+    query, closed = True, True  # closed: run still is all that the parts match
+    for exact, own in parts:
         query = both(query, own)
         if exact is not None and len(run) * len(exact) <= MOST_EXACT:
             run = {a + b for a in run for b in exact}
         else:
             query, closed = both(query, any_of(run)), False
             run = exact if exact is not None else {""}
-    if closed:
-        return run, query
-    return None, both(query, any_of(run))
-
-
-def _item(op, arg) -> tuple[set[str] | None, object]:
-    if op is C.LITERAL:
-        return {chr(arg).lower()}, True
-    if op is C.IN:
-        chars: set[str] = set()
-        for kind, x in arg:
-            if kind is C.LITERAL:
-                chars.add(chr(x).lower())
-            elif kind is C.RANGE and x[1] - x[0] < 12:
-                chars |= {chr(i).lower() for i in range(x[0], x[1] + 1)}
+    return (run, query) if closed else (None, both(query, any_of(run)))
+
+
+def one_of(parts: list[Part]) -> Part:
+    if all(e is not None and q is True for e, q in parts) and sum(len(e) for e, _ in parts) <= MOST_EXACT:
+        return set().union(*[e for e, _ in parts]), True
+    found = None
+    for e, q in parts:
+        own = both(q, any_of(e)) if e is not None else q
+        found = own if found is None else either(found, own)
+    return None, found
+
+
+def repeated(part: Part, low: int, high: int | None) -> Part:
+    exact, query = part
+    if low == 0:
+        return ({""} | exact, True) if high == 1 and exact is not None and query is True else ANYTHING
+    if low == high == 1:
+        return part
+    return None, both(query, any_of(exact)) if exact is not None else query
+
+
+class _Reader:
+    """Reads an expression: letters, escapes, classes, groups, branches and repeats; the rest matches anything."""
+
+    def __init__(self, pattern: str) -> None:
+        self.p, self.i = pattern, 0
+
+    def take(self, text: str) -> bool:
+        if self.p.startswith(text, self.i):
+            self.i += len(text)
+            return True
+        return False
+
+    def whole(self) -> Part:
+        found = self.branches()
+        if self.i < len(self.p):
+            raise ValueError(f"unbalanced parenthesis in {self.p!r}")
+        return found
+
+    def branches(self) -> Part:
+        parts = [self.sequence()]
+        while self.take("|"):
+            parts.append(self.sequence())
+        return parts[0] if len(parts) == 1 else one_of(parts)
+
+    def sequence(self) -> Part:
+        parts: list[Part] = []
+        while self.i < len(self.p) and self.p[self.i] not in "|)":
+            part = self.one()
+            m = re.compile(r"([*+?]|\{(\d*)(,?)(\d*)\})[?+]?").match(self.p, self.i)
+            if m and (m[1][0] != "{" or m[2] or m[4]):
+                self.i = m.end()
+                low = {"*": 0, "+": 1, "?": 0}.get(m[1], int(m[2] or 0))
+                high = {"*": None, "+": None, "?": 1}[m[1]] if m[1] in "*+?" else int(m[4]) if m[4] else None if m[3] else low
+                part = repeated(part, low, high)
+            parts.append(part)
+        return in_turn(parts)
+
+    def one(self) -> Part:
+        if self.take("("):
+            if self.p.startswith("?", self.i):
+                around = any(map(self.take, ("?=", "?!", "?<=", "?<!")))
+                if not around and not self.take("?:") and not self.take("?>"):
+                    m = re.compile(r"\?P<\w+>").match(self.p, self.i)
+                    if not m:
+                        raise ValueError(f"can't read {self.p!r} from {self.i}")
+                    self.i = m.end()
+            else:
+                around = False
+            found = self.branches()
+            if not self.take(")"):
+                raise ValueError(f"unbalanced parenthesis in {self.p!r}")
+            return NOTHING if around else found
+        if self.take("["):
+            return self.characters()
+        c = self.p[self.i]
+        self.i += 1
+        if c in "^$":
+            return NOTHING
+        if c == ".":
+            return ANYTHING
+        if c == "\\":
+            c = self.escaped()
+            return NOTHING if c in ("\\b", "\\B", "\\A", "\\Z") else ({c.lower()}, True) if len(c) == 1 else ANYTHING
+        return {c.lower()}, True
+
+    def escaped(self) -> str:
+        """A character, or the escape of a kind of characters or places."""
+        c = self.p[self.i]
+        self.i += 1
+        if c == "x":
+            self.i += 2
+            return chr(int(self.p[self.i - 2 : self.i], 16))
+        if c in "nrtfv":
+            return {"n": "\n", "r": "\r", "t": "\t", "f": "\f", "v": "\v"}[c]
+        return "\\" + c if c.isalnum() else c
+
+    def characters(self) -> Part:
+        inverse, chars, wide, first = self.take("^"), set(), False, True
+        while first or self.p[self.i] != "]":
+            first = False
+            c = self.p[self.i]
+            self.i += 1
+            if c == "\\":
+                c = self.escaped()
+            if self.p[self.i] == "-" and self.p[self.i + 1] != "]":
+                self.i += 1
+                z = self.p[self.i]
+                self.i += 1
+                if z == "\\":
+                    z = self.escaped()
+                if len(c) > 1 or len(z) > 1 or ord(z) - ord(c) >= 12:
+                    wide = True
+                else:
+                    chars |= {chr(k).lower() for k in range(ord(c), ord(z) + 1)}
+            elif len(c) > 1:
+                wide = True
             else:
-                return None, True
-        return (chars, True) if len(chars) <= 6 else (None, True)
-    if op is C.SUBPATTERN:
-        return _sequence(arg[3])
-    if op is C.BRANCH:
-        parts = [_sequence(x) for x in arg[1]]
-        if all(e is not None and q is True for e, q in parts) and sum(len(e) for e, _ in parts) <= MOST_EXACT:
-            return set().union(*[e for e, _ in parts]), True
-        found = None
-        for e, q in parts:
-            own = both(q, any_of(e)) if e is not None else q
-            found = own if found is None else either(found, own)
-        return None, found
-    if op in (C.MAX_REPEAT, C.MIN_REPEAT):
-        low, high, inner = arg
-        exact, query = _sequence(inner)
-        if low == 0:
-            return ({""} | exact, True) if high == 1 and exact is not None and query is True else (None, True)
-        if low == high == 1:
-            return exact, query
-        return None, both(query, any_of(exact)) if exact is not None else query
-    if op is C.AT:
-        return {""}, True
-    return None, True
+                chars.add(c.lower())
+        self.i += 1
+        return (chars, True) if not inverse and not wide and len(chars) <= 6 else ANYTHING
 
 
 def trigrams_of(query) -> set[str]:
@@ -221,17 +306,31 @@ def blocks(texts: list[str]) -> Iterator[slice]:
     yield slice(start, len(texts))
 
 
+def scanner_for(rules: tuple[Rule, ...]):
+    """A function that gives the spans of each of a list of texts; its scanner is made at its first call in a process."""
+    made: list[Scanner] = []
+
+    def spans(texts: list) -> list[list[tuple[str, int, int]]]:
+        if not made:
+            made.append(Scanner(rules))
+        texts = [t or "" for t in texts]
+        return [s for own in blocks(texts) for s in made[0].scan(texts[own])]
+
+    return spans
+
+
 def spans_of(texts: list, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[str, int, int]]]:
     """The spans of each text."""
-    scanner, texts = Scanner(rules), [t or "" for t in texts]
-    return [s for own in blocks(texts) for s in scanner.scan(texts[own])]
+    return scanner_for(rules)(texts)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) for every row of (doc_id, text)."""
 
+    spans_in = scanner_for(rules)
+
     def found(texts: list) -> tuple[list]:
-        return ([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in spans_of(texts, rules)],)
+        return ([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in spans_in(texts)],)
 
     return map_texts(docs, ["doc_id"], "spans array<struct<kind:string,start:bigint,end:bigint>>", found)
 
@@ -251,11 +350,13 @@ def masked(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All rows and columns, with the secrets of ``text`` masked and ``n_chars``, if there is one, counted again."""
 
+    spans_in = scanner_for(rules)
+
     def hidden(texts: list) -> tuple[list]:
-        return ([masked(t, s) for t, s in zip(texts, spans_of(texts, rules), strict=True)],)
+        return ([masked(t, s) for t, s in zip(texts, spans_in(texts), strict=True)],)
 
     names = docs.columns
     rows = map_texts(docs, [c for c in names if c != "text"], "text string", hidden)
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    return rows.select(*map(quoted, names))
