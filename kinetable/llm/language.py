@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from kinetable.llm.common import filter_texts, map_texts
 
-#: Bound of the training sample: documents of each language, and windows of each of these.
-TRAIN_DOCS, TRAIN_WINDOWS = 300, 6
+#: Bound of the training sample: documents of each language, windows of each of these; languages, at most.
+TRAIN_DOCS, TRAIN_WINDOWS, LANGUAGES = 300, 6, 1000
 WINDOW, HIDDEN, EPOCHS, BATCH, RATE = 64, 6, 12, 128, 0.03
 #: Windows that go through the network at once.
 LANES = 1024
@@ -187,16 +187,19 @@ def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> tuple[list[str], ByteGRU | None]:
     """The languages and the network, from text and non-null lang of the documents that are not held out.
 
-    At most about ``docs_per_lang`` documents of each language, drawn by a hash, give windows to the driver.
+    About ``docs_per_lang`` documents of each language, drawn by a hash of id and text, give windows to the driver, and
+    never more than twice as many windows as that makes.
     """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return [], None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])
-    drawn = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    got = drawn.select("text", "lang").mapInPandas(_samples, "lang string, bytes binary, n int").toPandas()
+    drawn = usable.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    got = drawn.select("text", "lang").mapInPandas(_samples, "lang string, bytes binary, n int").limit(2 * docs_per_lang * TRAIN_WINDOWS * len(counts)).toPandas()
     langs = sorted(set(got["lang"]))
     if not langs:
         return [], None
