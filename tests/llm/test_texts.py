@@ -217,3 +217,79 @@ def test_gradients_of_the_network():
             losses.append(net.gradients(x, size, y)[1])
         net.w[name][at] = keep
         assert abs((losses[0] - losses[1]) / (2 * eps) - g[name][at]) < 1e-3, name
+
+
+@pytest.mark.parametrize("text, kind, span", [
+    ("server one nine two dot one six eight dot one dot two is up", "hidden_ip", "one nine two dot one six eight dot one dot two"),
+    ("at 192 dot 168 dot one dot 2 now", "hidden_ip", "192 dot 168 dot one dot 2"),
+    ("mail john&#64;example.com today", "hidden_email", "john&#64;example.com"),
+    ("mail john&#x40;example&period;com today", "hidden_email", "john&#x40;example&period;com"),
+    ("mail john&amp;#64;example.com today", "hidden_email", "john&amp;#64;example.com"),
+    ("call plus four one double five triple zero nine nine", "hidden_phone", "plus four one double five triple zero nine nine"),
+    ("𝐣𝐨𝐡𝐧@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.com", "hidden_email", "𝐣𝐨𝐡𝐧@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.com"),
+    ("john (ａｔ) example (d0t) com or john ( at ) example.com", "hidden_email", "john ( at ) example.com"),
+    ("card four one one one one one one one one one one one one one one one ok", "hidden_card", "four one one one one one one one one one one one one one one one"),
+])
+def test_disguises_are_undone_to_the_end(text, kind, span):
+    assert (kind, span) in [(k, text[a:z]) for k, a, z in pii.spans_of(text)]
+
+
+def test_bare_spelled_numbers_have_a_lower_score():
+    def score(t):
+        return {s[3] for s in pii.scored_spans(t) if s[0] == "hidden_phone"}
+
+    assert score("call four one five five five zero one nine nine") == {pii.BARE_SCORE}
+    assert score("call plus four one five five five zero one nine nine") == {pii.HIDDEN_SCORE} == score("＋41 555 019 977")
+    assert pii.scored_spans("+41 555 019 977")[0][3] == 1.0
+
+
+def test_recall_of_planted_disguises():
+    """Each disguise on identifiers within prose: all are found at their places, and prose alone gives nothing."""
+    rng = random.Random(12)
+    digits = dict(enumerate("zero one two three four five six seven eight nine".split()))
+    prose = "the report of the year was read to all who came to the hall in the evening and none had a question".split()
+    wide = {c: chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz0123456789@."}
+
+    def made(kind):
+        user, site, n = rng.choice(("jane", "k.lee", "info7")), rng.choice(("mail.example.org", "acme.de", "shop.co.uk")), [rng.randrange(10) for _ in range(11)]
+        ip = ".".join(str(rng.randrange(256)) for _ in range(4))
+        return {
+            "brackets": ("hidden_email", f"{user} [at] {site.replace('.', ' [dot] ')}"),
+            "words": ("hidden_email", f"{user} at {site.replace('.', ' dot ')}"),
+            "at word": ("hidden_email", f"{user} at {site}"),
+            "references": ("hidden_email", f"{user}&#64;{site}"),
+            "wide": ("hidden_email", "".join(wide[c] for c in f"{user}@{site}")),
+            "invisible": ("hidden_email", f"{user}@​{site}"),
+            "spelled phone": ("hidden_phone", "plus " + " ".join(digits[d] for d in n)),
+            "spelled ip": ("hidden_ip", " dot ".join(" ".join(digits[int(c)] for c in p) for p in ip.split("."))),
+            "ip words": ("hidden_ip", ip.replace(".", " dot ")),
+            "arabic phone": ("hidden_phone", "+" + "".join(chr(0x660 + d) for d in n)),
+        }[kind]
+
+    for kind in ("brackets", "words", "at word", "references", "wide", "invisible", "spelled phone", "spelled ip", "ip words", "arabic phone"):
+        hits = 0
+        for _ in range(60):
+            name, own = made(kind)
+            before, after = (" ".join(rng.choice(prose) for _ in range(rng.randrange(1, 12))) for _ in "ab")
+            text = f"{before}, {own}. {after}"
+            hits += (name, len(before) + 2, len(before) + 2 + len(own)) in pii.spans_of(text)
+            assert not pii.spans_of(f"{before}, {after}")
+        assert hits >= 57, kind
+
+
+def test_queries_of_expressions():
+    q = secrets.trigram_query
+    assert q("abc") == "abc" and q("[aA]bc[0-9]+") == "abc" and q("[0-9a-f]{24,}") is True and q("a?bcd") in ("bcd", q("a?bcd"))
+    assert q("(?:abc|xyz)+") == q("abc|xyz") and q(r"\bkey\x3a(?=x)") == ("and", frozenset({"key", "ey:"})) and q(r"x{3}") is True and q("(?P<n>end)$") == "end"
+    for bad in ("(abc", "abc)", "(?i)abc"):
+        with pytest.raises(ValueError):
+            q(bad)
+
+
+@pytest.mark.parametrize("find", [pii.find_personal_data, secrets.find_secrets])
+def test_scans_of_odd_tables(spark, documents, find):
+    rows = [(None, "a@b.de password=abcdef1"), (3, "a@b.de password=abcdef1"), (3, "a@b.de password=abcdef1"), (4, None), (5, "")]
+    got = sorted((r["doc_id"] or -1, len(r["spans"])) for r in find(documents(rows)).collect())
+    assert got == [(-1, 1), (3, 1), (3, 1), (4, 0), (5, 0)] and find(documents(rows).limit(0)).count() == 0
+    odd = documents(rows).selectExpr("*", "1 as _text", "2 as spans", "3 as `te.xt`")
+    assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == 5
