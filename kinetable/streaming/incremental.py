@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,30 @@ def whole_stats(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def ledger(df: DataFrame, keys: list[str], event: str, ts: str, late: str = "1 hour") -> DataFrame:
-    """Each event once, however often it is sent: increments of (keys, event) can be replayed."""
+    """Each event once among those that come within ``late`` of one another; see ``recorded`` for replays at any time."""
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([*keys, event])
 
 
+def recorded(df: DataFrame, keys: list[str], event: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Each event of (keys, event) once, however late it is sent again: batches are held against the ledger at ``path``.
+
+    Null keys are keys like any other.  A batch that is repeated replaces what it wrote before.
+    """
+    own = [*keys, event]
+
+    def put(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(own)
+        store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store):
+            held = spark.read.parquet(path).filter(F.col("batch") != n).select(*[F.col(c).alias(f"_{c}") for c in own])
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own]
+            new = new.join(held, same, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return started(df, checkpoint, put)
+
+
 def totals(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(amount).alias("total"))
 
@@ -58,10 +79,10 @@ def sessions(df: DataFrame, keys: list[str], ts: str, gap: str, late: str) -> Da
 
 
 def accounted(df: DataFrame, ts: str, start, end, path: str, checkpoint: str) -> StreamingQuery:
-    """Samples within a recording into one table, how many fell outside of it into another."""
+    """Samples within a recording into one table, how many fell outside of it, or have no time, into another."""
 
     def put(batch: DataFrame, n: int) -> None:
-        inside = F.col(ts).between(F.lit(start), F.lit(end))
+        inside = F.coalesce(F.col(ts).between(F.lit(start), F.lit(end)), F.lit(False))
         own = batch.persist()
         own.filter(inside).write.mode("overwrite").parquet(f"{path}/kept/batch={n}")
         own.filter(~inside).agg(F.count("*").alias("dropped")).write.mode("overwrite").parquet(f"{path}/dropped/batch={n}")
@@ -81,13 +102,15 @@ class _Smoothing(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows)).sort_values(self.time, kind="stable")
-        f = OneEuro(**self.params)
-        if self.state.exists():
-            f.last = tuple(self.state.get())
-        out = [f.step(float(x), float(t)) for x, t in zip(pdf[self.value], pdf[self.time], strict=True)]
-        if f.last is not None:
-            self.state.update(tuple(float(v) for v in f.last))
-        yield pd.DataFrame({self.key: key[0], self.time: pdf[self.time].to_numpy(), "smooth": out})
+        x = pdf[self.value].to_numpy(float, na_value=np.nan)
+        real = np.isfinite(x)
+        held = tuple(self.state.get()) if self.state.exists() else None
+        held, levels = OneEuro(**self.params).run(held, pdf[self.time].to_numpy(float)[real].tolist(), x[real].tolist(), [False] * int(real.sum()))
+        if held is not None:
+            self.state.update(tuple(float(v) for v in held))
+        out = np.full(len(x), None, object)
+        out[real] = levels
+        yield pd.DataFrame({self.key: key[0], self.time: pdf[self.time].to_numpy(), "smooth": pd.Series(out, dtype=object)})
 
     def close(self) -> None:
         pass
@@ -100,29 +123,35 @@ def smoothing(df: DataFrame, key: str, time: str, value: str, **params) -> DataF
 
 
 class _Gaps(StatefulProcessor):
-    """Time lost beyond the nominal period for each key: the last reading and the sums last."""
+    """Time lost beyond the nominal period for each key: the last reading and the sums last.
+
+    Readings come in the order of ``order``; a backward step is a new beginning and is counted, time 0 is no reading.
+    """
 
-    def __init__(self, key: str, ts: str, nominal: float, least: float) -> None:
-        self.key, self.ts, self.nominal, self.least = key, ts, nominal, least
+    def __init__(self, key: str, order: str, ts: str, nominal: float, least: float) -> None:
+        self.key, self.order, self.ts, self.nominal, self.least = key, order, ts, nominal, least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("sums", "last double, lost double, gaps long")
+        self.state = handle.getValueState("sums", "last double, lost double, peak double, gaps long, resyncs long, readings long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, lost, gaps = self.state.get() if self.state.exists() else (None, 0.0, 0)
-        for t in sorted(float(t) for pdf in rows for t in pdf[self.ts] if t):
-            over = 0.0 if last is None else t - last - self.nominal
-            if over >= self.least:
-                lost, gaps = lost + over, gaps + 1
-            last = t
-        if last is not None:
-            self.state.update((last, lost, gaps))
-        yield pd.DataFrame({self.key: [key[0]], "lost": [lost], "gaps": [gaps]})
+        last, lost, peak, gaps, resyncs, readings = self.state.get() if self.state.exists() else (None, 0.0, None, 0, 0, 0)
+        t = pd.concat(list(rows)).sort_values(self.order, kind="stable")[self.ts].to_numpy(float, na_value=np.nan)
+        t = t[np.isfinite(t) & (t != 0)]
+        step = np.diff(t, prepend=np.nan if last is None else last)
+        over = (step - self.nominal)[(step > 0) & (step - self.nominal >= self.least)]
+        lost, gaps = lost + float(over.sum()), gaps + len(over)
+        resyncs, readings = resyncs + int((step < 0).sum()), readings + len(t)
+        peak = max([*([] if peak is None else [peak]), *over.tolist()], default=None)
+        if len(t):
+            self.state.update((float(t[-1]), lost, peak, gaps, resyncs, readings))
+        yield pd.DataFrame({self.key: [key[0]], "readings": [readings], "gaps": [gaps], "lost": [lost], "peak": pd.Series([peak], dtype=object), "resyncs": [resyncs]})
 
     def close(self) -> None:
         pass
 
 
-def gap_watch(df: DataFrame, key: str, ts: str, nominal: float, least: float) -> DataFrame:
+def gap_watch(df: DataFrame, key: str, order: str, ts: str, nominal: float, least: float) -> DataFrame:
+    """The sums up to now of each key that a batch has rows of, as ``clocks.gap_watch`` gives them over all."""
     kind = dict(df.dtypes)[key]
-    return df.groupBy(key).transformWithStateInPandas(_Gaps(key, ts, nominal, least), f"`{key}` {kind}, lost double, gaps long", "Update", "None")
+    return df.groupBy(key).transformWithStateInPandas(_Gaps(key, order, ts, nominal, least), f"`{key}` {kind}, readings long, gaps long, lost double, peak double, resyncs long", "Update", "None")
