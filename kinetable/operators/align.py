@@ -48,7 +48,7 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, direction: s
     else:
         back, ahead = F.col("_t") - F.col(f"{_BACK}._at"), F.col(f"{_AHEAD}._at") - F.col("_t")
         found = F.when(F.coalesce(back <= ahead, ahead.isNull()), F.col(_BACK)).otherwise(F.col(_AHEAD))
-    rows = rows.withColumn("_found", found)
+    rows = rows.withColumn("_found", F.when(F.col("_t").isNotNull(), found))  # a row without a time has no neighbours
     if tolerance is not None:
         rows = rows.withColumn("_found", F.when(F.abs(F.col("_found._at") - F.col("_t")) <= tolerance, F.col("_found")))
     return rows.select("_row.*", *[F.col(f"_found.{c}").alias(prefix + c) for c in right.columns if c not in by])
@@ -98,6 +98,11 @@ def bracketed(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     return out.select(*left.columns, *made)
 
 
+def _told_apart(df: DataFrame) -> DataFrame:
+    """Rows with a number, so that repeated ones stay apart when they are gathered again."""
+    return df.withColumn("_id", F.monotonically_increasing_id())
+
+
 def in_intervals(points: DataFrame, intervals: DataFrame, by: list[str], on: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
     """Points with all intervals (both ends included) of their key that hold them, met in buckets of ``width``."""
     p = points.withColumn("_b", F.floor(F.col(on) / width))
@@ -109,32 +114,42 @@ def in_intervals(points: DataFrame, intervals: DataFrame, by: list[str], on: str
 
 
 def first_interval(points: DataFrame, intervals: DataFrame, by: list[str], on: str, start: str, end: str, order: str, width: int) -> DataFrame:
-    """Points with, of the intervals that hold them, the first by ``order``; without one its columns are null."""
+    """Points with, of the intervals that hold them, the first by ``order``; without one its columns are null.
+
+    Repeated points stay as many as they are; points without a time are in no interval.
+    """
     rest = [c for c in intervals.columns if c not in by]
-    met = in_intervals(points, intervals, by, on, start, end, width, "left")
-    best = met.groupBy(*points.columns).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_i"))
-    return best.select(*points.columns, *[F.col(f"_i.{c}").alias(c) for c in rest])
+    met = in_intervals(_told_apart(points), intervals, by, on, start, end, width, "left")
+    best = met.groupBy("_id").agg(F.first(F.struct(*points.columns)).alias("_p"), F.min_by(F.struct(*rest), F.col(order)).alias("_i"))
+    return best.select("_p.*", *[F.col(f"_i.{c}").alias(c) for c in rest])
 
 
 def best_overlap(segments: DataFrame, proposals: DataFrame, by: list[str], key: str, start: str, end: str, order: str, width: int) -> DataFrame:
-    """Segments with the proposal of the largest Dice overlap 2 o / (a + b + 1e-6), the first of equals; null if none overlaps."""
-    s = segments.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    p = proposals.select(*by, F.col(order).alias("p_order"), F.col(start).alias("p_start"), F.col(end).alias("p_end"))
+    """Segments with the proposal of the largest Dice overlap 2 o / (a + b + 1e-6), the first of equals; null if none overlaps.
+
+    Segments that end before they begin, or have no times, overlap with nothing.
+    """
+    s = _told_apart(segments).withColumn("_b", F.explode_outer(F.when(F.col(end) >= F.col(start), F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))))
+    p = proposals.filter(F.col(end) >= F.col(start)).select(*by, F.col(order).alias("p_order"), F.col(start).alias("p_start"), F.col(end).alias("p_end"))
     p = p.withColumn("_b", F.explode(F.sequence(F.floor(F.col("p_start") / width), F.floor(F.col("p_end") / width))))
     over = F.least(F.col(end), F.col("p_end")) - F.greatest(F.col(start), F.col("p_start")) + 1
     length = F.col(end) - F.col(start) + 1 + F.col("p_end") - F.col("p_start") + 1
     met = s.join(p, [*by, "_b"], "left").withColumn("dice", F.when(over > 0, 2 * over / (length + 1e-6)))
-    best = met.groupBy(*segments.columns).agg(F.max(F.struct("dice", (-F.col("p_order")).alias("o"))).alias("_m"))
-    return best.select(*segments.columns, F.when(F.col("_m.dice").isNotNull(), -F.col("_m.o")).alias("proposal"), F.col("_m.dice").alias("dice"))
+    best = met.groupBy("_id").agg(F.first(F.struct(*segments.columns)).alias("_s"), F.max(F.struct("dice", (-F.col("p_order")).alias("o"))).alias("_m"))
+    return best.select("_s.*", F.when(F.col("_m.dice").isNotNull(), -F.col("_m.o")).alias("proposal"), F.col("_m.dice").alias("dice"))
 
 
 def hits(targets: DataFrame, others: DataFrame, by: list[str], on: str, low: float, high: float, key: str) -> DataFrame:
-    """Targets with the number of others that lie ``low`` to ``high`` after them, and the offset nearest to 0."""
+    """Targets with the number of others that lie ``low`` to ``high`` after them, and the offset nearest to 0.
+
+    Repeated targets stay as many as they are; those without a time have no hits.
+    """
     span = max(1, int(max(abs(low), abs(high))))
     o = others.select(*by, F.col(on).alias("_o")).withColumn("_b", F.floor(F.col("_o") / span))
-    t = targets.withColumn("_b", F.explode(F.sequence(F.floor((F.col(on) + low) / span), F.floor((F.col(on) + high) / span))))
+    t = _told_apart(targets).withColumn("_b", F.explode_outer(F.sequence(F.floor((F.col(on) + low) / span), F.floor((F.col(on) + high) / span))))
     met = t.join(o, [*by, "_b"], "left").withColumn("_d", F.when((F.col("_o") - F.col(on)).between(low, high), F.col("_o") - F.col(on)))
-    return met.groupBy(*targets.columns).agg(F.count("_d").alias("hits"), F.min_by("_d", F.when(F.col("_d").isNotNull(), F.struct(F.abs("_d"), "_d"))).alias("nearest"))
+    found = met.groupBy("_id").agg(F.first(F.struct(*targets.columns)).alias("_t"), F.count("_d").alias("hits"), F.min_by("_d", F.when(F.col("_d").isNotNull(), F.struct(F.abs("_d"), "_d"))).alias("nearest"))
+    return found.select("_t.*", "hits", "nearest")
 
 
 def keep_first(df: DataFrame, by: list[str], order: list) -> DataFrame:
@@ -176,11 +191,20 @@ def best_by_confidence(rows: DataFrame, by: list[str], confidence: str, order: s
 
 
 def longest_prefix(names: DataFrame, keys: DataFrame, name: str, key: str, lengths: list[int]) -> DataFrame:
-    """Names with the longest key that they start with, met by equality on each of the keys' lengths."""
-    n = names.withColumn("_k", F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.substring(name, 1, k).alias("p")) for k in lengths])))
+    """Names with the longest key that they start with, met by equality on each of the keys' lengths; repeated names stay."""
+    n = _told_apart(names).withColumn("_k", F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.substring(name, 1, k).alias("p")) for k in lengths])))
     k = keys.select(F.col(key).alias("_key")).distinct().withColumn("_len", F.length("_key"))
     met = n.join(k, (F.col("_k.p") == F.col("_key")) & (F.col("_k.n") == F.col("_len")), "left")
-    return met.groupBy(*names.columns).agg(F.max_by("_key", "_len").alias("match"))
+    best = met.groupBy("_id").agg(F.first(F.struct(*names.columns)).alias("_row"), F.max_by("_key", "_len").alias("match"))
+    return best.select("_row.*", "match")
+
+
+def owner_of(names: DataFrame, owners: DataFrame, name: str, key: str, owner: str, lengths: list[int]) -> DataFrame:
+    """Names with the owner of their longest key, compared in small letters; ``ambiguous`` if several own it, and then no owner."""
+    one = owners.groupBy(F.lower(key).alias("_k")).agg(F.min(owner).alias("_o"), F.countDistinct(owner).alias("_n"))
+    best = longest_prefix(names.withColumn("_l", F.lower(name)), one, "_l", "_k", lengths).drop("_l")
+    out = best.join(one.withColumnRenamed("_k", "match"), "match", "left")
+    return out.select(*names.columns, "match", F.when(F.col("_n") == 1, F.col("_o")).alias(owner), F.coalesce(F.col("_n") > 1, F.lit(False)).alias("ambiguous"))
 
 
 def repaired(stats: DataFrame, episodes: DataFrame, index: str, length: str) -> DataFrame:
@@ -193,9 +217,15 @@ def repaired(stats: DataFrame, episodes: DataFrame, index: str, length: str) ->
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Names with the names that share most of their tokens, all of equal ones."""
-    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != ""))
-    a = left.select(F.col(left_key).alias("name"), F.explode(split(F.col(left_key))).alias("t"))
-    b = right.select(F.col(right_key).alias("match"), F.explode(split(F.col(right_key))).alias("t"))
-    shared = a.join(b, "t").groupBy("name", "match").agg(F.count("*").alias("shared"))
-    return shared.withColumn("_r", F.rank().over(Window.partitionBy("name").orderBy(F.desc("shared")))).filter("_r = 1").drop("_r")
+    """Names with the names that share most of their tokens, all of equal ones.
+
+    Names of the same tokens are compared once; a token that very many different names of both sides have makes as many pairs.
+    """
+    split = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != "")))
+    a = left.select(F.col(left_key).alias("name"), split(F.col(left_key)).alias("_a")).filter(F.size("_a") > 0)
+    b = right.select(F.col(right_key).alias("match"), split(F.col(right_key)).alias("_b")).filter(F.size("_b") > 0)
+    ta = a.select("_a").distinct().withColumn("t", F.explode("_a"))
+    tb = b.select("_b").distinct().withColumn("t", F.explode("_b"))
+    shared = ta.join(tb, "t").groupBy("_a", "_b").agg(F.count("*").alias("shared"))
+    best = shared.withColumn("_r", F.rank().over(Window.partitionBy("_a").orderBy(F.desc("shared")))).filter("_r = 1").drop("_r")
+    return a.distinct().join(best, "_a").join(b.distinct(), "_b").select("name", "match", "shared")

@@ -113,10 +113,13 @@ def stalls(df: DataFrame, by: list[str], order: list, ts: str, ok: str) -> DataF
 
 
 def unwrapped(df: DataFrame, by: list[str], order: list, ts: str, bits: int = 32) -> DataFrame:
-    """A counter that goes on through its wrap-arounds, in ``unwrapped``."""
-    s = steps(df, by, order, ts)
-    total = F.sum(F.coalesce(unwrapped_step(F.col("step"), bits), F.col(ts))).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return s.withColumn("unwrapped", total).drop("prev", "step")
+    """A counter that goes on through its wrap-arounds, in ``unwrapped``; missing readings have none and are stepped over."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    # Steps from the last reading that is there; the first reading counts itself.
+    prev = F.last(ts, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    step = F.when(F.col(ts).isNotNull(), F.coalesce(unwrapped_step(F.col(ts) - prev, bits), F.col(ts)))
+    total = F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("unwrapped", F.when(F.col(ts).isNotNull(), total))
 
 
 def uniform(df: DataFrame, by: list[str], order: list, ts: str, mode: str = "uniform", low: float = 0.5, high: float = 1.5) -> DataFrame:
@@ -182,11 +185,11 @@ def increasing(df: DataFrame, by: list[str], order: list, ts: str) -> DataFrame:
     return s.groupBy(*by).agg(F.count("*").alias("rows"), F.coalesce(F.bool_and(F.col("step") > 0), F.lit(True)).alias("increasing"))
 
 
-def pair_offsets(df: DataFrame, row: list[str], stream: str, ts: str, epoch_gap: float) -> DataFrame:
-    """For each two streams that have readings in the same rows: robust offsets; clocks of different epochs are info."""
+def pair_offsets(df: DataFrame, row: list[str], stream: str, ts: str, epoch_gap: float, least: int = 1) -> DataFrame:
+    """For each two streams that have readings in ``least`` rows or more: robust offsets; clocks of different epochs are info."""
     a = df.select(*row, F.col(stream).alias("a"), F.col(ts).alias("ta"))
     b = df.select(*row, F.col(stream).alias("b"), F.col(ts).alias("tb"))
     both = a.join(b, row).filter("a < b").withColumn("d", F.col("tb") - F.col("ta"))
     q = lambda p: F.percentile("d", F.lit(p))
-    out = both.groupBy("a", "b").agg(F.count("*").alias("n"), q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"))
+    out = both.groupBy("a", "b").agg(F.count("*").alias("n"), q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr")).filter(F.col("n") >= least)
     return out.withColumn("same_epoch", F.abs("median") <= epoch_gap)

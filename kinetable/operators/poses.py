@@ -36,8 +36,8 @@ def frame_poses(frames: DataFrame, by: list[str], index: str, ts: str, trajector
     met = asof(frames.select(*by, index, ts), on_clock, by, ts, "nearest").join(period, by)
     met = met.withColumn("_p", F.when(F.abs(F.col(f"r_{ts}") - F.col(ts)) <= tolerance * F.col("_period"), F.col("r_pose")))
     at = F.when(F.col("_p").isNotNull(), F.struct(F.col(index).alias("i"), F.col("_p").alias("p")))
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    met = met.withColumn("_a", F.last(at, ignorenulls=True).over(past)).withColumn("_z", F.first(at, ignorenulls=True).over(ahead))
+    back = Window.partitionBy(*by).orderBy(F.desc(index))
+    met = met.withColumn("_a", F.last(at, ignorenulls=True).over(w)).withColumn("_z", F.last(at, ignorenulls=True).over(back))
     share = F.when(F.col("_z.i") == F.col("_a.i"), 0.0).otherwise((F.col(index) - F.col("_a.i")) / (F.col("_z.i") - F.col("_a.i")))
     between = F.zip_with("_a.p", "_z.p", lambda a, z: a + share * (z - a))
     raw = F.coalesce(F.col("_p"), between, F.col("_a.p"), F.col("_z.p"))

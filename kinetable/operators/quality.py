@@ -17,6 +17,7 @@ from kinetable.functions.rotations import is_valid, orientation, position, turn_
 from kinetable.functions.values import minus, norm, worst
 from kinetable.operators.runs import changes, frozen
 from kinetable.operators.stats import half_drift
+from kinetable.sources.datasets import stored
 
 # Fixed vocabularies, worst status first.
 SEVERITY = ("error", "fail", "pending_review", "warn", "pass")
@@ -206,17 +207,18 @@ def slam_coverage(rows: DataFrame) -> DataFrame:
 
 
 def run_checks(tables: dict[str, DataFrame], chosen: list[str] | None = None) -> DataFrame:
-    """Findings of the checks whose table is there (by slug); a check that can't be planned gives an error finding."""
+    """Findings of the checks whose table is there (by slug).  Each is worked out and stored by itself, so that one that
+    fails, in planning or at any row, gives an error finding and the others go on."""
     out: DataFrame | None = None
     for slug in chosen or sorted(CHECKS):
         if slug not in tables:
             continue
         try:
             own = CHECKS[slug].run(tables[slug])
-        except Exception as e:  # the others go on
+            own = stored(own.withColumn("episode_id", F.col("episode_id").cast("string")), "findings")
+        except Exception as e:
             spark: SparkSession = tables[slug].sparkSession
             own = spark.createDataFrame([(None, slug, "error", None, str(e)[:200], None)], "episode_id string, rule string, status string, stream string, message string, value double")
-        own = own.withColumn("episode_id", F.col("episode_id").cast("string"))
         out = own if out is None else out.unionByName(own)
     if out is None:
         raise ValueError("no check has a table")

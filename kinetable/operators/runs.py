@@ -96,10 +96,9 @@ def pressure_edges(df: DataFrame, by: list[str], order: list, value: str, share:
 
 def interpolated(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Nulls in ``value`` filled on the line between the values around them, at the ends with the nearest, else with 0."""
-    w = Window.partitionBy(*by).orderBy(order)
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*by)
     at = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("t"), F.col(value).alias("v")))
-    s = df.withColumn("_a", F.last(at, ignorenulls=True).over(past)).withColumn("_z", F.first(at, ignorenulls=True).over(ahead))
+    s = df.withColumn("_a", F.last(at, ignorenulls=True).over(w.orderBy(order))).withColumn("_z", F.last(at, ignorenulls=True).over(w.orderBy(F.desc(order))))
     share = F.when(F.col("_z.t") == F.col("_a.t"), 0.0).otherwise((F.col(order) - F.col("_a.t")) / (F.col("_z.t") - F.col("_a.t")))
     line = F.col("_a.v") + share * (F.col("_z.v") - F.col("_a.v"))
     return s.withColumn("filled", F.coalesce(F.col(value), line, F.col("_a.v"), F.col("_z.v"), F.lit(0.0))).drop("_a", "_z")

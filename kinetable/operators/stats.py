@@ -6,31 +6,94 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.functions.values import finite, not_nan
+from kinetable.sources.datasets import stored
 
 QUANTILES = {"q01": 0.01, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q99": 0.99}
 
 
-def moments(x: Column, quantiles: bool = True, accuracy: int | None = None) -> list[Column]:
-    """NaN is skipped, infinities count, except in quantiles; the deviation is the population's.
+#: Values of a group whose quantiles one task finds; beyond that they are found through histograms, with equal results.
+MOST, BINS, ACCURACY = 1_000_000, 64, 10_000
 
-    Quantiles are exact and interpolated, from counts of a group's distinct values; for groups of more distinct values
-    than a task can hold, ``accuracy`` asks for approximate ones, whose rank is off by 1 / accuracy at most.
-    """
+
+def moments(x: Column) -> list[Column]:
+    """NaN is skipped, infinities count; the deviation is the population's."""
     v = not_nan(x)
-    out = [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
-    if quantiles:
-        own = finite(x)
-        out += [(F.percentile(own, F.lit(q)) if accuracy is None else F.percentile_approx(own, F.lit(q), accuracy)).alias(name) for name, q in QUANTILES.items()]
-    return [*out, F.count(v).alias("count")]
+    return [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count")]
+
+
+def quantiles(df: DataFrame, keys: list[str], value: Column | str, points: dict[str, float], most: int = MOST) -> DataFrame:
+    """The keys and, under the names of ``points``, exact interpolated quantiles of the finite values of each group.
 
+    Groups of up to ``most`` values are one aggregate.  The values at the wanted ranks of larger ones are found by ever
+    finer histograms: bins of about equal counts are counted, and only the bins that hold a wanted rank are divided again.
+    Null keys are keys like any other; groups without a finite value are left out.
+    """
+    rows = df.select(*keys, finite(value).cast("double").alias("_v")).filter("_v is not null")
+    every = F.percentile("_v", F.array(*map(F.lit, points.values())))
+    named = [F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(points)]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = sizes.filter(F.col("_n") > most)
+    if large.isEmpty():
+        return rows.groupBy(*keys).agg(every.alias("_q")).select(*keys, *named)
+    own = F.xxhash64(*keys, F.lit(0)) if keys else F.lit(0).cast("long")
+    rows, large = rows.withColumn("_path", own), large.withColumn("_path", own)
+    small = rows.join(F.broadcast(large.select("_path")), "_path", "left_anti").groupBy(*keys).agg(every.alias("_q"))
+    # A target is a rank, from 0, within the rows of its path.
+    ranks = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("_n") - 1) * q), F.ceil((F.col("_n") - 1) * q)) for q in points.values()]))))
+    targets = large.select(*keys, "_path", "_n", ranks.alias("_rank")).withColumn("_left", F.col("_rank"))
+    part, found = rows.select("_path", "_v"), None
+    while True:
+        edges = part.groupBy("_path").agg(F.percentile_approx("_v", F.array(*[F.lit(i / BINS) for i in range(1, BINS)]), F.lit(ACCURACY)).alias("_e"))
+        part = part.join(F.broadcast(edges), "_path")  # as many rows as there are wanted bins
+        part = part.withColumn("_bin", F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e")
+        bins = part.groupBy("_path", "_bin").agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        bins = bins.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_path").orderBy("_bin")))
+        hit = targets.join(bins, "_path").filter((F.col("_left") < F.col("_upto")) & (F.col("_left") >= F.col("_upto") - F.col("_c")))
+        hit = hit.withColumn("_left", F.col("_left") - F.col("_upto") + F.col("_c"))
+        hit = stored(hit.select(*keys, "_path", "_n", "_rank", "_left", "_bin", "_c", "_low", "_high"), "ranks")
+        done = hit.filter("_low = _high").select(*keys, "_n", "_rank", F.col("_low").alias("_x"))
+        found = done if found is None else found.union(done)
+        open_ = hit.filter("_low < _high")
+        deeper = F.xxhash64("_path", "_bin")
+        wanted = open_.select("_path", "_bin").distinct()
+        part = part.join(F.broadcast(wanted), ["_path", "_bin"], "left_semi").select(deeper.alias("_path"), "_v")
+        targets = open_.withColumn("_path", deeper).drop("_bin", "_low", "_high")
+        if open_.filter(F.col("_c") > most).isEmpty():
+            break
+        targets = targets.drop("_c")
+    upto = part.groupBy("_path", "_v").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(Window.partitionBy("_path").orderBy("_v")))
+    last = targets.drop("_c").join(upto, "_path").filter((F.col("_left") < F.col("_upto")) & (F.col("_left") >= F.col("_upto") - F.col("_c")))
+    found = found.union(last.select(*keys, "_n", "_rank", F.col("_v").alias("_x")))
+    at = found.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
+
+    def between(q: float) -> Column:
+        h = (F.col("_n") - 1) * q
+        low, high = F.element_at("_at", F.floor(h)), F.element_at("_at", F.ceil(h))
+        return low + (h - F.floor(h)) * (high - low)
+
+    big = at.select(*keys, F.array(*[between(q) for q in points.values()]).alias("_q"))
+    return small.filter("_q is not null").unionByName(big).select(*keys, *named)
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of equal keys, nulls among them; both sides have one for each."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row each
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(r, same).drop(*[f"_r_{k}" for k in keys])
 
-def scalar_stats(df: DataFrame, keys: list[str], value: str, quantiles: bool = True, accuracy: int | None = None) -> DataFrame:
-    """Groups without a finite value are left out."""
-    out = df.groupBy(*keys).agg(*moments(F.col(value), quantiles, accuracy), F.count(finite(value)).alias("_finite"))
-    return out.filter("_finite > 0").drop("_finite")
 
+def scalar_stats(df: DataFrame, keys: list[str], value: str, quantiles_too: bool = True, most: int = MOST) -> DataFrame:
+    """mean, std, min, max, quantiles and count of each group; groups without a finite value are left out."""
+    out = df.groupBy(*keys).agg(*moments(F.col(value)), F.count(finite(value)).alias("_finite")).filter("_finite > 0").drop("_finite")
+    if not quantiles_too:
+        return out
+    both = _beside(out, quantiles(df, keys, value, QUANTILES, most), keys)
+    return both.select(*keys, "mean", "std", "min", "max", *QUANTILES, "count")
 
-def vector_stats(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+
+def vector_stats(df: DataFrame, keys: list[str], vector: str, most: int = MOST) -> DataFrame:
     """One row per dimension; ``count`` is of vectors that are finite throughout.  Groups of ragged vectors are left out.
 
     For a few thousand dimensions at most: each value becomes a row.
@@ -38,10 +101,8 @@ def vector_stats(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     sized = df.groupBy(*keys).agg(F.min(F.size(vector)).alias("_a"), F.max(F.size(vector)).alias("_z"), F.count_if(fine).alias("count"))
     cells = df.select(*keys, F.posexplode(vector).alias("dim", "x"))
-    out = cells.groupBy(*keys, "dim").agg(*[c for c in moments(F.col("x").cast("double"))[:-1]])
-    if not keys:
-        return out.crossJoin(F.broadcast(sized)).filter("_a = _z").drop("_a", "_z")  # one row
-    return out.join(sized.filter("_a = _z"), keys).drop("_a", "_z")
+    out = scalar_stats(cells.withColumn("x", F.col("x").cast("double")), [*keys, "dim"], "x", True, most).drop("count")
+    return _beside(out, sized.filter("_a = _z").drop("_a", "_z"), keys)
 
 
 def blocks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -102,10 +163,11 @@ def histogram_quantiles(df: DataFrame, keys: list[str], code: str, quantiles: di
     return whole.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > F.col("all") * q, F.col("code"))).alias(name) for name, q in quantiles.items()], F.max("all").alias("count"))
 
 
-def robust(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    v = finite(value)
-    q = {name: F.percentile(v, F.lit(p)) for name, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75), ("p10", 0.1), ("p90", 0.9))}
-    return df.groupBy(*keys).agg(*[c.alias(n) for n, c in q.items()], (q["p75"] - q["p25"]).alias("iqr"), F.count(v).alias("n"))
+def robust(df: DataFrame, keys: list[str], value: str, most: int = MOST) -> DataFrame:
+    points = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p10": 0.1, "p90": 0.9}
+    q = quantiles(df, keys, value, points, most)
+    n = df.groupBy(*keys).agg(F.count(finite(value)).alias("n")).filter("n > 0")
+    return _beside(q, n, keys).select(*keys, *points, (F.col("p75") - F.col("p25")).alias("iqr"), "n")
 
 
 def drift_ppm(df: DataFrame, keys: list[str], x: str, y: str, least: int = 8) -> DataFrame:

@@ -71,7 +71,7 @@ def wide_vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_returnflag, round(avg(l_quantity), 4) AS mean, round(stddev_pop(l_quantity), 4) AS std, min(l_quantity) AS "min", max(l_quantity) AS "max", count(*) AS count FROM lineitem GROUP BY 1""")
 def episode_stats_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = stats.scalar_stats(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_orderkey"], "l_quantity", quantiles=False)
+    own = stats.scalar_stats(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_orderkey"], "l_quantity", quantiles_too=False)
     return rounded(stats.from_blocks(stats.merged(stats.to_blocks(own, ["l_returnflag"]), ["l_returnflag"])))
 
 
@@ -439,9 +439,11 @@ def segment_median_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT user_id, value, least((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // greatest(1, count(*) OVER (PARTITION BY user_id) // 8), 7) AS b FROM events), m AS (SELECT user_id, b, quantile_cont(value, 0.5) AS mid FROM p GROUP BY ALL)
-SELECT user_id, round(regr_slope(mid, b), 4) AS slope, round(regr_r2(mid, b), 4) AS r2, count(*) AS buckets FROM m GROUP BY 1""")
+SELECT user_id, round(regr_slope(mid, b), 6) AS slope, round(regr_r2(mid, b), 4) AS r2, count(*) AS buckets FROM m GROUP BY 1""")
 def growth_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.growth(read(spark, sf_dir, "events"), ["user_id"], ["event_id"], "value"))
+    # Slopes are multiples of 1 / 16,800, of which none with a finite expansion is halfway at six places.
+    out = stats.growth(read(spark, sf_dir, "events"), ["user_id"], ["event_id"], "value")
+    return rounded(out.withColumn("r2", F.round("r2", 4)), 6)
 
 
 @query("""WITH e AS (SELECT conv_id, count(*) AS length FROM conversations GROUP BY 1) SELECT conv_id, length, sum(length) OVER (ORDER BY conv_id)::BIGINT AS dataset_to_index, (sum(length) OVER (ORDER BY conv_id) - length)::BIGINT AS dataset_from_index FROM e""")

@@ -21,11 +21,22 @@ EPISODE_DEFAULTS = {"created_at": 0.0, "duration_sec": 0.0, "drop_stats": "{}",
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: below the one that the session names for checkpoints, a local one if none is."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder that all executors see: below the one that the session names for checkpoints, a local one if none is
+    and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors see")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a scratch folder and read it back: cuts lineage and is worked out once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_frames(spark: SparkSession, root: str, episode: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """All frames, or one episode's; files may differ in columns, and a column that none has is null."""
     df = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{root}/data")

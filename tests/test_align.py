@@ -62,3 +62,33 @@ def test_results_replace_columns_and_the_first_counts(spark):
     r = spark.createDataFrame([(0, "a", 1), (0, "b", 2)], "frame_index int, y string, n int")
     assert rows(align.with_results(f, r, ["frame_index"], ["n"], {"y": "x"}).select("frame_index", "x")) == [(0, "a"), (1, None)]
     assert align.suffixed(f, r.withColumnRenamed("y", "x"), ["frame_index"]).columns == ["frame_index", "x", "x_kpts", "n"]
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_rows_without_a_time_have_no_neighbours(spark, direction):
+    l = spark.createDataFrame([("a", None, 1), ("a", 10, 2), ("a", 10, 2)], "k string, t long, id int")
+    r = spark.createDataFrame([("a", 10, 5), ("a", 12, 6)], "k string, t long, v int")
+    for bucket in (None, 5):
+        got = sorted((x["id"], x["r_v"]) for x in align.asof(l, r, ["k"], "t", direction, bucket=bucket).select("id", "r_v").collect())
+        assert got == [(1, None), (2, 5), (2, 5)]
+
+
+def test_repeated_rows_stay_apart(spark):
+    t = spark.createDataFrame([("a", 10, {"x": 1}), ("a", 10, {"x": 1}), ("a", None, None)], "k string, t long, m map<string,int>")
+    o = spark.createDataFrame([("a", 11), ("a", 12)], "k string, t long")
+    assert sorted((r["t"] or -1, r["hits"], r["nearest"]) for r in align.hits(t, o, ["k"], "t", 0, 5, "k").collect()) == [(-1, 0, None), (10, 2, 1), (10, 2, 1)]
+    i = spark.createDataFrame([("a", 1, 5, 20)], "k string, n int, s long, e long")
+    assert sorted((r["t"] or -1, r["n"] or -1) for r in align.first_interval(t, i, ["k"], "t", "s", "e", "n", 4).collect()) == [(-1, -1), (10, 1), (10, 1)]
+    s = spark.createDataFrame([("a", 1, 0, 9), ("a", 1, 0, 9), ("a", 2, None, 9), ("a", 3, 9, 0)], "k string, id int, s long, e long")
+    p = spark.createDataFrame([("a", 7, 5, 9)], "k string, n int, s long, e long")
+    assert sorted((r["id"], r["proposal"] or -1) for r in align.best_overlap(s, p, ["k"], "id", "s", "e", "n", 4).collect()) == [(1, 7), (1, 7), (2, -1), (3, -1)]
+    n = spark.createDataFrame([("red bolt",), ("red bolt",), (None,)], "name string")
+    k = spark.createDataFrame([("red",), ("red b",)], "key string")
+    assert sorted((r["name"] or "", r["match"] or "") for r in align.longest_prefix(n, k, "name", "key", [3, 5]).collect()) == [("", ""), ("red bolt", "red b"), ("red bolt", "red b")]
+
+
+def test_a_key_of_several_owners_is_ambiguous(spark):
+    n = spark.createDataFrame([("Red_bolt_1",), ("blue_2",), ("green",)], "name string")
+    k = spark.createDataFrame([("red", "p1"), ("RED_bolt", "p2"), ("red_bolt", "p3"), ("Blue", "p4")], "key string, project string")
+    got = {r["name"]: (r["project"], r["ambiguous"]) for r in align.owner_of(n, k, "name", "key", "project", [3, 4, 8]).collect()}
+    assert got == {"Red_bolt_1": (None, True), "blue_2": ("p4", False), "green": (None, False)}

@@ -1,5 +1,9 @@
 """Streams with one planted defect each: it has to be found, and the clean stream has to stay silent."""
 
+import math
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,8 +137,6 @@ def test_statistics_skip_nan_and_merge(spark):
     out = {r["k"]: r for r in stats.scalar_stats(df, ["k"], "x").collect()}
     assert set(out) == {"a", "c"} and (out["a"]["mean"], out["a"]["std"], out["a"]["count"], out["a"]["q50"]) == (2.0, 1.0, 2, 2.0)
     assert out["c"]["max"] == inf and out["c"]["q50"] == 1.0
-    near = stats.scalar_stats(df.filter("k = 'a'"), ["k"], "x", accuracy=1000).first()
-    assert near["q99"] == 3.0 and near["q01"] == 1.0
     whole = stats.from_blocks(stats.merged(stats.blocks(df.filter("k <> 'c'"), ["k"], "x"), [])).first()
     assert (whole["mean"], whole["std"], whole["count"]) == (2.0, 1.0, 2)
     empty = stats.from_blocks(stats.merged(stats.blocks(df.filter("k = 'b'"), ["k"], "x"), [])).first()
@@ -158,3 +160,35 @@ def test_names_and_arrays(spark):
     df = spark.createDataFrame([("x/episode_000123.parquet", 123, [1.0, 2.0, 3.0, 4.0])], "p string, i long, a array<double>")
     r = df.select(V.episode_index("p"), V.episode_name("i"), V.chunk_of(F.lit(1000)), V.chunk_of(F.lit(1000), one_based=True), V.grid("a", 2), V.padded("a", 5, F.lit(0.0)), V.fitted("a", 3), V.token(F.lit("A-b c!"))).first()
     assert tuple(r) == (123, "episode_000123", 1, 0, [[1.0, 2.0], [3.0, 4.0]], [1.0, 2.0, 3.0, 4.0, 0.0], [1.0, 2.0, 3.0], "a_b_c")
+
+
+@pytest.mark.parametrize("most", [5, 40])
+def test_quantiles_of_large_groups_are_exact(spark, most):
+    """Beyond a number of values they come from ever finer histograms: equal to the aggregate, whatever the distribution."""
+    rng = random.Random(4)
+    rows = [("even", rng.uniform(-5, 5)) for _ in range(400)] + [("skewed", math.exp(rng.gauss(0, 6))) for _ in range(300)]
+    rows += [("hot", rng.choice((7.0, 7.0, 7.0, 8.0))) for _ in range(300)] + [("one", 3.0)] * 200 + [("few", float(i)) for i in range(3)] + [(None, float(i % 11)) for i in range(150)]
+    rows += [("even", float("nan")), ("even", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    points = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q99": 0.99}
+    got = {r["k"]: [r[c] for c in points] for r in stats.quantiles(df, ["k"], "x", points, most).collect()}
+    want = {r["k"]: [r[c] for c in points] for r in stats.quantiles(df, ["k"], "x", points).collect()}
+    assert set(got) == set(want) == {"even", "skewed", "hot", "one", "few", None}
+    for k in want:
+        own = np.array([x for n, x in rows if n == k and x is not None and x == x])
+        assert np.allclose(want[k], np.quantile(own, list(points.values()))) and np.allclose(got[k], want[k], rtol=1e-12), k
+    assert stats.quantiles(df.filter("k = 'skewed'"), [], "x", points, most).first()["q50"] == got["skewed"][2]
+    whole = stats.scalar_stats(df, ["k"], "x", most=most).collect()
+    assert {r["k"]: r["q50"] for r in whole} == {k: v[2] for k, v in got.items()}
+
+
+def test_a_counter_goes_on_after_missing_readings(spark):
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate([100, None, 300, 400])] + [("b", i, t) for i, t in enumerate([None, (1 << 31) - 5, None, 5])], "k string, i int, t long")
+    out = clocks.unwrapped(df, ["k"], ["i"], "t", 31).orderBy("k", "i").collect()
+    assert [r["unwrapped"] for r in out] == [100, None, 300, 400, None, (1 << 31) - 5, None, (1 << 31) + 5]
+
+
+def test_pairs_of_clocks_with_few_rows_in_common(spark):
+    df = spark.createDataFrame([(i, s, i * 10 + d) for i in range(8) for s, d in (("a", 0), ("b", 3), ("c", 5)) if s != "c" or i < 3], "row int, s string, t long")
+    out = clocks.pair_offsets(df, ["row"], "s", "t", 100, least=5).collect()
+    assert [(r["a"], r["b"], r["n"], r["median"]) for r in out] == [("a", "b", 8, 3.0)]

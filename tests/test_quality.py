@@ -91,3 +91,10 @@ def test_config_timeline_gate_and_legacy(spark):
     rows = spark.createDataFrame([("a", i, [float(i)], "connected") for i in range(100)] + [("b", i, [0.0], "connected") for i in range(100)], "episode_id string, frame_index long, values array<double>, status string")
     probes = spark.createDataFrame([("a", 95, True), ("b", 100, True)], "episode_id string, frame_count long, readable boolean")
     assert {x["episode_id"]: x["ok"] for x in Q.legacy_validation(rows, probes).collect()} == {"a": True, "b": False}
+
+
+def test_a_check_that_fails_at_a_row_leaves_the_others(spark):
+    rows = spark.createDataFrame([("e", "s", 0, [1.0] * 256)], "episode_id string, stream string, frame_index int, values array<double>")
+    broken = rows.withColumn("values", F.when(F.col("frame_index") == 0, F.raise_error(F.lit("torn")).cast("array<double>")).otherwise(F.col("values")))
+    out = {r["rule"]: r["status"] for r in Q.run_checks({"glove.array_shape": rows, "glove.no_contact": broken}).collect()}
+    assert out == {"glove.array_shape": "pass", "glove.no_contact": "error"}

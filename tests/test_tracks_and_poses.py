@@ -295,3 +295,9 @@ def test_gating():
     out, wholesale = tracks.gated_points(q, p)
     assert np.isnan(out[3]).all() and not wholesale
     assert tracks.gated_points(q + 1, p)[1] is True or tracks.gated_points(q + 1, p)[1] == np.True_
+
+
+def test_repaired_times_increase(spark):
+    data = [("s", i, t) for i, t in enumerate([10, 50, 50, 40, 130, None, 120, 170])]
+    out = tracks.monotone(spark.createDataFrame(data, "k string, i long, t long"), ["k"], "i", "t", 40).orderBy("i").collect()
+    assert [r["repaired"] for r in out] == [10, 50, 90, 130, 170, None, 210, 250]
