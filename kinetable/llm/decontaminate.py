@@ -2,13 +2,15 @@
 
 The index holds each test item's words with their BM25 weights, divided by the item's own total, so that an item
 scores 1 against itself; document frequencies and the mean length are of the whole benchmark.  Items are in blocks of
-``BLOCK``, and each word has a largest weight for each block and for all.  Every document is cut into overlapping
-passages that cover it whole.  For all passages at once the largest weights of their words in groups of ``GROUP``
-blocks are summed; a passage whose sum reaches the threshold for no group can hold no item.  The others are searched
-document at a time: cursors over whole postings move to a pivot item, and past whole blocks whose largest weights
-don't reach the threshold.  All items that score at least as much are found.  For each of these, question and answer must
-both overlap with the passage: so large a share of their words must stand in runs of ``RUN`` words that the passage
-has too.  An item of fewer than ``RUN`` words must stand there word for word, question and answer in a row.
+``BLOCK``, and each word has a largest weight of all and one for each block.  Every document is cut into overlapping
+passages that cover it whole, and many passages are searched at once, in the steps of the pivot test.  A passage whose
+words' largest weights don't sum up to the threshold is passed over; of the others the largest weights in each block
+are summed, ``WIDTH`` blocks at a time, and blocks that don't reach the threshold are skipped; in the blocks that do, the
+postings of the passage's words are met and items are scored in full.  All items that score at least as much are found.
+
+For each of these, question and answer must both overlap with the passage: so large a share of their words must stand in
+runs of ``RUN`` words that the passage has too.  An item of fewer than ``RUN`` words must stand there word for word,
+question and answer in a row.
 
 The documents are only read: nothing is shuffled.  The index is held in memory, so items are taken ``INDEX_WORDS``
 words at a time; a larger benchmark takes several passes over the documents, with the same scores.
@@ -36,12 +38,14 @@ K1, B = 1.2, 0.75
 #: The share of an item's own BM25 score, and of the words of its question and of its answer.
 SCORE, OVERLAP = 0.5, 0.6
 RUN = 5
-#: Items of a block; blocks of a group; words of a stride, at least; words of the items of a pass, which bound the index.
-BLOCK, GROUP, STRIDE, INDEX_WORDS = 4, 4, 64, 2_000_000
+#: Items of a block; words of a stride, at least; words of the items of a pass, which bound the index.
+BLOCK, STRIDE, INDEX_WORDS = 4, 64, 2_000_000
 #: Test items that the driver reads for a pass.
 ITEMS = 20_000
-#: Words in so many of the groups are multiplied as a dense matrix; groups whose sums are held at once.
+#: Words in so many of the blocks are multiplied as a dense matrix; blocks whose sums are held at once.
 COMMON, WIDTH = 0.25, 512
+#: Pairs of a passage and a block that are scored at once.
+PAIRS = 20_000
 _ANSWER = re.compile(r"\n\s*(?:answer|a)\s*:|(?<=\?)", re.IGNORECASE)
 
 
@@ -77,7 +81,7 @@ class Collection:
 class Index:
     """Items of similar length: BM25 postings with block maxima; ``stride`` words are no fewer than those of any item.
 
-    The postings of term t are ``items[first[t]:first[t + 1]]`` with ``weights``; its blocks and their maxima lie alike.
+    The postings of term t are ``items[first[t]:first[t + 1]]`` with ``weights``.
     """
 
     ids: list
@@ -100,18 +104,23 @@ class Index:
         term, self.items, self.weights = term[order], item[order], weight[order]
         self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.most = np.maximum.reduceat(self.weights, self.first[:-1])
-        self.blocks, self.block_most, self.block_first = self._maxima(term, BLOCK)
-        groups, most, first = self._maxima(term, BLOCK * GROUP)
-        self.n_groups = -(-n // (BLOCK * GROUP))
-        wide = np.diff(first) >= max(2, COMMON * self.n_groups)
+        # Of each term the blocks that it occurs in, the largest weight there, and where its postings there begin.
+        block = self.items // BLOCK
+        start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        self.block_most, self.block_at = np.maximum.reduceat(self.weights, start), np.append(start, len(term))
+        blocks, block_first = block[start], np.searchsorted(term[start], np.arange(len(self.terms) + 1))
+        self.n_blocks = -(-n // BLOCK)
+        self.block_key = term[start] * self.n_blocks + blocks
+        count = np.diff(block_first)
+        wide = count >= max(2, COMMON * self.n_blocks)
         #: Of each common word its row in the dense matrix; else -1.
         self.row = np.where(wide, np.cumsum(wide) - 1, -1)
-        self.dense = np.zeros((int(wide.sum()), self.n_groups), np.float32)
-        at = np.repeat(np.arange(len(self.terms)), np.diff(first))
-        self.dense[self.row[at[wide[at]]], groups[wide[at]]] = most[wide[at]]
-        self.rare_n = np.where(wide, 0, np.diff(first))
+        self.dense = np.zeros((int(wide.sum()), self.n_blocks), np.float32)
+        at = np.repeat(np.arange(len(self.terms)), count)
+        self.dense[self.row[at[wide[at]]], blocks[wide[at]]] = self.block_most[wide[at]]
+        self.rare_n = np.where(wide, 0, count)
         self.rare_first = np.cumsum(self.rare_n) - self.rare_n
-        self.rare_group, self.rare_most = groups[~wide[at]], most[~wide[at]]
+        self.rare_block, self.rare_most = blocks[~wide[at]], self.block_most[~wide[at]]
         bits = max(12, int(16 * len(self.terms)).bit_length())
         self.shift = np.uint64(64 - bits)
         slot = (self.terms >> self.shift).astype(np.int64)
@@ -120,12 +129,6 @@ class Index:
         self.crowded = np.bincount(slot, minlength=1 << bits) > 1
         self.runs = [(runs_of(q), runs_of(a)) for q, a in zip(self.question, self.answer, strict=True)]
 
-    def _maxima(self, term: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Blocks of so many items in which a term occurs, the largest weight there, and where each term's begin."""
-        block = self.items // size
-        start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
-        return block[start], np.maximum.reduceat(self.weights, start), np.searchsorted(term[start], np.arange(len(self.terms) + 1))
-
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word among the terms, or -1."""
         slot = (hashes >> self.shift).astype(np.int64)
@@ -138,83 +141,43 @@ class Index:
         found[again] = np.where(self.terms[at] == hashes[again], at, -1)
         return found
 
-    def hopeful(self, term: np.ndarray, segment: np.ndarray, follows: np.ndarray, least: float) -> np.ndarray:
-        """Of each segment, with the one that ``follows``, whether the largest weights of its words in some group sum up to ``least``."""
-        n = len(follows)
-        key = np.unique(segment * len(self.terms) + term)
-        segment, term = key // len(self.terms), key % len(self.terms)
+    def bounds(self, passage: np.ndarray, term: np.ndarray, n: int, start: int, width: int) -> np.ndarray:
+        """(n, width): the sums of the largest weights of each passage's terms in blocks from ``start`` on."""
         row = self.row[term]
         there = np.zeros((n, len(self.dense)), np.float32)
-        there[segment[row >= 0], row[row >= 0]] = 1
-        there[:-1] = np.maximum(there[:-1], there[1:] * follows[:-1, None])
+        there[passage[row >= 0], row[row >= 0]] = 1
         count = self.rare_n[term]
         at = np.repeat(self.rare_first[term] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        group, owner, most = self.rare_group[at], np.repeat(segment, count), self.rare_most[at]
-        out = np.zeros(n, bool)
-        for start in range(0, self.n_groups, WIDTH):
-            width = min(WIDTH, self.n_groups - start)
-            own = (group >= start) & (group < start + width)
-            bound = np.bincount(owner[own] * width + group[own] - start, most[own], n * width).astype(float).reshape(n, width)  # of nothing: whole numbers
-            bound[:-1] += bound[1:] * follows[:-1, None]
-            bound += there @ self.dense[:, start : start + width]
-            out |= (bound >= least - 1e-5).any(1)
-        return out
-
-    def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
-        """All items that score at least ``least``: block-max WAND over the postings of these terms."""
-        least -= 1e-9
-        items, weights, blocks, most = self.items, self.weights, self.blocks, self.block_most
-        # A cursor: its item, its place, its end, the term's largest weight, its block's place.
-        cursors = [[int(items[self.first[t]]), int(self.first[t]), int(self.first[t + 1]), float(self.most[t]), int(self.block_first[t]), int(self.block_first[t + 1])] for t in terms]
-        out: list[tuple[int, float]] = []
-
-        def move(c: list, item: int) -> None:
-            """To the first posting of an item from this one on."""
-            c[1] += int(np.searchsorted(items[c[1] : c[2]], item))
-            c[0] = int(items[c[1]]) if c[1] < c[2] else -1
-
-        while cursors:
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += c[3]
-                if bound >= least:
-                    pivot = c[0]
-                    break
-            if pivot < 0:
-                break
-            while k + 1 < len(cursors) and cursors[k + 1][0] == pivot:
-                k += 1
-            # The maxima of the pivot's block; a cursor's block moves without touching its postings.
-            block, bound, end = pivot // BLOCK, 0.0, -1
-            for c in cursors[: k + 1]:
-                while c[4] < c[5] and blocks[c[4]] < block:
-                    c[4] += 1
-                if c[4] < c[5] and blocks[c[4]] == block:
-                    bound += most[c[4]]
-                    end = (block + 1) * BLOCK
-                elif c[4] < c[5]:
-                    end = int(blocks[c[4]]) * BLOCK if end < 0 else min(end, int(blocks[c[4]]) * BLOCK)
-            if bound >= least:
-                if cursors[0][0] == pivot:
-                    score = float(sum(weights[c[1]] for c in cursors[: k + 1]))
-                    if score >= least:
-                        out.append((pivot, score))
-                    for c in cursors[: k + 1]:
-                        move(c, pivot + 1)
-                else:
-                    for c in cursors[:k]:
-                        if c[0] < pivot:
-                            move(c, pivot)
-            else:
-                # No item before the block's end, or before the next cursor, can do.
-                to = max(pivot + 1, end) if end >= 0 else pivot + 1
-                if k + 1 < len(cursors):
-                    to = min(to, max(pivot + 1, cursors[k + 1][0]))
-                for c in cursors[: k + 1]:
-                    move(c, to)
-            cursors = [c for c in cursors if c[0] >= 0]
-        return out
+        block, owner = self.rare_block[at] - start, np.repeat(passage, count)
+        own = (block >= 0) & (block < width)
+        out = np.bincount(owner[own] * width + block[own], self.rare_most[at[own]], n * width).astype(float).reshape(n, width)  # of nothing: whole numbers
+        return out + there @ self.dense[:, start : start + width]
+
+    def search(self, passage: np.ndarray, term: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of n passages with these distinct terms, in order of passages: the passage, item and score of all that score at least ``least``."""
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        hopeful = np.bincount(passage, self.most[term], n).astype(float) >= least - 1e-9
+        own = hopeful[passage]
+        which, passage, term = np.flatnonzero(hopeful), (np.cumsum(hopeful) - 1)[passage[own]], term[own]
+        first = np.searchsorted(passage, np.arange(len(which) + 1))
+        for start in range(0, self.n_blocks, WIDTH):
+            width = min(WIDTH, self.n_blocks - start)
+            who, block = np.nonzero(self.bounds(passage, term, len(which), start, width) >= least - 1e-5)
+            for at in range(0, len(who), PAIRS):
+                p, b = who[at : at + PAIRS], block[at : at + PAIRS] + start
+                size = first[p + 1] - first[p]
+                t = term[np.repeat(first[p] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+                key = t * self.n_blocks + np.repeat(b, size)
+                i = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+                held = self.block_key[i] == key
+                i, pair = i[held], np.repeat(np.arange(len(p)), size)[held]
+                size = self.block_at[i + 1] - self.block_at[i]
+                j = np.repeat(self.block_at[i] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                cell = np.repeat(pair, size) * BLOCK + self.items[j] % BLOCK
+                score = np.bincount(cell, self.weights[j], len(p) * BLOCK).astype(float)
+                hit = np.flatnonzero(score >= least - 1e-9)
+                found.append((which[p[hit // BLOCK]], b[hit // BLOCK] * BLOCK + hit % BLOCK, score[hit]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def runs_of(words: np.ndarray) -> np.ndarray:
@@ -271,18 +234,20 @@ def matches(words: tokens.Words, index: Index, score: float, least: float) -> di
         z = min(a + LANES + 1, len(whose))  # one more, for the last one's passage
         lo, hi = np.searchsorted(segment_at, [a, z])
         follows = np.append(whose[a : z - 1] == whose[a + 1 : z], False)
-        own = index.hopeful(known_at[lo:hi], segment_at[lo:hi] - a, follows, score)[: min(LANES, len(whose) - a)]
-        for s in np.flatnonzero(own).tolist():
+        # Each passage has the terms of its segment and of the next.
+        own, t = segment_at[lo:hi] - a, known_at[lo:hi]
+        again = (own > 0) & follows[own - 1]
+        key = np.unique(np.concatenate([own, own[again] - 1]) * len(index.terms) + np.concatenate([t, t[again]]))
+        key = key[key < LANES * len(index.terms)]
+        passages: dict[int, Passages] = {}
+        for s, item, x in zip(*(v.tolist() for v in index.search(key // len(index.terms), key % len(index.terms), LANES, score)), strict=True):
             i = int(whose[a + s])
             start = int(words.first[i]) + (a + s - int(first[i])) * stride
-            end = min(start + 2 * stride, int(words.first[i + 1]))
-            terms = known[start:end]
-            passage = None
-            for item, x in index.search(np.unique(terms[terms >= 0]).tolist(), score):
-                passage = passage or Passages(words.hashes[start:end])
-                q, r = overlaps(index, item, passage)
-                if min(q, r) >= least:
-                    found[i, item] = max(found.get((i, item), (0.0, 0.0, 0.0)), (min(1.0, x), q, r))
+            if s not in passages:
+                passages[s] = Passages(words.hashes[start : min(start + 2 * stride, int(words.first[i + 1]))])
+            q, r = overlaps(index, item, passages[s])
+            if min(q, r) >= least:
+                found[i, item] = max(found.get((i, item), (0.0, 0.0, 0.0)), (min(1.0, x), q, r))
     return found
 
 

@@ -113,23 +113,35 @@ def test_the_search_finds_all_items_above_a_threshold(case, least):
         for _, text in docs[:20]:
             known = sorted({int(k) for k in index.lookup(tokens.words_of([text]).hashes[:128]) if k >= 0})
             want = {i: s for i, s in enumerate(full_scores(index, known)) if s >= least}
-            got = dict(index.search(known, least))
-            assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
-            bound = index.hopeful(np.array(known, np.int64), np.zeros(len(known), np.int64), np.array([False]), least)
-            assert bound[0] or not want
+            owner, item, score = index.search(np.zeros(len(known), np.int64), np.array(known, np.int64), 1, least)
+            got = dict(zip(item.tolist(), score.tolist()))
+            assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got) and not owner.any()
 
 
-def test_the_search_skips_postings(case, monkeypatch):
-    """Of long postings that can't reach the threshold together few are looked at."""
+def test_many_passages_and_blocks_at_once(case, monkeypatch):
+    monkeypatch.setattr(d, "WIDTH", 5)
+    monkeypatch.setattr(d, "PAIRS", 7)
+    docs, items = case
+    rng = random.Random(1)
+    index = max(built([*items, *((200 + i, sentence(rng, 30)) for i in range(150))]), key=lambda x: len(x.ids))
+    passages = [sorted({int(k) for k in index.lookup(tokens.words_of([t]).hashes[:128]) if k >= 0}) for _, t in docs[:40]]
+    owner = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+    found = index.search(owner, np.concatenate(passages).astype(np.int64), len(passages), 0.3)
+    want = {(n, i): s for n, p in enumerate(passages) for i, s in enumerate(full_scores(index, p)) if s >= 0.3}
+    assert {(n, i) for n, i, _ in zip(*(x.tolist() for x in found))} == set(want) and want
+
+
+def test_blocks_below_the_threshold_are_skipped(monkeypatch):
+    """Of long postings that can't reach the threshold together few are met."""
     rng = random.Random(3)
     common = sentence(rng, 12)
-    items = [(i, f"{common} u{i}a u{i}b u{i}c u{i}d") for i in range(2000)]
-    index = built(items)[0]
-    terms = sorted(int(k) for k in set(index.lookup(tokens.words_of([f"{common} u77a u77b u77c u77d"]).hashes).tolist()))
-    looked = []
-    monkeypatch.setattr(d.np, "searchsorted", lambda a, v, *x, f=np.searchsorted: looked.append(1) or f(a, v, *x))
-    assert [index.ids[i] for i, _ in index.search(terms, 0.9)] == [77]
-    assert len(looked) < 200  # of 24,000 postings
+    index = built([(i, f"{common} u{i}a u{i}b u{i}c u{i}d") for i in range(2000)])[0]
+    terms = np.array(sorted(int(k) for k in set(index.lookup(tokens.words_of([f"{common} u77a u77b u77c u77d"]).hashes).tolist())), np.int64)
+    passage = np.zeros(len(terms), np.int64)
+    reached = sum((index.bounds(passage, terms, 1, a, 100) >= 0.9).sum() for a in range(0, index.n_blocks, 100))
+    owner, item, score = index.search(passage, terms, 1, 0.9)
+    assert reached == 1 and [index.ids[i] for i in item] == [77] and abs(score[0] - 1) < 1e-9
+    assert not len(index.search(passage, terms, 1, 1.1)[0])
 
 
 def test_scores_do_not_depend_on_passes(spark, documents, case, monkeypatch):
