@@ -60,7 +60,7 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def minus(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(col(a), col(b), lambda x, y: x - y)
+    return F.zip_with(col(a), col(b), lambda x, y: x.cast("double") - y)
 
 
 def all_finite(a: Column | str) -> Column:

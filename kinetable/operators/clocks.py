@@ -20,6 +20,12 @@ def steps(df: DataFrame, by: list[str], order: list, ts: str) -> DataFrame:
     return df.withColumn("prev", prev).withColumn("step", F.col(ts) - F.col("prev"))
 
 
+def gap_flags(df: DataFrame, by: list[str], index: str) -> DataFrame:
+    """``gap_before``: whether the row before isn't the one with the number before; not so for the first."""
+    prev = F.lag(index).over(Window.partitionBy(*by).orderBy(index))
+    return df.withColumn("gap_before", F.coalesce(prev != F.col(index) - 1, F.lit(False)))
+
+
 def regressions(df: DataFrame, by: list[str], order: list, ts: str, wrap_bits: int | None = None) -> DataFrame:
     """Backward steps of each stream; steps that a counter's wrap-around explains are counted apart."""
     s = steps(df, by, order, ts)
@@ -167,8 +173,12 @@ def rebuilt_from_host(df: DataFrame, by: list[str], order: list, host: str, quan
     clean = F.col("step").between(F.col("_mid") * 0.5, F.col("_mid") * 1.5)
     s = s.join(s.filter(clean).groupBy(*by).agg(F.avg("step").alias("_beta")), by, "left")
     w = Window.partitionBy(*by).orderBy(*order)
-    add = F.when(F.col("step").isNull(), F.col(host)).when(F.col("step") > 1.5 * F.col("_mid"), F.col("step")).otherwise(F.coalesce("_beta", "_mid"))
-    s = s.withColumn("_at", F.rint(F.sum(add).over(w.rowsBetween(Window.unboundedPreceding, 0)) / quantum).cast("long")).withColumn("_i", F.row_number().over(w))
+    # Times since the first are added up, so that they stay exact to far below the quantum.
+    add = F.when(F.col("step").isNull(), 0.0).when(F.col("step") > 1.5 * F.col("_mid"), F.col("step")).otherwise(F.coalesce("_beta", "_mid"))
+    origin = F.first(host).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    total = F.sum(add).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.floor(origin / quantum) + F.rint((F.pmod(origin, F.lit(quantum)) + total) / quantum)
+    s = s.withColumn("_at", at.cast("long")).withColumn("_i", F.row_number().over(w))
     # Strictly increasing: the running maximum of time less rank, and the rank again.
     s = s.withColumn("rebuilt", (F.max(F.col("_at") - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i")) * quantum)
     return s.drop("prev", "step", "_mid", "_beta", "_at", "_i")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kinetable.functions.rotations import local_motion, position
 from kinetable.functions.values import all_finite, clamp, minus, norm
 from kinetable.operators.align import asof
+from kinetable.operators.stats import quantiles
 
 
 def samples_of(frames: DataFrame, by: list[str], index: str, trajectory: str) -> DataFrame:
@@ -60,35 +61,59 @@ def actions(poses: DataFrame, by: list[str], index: str, pose: str, opening: str
     return rows.withColumn("action", action).withColumn("state", state).drop("_g", "_n", "_m")
 
 
-def rigid_fit(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation and translation that bring the points a nearest to b in the sense of least squares."""
-    ca, cb = a.mean(0), b.mean(0)
-    u, _, vt = np.linalg.svd((a - ca).T @ (b - cb))
-    turn = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0])
-    r = vt.T @ turn @ u.T
-    return r, cb - r @ ca
+def fitted(pairs: DataFrame, by: list[str], estimate: str, truth: str) -> DataFrame:
+    """The keys with ``turn`` (9 values, by rows) and ``move``: the rigid motion that brings the estimates nearest to the truth.
 
+    Sums over all pairs give it, so that no key is gathered: one row for each reaches Python.
+    """
+    a, b = ([F.get(F.col(c), F.lit(i)).cast("double") for i in range(3)] for c in (estimate, truth))
+    sums = [F.count("*").cast("double"), *map(F.sum, a), *map(F.sum, b), *[F.sum(x * y) for x in a for y in b]]
+    rows = pairs.groupBy(*by).agg(F.array(*sums).alias("_s"))
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in pairs.select(*by).dtypes), "turn array<double>, move array<double>"])
 
-def trajectory_errors(pairs: DataFrame, by: list[str], ts: str, estimate: str, truth: str, span: float = 1.0) -> DataFrame:
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for s in pdf["_s"]:
+                n, ca, cb = s[0], s[1:4] / s[0], s[4:7] / s[0]
+                u, _, vt = np.linalg.svd(np.reshape(s[7:], (3, 3)) - n * np.outer(ca, cb))
+                r = vt.T @ np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0]) @ u.T
+                out.append((r.ravel().tolist(), (cb - r @ ca).tolist()))
+            yield pdf.drop(columns="_s").assign(turn=[r for r, _ in out], move=[m for _, m in out])
+
+    return rows.mapInPandas(solve, schema)
+
+
+def trajectory_errors(pairs: DataFrame, by: list[str], ts: str, estimate: str, truth: str, span: float = 1.0, align: bool = True) -> DataFrame:
     """Of matched positions: absolute error after a rigid fit (rmse, mean, median, p95, max), relative error over a
     span of time, lengths of both paths, and the error at the end."""
-    keys = ", ".join(f"`{k}` {t}" for k, t in pairs.select(*by).dtypes)
-    names = ["ate_rmse", "ate_mean", "ate_median", "ate_p95", "ate_max", "rpe_rmse", "length", "true_length", "end_error"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        t, a, b = pdf[ts].to_numpy(float), np.stack(pdf[estimate].to_numpy()), np.stack(pdf[truth].to_numpy())
-        r, move = rigid_fit(a, b)
-        on = a @ r.T + move
-        e = np.linalg.norm(on - b, axis=1)
-        j = np.searchsorted(t, t + span)
-        i = np.flatnonzero(j < len(t))
-        rel = np.linalg.norm((on[j[i]] - on[i]) - (b[j[i]] - b[i]), axis=1)
-        path = lambda x: float(np.linalg.norm(np.diff(x, axis=0), axis=1).sum())
-        v = [np.sqrt((e**2).mean()), e.mean(), np.median(e), np.percentile(e, 95), e.max(), np.sqrt((rel**2).mean()) if len(rel) else None, path(a), path(b), e[-1]]
-        return pd.DataFrame([[*key, len(pdf), *v]], columns=[*by, "n", *names])
-
-    return pairs.groupBy(*by).applyInPandas(run, f"{keys}, n long, " + ", ".join(f"{n} double" for n in names))
+    rows = pairs.select(*by, F.col(ts).cast("double").alias("_t"), F.col(estimate).cast("array<double>").alias("_a"), F.col(truth).cast("array<double>").alias("_b"))
+    if align:
+        cell = lambda i, j: F.get("turn", F.lit(3 * i + j)) * F.get("_a", F.lit(j))
+        on = F.array(*[cell(i, 0) + cell(i, 1) + cell(i, 2) + F.get("move", F.lit(i)) for i in range(3)])
+        rows = rows.join(fitted(rows, by, "_a", "_b"), by).select(*by, "_t", "_a", "_b", on.alias("_on"))
+    else:
+        rows = rows.withColumn("_on", F.col("_a"))
+    w = Window.partitionBy(*by).orderBy("_t")
+    path = lambda c: norm(minus(F.col(c), F.lag(c).over(w)))
+    rows = rows.withColumn("_e", norm(minus("_on", "_b"))).withColumn("_pa", path("_a")).withColumn("_pb", path("_b"))
+    sums = rows.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("ate_rmse"),
+        F.avg("_e").alias("ate_mean"),
+        F.max("_e").alias("ate_max"),
+        F.coalesce(F.sum("_pa"), F.lit(0.0)).alias("length"),
+        F.coalesce(F.sum("_pb"), F.lit(0.0)).alias("true_length"),
+        F.max_by("_e", "_t").alias("end_error"),
+    )
+    spread = quantiles(rows, by, "_e", {"ate_median": 0.5, "ate_p95": 0.95})
+    # Each place against the first that is a span or more later.
+    own = rows.select(*by, (F.col("_t") + span).alias("_t"), "_on", "_b")
+    later = asof(own, rows.select(*by, "_t", "_on", "_b"), by, "_t", "forward").filter("r__on is not null")
+    off = norm(minus(minus("r__on", "_on"), minus("r__b", "_b")))
+    rel = later.groupBy(*by).agg(F.sqrt(F.avg(off * off)).alias("rpe_rmse"))
+    out = sums.join(spread, by).join(rel, by, "left")
+    return out.select(*by, "n", "ate_rmse", "ate_mean", "ate_median", "ate_p95", "ate_max", "rpe_rmse", "length", "true_length", "end_error")
 
 
 def triangulated(points: DataFrame, left: str, right: str, p_left: np.ndarray, p_right: np.ndarray, max_error: float = 8.0, near: float = 0.05, far: float = 3.0) -> DataFrame:
