@@ -214,7 +214,7 @@ class Passages(dict):
 
 
 #: Segments whose bounds are summed at once.
-LANES = 4096
+LANES = 2048
 
 
 def matches(words: tokens.Words, index: Index, score: float, least: float) -> dict[tuple[int, int], tuple[float, float, float]]:

@@ -35,7 +35,7 @@ BANDS, ROWS = 16, 4
 #: Texts of a block of a bucket, shingles of all of a block's texts (one text may have more), and those compared at once.
 BLOCK, SHINGLES, COLUMNS = 256, 500_000, 4096
 #: Texts whose registers are filled at once.
-LANES = 4000
+LANES = 1500
 #: Texts of the audit, and shingles of all of them, at most.
 AUDIT, AUDIT_SHINGLES = 300, 1_000_000
 

@@ -293,7 +293,7 @@ class Scanner:
 
 
 #: Characters of text that share one inverted index.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 
 
 def blocks(texts: list[str]) -> Iterator[slice]:
