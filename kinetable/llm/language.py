@@ -206,7 +206,7 @@ def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> tuple[list[str],
     got = got.sort_values(["lang", "bytes"])
     x = np.frombuffer(b"".join(got["bytes"]), np.uint8).reshape(-1, WINDOW)
     y = np.searchsorted(np.array(langs), got["lang"].to_numpy(str))
-    net = ByteGRU(len(langs))
+    net = ByteGRU(len(langs), max(HIDDEN, len(langs) // 2))  # more languages take a larger state
     if len(langs) > 1:
         net.fit(x, got["n"].to_numpy(), y)
     return langs, net

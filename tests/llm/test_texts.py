@@ -293,3 +293,51 @@ def test_scans_of_odd_tables(spark, documents, find):
     assert got == [(-1, 1), (3, 1), (3, 1), (4, 0), (5, 0)] and find(documents(rows).limit(0)).count() == 0
     odd = documents(rows).selectExpr("*", "1 as _text", "2 as spans", "3 as `te.xt`")
     assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == 5
+
+
+def test_the_training_sample_is_bounded(documents):
+    """Many rows of one id, or of none, neither escape the sample nor fill it; too many languages are an error."""
+    rng = random.Random(3)
+    words = {"en": "the cat sat on this mat with that hat".split(), "de": "der hund lag auf dem bett und schlief".split()}
+    rows = [(7 if k % 3 else None, " ".join(rng.choice(words[lang]) for _ in range(12)), lang) for lang in words for k in range(400)]
+    docs = documents([]).sparkSession.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, net = language.train(docs, docs_per_lang=50)
+    assert langs == ["de", "en"] and net.h == language.HIDDEN
+    pred, _ = language.classify(["the cat with this hat sat", "der hund schlief auf dem bett"], langs, net)
+    assert list(pred) == ["en", "de"]
+    from unittest import mock
+
+    with mock.patch.object(language, "LANGUAGES", 1), pytest.raises(ValueError):
+        language.train(docs)
+
+
+def test_predictions_of_a_plain_form_of_the_network():
+    """Position by position in plain Python: two recurrences, a softmax at each byte, and the mean of their logarithms."""
+    import math
+
+    net = language.ByteGRU(3, hidden=2, seed=4)
+    w = {k: v.astype(float).tolist() for k, v in net.w.items()}
+    texts = ["a cat", "é" * 70, "x" * 64 + "yz"]
+
+    def states(raw, d):
+        h, out = [0.0, 0.0], []
+        for byte in raw:
+            gx, gh = w["x" + d][byte], [sum(h[i] * w["u" + d][i][j] for i in range(2)) for j in range(6)]
+            z, r = ([1 / (1 + math.exp(-(gx[o + i] + gh[o + i]))) for i in range(2)] for o in (0, 2))
+            n = [math.tanh(gx[4 + i] + r[i] * gh[4 + i]) for i in range(2)]
+            h = [n[i] + z[i] * (h[i] - n[i]) for i in range(2)]
+            out.append(h)
+        return out
+
+    pred, score = language.classify(texts, ["a", "b", "c"], net)
+    for t, p, s in zip(texts, pred, score):
+        raw, total = t.encode(), [0.0] * 3
+        for at in range(0, len(raw), language.WINDOW):
+            part = raw[at : at + language.WINDOW].ljust(language.WINDOW, b"\0")  # the network reads whole windows
+            both = [a + b for a, b in zip(states(part, "f"), states(part[::-1], "b")[::-1])]
+            for hidden in both[: len(raw) - at]:
+                logit = [sum(hidden[i] * w["o"][i][k] for i in range(4)) + w["c"][k] for k in range(3)]
+                norm = math.log(sum(map(math.exp, logit)))
+                total = [x + y - norm for x, y in zip(total, logit)]
+        e = [math.exp((x - max(total)) / len(raw)) for x in total]
+        assert "abc"[e.index(max(e))] == p and abs(max(e) / sum(e) - s) < 1e-4
