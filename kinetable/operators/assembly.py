@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -207,3 +208,38 @@ def fingerprint(df: DataFrame, by: list[str], order: list[str], ignore: tuple[st
     rows = df.select(*by, F.xxhash64(place, *own).alias("a"), F.xxhash64(*own, place, F.lit(7)).alias("b"))
     total = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
     return rows.groupBy(*by).agg(F.md5(F.concat_ws(":", F.count("*"), total("a"), total("b"))).alias("fingerprint"), F.count("*").alias("rows"))
+
+
+#: Fixed form of the names of pose columns: an optional camera, and which kind of two.
+POSE_COLUMN = re.compile(r"observation\.(?:(?P<camera>.+)_)?slam_(?P<kind>trajectory|pose)")
+
+
+def pose_columns(columns: list[str]) -> dict[str, str]:
+    """Of each camera ("" for the only one) its pose column: the trajectory, or the pose where there is none."""
+    found = sorted((m["camera"] or "", m["kind"], c) for c in columns if (m := POSE_COLUMN.fullmatch(c)))
+    return {camera: c for camera, _, c in found}  # by kind, "trajectory" comes last
+
+
+def with_pose_and_state(frames: DataFrame, by: str = "episode_index", index: str = "frame_index", ts: str = "timestamp") -> DataFrame:
+    """Frames with ``observation.slam_pose``, made from trajectories where the dataset has none, and with
+    ``observation.state``: the place relative to the episode's first pose, and the opening (0 to 1) of the gripper.
+
+    Columns that are there stay as they are; a frame whose pose has no finite place has no state.
+    """
+    from kinetable.operators.poses import frame_poses
+
+    pose, state, trajectory, grip = (f"observation.{c}" for c in ("slam_pose", "state", "slam_trajectory", "gripper_state"))
+    if pose not in frames.columns and trajectory in frames.columns:
+        plain = frames.select(by, index, ts, F.col(f"`{trajectory}`").alias("_trajectory"))
+        made = frame_poses(plain, [by], index, ts, "_trajectory").select(by, index, F.col("pose").alias(pose))
+        frames = frames.join(made, [by, index], "left")
+    if state in frames.columns or pose not in frames.columns:
+        return frames
+    place = F.transform(F.slice(F.col(f"`{pose}`"), 1, 3), lambda x: x.cast("double"))
+    fine = (F.size(place) == 3) & F.forall(place, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    own = frames.withColumn("_at", F.when(fine, place))
+    origin = F.first("_at", ignorenulls=True).over(Window.partitionBy(by).orderBy(index).rowsBetween(Window.unboundedPreceding, 0))
+    opening = F.get(F.col(f"`{grip}`"), F.lit(0)).cast("double") / 100 if grip in frames.columns else F.lit(0.0)
+    opening = F.coalesce(F.least(F.greatest(F.nanvl(opening, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    moved = F.concat(F.zip_with("_at", "_origin", lambda a, b: a - b), F.array(opening))
+    return own.withColumn("_origin", origin).withColumn(state, F.when(F.col("_at").isNotNull(), moved)).drop("_at", "_origin")

@@ -138,3 +138,21 @@ def triangulated(points: DataFrame, left: str, right: str, p_left: np.ndarray, p
             yield pdf.assign(xyz=[x[i, :3].tolist() if ok[i] else None for i in range(len(x))], error=e)
 
     return points.mapInPandas(solve, schema)
+
+
+def paired_hands(pairs: DataFrame, by: list[str], left: str, right: str, points: str, error: str, same_label: str, least: int = 12, most: int = 2) -> DataFrame:
+    """Of all left hands with all right hands of a frame (one row each) the pairs that are one hand.
+
+    A pair scores ten for each point that could be placed, less its mean error, and five more if both labels are equal;
+    pairs with fewer than ``least`` points don't count.  The best are taken first, each hand once: with two hands on either
+    side that is the best pair and, if it shares no hand with it, the best of the others.  ``rank`` is 1 or 2.
+    """
+    score = F.col(points) * 10.0 - F.col(error) + F.when(F.col(same_label), 5.0).otherwise(0.0)
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), left, right)
+    own = pairs.withColumn("score", score).filter(F.col(points) >= least).withColumn("_n", F.row_number().over(w))
+    chosen = own.filter("_n = 1").withColumn("rank", F.lit(1))
+    first = chosen.select(*by, F.col(left).alias("_l"), F.col(right).alias("_r"))
+    rest = own.filter("_n > 1").join(first, by).filter((F.col(left) != F.col("_l")) & (F.col(right) != F.col("_r"))).drop("_l", "_r")
+    if most > 1:
+        chosen = chosen.unionByName(rest.withColumn("_n", F.row_number().over(w)).filter("_n = 1").withColumn("rank", F.lit(2)))
+    return chosen.drop("_n")

@@ -201,3 +201,58 @@ def jitter_bands(points: DataFrame, by: list[str], order: str, point: str, xyz:
     frame = moved.groupBy(*by, order).agg(F.percentile("_d", F.lit(0.5)).alias("mm"), F.count("_d").alias("n")).filter(F.col("n") >= least)
     band = F.when(F.col("mm") < 2, "<2").when(F.col("mm") <= 6, "2-6").otherwise(">6")
     return frame.groupBy(*by, band.alias("band")).agg(F.count("*").alias("frames"), F.percentile("mm", F.lit(0.5)).alias("median"), F.percentile("mm", F.lit(0.9)).alias("p90"))
+
+
+def union_size(history: DataFrame, current: DataFrame, by: list[str], key: str) -> DataFrame:
+    """How many different keys either of two tables has."""
+    both = history.select(*by, key).unionByName(current.select(*by, key))
+    return both.groupBy(*by).agg(F.countDistinct(key).alias("ids"))
+
+
+def effective_fps(episodes: DataFrame, cameras: DataFrame, stereo: DataFrame, key: str, default: float) -> DataFrame:
+    """Frames a second at which a recording is played: the most of its cameras', else the stereo pair's, else the default."""
+    most = cameras.groupBy(key).agg(F.max("fps").alias("_most"))
+    own = episodes.join(most, key, "left").join(stereo, key, "left")
+    return own.select(key, F.coalesce("_most", "stereo_fps", F.lit(default)).alias("fps"))
+
+
+def checkpoints(files: DataFrame) -> DataFrame:
+    """Files (path, length) of runs/<run>/checkpoints/<step>/ as one row for each step: files, bytes, and whether it is the newest."""
+    part = lambda i: F.regexp_extract("path", r"([^/]+)/checkpoints/(\d+)/", i)
+    own = files.withColumn("run", part(1)).withColumn("step", F.when(part(2) != "", part(2).cast("long"))).filter("step is not null")
+    steps = own.groupBy("run", "step").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return steps.withColumn("newest", F.col("step") == F.max("step").over(Window.partitionBy("run")))
+
+
+def guessed_reference(streams: DataFrame, references: DataFrame, stream: str, mid: str, reference: str) -> DataFrame:
+    """For each stream the reference whose median time is nearest to its own, the first by name of equally near.
+
+    There are as many references as clocks of a recording, a handful.
+    """
+    named = references.agg(F.collect_list(F.struct(reference, F.col(mid).alias("at"))).alias("_r"))  # one row
+    nearest = F.array_min(F.transform("_r", lambda r: F.struct(F.abs(r["at"] - F.col(mid)).alias("d"), r[reference].alias("name"))))
+    return streams.crossJoin(F.broadcast(named)).select(stream, mid, nearest["name"].alias(reference))
+
+
+def without_empty(value):
+    """A JSON value without maps and lists that are empty, or become so; None if nothing is left."""
+    if isinstance(value, dict):
+        own = {k: without_empty(v) for k, v in value.items()}
+        return {k: v for k, v in own.items() if v is not None or value[k] is None} or None
+    if isinstance(value, list):
+        own = [without_empty(v) for v in value]
+        return [v for v, old in zip(own, value, strict=True) if v is not None or old is None] or None
+    return value
+
+
+def name_variants(name: str) -> set[str]:
+    """The names under which a source may be stored: without its ending, side words and prefixes, in any of their orders."""
+    found, rest = set(), {name.lower()}
+    while rest:
+        found |= rest
+        rest = {v for n in rest for v in (n.rsplit(".", 1)[0], n.removeprefix("observation."), n.removeprefix("images."), n.removesuffix("_rgb"), n.replace("-", "_"))} - found - {""}
+    return found
+
+
+def same_source(a: str, b: str) -> bool:
+    return not name_variants(a).isdisjoint(name_variants(b))

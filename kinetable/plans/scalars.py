@@ -1 +1,353 @@
-"""To come."""
+"""Queries of the column functions and of passes over all columns of a dataset."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinetable.functions import hands, rotations
+from kinetable.functions import values as V
+from kinetable.operators import align, assembly, audits, poses, rollups, stats, tracks
+from kinetable.plans.registry import DAY, events, numbered_events, query, read, rounded
+from kinetable.sources import logs
+
+_V = "v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
+
+
+def cells(df: DataFrame, array: str, places: int = 5) -> DataFrame:
+    return rounded(df.select("vec_id", F.posexplode(array).alias("dim", "value")), places)
+
+
+@query("""SELECT p_partkey, p_partkey // 1000 AS chunk, floor((p_partkey - 1) / 1000.0)::BIGINT AS chunk_from_one, 'episode_' || lpad(p_partkey::VARCHAR, 6, '0') AS name, p_partkey AS parsed, regexp_replace(regexp_replace(lower(p_name || ' (' || p_type || ')'), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS token,
+round_even(p_retailprice * 1000000, 0)::BIGINT AS ns_of_ms, round_even(p_retailprice * 1000, 0)::BIGINT AS ns_of_us, least(greatest(p_retailprice - 950, 0), 100) AS percent, CASE WHEN p_size % 5 = 0 THEN p_retailprice ELSE p_size END AS first_finite,
+CASE WHEN p_partkey % 6 > 3 THEN '' ELSE ['fist', 'open', 'point', 'victory'][p_partkey % 6 + 1] END AS gesture FROM part""")
+def column_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, chunks, units, clamps and choices of values."""
+    p, k, price = read(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_retailprice")
+    size = F.when(F.col("p_size") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("p_size").cast("double"))
+    name = V.episode_name(k)
+    number = F.when(k % 6 == 4, -1.0).when(k % 6 == 5, float("nan")).otherwise((k % 6).cast("double"))
+    return p.select(
+        "p_partkey",
+        V.chunk_of(k).alias("chunk"),
+        V.chunk_of(k, one_based=True).alias("chunk_from_one"),
+        name.alias("name"),
+        V.episode_index(F.concat(F.lit("data/"), name, F.lit(".parquet"))).alias("parsed"),
+        V.token(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("token"),
+        V.to_ns(price, "ms").alias("ns_of_ms"),
+        V.to_ns(price, "us").alias("ns_of_us"),
+        V.percent(price - 950).alias("percent"),
+        V.first_finite(size, price).alias("first_finite"),
+        hands.gesture(number).alias("gesture"),
+    )
+
+
+@query(f"""WITH {_V}, d AS (SELECT vec_id, sqrt(list_inner_product(e[1:3], e[1:3])) AS n, list_inner_product(e[1:3], e[4:6]) AS d, acos(greatest(least(list_inner_product(e[1:3], e[4:6]) / (sqrt(list_inner_product(e[1:3], e[1:3])) * sqrt(list_inner_product(e[4:6], e[4:6]))), 1), -1)) * 180 / pi() AS a,
+[e[1] - e[4], e[2] - e[5], e[3] - e[6]] AS p, [e[7] - e[4], e[8] - e[5], e[9] - e[6]] AS q, abs(e[10]) AS z, e FROM v), j AS (SELECT *, acos(greatest(least(list_inner_product(p, q) / (sqrt(list_inner_product(p, p)) * sqrt(list_inner_product(q, q))), 1), -1)) * 180 / pi() AS b FROM d)
+SELECT vec_id, round(n, 5) AS norm, round(d, 5) AS dot, round(a, 4) AS angle, round(b, 4) AS joint, ((a >= 90)::INT + 2 * (b >= 60)::INT + 4)::BIGINT AS mask, round((e[11] * 100 - 320) * z / 500, 5) AS x, round((e[12] * 100 - 240) * z / 400, 5) AS y FROM j""")
+def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths, angles, joints and pixels at a depth."""
+    e = F.col("e")
+    a, b, c = (F.slice(e, i, 3) for i in (1, 4, 7))
+    angle, joint = V.angle_deg(a, b), V.joint_angle(a, b, c)
+    mask = F.when(angle >= 90, 1).otherwise(0) + V.extension_mask([F.lit(0.0), joint, F.lit(180.0)], 60.0)
+    point = V.back_projected(e[10] * 100, e[11] * 100, F.abs(e[9]), 500.0, 400.0, 320.0, 240.0)
+    out = vectors(spark, sf_dir).select("vec_id", V.norm(a).alias("norm"), V.dot(a, b).alias("dot"), F.round(angle, 4).alias("angle"), F.round(joint, 4).alias("joint"), mask.alias("mask"), point[0].alias("x"), point[1].alias("y"))
+    return rounded(out, 5)
+
+
+@query(f"""WITH {_V}, u AS (SELECT vec_id, e[1] / s AS x, e[2] / s AS y, e[3] / s AS z, e[4] / s AS w FROM (SELECT *, sqrt(list_inner_product(e[1:4], e[1:4])) AS s FROM v))
+SELECT vec_id, unnest(range(0, 9)) AS dim, round(unnest([1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]), 5) AS value FROM u""")
+def rotation_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(vectors(spark, sf_dir).withColumn("m", rotations.matrix(F.slice("e", 1, 4))), "m")
+
+
+@query(f"""WITH {_V}, u AS (SELECT vec_id, e[1] / s AS x, e[2] / s AS y, e[3] / s AS z, e[4] / s AS w, sqrt(list_inner_product(e[1:3], e[1:3])) / s AS n FROM (SELECT *, sqrt(list_inner_product(e[1:4], e[1:4])) AS s FROM v))
+SELECT vec_id, unnest(range(0, 3)) AS dim, round(unnest(list_transform([x, y, z], lambda c: c * (CASE WHEN w < 0 THEN -2 ELSE 2 END) * atan2(n, abs(w)) / n)), 5) AS value FROM u""")
+def rotation_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(vectors(spark, sf_dir).withColumn("r", rotations.rotation_vector(rotations.unit(F.slice("e", 1, 4)))), "r")
+
+
+@query(f"""WITH {_V} SELECT vec_id, list_inner_product(e[4:7], e[4:7]) > 1e-12 AS valid, sqrt(list_inner_product(e[4:7], e[4:7])) BETWEEN 0.5 AND 1.5 AND vec_id % 7 <> 0 AS displayable FROM v""")
+def pose_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pose = F.slice("e", 1, 7)
+    torn = F.when(F.col("vec_id") % 7 == 0, F.transform(pose, lambda x, i: F.when(i == 0, float("inf")).otherwise(x))).otherwise(pose)
+    return vectors(spark, sf_dir).select("vec_id", rotations.is_valid(pose).alias("valid"), rotations.is_displayable(torn).alias("displayable"))
+
+
+@query(f"""WITH {_V}, p AS (SELECT vec_id, unnest(range(0, 21)) AS point, e FROM v) SELECT vec_id, point, CASE WHEN point = 20 AND vec_id % 5 = 0 THEN NULL ELSE round_even(e[point * 3 + 1], 3) END AS x, round_even(e[point * 3 + 3], 3) AS z, vec_id % 5 <> 0 AND vec_id % 2 = 0 AS is_hand FROM p""")
+def hand_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = F.slice(F.transform("e", lambda x, i: F.when((i == 60) & (F.col("vec_id") % 5 == 0), float("nan")).otherwise(x)), 1, 63)
+    own = vectors(spark, sf_dir).select("vec_id", F.posexplode(hands.points(flat, digits=3)).alias("point", "p"), hands.is_hand(flat, F.col("vec_id") % 2 == 0).alias("is_hand"))
+    return own.select("vec_id", F.col("point").cast("long").alias("point"), F.col("p")[0].alias("x"), F.col("p")[2].alias("z"), "is_hand")
+
+
+@query(f"""WITH {_V}, c AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(e) AS x FROM v) SELECT vec_id, i // 10 AS line, count(*) AS n, round(sum(x), 5) AS total FROM c GROUP BY ALL""")
+def array_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat array as rows of ten, the last one shorter; cut and padded again on the way."""
+    own = V.padded(V.fitted("e", 60), 64, F.lit(0.0))
+    back = F.transform(own, lambda x, i: F.when(i < 60, x).otherwise(F.col("e")[i]))
+    lines = vectors(spark, sf_dir).select("vec_id", F.posexplode(V.grid(back, 10)).alias("line", "cells"))
+    return rounded(lines.select("vec_id", F.col("line").cast("long").alias("line"), F.size("cells").alias("n"), F.aggregate("cells", F.lit(0.0), lambda s, x: s + x).alias("total")), 5)
+
+
+@query(f"""WITH {_V} SELECT vec_id, unnest(range(0, 64)) AS dim, round_even(unnest(e) * 100, 0) / 100 + 0 AS value FROM v""")
+def force_matrix_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundredths in 16 bits as differences of rows, and back."""
+    packed = logs.encoded_matrix(vectors(spark, sf_dir).select("vec_id", "e"), "e", 8, 8, 1, 100.0)
+    return cells(logs.decoded_matrix(packed, "e", 8, 8, 1, 100.0), "e")
+
+
+@query("""WITH r AS (SELECT l_suppkey, CASE WHEN l_quantity >= 10 THEN l_quantity * (CASE l_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 10 WHEN 2 THEN 101 WHEN 3 THEN 1.1 ELSE 7 END)::DOUBLE / l_quantity END AS r FROM lineitem), g AS (SELECT l_suppkey, quantile_cont(r, 0.5) AS ratio, count(r) AS n FROM r GROUP BY 1)
+SELECT l_suppkey, round(ratio, 4) AS ratio, n, CASE WHEN n < 5 THEN NULL WHEN abs(ratio - 1) <= 0.03 THEN 1 WHEN abs(ratio / 10 - 1) <= 0.03 THEN 10 WHEN abs(ratio / 100 - 1) <= 0.03 THEN 100 WHEN abs(ratio / 1000 - 1) <= 0.03 THEN 1000 WHEN ratio <= 1.15 THEN 1 END::BIGINT AS scale FROM g""")
+def stored_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_suppkey") % 5
+    factor = F.when(k == 0, 1.0).when(k == 1, 10.0).when(k == 2, 101.0).when(k == 3, 1.1).otherwise(7.0)
+    rows = read(spark, sf_dir, "lineitem").withColumn("total", F.col("l_quantity") * factor)
+    return rounded(stats.scale_of(rows, ["l_suppkey"], "total", "l_quantity", least_force=10.0))
+
+
+@query("""WITH g AS (SELECT event_type, quantile_cont(CASE WHEN value > 5 THEN value END, 0.5) AS low, quantile_cont(CASE WHEN value > 5 THEN value END, 0.999) * 1.3 AS high FROM events GROUP BY 1) SELECT event_type, round(low, 4) AS low, round(greatest(high, low + 0.5), 4) AS high FROM g""")
+def display_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.display_range(read(spark, sf_dir, "events"), ["event_type"], "value", floor=5.0))
+
+
+@query("""WITH c AS (SELECT o_custkey % 4 AS k, min(CASE o_custkey % 4 WHEN 0 THEN o_orderkey - 100 WHEN 1 THEN o_orderkey + 1000000000000000000 WHEN 2 THEN o_orderkey ELSE -o_orderkey * 100000000000 END) AS low FROM orders GROUP BY 1) SELECT k, ['truncated_32', 'epoch_ns', 'device_counter', 'unknown'][k + 1] AS kind FROM c""")
+def clock_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, o = F.col("o_custkey") % 4, F.col("o_orderkey")
+    t = F.when(k == 0, o - 100).when(k == 1, o + F.lit(10**18)).when(k == 2, o).otherwise(-o * 100_000_000_000)
+    return read(spark, sf_dir, "orders").groupBy(k.alias("k")).agg(V.clock_class(F.min(t), F.max(t)).alias("kind"))
+
+
+@query("""SELECT p_brand, count(*) FILTER (p_name LIKE 'red%') AS by_pattern, count(*) FILTER (contains(lower(p_type), 'steel')) AS by_search, count(*) FILTER (contains(p_name, split_part(p_name, ' ', 1)) OR p_size > 40) AS either_way FROM part GROUP BY 1""")
+def name_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    first = F.split("p_name", " ")[0]
+    own = p.groupBy("p_brand").agg(F.count_if(rollups.like_pattern(F.col("p_name"), "red*")).alias("by_pattern"), F.count_if(rollups.matches_either_way(first, F.col("p_name")) | (F.col("p_size") > 40)).alias("either_way"))
+    found = rollups.search(p, "p_type", "STEEL").groupBy("p_brand").agg(F.count("*").alias("by_search"))
+    return own.join(found, "p_brand", "left").fillna(0, ["by_search"])
+
+
+@query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def alive_of_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose status means approved or failed, of customers that are not deleted."""
+    names = F.create_map(*map(F.lit, ("F", "reviewed", "O", "completed", "P", "failed")))
+    o = read(spark, sf_dir, "orders").withColumn("status", F.element_at(names, F.col("o_orderstatus")))
+    dead = read(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return rollups.alive(rollups.of_status(o, "status", ["approved", "failed"]), dead, "o_custkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("""WITH g AS (SELECT regexp_replace(c_name || CASE c_custkey % 3 WHEN 0 THEN '_left' WHEN 1 THEN '_right' ELSE '' END, '[_.]?(left|right)', '') AS base, c_name || CASE c_custkey % 3 WHEN 0 THEN '_left' WHEN 1 THEN '_right' ELSE '' END AS name, c_custkey % 3 AS k FROM customer) SELECT base, max(CASE WHEN k = 0 THEN name END) AS "left", max(CASE WHEN k = 1 THEN name END) AS "right", max(CASE WHEN k = 2 THEN name END) AS single FROM g GROUP BY 1""")
+def paired_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, ("_left", "_right", ""))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return rollups.paired_channels(read(spark, sf_dir, "customer").select(F.concat("c_name", ending).alias("name")), "name")
+
+
+@query("""SELECT CASE WHEN max(epoch(ts)) - max(epoch(ts)) FILTER (event_type = 'signup') <= 1 THEN 'fresh' WHEN max(epoch(ts)) - max(epoch(ts)) FILTER (event_type = 'signup') <= 3600 THEN 'in_flight' ELSE 'stale' END AS state FROM events""")
+def dataset_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("mtime"), F.when(F.col("event_type") == "signup", F.col("ts").cast("timestamp")).alias("info"))
+    return rollups.staleness(e, "info").select("state")
+
+
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as frames of an export, with columns of every ending that the passes know."""
+    k = F.col("vec_id")
+    return vectors(spark, sf_dir).select(
+        "label", "vec_id",
+        F.when(k % 3 != 0, F.lit(True)).alias("left_valid"),
+        F.when(k % 4 != 0, k).alias("hand_fingers"),
+        F.lit(-1).cast("long").alias("idle_fingers"),
+        F.when(k % 5 != 0, F.lit("x")).alias("hand_gesture"),
+        F.lit("").alias("idle_gesture"),
+        F.lit(0.0).alias("idle_gesture_score"),
+        F.lit(float("nan")).alias("hand_reprojection_error"),
+        F.lit("left").alias("hand_handedness"),
+        F.when(k % 2 == 0, F.col("e")[0]).alias("reading"),
+        F.slice("e", 1, (k % 4 + 1).cast("int")).alias("force_matrix"),
+        F.array(F.lit(1.0), F.lit(2.0)).alias("still"),
+        F.transform(F.slice("e", 1, 3), lambda x: F.when(x > 0, x)).alias("action"),
+    )
+
+
+@query(f"""WITH {_V} SELECT vec_id, vec_id % 3 <> 0 AS left_valid, CASE WHEN vec_id % 4 <> 0 THEN vec_id ELSE -1 END AS hand_fingers, CASE WHEN vec_id % 5 <> 0 THEN 'x' ELSE '' END AS hand_gesture, round(CASE WHEN vec_id % 2 = 0 THEN e[1] ELSE 0 END, 5) AS reading, round(list_sum(list_transform(e[1:3], lambda x: greatest(x, 0))), 5) AS action, 4 AS matrix_size, round(list_sum(e[1:vec_id % 4 + 1]), 4) AS matrix_sum FROM v""")
+def export_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls by the ending of a column, matrices of equal length, floats of half the width."""
+    total = lambda c: F.aggregate(F.transform(c, lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    out = assembly.padded_columns(assembly.filled(exported(spark, sf_dir)))
+    floats = [t for n, t in assembly.narrowed(out).dtypes if n in ("reading", "force_matrix")]
+    assert floats == ["float", "array<float>"] and "force_matrix" in assembly.fixed_length(out)
+    own = out.select("vec_id", "left_valid", "hand_fingers", "hand_gesture", "reading", total("action").alias("action"), F.size("force_matrix").alias("matrix_size"), F.round(total("force_matrix"), 4).alias("matrix_sum"))
+    return rounded(own, 5)
+
+
+@query("""SELECT unnest(['hand_handedness', 'hand_reprojection_error', 'idle_fingers', 'idle_gesture', 'idle_gesture_score', 'still']) AS "column" """)
+def constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = assembly.constant_columns(exported(spark, sf_dir), ("label", "vec_id"))
+    return spark.createDataFrame([(n,) for n in names], "column string")
+
+
+@query("""SELECT unnest(['label', 'e', 'vec_id']) AS "column", unnest(['int32', 'float64', 'int64']) AS dtype, unnest([1, 64, 1])::BIGINT AS shape""")
+def declared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = assembly.features(vectors(spark, sf_dir))
+    return spark.createDataFrame([(n, f["dtype"], f["shape"][0]) for n, f in own.items()], "column string, dtype string, shape long")
+
+
+@query(f"""WITH s AS (SELECT user_id, epoch_us(ts) // {DAY} AS day, list(value ORDER BY event_id) AS l FROM events GROUP BY ALL), m AS (SELECT greatest(3, max(len(l))) AS m FROM s) SELECT user_id, day, (m * 2)::BIGINT AS cells, m::BIGINT AS stamps, len(l)::BIGINT AS readings, round(list_sum(l), 4) AS total FROM s, m""")
+def flat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of samples of two values as flat arrays of equal length."""
+    ordered = F.array_sort(F.collect_list(F.struct("event_id", "value")))
+    own = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("us") / DAY).cast("long").alias("day")).agg(ordered.alias("o"))
+    own = own.select("user_id", "day", F.transform("o", lambda x: F.array(x["value"], F.lit(1.0))).alias("samples"), F.transform("o", lambda x: x["event_id"]).alias("stamps"))
+    out = assembly.flat_samples(own, "samples", "stamps", width=2)
+    there = F.filter("samples", lambda x: ~F.isnan(x))
+    total = F.aggregate(there, F.lit(0.0), lambda s, x: s + x) - F.size(there) / 2
+    return rounded(out.select("user_id", "day", F.size("samples").alias("cells"), F.size("stamps").alias("stamps"), (F.size(there) / 2).cast("long").alias("readings"), total.alias("total")))
+
+
+@query("""SELECT event_id, CASE WHEN event_type NOT IN ('error', 'signup') THEN value END AS hand_x FROM events""")
+def unpropagated_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("event_type") == "error", "propagated").when(F.col("event_type") == "signup", "absent").when(F.col("event_type") == "view", "real").when(F.col("event_type") == "click", "")
+    e = read(spark, sf_dir, "events").select("event_id", state.alias("hand_state"), F.col("value").alias("hand_x"))
+    return assembly.unpropagated(e, {"hand_state": ["hand_x"]}).select("event_id", "hand_x")
+
+
+@query(f"""WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) SELECT user_id, count(*) AS kept, count(*) FILTER (event_type = 'error') AS dropped, round(sum(value), 3) AS total FROM e WHERE i <= 20 GROUP BY 1""")
+def trimmed_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of each recording, and what is counted in them again."""
+    e = numbered_events(spark, sf_dir).withColumn("frame_index", F.col("frame") - 1)
+    return rounded(assembly.trimmed(e, "frame_index", 20).groupBy("user_id").agg(F.count("*").alias("kept"), F.count_if(F.col("event_type") == "error").alias("dropped"), F.sum("value").alias("total")), 3)
+
+
+@query("""SELECT c_custkey AS frame, c_name AS name, n_name AS name_kpts, n_regionkey::BIGINT AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def suffixed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frame"), F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return rounded(align.suffixed(c, n, ["k"]).drop("k"))
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, s_nationkey::BIGINT AS rank FROM supplier UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
+def merged_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two lists, of one id the first list's."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("rank"), F.lit(0).alias("o"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("rank"), F.lit(1).alias("o"))
+    return rounded(align.keep_first(s.unionByName(c), ["id"], ["o"]).drop("o"))
+
+
+@query("""WITH b(name, id) AS (VALUES ('red', 1), ('red bo', 2), ('RED bo', 3), ('blue', 4), ('small ring', 5), ('g', 6)), m AS (SELECT p_partkey, lower(b.name) AS k, min(id) AS id, count(DISTINCT id) AS n, row_number() OVER (PARTITION BY p_partkey ORDER BY length(b.name) DESC) AS r FROM part JOIN b ON starts_with(lower(p_name), lower(b.name)) GROUP BY p_partkey, lower(b.name), length(b.name))
+SELECT p_partkey, CASE WHEN n = 1 THEN id END AS project, coalesce(n > 1, false) AS ambiguous FROM part LEFT JOIN (SELECT * FROM m WHERE r = 1) USING (p_partkey)""")
+def project_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owners = spark.createDataFrame([("red", 1), ("red bo", 2), ("RED bo", 3), ("blue", 4), ("small ring", 5), ("g", 6)], "key string, project long")
+    return align.owner_of(read(spark, sf_dir, "part"), owners, "p_name", "key", "project", [1, 3, 4, 6, 10]).select("p_partkey", "project", "ambiguous")
+
+
+@query("""SELECT o_custkey, count(DISTINCT id) AS ids FROM (SELECT o_custkey, o_orderpriority AS id FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1""")
+def union_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "id")
+    return rollups.union_size(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus <> 'P'"), ["o_custkey"], "id")
+
+
+@query("""SELECT user_id, coalesce(max(CASE WHEN event_type = 'click' AND value > 60 THEN value END), max(CASE WHEN event_type = 'view' AND value > 90 THEN value END), 30.0) AS fps FROM events GROUP BY 1""")
+def playback_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    cameras = e.filter("event_type = 'click' and value > 60").select("user_id", F.col("value").alias("fps"))
+    stereo = e.filter("event_type = 'view' and value > 90").groupBy("user_id").agg(F.max("value").alias("stereo_fps"))
+    return rollups.effective_fps(e.select("user_id").distinct(), cameras, stereo, "user_id", 30.0)
+
+
+@query("""WITH f AS (SELECT o_custkey % 20 AS run, o_orderkey // 1000 AS step, o_orderkey % 977 AS bytes, epoch_us(o_orderdate) // 1000000 AS at FROM orders) SELECT run, step, count(*) AS files, sum(bytes)::BIGINT AS bytes, row_number() OVER (PARTITION BY run ORDER BY step DESC) = 1 AS newest FROM f GROUP BY run, step""")
+def checkpoint_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    path = F.concat(F.lit("runs/"), (F.col("o_custkey") % 20).cast("string"), F.lit("/checkpoints/"), F.lpad(F.floor(o / 1000).cast("string"), 6, "0"), F.lit("/model_"), o.cast("string"))
+    files = read(spark, sf_dir, "orders").select(path.alias("path"), (o % 977).alias("length"))
+    return rollups.checkpoints(files).select(F.col("run").cast("long").alias("run"), "step", "files", "bytes", "newest")
+
+
+@query(f"""WITH m AS (SELECT event_type AS stream, quantile_cont(epoch_us(ts), 0.5) AS mid FROM events WHERE event_type <> 'view' GROUP BY 1), r AS (SELECT quantile_cont(epoch_us(ts), 0.5) AS v FROM events WHERE event_type = 'view') SELECT stream, CASE WHEN abs(mid - v) <= abs(mid - v + {10 * DAY}) THEN 'wall' ELSE 'device' END AS reference FROM m, r""")
+def guessed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stream's reference clock: of two candidates the one whose times are nearest."""
+    e = events(spark, sf_dir)
+    mids = e.groupBy(F.col("event_type").alias("stream")).agg(F.percentile("us", F.lit(0.5)).alias("mid"))
+    view = mids.filter("stream = 'view'").select("mid")
+    references = view.select(F.lit("wall").alias("reference"), "mid").unionByName(view.select(F.lit("device").alias("reference"), (F.col("mid") - 10 * DAY).alias("mid")))
+    return rollups.guessed_reference(mids.filter("stream <> 'view'"), references, "stream", "mid", "reference").select("stream", "reference")
+
+
+@query("""WITH f AS (SELECT user_id AS k, CASE event_type WHEN 'view' THEN 'cam_left.a' WHEN 'click' THEN 'cam_right.a' ELSE 'cam_left.b' END AS file, count(*) FILTER (value > 50) AS hands FROM events GROUP BY ALL) SELECT k AS user_id, file FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY hands DESC, file) AS r FROM f) WHERE r = 1""")
+def best_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file with most hands that are there, the first of equals."""
+    e = read(spark, sf_dir, "events")
+    file = F.when(F.col("event_type") == "view", "cam_left.a").when(F.col("event_type") == "click", "cam_right.a").otherwise("cam_left.b")
+    n = e.groupBy("user_id", file.alias("file")).agg(F.count(F.when(F.col("value") > 50, 1)).alias("hands"))
+    return align.keep_first(n, ["user_id"], [F.desc("hands"), "file"]).select("user_id", "file")
+
+
+@query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS nth FROM events""")
+def ordered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with nulls last and a second key, as numbers."""
+    w = Window.partitionBy("user_id").orderBy(F.col("value").desc_nulls_last(), "event_id")
+    return rounded(read(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).alias("nth")))
+
+
+@query("""SELECT r_name, n_name, count(c_custkey) AS customers, round(sum(c_acctbal), 2) AS balance FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL""")
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects, sessions and episodes: inner joins, and an outer one to the last."""
+    r, n, c = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    own = r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return rounded(own.groupBy("r_name", "n_name").agg(F.count("c_custkey").alias("customers"), F.sum("c_acctbal").alias("balance")), 2)
+
+
+@query(f"""WITH {_V}, c AS (SELECT label, unnest(e[1:6]) AS x, unnest(range(0, 6)) AS axis FROM v) SELECT label::BIGINT AS label, axis, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, round(min(x), 4) AS "min", round(max(x), 4) AS "max", count(*) AS count FROM c GROUP BY ALL""")
+def sample_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each axis over all samples of all frames."""
+    v = vectors(spark, sf_dir).select("label", F.explode(F.array(F.slice("e", 1, 6))).alias("sample"))
+    cells_ = v.select("label", F.posexplode("sample").alias("axis", "x"))
+    return rounded(stats.scalar_stats(cells_, ["label", "axis"], "x", quantiles_too=False))
+
+
+@query()
+def triangulated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of two cameras from pixels; the reprojection of known points is tested."""
+    p1 = np.array([[500.0, 0, 320, 0], [0, 500, 240, 0], [0, 0, 1, 0]])
+    p2 = p1.copy()
+    p2[0, 3] = -50.0
+    z = F.abs(F.col("e")[2]) + 0.2
+    own = vectors(spark, sf_dir).select("vec_id", F.array(500 * F.col("e")[0] / z + 320, 500 * F.col("e")[1] / z + 240).alias("a"), F.array((500 * F.col("e")[0] - 50) / z + 320, 500 * F.col("e")[1] / z + 240).alias("b"))
+    out = poses.triangulated(own, "a", "b", p1, p2)
+    return rounded(out.select("vec_id", F.col("xyz")[2].alias("z"), F.round("error", 3).alias("error")), 3)
+
+
+@query(f"""WITH {_V}, h AS (SELECT vec_id, e, sqrt(pow(e[1] - e[4], 2) + pow(e[2] - e[5], 2) + pow(e[3] - e[6], 2)) AS d FROM v) SELECT vec_id, round(CASE WHEN d > 1 THEN NULL ELSE e[1] END + 0, 5) AS x, false AS wholesale FROM h""")
+def gated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point against its prediction, of which those too far away are dropped."""
+    e = vectors(spark, sf_dir)
+    out = tracks.gated(e.select("vec_id", F.array(F.slice("e", 1, 3)).alias("points"), F.array(F.slice("e", 4, 3)).alias("predicted")), "points", "predicted", gate=1.0, wholesale=1.1, least=1)
+    return rounded(out.select("vec_id", F.col("points")[0][0].alias("x"), "wholesale"), 5)
+
+
+@query(f"""WITH {_V}, p AS (SELECT label, vec_id, CASE WHEN vec_id % 6 <> 1 THEN e[1:3] END AS pl, (vec_id % 130) / 100.0::DOUBLE AS g FROM v), o AS (SELECT *, first_value(pl IGNORE NULLS) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS o FROM p)
+SELECT vec_id, unnest(range(0, 4)) AS dim, round(unnest([pl[1] - o[1], pl[2] - o[2], pl[3] - o[3], least(g, 1)]), 5) AS value FROM o WHERE pl IS NOT NULL""")
+def derived_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States made from poses, of which every sixth is torn, and the opening of the gripper."""
+    pose = F.when(F.col("vec_id") % 6 == 1, F.array(F.lit(float("nan")), F.lit(0.0))).otherwise(F.slice("e", 1, 7))
+    grip = F.array((F.col("vec_id") % 130).cast("double"))
+    e = vectors(spark, sf_dir).select(F.col("label").alias("episode_index"), F.col("vec_id").alias("frame_index"), pose.alias("observation.slam_pose"), grip.alias("observation.gripper_state"))
+    out = assembly.with_pose_and_state(e).select(F.col("frame_index").alias("vec_id"), F.col("`observation.state`").alias("state"))
+    return cells(out, "state")
+
+
+@query(f"""WITH e AS (SELECT user_id, epoch_us(ts) // {DAY} AS day, event_id, event_type, value FROM events), x AS (SELECT l.user_id, l.day, l.event_id AS "left", r.event_id AS "right", ((l.event_id * 7 + r.event_id * 3) % 22)::BIGINT AS points, abs(l.value - r.value) AS error FROM e l JOIN e r ON l.user_id = r.user_id AND l.day = r.day WHERE l.event_type = 'view' AND r.event_type = 'click'),
+s AS (SELECT *, points * 10.0::DOUBLE - error + CASE WHEN ("left" + "right") % 2 = 0 THEN 5 ELSE 0 END AS score FROM x WHERE points >= 12), a AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY score DESC, "left", "right") AS n FROM s), f AS (SELECT * FROM a WHERE n = 1),
+b AS (SELECT a.*, row_number() OVER (PARTITION BY a.user_id, a.day ORDER BY a.score DESC, a."left", a."right") AS m FROM a JOIN f ON a.user_id = f.user_id AND a.day = f.day WHERE a."left" <> f."left" AND a."right" <> f."right")
+SELECT user_id, day, "left", "right", 1::BIGINT AS rank FROM f UNION ALL SELECT user_id, day, "left", "right", 2 FROM b WHERE m = 1""")
+def paired_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and clicks of a day as hands of a left and a right camera."""
+    e = events(spark, sf_dir).withColumn("day", F.floor(F.col("us") / DAY).cast("long"))
+    left = e.filter("event_type = 'view'").select("user_id", "day", F.col("event_id").alias("left"), F.col("value").alias("a"))
+    right = e.filter("event_type = 'click'").select("user_id", "day", F.col("event_id").alias("right"), F.col("value").alias("b"))
+    both = left.join(right, ["user_id", "day"]).withColumn("points", (F.col("left") * 7 + F.col("right") * 3) % 22).withColumn("error", F.abs(F.col("a") - F.col("b"))).withColumn("same", (F.col("left") + F.col("right")) % 2 == 0)
+    return rounded(poses.paired_hands(both, ["user_id", "day"], "left", "right", "points", "error", "same").select("user_id", "day", "left", "right", "rank"))

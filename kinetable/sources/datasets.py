@@ -132,6 +132,48 @@ def write_meta(spark: SparkSession, root: str, info: dict, tasks: DataFrame) ->
     write_text(spark, f"{root}/meta/tasks.jsonl", "".join(json.dumps(r.asDict()) + "\n" for r in tasks.orderBy("task_index").toLocalIterator()))
 
 
+def write_single(spark: SparkSession, frames: DataFrame, path: str) -> None:
+    """All frames, in order, in one file of this name: for datasets that are handed on whole, not for large ones."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    part = f"{path}.{uuid.uuid4().hex}"
+    frames.coalesce(1).sortWithinPartitions("episode_index", "frame_index").write.parquet(part)
+    store = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = next(f.getPath() for f in store.listStatus(p(part)) if f.getPath().getName().endswith(".parquet"))
+    store.delete(p(path), False)
+    if not store.rename(made, p(path)):
+        raise OSError(f"{path} can't be put in place")
+    store.delete(p(part), True)
+
+
+def write_stats(spark: SparkSession, root: str, stats: DataFrame, feature: str) -> None:
+    """meta/stats: of a feature the statistics of each dimension (dim, mean, std, min, max, count) as arrays, one line."""
+    named = [F.col(f"_s.{n}").alias(n) for n in ("mean", "std", "min", "max", "count")]
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std", "min", "max", "count"))).alias("_s"))
+    one.select(F.lit(feature).alias("feature"), *named).write.mode("append").json(f"{root}/meta/stats")
+
+
+def write_episode_stats(root: str, stats: DataFrame) -> None:
+    """meta/episodes_stats: a line for each episode and feature (episode_index, feature, mean, std, min, max, count)."""
+    stats.select("episode_index", "feature", "mean", "std", "min", "max", "count").write.mode("append").json(f"{root}/meta/episodes_stats")
+
+
+def read_stats(spark: SparkSession, root: str) -> DataFrame:
+    numbers = ", ".join(f"{n} array<double>" for n in ("mean", "std", "min", "max"))
+    return spark.read.schema(f"feature string, {numbers}, count array<bigint>").json(f"{root}/meta/stats")
+
+
+def sampled(frames: DataFrame, every: int = 3) -> tuple[DataFrame, float]:
+    """Frames of every ``every``-th file, and by how much counts of theirs are to be scaled up."""
+    files = frames.inputFiles()
+    own = sorted(files)[::every]
+    return frames.sparkSession.read.parquet(*own), len(files) / max(1, len(own))
+
+
+def read_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A table of a relational database, by JDBC."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
 def swapped(spark: SparkSession, staged: str, target: str) -> None:
     """A staged dataset in place of another, which is put aside first and back if that fails."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
