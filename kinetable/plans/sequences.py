@@ -320,3 +320,12 @@ def tactile_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = numbered_events(spark, sf_dir).filter(F.col("event_type").isin("view", "click")).select("user_id", "frame")
     return clocks.gap_flags(e, ["user_id"], "frame")
+
+
+@query()
+def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a label as a hand of 21 points, with frames that are missing; tested on planted gaps and jumps."""
+    v = F.col("embedding").cast("array<double>")
+    hand = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: F.slice(v, j * 3 + 1, 3))
+    e = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.when(F.col("vec_id") % 4 != 0, hand).alias("points"))
+    return rounded(tracks.labelled_points(e, ["label"], "vec_id", "points", gate=2.0).select("label", "vec_id", "state", F.col("tracked")[0][0].alias("x")))

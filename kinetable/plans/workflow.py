@@ -150,3 +150,31 @@ def completed(nodes: list[Node], edges: list[Edge], devices: dict[str, str], pro
             nodes.append(free)
         edges.append(Edge(own.id, "out", free.id, "frames"))
     return nodes, edges
+
+
+@dataclass(frozen=True)
+class Claim:
+    """What sources an input kind takes: those named by its keys (or parts of one another), else the first that holds one of
+    ``words`` and none of ``without``; all of those if ``every``."""
+
+    kind: str
+    keys: tuple[str, ...] = ()
+    words: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+    every: bool = False
+
+
+def claimed(available: set[str], claims: list[Claim]) -> dict[str, list[str]]:
+    """The sources of each kind, in the order of the claims; a source goes to one kind only."""
+    free = sorted(s.lower() for s in available)
+    out: dict[str, list[str]] = {}
+    for c in claims:
+        own: list[str] = []
+        for key in c.keys:
+            own += [s for s in free if s not in own and (key.lower() in s or s in key.lower())][:1]
+        if not own:
+            fits = [s for s in free if (not c.words or any(w in s for w in c.words)) and not any(w in s for w in c.without)]
+            own = fits if c.every else fits[:1] if c.words or c.without else []
+        out[c.kind] = own
+        free = [s for s in free if s not in own]
+    return out

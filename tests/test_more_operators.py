@@ -84,3 +84,38 @@ def test_a_sample_of_files_with_its_scale(spark, tmp_path):
 def test_like_patterns_and_axes(spark):
     df = spark.createDataFrame([("a.b_1",), ("axb_1",), ("a.b",)], "n string")
     assert [r["n"] for r in df.filter(rollups.like_pattern(F.col("n"), "a.b_?")).collect()] == ["a.b_1"]
+
+
+def test_points_are_labelled_in_two_passes(spark):
+    def hand(x, odd=None, by=0.5):
+        p = [[x + 0.01 * j, 0.0, 1.0] for j in range(21)]
+        if odd is not None:
+            p[odd] = [p[odd][0] + by, 0.0, 1.0]
+        return p
+
+    steady = [hand(0.0)] * 10
+    cases = {
+        "lead": [None] * 20 + steady,  # fifteen frames before the first are predicted back
+        "gap": steady + [None] * 3 + steady,
+        "flash": steady + [hand(3.0)] + steady,  # one frame elsewhere
+        "moved": steady + [hand(3.0)] * 6,
+        "latched": steady + [hand(0.0, odd=4)] * 8,
+        "never": [None] * 5,
+    }
+    rows = [(k, i, p) for k, ps in cases.items() for i, p in enumerate(ps)]
+    out = tracks.labelled_points(spark.createDataFrame(rows, "k string, i long, p array<array<double>>"), ["k"], "i", "p").collect()
+    got = {(r["k"], r["i"]): r for r in out}
+    state = lambda k: "".join(got[k, i]["state"][0] for i in range(len(cases[k])))
+    assert state("lead") == "a" * 5 + "p" * 15 + "r" * 10 and state("gap") == "r" * 10 + "ppp" + "r" * 10 and state("never") == "a" * 5
+    assert state("flash") == "r" * 10 + "p" + "r" * 10 and abs(got["flash", 10]["tracked"][0][0]) < 1e-9
+    assert state("moved") == "r" * 10 + "p" + "r" * 5 and abs(got["moved", 11]["tracked"][0][0] - 3.0) < 1e-9  # the second agrees
+    x = [got["latched", i]["tracked"][4][0] for i in range(10, 18)]
+    assert all(abs(v - 0.04) < 1e-9 for v in x[:4]) and x[4] > 0.2  # taken back after five frames
+
+
+def test_sources_go_to_one_kind_each():
+    from kinetable.plans.workflow import Claim, claimed
+
+    claims = [Claim("glove", ("left_glove", "right_glove")), Claim("stereo", words=("stereo",)), Claim("gripper", words=("gripper", "umi"), every=True), Claim("mono", without=("glove", "imu", "depth")), Claim("other", ("nothing",))]
+    got = claimed({"Left_Glove_Joint", "umi_state", "gripper_force", "head_stereo_rgb", "ego_rgb", "imu_left"}, claims)
+    assert got == {"glove": ["left_glove_joint"], "stereo": ["head_stereo_rgb"], "gripper": ["gripper_force", "umi_state"], "mono": ["ego_rgb"], "other": []}
