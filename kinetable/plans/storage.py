@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -149,16 +154,9 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, count(*) AS packets, sum(event_id)::BIGINT AS ids, sum(length(event_type))::BIGINT AS bytes FROM events GROUP BY 1""")
 def packet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary packets of a header and a payload, a file for each user, with a torn packet at the end."""
-    import struct
-    import uuid
-
-    from pyarrow import fs
-
     root = datasets.scratch(spark, "packets")
 
-    def save(key: tuple, pdf):
-        import pandas as pd
-
+    def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         store, base = fs.FileSystem.from_uri(root)
         store.create_dir(base, recursive=True)
         body = b"".join(struct.pack("<qI", int(i), len(t)) + t.encode() for i, t in zip(pdf["event_id"], pdf["event_type"], strict=True))
