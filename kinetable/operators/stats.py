@@ -84,13 +84,23 @@ def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(r, same).drop(*[f"_r_{k}" for k in keys])
 
 
-def scalar_stats(df: DataFrame, keys: list[str], value: str, quantiles_too: bool = True, most: int = MOST) -> DataFrame:
-    """mean, std, min, max, quantiles and count of each group; groups without a finite value are left out."""
-    out = df.groupBy(*keys).agg(*moments(F.col(value)), F.count(finite(value)).alias("_finite")).filter("_finite > 0").drop("_finite")
+def scalar_stats(df: DataFrame, keys: list[str], value: str, quantiles_too: bool = True, most: int = MOST, sizes: DataFrame | None = None) -> DataFrame:
+    """mean, std, min, max, quantiles and count of each group; groups without a finite value are left out.
+
+    All is one aggregate unless a group (as ``sizes`` with ``count`` say, if given) has more than ``most`` rows.
+    """
+    v, own = finite(value).cast("double"), moments(F.col(value))
+    sizes = df.groupBy(*keys).count() if quantiles_too and sizes is None else sizes
+    small = quantiles_too and sizes.filter(F.col("count") > most).isEmpty()
+    every = [F.percentile(v, F.array(*map(F.lit, QUANTILES.values()))).alias("_q")] if small else []
+    out = df.groupBy(*keys).agg(*own, F.count(v).alias("_finite"), *every).filter("_finite > 0")
     if not quantiles_too:
-        return out
-    both = _beside(out, quantiles(df, keys, value, QUANTILES, most), keys)
-    return both.select(*keys, "mean", "std", "min", "max", *QUANTILES, "count")
+        return out.drop("_finite")
+    if small:
+        out = out.select("*", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(QUANTILES)])
+    else:
+        out = _beside(out, quantiles(df, keys, value, QUANTILES, most), keys)
+    return out.select(*keys, "mean", "std", "min", "max", *QUANTILES, "count")
 
 
 def vector_stats(df: DataFrame, keys: list[str], vector: str, most: int = MOST) -> DataFrame:
@@ -100,8 +110,9 @@ def vector_stats(df: DataFrame, keys: list[str], vector: str, most: int = MOST)
     """
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     sized = df.groupBy(*keys).agg(F.min(F.size(vector)).alias("_a"), F.max(F.size(vector)).alias("_z"), F.count_if(fine).alias("count"))
-    cells = df.select(*keys, F.posexplode(vector).alias("dim", "x"))
-    out = scalar_stats(cells.withColumn("x", F.col("x").cast("double")), [*keys, "dim"], "x", True, most).drop("count")
+    cells = df.select(*keys, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    # No dimension of a group has more values than the group has vectors.
+    out = scalar_stats(cells, [*keys, "dim"], "x", True, most, df.groupBy(*keys).count()).drop("count")
     return _beside(out, sized.filter("_a = _z").drop("_a", "_z"), keys)
 
 
