@@ -34,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Texts of a block of a bucket, shingles of all of a block's texts (one text may have more), and those compared at once.
 BLOCK, SHINGLES, COLUMNS = 256, 500_000, 4096
+#: Texts that a task compares with the first of their bucket.
+RAYS = 64
 #: Texts whose registers are filled at once.
 LANES = 1500
 #: Texts of the audit, and shingles of all of them, at most.
@@ -143,9 +145,9 @@ def _links_between(least: float):
     return links
 
 
-def tasks_for(n: str, total: str):
-    """Blocks for so many texts with so many shingles in all."""
-    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(total) / SHINGLES)).cast("int")
+def tasks_for(n: str, total: str, most: int):
+    """Blocks of so many texts at most, with so many shingles in all."""
+    return F.ceil(F.greatest(F.col(n) / most, F.col(total) / SHINGLES)).cast("int")
 
 
 def linked(sides: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -177,7 +179,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Stars: each text against the first of its buckets.
     stars = members.groupBy("node").agg(F.min("a").alias("a"), F.first("size").alias("size")).filter("a < node")
     stars = stored(stars, "stars")
-    hubs = stored(stars.groupBy("a").agg(F.count("*").alias("n"), F.sum("size").alias("total")).withColumn("k", tasks_for("n", "total")), "hubs")
+    hubs = stored(stars.groupBy("a").agg(F.count("*").alias("n"), F.sum("size").alias("total")).withColumn("k", tasks_for("n", "total", RAYS)), "hubs")
     rays = salted_join(stars.select("a", "node"), hubs.select("a", "k"), "a", "inner", hubs.select("a", "n"))
     rays = rays.select(F.xxhash64("a", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).alias("c"), "node", F.lit(1).alias("side"))
     centres = hubs.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("at"))
@@ -189,7 +191,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     placed = members.select("node", "size", "bucket").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     same = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.min("node").alias("a"), F.max("node").alias("z"), F.min("label").alias("l"), F.max("label").alias("m"))
     mixed = same.filter("l < m").groupBy("n", "total", "x", "a", "z").agg(F.min("bucket").alias("bucket"))
-    mixed = stored(mixed.select("bucket", "n", tasks_for("n", "total").alias("k")), "mixed")
+    mixed = stored(mixed.select("bucket", "n", tasks_for("n", "total", BLOCK).alias("k")), "mixed")
     placed = salted_join(placed, mixed.select("bucket", "k"), "bucket", "inner", mixed.select("bucket", "n"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     pair = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))

@@ -161,6 +161,7 @@ def test_different_texts_of_one_id_are_not_lost(documents):
 
 def test_a_hub_with_many_rays_is_compared_in_parts(documents, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "RAYS", 3)
     import kinetable.llm.common as common
 
     monkeypatch.setattr(common, "HOT_ROWS", 5)
