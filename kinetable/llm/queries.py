@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, extract, language, licenses, mixing, neardup, pii, secrets, vectors, warc
+from kinetable.llm import codes, decontaminate, exactdup, extract, fim, language, licenses, mixing, neardup, pii, secrets, vectors, warc
 from kinetable.llm.common import table
 
 
@@ -64,6 +64,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.summary(fim.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -75,6 +87,17 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_main_text": op9_main_text,
     "op10_near_dedup": op10_near_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.sql(), "op3_source_mixing": mixing.SQL, "op5_vector_dedup": vectors.SQL, "op10_near_dedup": neardup.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.sql(),
+    "op3_source_mixing": mixing.SQL,
+    "op5_vector_dedup": vectors.SQL,
+    "op10_near_dedup": neardup.SQL,
+    "op11_exact_dedup": exactdup.SQL,
+    "op12_vector_codes": codes.SQL,
+    "op13_fill_in_middle": fim.SQL,
+}
