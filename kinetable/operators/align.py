@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetable.operators.longstreams import Stream, following, last
+
 _BACK, _AHEAD = "_back", "_ahead"
 
 
@@ -19,15 +21,19 @@ def _sides(left: DataFrame, right: DataFrame, by: list[str], on: str, tie: str)
     return lefts, rights
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, direction: str = "backward", tolerance: float | None = None, tie: str | None = None, bucket: int | None = None, prefix: str = "r_") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, direction: str = "backward", tolerance: float | None = None, tie: str | None = None, bucket: int | None = None, prefix: str = "r_", rows: int | None = None) -> DataFrame:
     """Each left row with the right row of its key that is the last up to it (``backward``), the first from it
     (``forward``) or the nearest, earlier of two equally near; right columns are prefixed, and null without a match.
 
-    Of right rows at one time the one with the largest ``tie`` is last.  ``bucket`` splits keys by time.
+    Of right rows at one time the one with the largest ``tie`` is last.  ``bucket`` splits keys by time; ``rows`` cuts
+    keys that have more rows of both sides into ranges of about so many.
     """
     tie = tie or on
     lefts, rights = _sides(left, right, by, on, tie)
     both = lefts.unionByName(rights, allowMissingColumns=True)
+    if rows:
+        both = _ranged(both, by, direction, rows)
+        return _picked(both, right, by, direction, tolerance, prefix)
     part = list(by)
     if bucket is not None:
         part = [*by, "_b"]
@@ -40,6 +46,19 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, direction: s
         both = both.withColumn(_BACK, F.last("_held", ignorenulls=True).over(ahead_of.rowsBetween(Window.unboundedPreceding, 0)))
     if direction != "backward":
         both = both.withColumn(_AHEAD, F.last("_held", ignorenulls=True).over(behind_of.rowsBetween(Window.unboundedPreceding, 0)))
+    return _picked(both, right, by, direction, tolerance, prefix)
+
+
+def _ranged(both: DataFrame, by: list[str], direction: str, rows: int) -> DataFrame:
+    """Both sides with the right rows before and after, over ranges of each key."""
+    back = [F.desc("_t"), F.col("_side") if direction == "forward" else F.desc("_side"), F.desc("_tie")]
+    want = {_BACK: last("_held")} if direction != "forward" else {}
+    want |= {_AHEAD: following("_held", *back)} if direction != "backward" else {}
+    return Stream(both, by, ["_t", "_side", "_tie"], rows).add(**want).df
+
+
+def _picked(both: DataFrame, right: DataFrame, by: list[str], direction: str, tolerance: float | None, prefix: str) -> DataFrame:
+    """The left rows with the right row of the two that the direction asks for."""
     rows = both.filter("_side = 1")
     if direction == "backward":
         found = F.col(_BACK)

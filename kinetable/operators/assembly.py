@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetable.functions.values import padded
+from kinetable.operators.longstreams import Stream, total
 
 
 def spine(episodes: DataFrame, key: str = "episode_index", length: str = "length") -> DataFrame:
@@ -128,8 +129,12 @@ def fixed_length(df: DataFrame) -> list[str]:
     return [c for i, c in enumerate(own) if row[i]]
 
 
-def offsets(episodes: DataFrame, index: str = "episode_index", length: str = "length", width: int = 1000) -> DataFrame:
-    """First row and the row after the last of each episode in the whole dataset; sums run within blocks of episodes."""
+def offsets(episodes: DataFrame, index: str = "episode_index", length: str = "length", width: int = 1000, rows: int | None = None) -> DataFrame:
+    """First row and the row after the last of each episode in the whole dataset; sums run within blocks of episodes,
+    or, with ``rows``, within ranges of about so many of them."""
+    if rows:
+        summed = Stream(episodes, [], [index], rows).add(dataset_to_index=total(length)).df
+        return summed.withColumn("dataset_from_index", F.col("dataset_to_index") - F.col(length))
     b = episodes.withColumn("_b", F.floor(F.col(index) / width))
     before = b.groupBy("_b").agg(F.sum(length).alias("_s"))
     before = before.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))

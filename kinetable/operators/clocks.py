@@ -1,4 +1,7 @@
-"""Timestamp checks and repairs of ordered streams: one window over each stream, no shuffle beyond its key."""
+"""Timestamp checks and repairs of ordered streams: one window over each stream, no shuffle beyond its key.
+
+With ``rows`` streams that are longer than that are cut into ranges (``longstreams``), so that no stream is one task.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.functions.values import unwrapped_step
+from kinetable.operators.longstreams import Stream, last, previous, total
 
 # Fixed thresholds of the timestamp checks.
 JUMP, JUMP_EXCESS_NS, COMPRESSED = 1.8, 3_000_000, 0.5
@@ -14,8 +18,10 @@ DUPLICATE_SHARE = 0.001
 RATE_WARN, RATE_ERROR, COVERAGE = 0.01, 0.05, 0.95
 
 
-def steps(df: DataFrame, by: list[str], order: list, ts: str) -> DataFrame:
+def steps(df: DataFrame, by: list[str], order: list, ts: str, rows: int | None = None) -> DataFrame:
     """Adds ``prev`` and ``step`` to the rows of each stream."""
+    if rows:
+        return Stream(df, by, order, rows).add(prev=previous(ts)).df.withColumn("step", F.col(ts) - F.col("prev"))
     prev = F.lag(ts).over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("prev", prev).withColumn("step", F.col(ts) - F.col("prev"))
 
@@ -26,9 +32,9 @@ def gap_flags(df: DataFrame, by: list[str], index: str) -> DataFrame:
     return df.withColumn("gap_before", F.coalesce(prev != F.col(index) - 1, F.lit(False)))
 
 
-def regressions(df: DataFrame, by: list[str], order: list, ts: str, wrap_bits: int | None = None) -> DataFrame:
+def regressions(df: DataFrame, by: list[str], order: list, ts: str, wrap_bits: int | None = None, rows: int | None = None) -> DataFrame:
     """Backward steps of each stream; steps that a counter's wrap-around explains are counted apart."""
-    s = steps(df, by, order, ts)
+    s = steps(df, by, order, ts, rows)
     back = F.col("step") < 0
     wrapped = back & (unwrapped_step(F.col("step"), wrap_bits) >= 0) if wrap_bits else F.lit(False)
     return s.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(back & ~wrapped).alias("regressions"), F.count_if(wrapped).alias("wraps"), F.max(F.when(back & ~wrapped, -F.col("step"))).alias("worst"))
@@ -102,9 +108,9 @@ def holes(df: DataFrame, index: str, width: int = 100_000) -> DataFrame:
     return missing.unionByName(n.filter("n > 1").select(F.lit("repeated").alias("kind"), F.col("i").alias("first"), F.col("i").alias("last")))
 
 
-def gap_watch(df: DataFrame, by: list[str], order: list, ts: str, nominal: float, least: float) -> DataFrame:
+def gap_watch(df: DataFrame, by: list[str], order: list, ts: str, nominal: float, least: float, rows: int | None = None) -> DataFrame:
     """Time lost beyond the nominal period; a backward step starts anew, time 0 is no reading."""
-    s = steps(df.filter(F.col(ts) != 0), by, order, ts)
+    s = steps(df.filter(F.col(ts) != 0), by, order, ts, rows)
     lost = F.when((F.col("step") > 0) & (F.col("step") - nominal >= least), F.col("step") - nominal)
     return s.groupBy(*by).agg(F.count("*").alias("readings"), F.count(lost).alias("gaps"), F.coalesce(F.sum(lost), F.lit(0)).alias("lost"), F.max(lost).alias("peak"), F.count_if(F.col("step") < 0).alias("resyncs"))
 
@@ -118,14 +124,19 @@ def stalls(df: DataFrame, by: list[str], order: list, ts: str, ok: str) -> DataF
     return runs.groupBy(*by).agg(F.count("*").alias("stalls"), F.sum("stall").alias("stalled"), F.max("stall").alias("longest"))
 
 
-def unwrapped(df: DataFrame, by: list[str], order: list, ts: str, bits: int = 32) -> DataFrame:
+def unwrapped(df: DataFrame, by: list[str], order: list, ts: str, bits: int = 32, rows: int | None = None) -> DataFrame:
     """A counter that goes on through its wrap-arounds, in ``unwrapped``; missing readings have none and are stepped over."""
+    if rows:
+        s = Stream(df, by, order, rows).add(_before=last(ts, exclusive=True))
+        step = F.when(F.col(ts).isNotNull(), F.coalesce(unwrapped_step(F.col(ts) - F.col("_before"), bits), F.col(ts)))
+        s = s.map(lambda d: d.withColumn("_step", step)).add(_total=total("_step"))
+        return s.df.withColumn("unwrapped", F.when(F.col(ts).isNotNull(), F.col("_total"))).drop("_before", "_step", "_total")
     w = Window.partitionBy(*by).orderBy(*order)
     # Steps from the last reading that is there; the first reading counts itself.
     prev = F.last(ts, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     step = F.when(F.col(ts).isNotNull(), F.coalesce(unwrapped_step(F.col(ts) - prev, bits), F.col(ts)))
-    total = F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("unwrapped", F.when(F.col(ts).isNotNull(), total))
+    upto = F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("unwrapped", F.when(F.col(ts).isNotNull(), upto))
 
 
 def uniform(df: DataFrame, by: list[str], order: list, ts: str, mode: str = "uniform", low: float = 0.5, high: float = 1.5) -> DataFrame:
@@ -176,8 +187,8 @@ def rebuilt_from_host(df: DataFrame, by: list[str], order: list, host: str, quan
     # Times since the first are added up, so that they stay exact to far below the quantum.
     add = F.when(F.col("step").isNull(), 0.0).when(F.col("step") > 1.5 * F.col("_mid"), F.col("step")).otherwise(F.coalesce("_beta", "_mid"))
     origin = F.first(host).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-    total = F.sum(add).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    at = F.floor(origin / quantum) + F.rint((F.pmod(origin, F.lit(quantum)) + total) / quantum)
+    upto = F.sum(add).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.floor(origin / quantum) + F.rint((F.pmod(origin, F.lit(quantum)) + upto) / quantum)
     s = s.withColumn("_at", at.cast("long")).withColumn("_i", F.row_number().over(w))
     # Strictly increasing: the running maximum of time less rank, and the rank again.
     s = s.withColumn("rebuilt", (F.max(F.col("_at") - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i")) * quantum)
@@ -190,8 +201,8 @@ def shifted(df: DataFrame, stamps: str, shift: int, done: str) -> DataFrame:
     return df.withColumn(stamps, F.when(again, F.col(stamps)).otherwise(F.transform(stamps, lambda x: x + shift))).withColumn(done, F.lit(True))
 
 
-def increasing(df: DataFrame, by: list[str], order: list, ts: str) -> DataFrame:
-    s = steps(df, by, order, ts)
+def increasing(df: DataFrame, by: list[str], order: list, ts: str, rows: int | None = None) -> DataFrame:
+    s = steps(df, by, order, ts, rows)
     return s.groupBy(*by).agg(F.count("*").alias("rows"), F.coalesce(F.bool_and(F.col("step") > 0), F.lit(True)).alias("increasing"))
 
 
