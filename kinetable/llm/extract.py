@@ -57,12 +57,16 @@ NOISE = frozenset(
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments discussion disqus respond reply replies"
     " share sharing social related recommended footer header masthead toolbar pagination pager login search widget skip".split()
 )
+#: Of these, the ones that count within an article for what is text by its tag, and those that don't count there at all.
+KINDS = frozenset("ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments disqus respond reply replies".split())
+TEXTUAL, OWN = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th figure figcaption".split()), frozenset(("header",))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: A start tag of these closes an open one of the same set, up to the container after the colon.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A name and its value; values are taken along, so that no name is found within one.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NUMBER = re.compile(r"(?=[0-9a-f-]*[0-9])[0-9a-f]{6,}|[0-9]+")
 MAIN = frozenset(("article", "main"))
@@ -81,46 +85,81 @@ class Node:
     guide: int = -1
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The class (or id) of an element, its numbers as #, whether it is no part of the article, and whether its name alone says so."""
-    name, noise, named = "", tag in SKIPPED, False
+def _named(tag: str, attributes: str, inside: bool = False) -> tuple[str, bool, bool]:
+    """The class (or id) of an element, its numbers as #, whether it is no part of the article, and whether its name alone
+    says so; ``inside`` an article fewer names do."""
+    name, noise, named, seen = "", tag in SKIPPED, False, set()
+    words = (KINDS if tag in TEXTUAL else NOISE - OWN) if inside else NOISE
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.lower() in ROLES):
+            if key in seen:
+                continue  # of repeated attributes the first counts
+            seen.add(key)
+            if key == "hidden" or (key == "role" and value.lower() in ROLES):
                 noise = True
             elif key in ("class", "id"):
                 name = name or value
-                named = named or not NOISE.isdisjoint(x.lower() for x in _NAME_PARTS.findall(value))
+                named = named or not words.isdisjoint(x.lower() for x in _NAME_PARTS.findall(value))
     return _NUMBER.sub("#", name), noise or named, named and not noise
 
 
+class _Path:
+    """The open elements, and for each tag how deep they are, so that none is looked for by walking."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.deep, self.named = [root], {}, []
+
+    @property
+    def here(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.deep.setdefault(node.tag, []).append(len(self.nodes))
+        if node.named:
+            self.named.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        node = self.nodes.pop()
+        self.deep[node.tag].pop()
+        if self.named and self.named[-1] == len(self.nodes):
+            self.named.pop()
+
+    def deepest(self, tags) -> int:
+        """The depth of the innermost open element of these tags, 0 without one."""
+        return max((self.deep[t][-1] for t in tags if self.deep.get(t)), default=0)
+
+    def close(self, tags, until=()) -> None:
+        """Close the innermost element of these tags, unless one of ``until`` is within it."""
+        at = self.deepest(tags)
+        if at and at > self.deepest(until):
+            while len(self.nodes) > at:
+                self.pop()
+
+    def holds_main(self) -> None:
+        """The open elements that are noise by their names alone are none: each is looked at once."""
+        for at in self.named:
+            self.nodes[at].named = self.nodes[at].noise = False
+        self.named.clear()
+
+
 def parse(html: str) -> Node:
     """The tree of a page; unclosed and stray tags are taken as browsers do, roughly."""
     root = Node("html")
-    here, at, raw = root, 0, None
-
-    def close(tags: set[str], until: set[str]) -> None:
-        nonlocal here
-        node = here
-        while node is not None and node.tag not in until:
-            if node.tag in tags and node.parent is not None:
-                here = node.parent
-                return
-            node = node.parent
-
+    path, at, raw = _Path(root), 0, None
     while at < len(html):
         if raw:
             end = re.compile(rf"</{raw}(?=[\s/>])", re.I).search(html, at)
             stop = end.start() if end else len(html)
-            here.children.append(html[at:stop])
-            close({raw}, set())
+            path.here.children.append(html[at:stop])
+            path.close((raw,))
             at, raw = (html.find(">", stop) + 1 or len(html)) if end else len(html), None
             continue
         m = _TAG.search(html, at)
         text = html[at : m.start() if m else len(html)]
         if text:
-            here.children.append(entities.unescape(text) if "&" in text else text)
+            path.here.children.append(entities.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -128,47 +167,31 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not _open(here, "p"):
-                continue
-            close({tag}, set())
+            path.close((tag,))
             continue
-        if tag == "html" or (tag == "body" and _open(here, "body")):
+        if tag == "html" or (tag == "body" and path.deepest(("body",))):
             continue
         if tag in _CLOSES_P:
-            close({"p"}, {"td", "th", "table", "button", "object"})
-        if tag in HEADINGS and here.tag in HEADINGS:
-            here = here.parent
+            path.close(("p",), ("td", "th", "table", "button", "object"))
+        if tag in HEADINGS and path.here.tag in HEADINGS:
+            path.pop()
         if tag in _CLOSES:
-            close(*_CLOSES[tag])
+            path.close(*_CLOSES[tag])
         if tag == "body":
-            close({"head"}, set())
-        name, noise, named = _named(tag, m[3])
-        node = Node(tag, name, noise, named, here)
+            path.close(("head",))
+        name, noise, named = _named(tag, m[3], bool(path.deepest(MAIN)))
+        node = Node(tag, name, noise, named, path.here)
         if tag in MAIN:
-            up = here
-            while up is not None and not up.named:
-                up = up.parent
-            # The outermost of such names too: each is looked at once, as it is one no more.
-            while up is not None:
-                if up.named:
-                    up.named = up.noise = False
-                up = up.parent
-        here.children.append(node)
+            path.holds_main()
+        path.here.children.append(node)
         if tag in RAW and not m[3].rstrip().endswith("/"):
-            here, raw = node, tag
+            path.push(node)
+            raw = tag
         elif tag not in VOID:
-            here = node
+            path.push(node)
     return root
 
 
-def _open(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
 @dataclass
 class Block:
     text: str

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import io
+import random
+import time
 
 import pytest
 import zstandard
@@ -178,6 +180,31 @@ def test_unclosed_quotes_and_names_that_mislead():
     assert extract.main_text("<body><nav>Menu</nav><div class=comments><p>First!</p></div><div class=x><p>Text</p></div></body>") == "Text"
 
 
+def test_names_of_attributes_are_whole_and_values_hold_none(spark):
+    rng = random.Random(4)
+    names = ["style", "data-id", "data-hidden", "title", "aria-hidden", "lang", "data-role", "x-class", "hiddens", "onclick"]
+    values = ["overflow:hidden", "sidebar-x", "a hidden b", "class=sidebar", "role=banner hidden", "true", "nav", "id='menu'"]
+    quotes = ('"{}"', "'{}'")
+    for _ in range(300):
+        attributes = " ".join(f"{rng.choice(names)}{rng.choice((' = ', '='))}{rng.choice(quotes).format(v)}" for v in rng.sample([v for v in values if "'" not in v], 3))
+        assert extract.main_text(f"<article {attributes}><p {attributes}>Body text</p></article>") == "Body text", attributes
+    assert extract.main_text("<div hidden>no</div><div HIDDEN=''>no</div><div class=a id='sidebar'>no</div><p>yes</p>") == "yes"
+    rows = [(i, f"http://h.example.com/{i}", f'<article style="overflow:hidden"><h1>Title {i}</h1><p>Words of page {i} that stand here.</p></article>') for i in range(6)]
+    out = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == {i: f"Title {i}\nWords of page {i} that stand here." for i in range(6)}
+
+
+def test_names_within_an_article():
+    page = '<div class="header">no</div><article><div class="article-header"><h1>Title</h1></div><p class="related-work">We follow.</p><p aria-hidden="true">Seen</p><p class="ad">no</p><div class="comments"><p>no</p></div><div class="sidebar">no</div></article>'
+    assert extract.main_text(page) == "Title\nWe follow.\nSeen"
+
+
+def test_depth_takes_time_in_proportion():
+    began = time.perf_counter()
+    tops = [extract.parse(page) for page in ("<div>" * 40_000, "<p><object>" + "<div>" * 40_000, "<div class=menu>" * 20_000 + "<main>" * 20_000)]
+    assert all(t.children for t in tops) and time.perf_counter() - began < 15
+
+
 def test_alignment_is_a_largest_match():
     a = extract.read_page("<body><div><p>x</p></div><ul><li>1</li></ul><div class=b><p>y</p></div></body>")[0]
     b = extract.read_page("<body><ul><li>2</li></ul><div class=b><p>z</p></div></body>")[0]
