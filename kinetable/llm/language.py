@@ -4,7 +4,8 @@ The network reads UTF-8 bytes, labels every byte position and pools the position
 It is trained here, in numpy, by backpropagation through time on a bounded sample of labelled windows.
 
 Nulls, empty texts and texts without a letter give ``und`` with score 0; repeated rows give repeated
-results; an empty table, or one without labels, gives no rows or ``und`` throughout.  Very long texts are cut into
+results; an empty table gives no rows, one without labels ``und`` throughout (a filter then keeps every text with a
+letter).  Rows without a letter count for no language's share of the sample.  Very long texts are cut into
 windows of ``WINDOW`` bytes that are all read.
 """
 
@@ -26,9 +27,9 @@ WINDOW, HIDDEN, EPOCHS, BATCH, RATE = 64, 6, 12, 128, 0.03
 #: Windows that go through the network at once.
 LANES = 1024
 UNKNOWN = "und"
-#: A filter rejects texts without a letter, and texts whose likeliest language has less than this probability.  Of
-#: clean texts that mix languages or repeat a few words some score little more than chance, so 0 is the default.
-LEAST_SCORE = 0.0
+#: A filter rejects texts without a letter, and texts whose likeliest language has less than this many times the
+#: probability that each language has by chance: the network can't tell what they are.
+OVER_CHANCE = 1.2
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -176,12 +177,12 @@ def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A few windows of each training document, spread evenly over its bytes; every second one is cut short."""
     for pdf in batches:
         rows = []
-        for text, lang in zip(pdf.text, pdf.lang, strict=True):
+        for text, lang, h in zip(pdf.text, pdf.lang, pdf.h, strict=True):
             raw = text.encode("utf-8", "replace")
             for k, i in enumerate(np.linspace(0, max(0, len(raw) - WINDOW), TRAIN_WINDOWS if len(raw) > WINDOW else 1).astype(int)):
                 own = raw[i : i + (6 + (i * 7 + len(raw)) % 26 if k % 2 == 0 else WINDOW)]
-                rows.append((lang, own.ljust(WINDOW, b"\0"), len(own)))
-        yield pd.DataFrame(rows, columns=["lang", "bytes", "n"])
+                rows.append((lang, own.ljust(WINDOW, b"\0"), len(own), h))
+        yield pd.DataFrame(rows, columns=["lang", "bytes", "n", "h"])
 
 
 def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> tuple[list[str], ByteGRU | None]:
@@ -191,15 +192,15 @@ def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> tuple[list[str],
     never more than twice as many windows as that makes.
     """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
         return [], None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])
-    drawn = usable.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    got = drawn.select("text", "lang").mapInPandas(_samples, "lang string, bytes binary, n int").limit(2 * docs_per_lang * TRAIN_WINDOWS * len(counts)).toPandas()
+    drawn = usable.withColumn("h", F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_003))).filter(F.col("h") < share[F.col("lang")] * 1_000_003)
+    got = drawn.select("text", "lang", "h").mapInPandas(_samples, "lang string, bytes binary, n int, h long")
+    got = got.orderBy("h", "bytes").limit(2 * docs_per_lang * TRAIN_WINDOWS * len(counts)).drop("h").toPandas()
     langs = sorted(set(got["lang"]))
     if not langs:
         return [], None
@@ -239,12 +240,21 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, *train(docs))
 
 
-def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows, with all their columns, whose text has a language."""
+def least_score(langs: list[str]) -> float:
+    """The score under which the network can't tell: little more than that of a guess among the languages."""
+    return OVER_CHANCE / len(langs) if len(langs) > 1 else 0.0
+
+
+def accepted(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """The rows, with all their columns, whose text has a language: a letter, and a score of ``least``, by default that of
+    ``least_score``.  Where nothing could be learned, as no row has a language, a letter is enough."""
     langs, net = train(docs)
+    lowest = least_score(langs) if least is None else least
 
     def sure(texts: list) -> np.ndarray:
+        if net is None:
+            return np.array([t is not None and bool(_LETTER.search(t)) for t in texts], bool)
         pred, score = classify(texts, langs, net)
-        return (pred != UNKNOWN) & (score >= least)
+        return (pred != UNKNOWN) & (score >= lowest)
 
     return filter_texts(docs, sure)

@@ -200,6 +200,22 @@ def test_texts_without_letters_are_undetermined(documents):
     assert language.identify(docs.limit(0)).count() == 0
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert {r["doc_id"] for r in language.accepted(docs).collect()} == {1, None, 6}
+    assert {r["doc_id"] for r in language.accepted(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {1, None, 6}
+
+
+def test_rows_without_text_take_no_share_of_the_sample(spark):
+    rng = random.Random(3)
+    words = {"en": "the of and to in that was his with".split(), "xx": "zyq qorv vix yazz wuq kexi xoqu".split()}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(5, 40)))
+    rows = [(i, None if i % 2 else "12 34", "xx") for i in range(4000)] + [(5000 + i, text("xx"), "xx") for i in range(60)] + [(6000 + i, text("en"), "en") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if i >= 5000)
+    # A text that is as like one language as the other is rejected, all others stay.
+    network = language.train(df)
+    sure = language.accepted(df).filter("doc_id >= 5000").count()
+    assert sure == 460 and network[0] == ["en", "xx"] and language.least_score(network[0]) == language.OVER_CHANCE / 2
+    assert language.accepted(df, 1.01).count() == 0
 
 
 def test_gradients_of_the_network():
