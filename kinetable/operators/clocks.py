@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinetable.functions.values import unwrapped_step
 from kinetable.operators.longstreams import Stream, last, previous, total
+from kinetable.operators.stats import quantiles_of_all, with_columns_of
 
 # Fixed thresholds of the timestamp checks.
 JUMP, JUMP_EXCESS_NS, COMPRESSED = 1.8, 3_000_000, 0.5
@@ -51,14 +52,19 @@ def duplicates(df: DataFrame, by: list[str], order: list, ts: str, quantum: int
     return out.withColumn("severity", F.when(F.col("duplicates") == 0, "info").when(bad, "error").otherwise("warn"))
 
 
-def jumps(df: DataFrame, by: list[str], order: list, ts: str, nominal: Column | None = None, bursty: bool = False) -> DataFrame:
+def jumps(df: DataFrame, by: list[str], order: list, ts: str, nominal: Column | None = None, bursty: bool = False, rows: int | None = None) -> DataFrame:
     """Gaps beyond the nominal period (the median step unless given) and compressed steps.
 
     Streams that arrive in bursts are held against their own 95th percentile instead.
     """
-    s = steps(df, by, order, ts).filter("step is not null")
-    base = s.groupBy(*by).agg((nominal if nominal is not None else F.percentile("step", F.lit(0.5))).alias("nominal"), F.percentile("step", F.lit(0.95)).alias("p95"))
-    s = s.join(base, by)
+    s = steps(df, by, order, ts, rows).filter("step is not null")
+    points = {"nominal": 0.5, "p95": 0.95}
+    if rows:
+        base = quantiles_of_all(s, by, F.col("step"), points, *([] if nominal is None else [nominal.alias("_given")]), most=rows)
+        s = with_columns_of(s, base if nominal is None else base.withColumn("nominal", F.col("_given")).drop("_given"), by)
+    else:
+        base = s.groupBy(*by).agg((nominal if nominal is not None else F.percentile("step", F.lit(0.5))).alias("nominal"), F.percentile("step", F.lit(0.95)).alias("p95"))
+        s = s.join(base, by)
     floor = F.greatest(F.col("nominal") * JUMP, F.col("p95") * BURSTY_P95) if bursty else F.col("nominal") * JUMP
     gap = (F.col("step") > floor) & (F.col("step") - F.col("nominal") >= JUMP_EXCESS_NS)
     out = s.groupBy(*by).agg(F.first("nominal").alias("nominal"), F.first(floor).alias("floor"), F.count_if(gap).alias("gaps"), F.count_if(F.col("step") < F.col("nominal") * COMPRESSED).alias("compressed"), F.max(F.when(gap, F.col("step"))).alias("largest"))

@@ -66,6 +66,14 @@ def rank() -> Measure:
     return Measure("rank", F.lit(1))
 
 
+def beside(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Beside each row what the small ``side`` has for its keys; null keys are keys."""
+    if not keys:
+        return df.join(F.broadcast(side), F.lit(True), how)  # one row
+    own = F.broadcast(side.withColumnsRenamed({k: f"_s_{k}" for k in keys}))
+    return df.join(own, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], how).drop(*[f"_s_{k}" for k in keys])
+
+
 class Stream:
     """Rows of streams, in an order, to which measures are added; ``df`` has the rows with what was added."""
 
@@ -74,7 +82,7 @@ class Stream:
         edges = self._edges(df, rows)
         self.split = edges is not None
         if self.split:
-            own = self._joined(df, edges).withColumn(_RANGE, F.coalesce(_position(F.col("_edges"), F.col(self.order[0]), self.most) + 1, F.lit(0)))
+            own = beside(df, edges, self.by).withColumn(_RANGE, F.coalesce(_position(F.col("_edges"), F.col(self.order[0]), self.most) + 1, F.lit(0)))
             df = stored(own.drop("_edges"), "ranges")
         self._rows = df
 
@@ -87,21 +95,13 @@ class Stream:
             return None
         most = self.most = ceil(top / rows)
         points = F.array(*[F.lit(i / most) for i in range(1, most)])
-        long = self._joined(df.select(*self.by, F.col(self.order[0]).alias("_t")), sizes, "inner")
+        long = beside(df.select(*self.by, F.col(self.order[0]).alias("_t")), sizes, self.by, "inner")
         every = long.groupBy(*self.by).agg(F.percentile_approx("_t", points, F.lit(max(10_000, 10 * most))).alias("_e"), F.first("_n").alias("_n"))
         # A shorter stream keeps each so-manieth of the cuts that the longest one needs.
         step = F.greatest(F.floor(F.lit(most) / F.ceil(F.col("_n") / rows)), F.lit(1))
         kept = F.filter("_e", lambda e, i: (i + 1) % step == 0)
         return stored(every.select(*self.by, F.array_distinct(kept).alias("_edges")), "edges")
 
-    def _joined(self, df: DataFrame, side: DataFrame, how: str = "left", extra: tuple = ()) -> DataFrame:
-        """Beside each row what ``side`` has for its stream; null keys are keys."""
-        keys = [*self.by, *extra]
-        if not keys:
-            return df.join(F.broadcast(side), F.lit(True), how)  # one row
-        own = F.broadcast(side.withColumnsRenamed({k: f"_s_{k}" for k in keys}))
-        return df.join(own, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], how).drop(*[f"_s_{k}" for k in keys])
-
     @property
     def df(self) -> DataFrame:
         return self._rows.drop(_RANGE)
@@ -126,7 +126,7 @@ class Stream:
         before, after = turn.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*self.by).orderBy(F.desc(_RANGE)).rowsBetween(Window.unboundedPreceding, -1)
         carried = sums.select(*part, *[self._carry(m, n, turn, before, after).alias(f"_c_{n}") for n, m in measures.items()])
         rows = self._rows.withColumns({f"_l_{n}": c for n, c in local.items()})
-        rows = self._joined(rows, carried, "left", (_RANGE,))
+        rows = beside(rows, carried, part)
         rows = rows.withColumns({n: self._finished(m, F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, m in measures.items()})
         return self.map(lambda _: rows.drop(*[f"_{x}_{n}" for n in measures for x in "lc"]))
 

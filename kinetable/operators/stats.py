@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.functions.values import finite, not_nan
+from kinetable.operators.longstreams import Stream, total
 from kinetable.sources.datasets import stored
 
 QUANTILES = {"q01": 0.01, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q99": 0.99}
@@ -75,13 +76,33 @@ def quantiles(df: DataFrame, keys: list[str], value: Column | str, points: dict[
     return small.filter("_q is not null").unionByName(big).select(*keys, *named)
 
 
-def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of equal keys, nulls among them; both sides have one for each."""
+def quantiles_of_all(df: DataFrame, keys: list[str], value: Column, points: dict[str, float], *others: Column, most: int = MOST) -> DataFrame:
+    """The keys, ``quantiles`` and ``others`` of every group; those of a group without a value are null."""
+    rows = df.withColumn("_q", finite(value).cast("double"))
+    if rows.groupBy(*keys).agg(F.count("_q").alias("_n")).filter(F.col("_n") > most).isEmpty():
+        every = F.percentile("_q", F.array(*map(F.lit, points.values())))
+        out = rows.groupBy(*keys).agg(every.alias("_p"), *others)
+        return out.withColumns({n: F.get("_p", F.lit(i)) for i, n in enumerate(points)}).drop("_p")
+    return with_columns_of(rows.groupBy(*keys).agg(F.count("*").alias("_n"), *others).drop("_n"), quantiles(rows, keys, "_q", points, most), keys, "left")
+
+
+def _in_order(df: DataFrame, keys: list[str], order: list, rows: int | None) -> DataFrame:
+    """Adds ``_i``, the number of a row within its group, from 1, and ``_n``, how many there are; with ``rows`` over
+    ranges of longer groups."""
+    if not rows:
+        w = Window.partitionBy(*keys)
+        return df.withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
+    counted = Stream(df, keys, order, rows).add(_i=total(F.lit(1))).df
+    return with_columns_of(counted, df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+
+
+def with_columns_of(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows of equal keys, nulls among them; the right side has one for each."""
     if not keys:
-        return left.crossJoin(F.broadcast(right))  # one row each
+        return left.join(F.broadcast(right), F.lit(True), how)  # one row
     r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(r, same).drop(*[f"_r_{k}" for k in keys])
+    return left.join(r, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def scalar_stats(df: DataFrame, keys: list[str], value: str, quantiles_too: bool = True, most: int = MOST, sizes: DataFrame | None = None) -> DataFrame:
@@ -99,7 +120,7 @@ def scalar_stats(df: DataFrame, keys: list[str], value: str, quantiles_too: bool
     if small:
         out = out.select("*", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(QUANTILES)])
     else:
-        out = _beside(out, quantiles(df, keys, value, QUANTILES, most), keys)
+        out = with_columns_of(out, quantiles(df, keys, value, QUANTILES, most), keys)
     return out.select(*keys, "mean", "std", "min", "max", *QUANTILES, "count")
 
 
@@ -113,7 +134,7 @@ def vector_stats(df: DataFrame, keys: list[str], vector: str, most: int = MOST)
     cells = df.select(*keys, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     # No dimension of a group has more values than the group has vectors.
     out = scalar_stats(cells, [*keys, "dim"], "x", True, most, df.groupBy(*keys).count()).drop("count")
-    return _beside(out, sized.filter("_a = _z").drop("_a", "_z"), keys)
+    return with_columns_of(out, sized.filter("_a = _z").drop("_a", "_z"), keys)
 
 
 def blocks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -178,7 +199,7 @@ def robust(df: DataFrame, keys: list[str], value: str, most: int = MOST) -> Data
     points = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p10": 0.1, "p90": 0.9}
     q = quantiles(df, keys, value, points, most)
     n = df.groupBy(*keys).agg(F.count(finite(value)).alias("n")).filter("n > 0")
-    return _beside(q, n, keys).select(*keys, *points, (F.col("p75") - F.col("p25")).alias("iqr"), "n")
+    return with_columns_of(q, n, keys).select(*keys, *points, (F.col("p75") - F.col("p25")).alias("iqr"), "n")
 
 
 def drift_ppm(df: DataFrame, keys: list[str], x: str, y: str, least: int = 8) -> DataFrame:
@@ -188,43 +209,43 @@ def drift_ppm(df: DataFrame, keys: list[str], x: str, y: str, least: int = 8) ->
     return out.select(*keys, F.when(fits, F.col("slope") * 1e6).alias("drift_ppm"), F.when(fits, F.col("r2")).alias("r2"), "n")
 
 
-def segment_steps(df: DataFrame, keys: list[str], order: list, value: str, parts: int = 20) -> DataFrame:
+def segment_steps(df: DataFrame, keys: list[str], order: list, value: str, parts: int = 20, rows: int | None = None, most: int = MOST) -> DataFrame:
     """The largest step between the medians of equal parts of a series."""
-    w = Window.partitionBy(*keys)
-    cut = df.withColumn("part", F.ntile(parts).over(w.orderBy(*order)))
-    mid = cut.groupBy(*keys, "part").agg(F.percentile(F.col(value), F.lit(0.5)).alias("mid"))
-    step = mid.withColumn("step", F.abs(F.col("mid") - F.lag("mid").over(w.orderBy("part"))))
+    # The first parts have one row more than the others where they don't come out even.
+    size, more = F.floor(F.col("_n") / parts), F.col("_n") % parts
+    longer = more * (size + 1)
+    part = F.when(F.col("_i") <= longer, F.floor((F.col("_i") - 1) / (size + 1))).otherwise(more + F.floor((F.col("_i") - 1 - longer) / F.greatest(size, F.lit(1))))
+    cut = _in_order(df, keys, order, rows).withColumn("part", (part + 1).cast("int"))
+    mid = quantiles_of_all(cut, [*keys, "part"], F.col(value), {"mid": 0.5}, most=most)
+    step = mid.withColumn("step", F.abs(F.col("mid") - F.lag("mid").over(Window.partitionBy(*keys).orderBy("part"))))
     return step.groupBy(*keys).agg(F.max("step").alias("largest_step"), F.count("*").alias("parts"))
 
 
-def growth(df: DataFrame, keys: list[str], order: list, value: str, buckets: int = 8) -> DataFrame:
+def growth(df: DataFrame, keys: list[str], order: list, value: str, buckets: int = 8, rows: int | None = None, most: int = MOST) -> DataFrame:
     """Medians of equally many values in turn, with the slope and determination over the buckets."""
-    w = Window.partitionBy(*keys)
-    size = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / buckets))
-    b = F.least(F.floor((F.row_number().over(w.orderBy(*order)) - 1) / size), F.lit(buckets - 1))
-    mid = df.withColumn("bucket", b.cast("int")).groupBy(*keys, "bucket").agg(F.percentile(F.col(value), F.lit(0.5)).alias("mid"))
+    size = F.greatest(F.lit(1), F.floor(F.col("_n") / buckets))
+    b = F.least(F.floor((F.col("_i") - 1) / size), F.lit(buckets - 1))
+    mid = quantiles_of_all(_in_order(df, keys, order, rows).withColumn("bucket", b.cast("int")), [*keys, "bucket"], F.col(value), {"mid": 0.5}, most=most)
     return mid.groupBy(*keys).agg(F.regr_slope("mid", "bucket").alias("slope"), F.regr_r2("mid", "bucket").alias("r2"), F.count("*").alias("buckets"))
 
 
-def half_drift(df: DataFrame, keys: list[str], order: list, value: str, least: int = 20) -> DataFrame:
+def half_drift(df: DataFrame, keys: list[str], order: list, value: str, least: int = 20, rows: int | None = None, most: int = MOST) -> DataFrame:
     """Median of the second half less that of the first, of so many rows at least."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w)).filter(F.col("_n") >= least)
-    early = F.col("_i") <= F.floor(F.col("_n") / 2)
-    mid = lambda c: F.percentile(F.when(c, F.col(value)), F.lit(0.5))
-    return rows.groupBy(*keys).agg(mid(early).alias("first"), mid(~early).alias("second")).withColumn("drift", F.col("second") - F.col("first"))
+    numbered = _in_order(df, keys, order, rows).filter(F.col("_n") >= least).withColumn("_late", F.col("_i") > F.floor(F.col("_n") / 2))
+    mid = quantiles_of_all(numbered, [*keys, "_late"], F.col(value), {"mid": 0.5}, most=most)
+    both = mid.groupBy(*keys).agg(F.max(F.when(~F.col("_late"), F.col("mid"))).alias("first"), F.max(F.when(F.col("_late"), F.col("mid"))).alias("second"))
+    return both.withColumn("drift", F.col("second") - F.col("first"))
 
 
-def scale_of(df: DataFrame, keys: list[str], total: str, force: str, least_force: float = 50.0, least_rows: int = 5) -> DataFrame:
+def scale_of(df: DataFrame, keys: list[str], total: str, force: str, least_force: float = 50.0, least_rows: int = 5, most: int = MOST) -> DataFrame:
     """By how much stored forces were scaled: the nearest of 1, 10, 100 and 1000 within 3 %, else 1 up to 1.15, else null."""
     ratio = F.when(F.abs(force) >= least_force, F.col(total) / F.col(force))
-    out = df.groupBy(*keys).agg(F.percentile(ratio, F.lit(0.5)).alias("ratio"), F.count(ratio).alias("n"))
+    out = quantiles_of_all(df, keys, ratio, {"ratio": 0.5}, F.count(ratio).alias("n"), most=most)
     near = F.coalesce(*[F.when(F.abs(F.col("ratio") / s - 1) <= 0.03, s) for s in (1, 10, 100, 1000)], F.when(F.col("ratio") <= 1.15, 1))
-    return out.withColumn("scale", F.when(F.col("n") >= least_rows, near))
+    return out.select(*keys, "ratio", "n").withColumn("scale", F.when(F.col("n") >= least_rows, near))
 
 
-def display_range(df: DataFrame, keys: list[str], value: str, floor: float = 0.01, span: float = 0.5) -> DataFrame:
+def display_range(df: DataFrame, keys: list[str], value: str, floor: float = 0.01, span: float = 0.5, most: int = MOST) -> DataFrame:
     """From the median to 1.3 times the 99.9th percentile of values above the floor, never narrower than ``span``."""
-    v = F.when(F.col(value) > floor, F.col(value))
-    out = df.groupBy(*keys).agg(F.percentile(v, F.lit(0.5)).alias("low"), (F.percentile(v, F.lit(0.999)) * 1.3).alias("high"))
-    return out.withColumn("high", F.greatest("high", F.col("low") + span))
+    out = quantiles_of_all(df, keys, F.when(F.col(value) > floor, F.col(value)), {"low": 0.5, "_top": 0.999}, most=most)
+    return out.select(*keys, "low", F.greatest(F.col("_top") * 1.3, F.col("low") + span).alias("high"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.operators import align, assembly, clocks, runs
+from kinetable.operators import align, assembly, clocks, runs, stats, wide
 from kinetable.plans.registry import DAY, HOUR, events, query, read, rounded
 
 #: Rows of a range: few, so that the small tables are cut as well.
 ROWS = 500
 MINUTE = HOUR // 60
 _E = "e AS (SELECT *, epoch_us(ts) AS us FROM events)"
+_MOMENTS = """round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, round(min(x), 4) AS "min", round(max(x), 4) AS "max",
+round(quantile_cont(x, 0.01), 4) AS q01, round(quantile_cont(x, 0.1), 4) AS q10, round(quantile_cont(x, 0.5), 4) AS q50, round(quantile_cont(x, 0.9), 4) AS q90, round(quantile_cont(x, 0.99), 4) AS q99, count(*) AS count"""
 _STEP = f"{_E}, s AS (SELECT *, us - lag(us) OVER (ORDER BY us, event_id) AS step FROM e)"
 
 
@@ -28,6 +30,21 @@ def long_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clocks.regressions(events(spark, sf_dir), [], ["event_id"], "us", rows=ROWS)
 
 
+@query(f"""WITH {_STEP}, b AS (SELECT quantile_cont(step, 0.5) AS nominal, quantile_cont(step, 0.95) AS p95 FROM s), j AS (SELECT step, nominal, step > nominal * 1.8 AND step - nominal >= 3000000 AS gap, step < nominal * 0.5 AS short FROM s, b WHERE step IS NOT NULL),
+t AS (SELECT min(nominal) AS nominal, count(*) FILTER (gap) AS gaps, count(*) FILTER (short) AS compressed, max(CASE WHEN gap THEN step END) AS largest FROM j)
+SELECT nominal, gaps, compressed, largest, CASE WHEN gaps = 0 THEN 'info' WHEN largest >= nominal * 5 OR gaps >= 10 THEN 'error' ELSE 'warn' END AS severity FROM t""")
+def long_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median step over all events takes histograms, as no task should sort them all."""
+    return rounded(clocks.jumps(events(spark, sf_dir), [], ["us", "event_id"], "us", rows=ROWS))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+m AS (SELECT event_type, i > n // 2 AS late, quantile_cont(value, 0.5) AS mid FROM n WHERE n >= 20 GROUP BY ALL), h AS (SELECT event_type, max(mid) FILTER (NOT late) AS first, max(mid) FILTER (late) AS second FROM m GROUP BY 1)
+SELECT event_type, round(first, 4) AS first, round(second, 4) AS second, round(second - first, 4) AS drift FROM h""")
+def long_half_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.half_drift(read(spark, sf_dir, "events"), ["event_type"], ["event_id"], "value", rows=ROWS, most=ROWS))
+
+
 @query("""WITH w AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS st FROM events), i AS (SELECT *, sum(st) OVER (ORDER BY event_id) AS run FROM w)
 SELECT event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM i GROUP BY run, event_type HAVING count(*) >= 2""")
 def long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,3 +107,15 @@ def long_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last row of each order in one numbering of all of them."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 7).alias("length"))
     return assembly.offsets(o, "o_orderkey", "length", rows=ROWS)
+
+
+@query(f"""WITH c AS (SELECT label, unnest(range(0, 64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label::BIGINT AS label, dim::BIGINT AS dim, {_MOMENTS} FROM c GROUP BY ALL""")
+def wide_vector_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of vectors as matrices: no row for each value."""
+    return rounded(wide.wide_stats(read(spark, sf_dir, "embeddings"), ["label"], "embedding"))
+
+
+@query(f"""WITH c AS (SELECT unnest(range(0, 64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT dim::BIGINT AS dim, {_MOMENTS} FROM c GROUP BY ALL""")
+def long_vector_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all vectors as one group that is dealt to pieces."""
+    return rounded(wide.wide_stats(read(spark, sf_dir, "embeddings"), [], "embedding", piece=ROWS // 4))
