@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.operators.longstreams import Stream, following, last
+from kinetable.sources.datasets import stored
 
 _BACK, _AHEAD = "_back", "_ahead"
 
@@ -236,15 +237,39 @@ def repaired(stats: DataFrame, episodes: DataFrame, index: str, length: str) ->
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Names with the names that share most of their tokens, all of equal ones.
+    """Names with the names that share most of their tokens, all of equal ones; names of the same tokens are met once.
 
-    Names of the same tokens are compared once; a token that very many different names of both sides have makes as many pairs.
+    Tokens are in one order over both sides, the rarest first.  In turn n a name meets those that hold its n-th token, and
+    only where more shared tokens can follow, by the places of that token in both, than its best partner shares.  Names
+    that share none of the first n tokens share no more than the rest, so a name with a better partner is done.  A token
+    that very many names have is the last of each, and is met only by names that share nothing better: such pairs are
+    themselves the result.  There are as many turns as a name has tokens.
     """
     split = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != "")))
     a = left.select(F.col(left_key).alias("name"), split(F.col(left_key)).alias("_a")).filter(F.size("_a") > 0)
     b = right.select(F.col(right_key).alias("match"), split(F.col(right_key)).alias("_b")).filter(F.size("_b") > 0)
-    ta = a.select("_a").distinct().withColumn("t", F.explode("_a"))
-    tb = b.select("_b").distinct().withColumn("t", F.explode("_b"))
-    shared = ta.join(tb, "t").groupBy("_a", "_b").agg(F.count("*").alias("shared"))
-    best = shared.withColumn("_r", F.rank().over(Window.partitionBy("_a").orderBy(F.desc("shared")))).filter("_r = 1").drop("_r")
-    return a.distinct().join(best, "_a").join(b.distinct(), "_b").select("name", "match", "shared")
+    sets = stored(a.select(F.col("_a").alias("_s"), F.lit(True).alias("_left")).union(b.select("_b", F.lit(False))).distinct(), "sets")
+    tokens = sets.withColumn("t", F.explode("_s"))
+    often = tokens.groupBy("t").agg(F.count("*").alias("_n"))
+    rare = tokens.join(often, "t").groupBy("_s", "_left").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "t"))), lambda x: x["t"]).alias("_t"))
+    rare = stored(rare, "tokens")
+    open_ = rare.filter("_left").select(F.col("_s").alias("_a"), F.col("_t").alias("_ta"), F.lit(0).alias("best"))
+    held = rare.filter("not _left").select(F.col("_s").alias("_b"), F.posexplode("_t").alias("_k", "t"))
+    held = stored(held.withColumn("_after", F.size("_b") - F.col("_k") - 1), "postings")
+    found, best, turn = None, open_.select("_a", "best").limit(0), 0
+    while not open_.isEmpty():
+        met = open_.withColumn("t", F.get("_ta", F.lit(turn))).join(held, "t").filter(F.col("_after") + 1 >= F.col("best"))
+        fresh = ~F.arrays_overlap(F.slice("_ta", 1, turn), "_b") if turn else F.lit(True)  # else they have met before
+        met = met.filter(fresh).select("_a", "_b", "best", F.size(F.array_intersect("_a", "_b")).alias("shared")).filter("shared >= best")
+        met = stored(met.drop("best"), "met")
+        found = met if found is None else found.union(met)
+        better = met.groupBy("_a").agg(F.max("shared").alias("_new"))
+        turn += 1
+        open_ = stored(open_.join(better, "_a", "left").select("_a", "_ta", F.greatest("best", F.coalesce("_new", F.lit(0))).alias("best")), "open")
+        done = F.col("best") > F.size("_ta") - turn
+        best = best.union(open_.filter(done | (F.size("_ta") <= turn)).select("_a", "best"))
+        open_ = open_.filter(~done & (F.size("_ta") > turn))
+    if found is None:
+        return a.select("name", F.lit("").alias("match"), F.lit(0).cast("long").alias("shared")).limit(0)
+    pairs = found.join(best, "_a").filter("shared = best").select("_a", "_b", F.col("shared").cast("long").alias("shared"))
+    return a.distinct().join(pairs, "_a").join(b.distinct(), "_b").select("name", "match", "shared")

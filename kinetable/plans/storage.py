@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyarrow import fs
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinetable.functions import values as V
 from kinetable.plans.registry import DAY, events, numbered_events, query, read, rounded
-from kinetable.sources import datasets, logs
+from kinetable.sources import datasets, logs, parts
 from kinetable.streaming import incremental
 
 _TURNS = "c AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations)"
@@ -154,6 +155,25 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, count(*) AS packets, sum(event_id)::BIGINT AS ids, sum(length(event_type))::BIGINT AS bytes FROM events GROUP BY 1""")
 def packet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary packets of a header and a payload, a file for each user, with a torn packet at the end."""
+    return _packets_of_users(spark, sf_dir, lambda root: logs.read_packets(spark, root, "<qI", ["id", "size"], "size"))
+
+
+@query("""SELECT user_id, count(*) AS packets, sum(event_id)::BIGINT AS ids, sum(length(event_type))::BIGINT AS bytes FROM events GROUP BY 1""")
+def cut_packet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files in byte ranges, which are entered wherever headers follow one another."""
+    return _packets_of_users(spark, sf_dir, lambda root: parts.packets(spark, root, "<qI", ["id", "size"], "size", 1 << 12, lambda h: h["size"] < 100))
+
+
+@query("SELECT count(*) AS whole FROM lineitem")
+def sampled_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row group of files with small ones, with weights that add up to the rows of all."""
+    root = datasets.scratch(spark, "groups")
+    read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag").write.option("parquet.block.size", 1 << 14).option("parquet.block.size.row.check.min", 100).parquet(root)
+    found = parts.sampled_groups(spark, root, 3, ["l_returnflag"])
+    return found.agg(F.rint(F.sum("weight")).cast("long").alias("whole"))
+
+
+def _packets_of_users(spark: SparkSession, sf_dir: str, reader: Callable[[str], DataFrame]) -> DataFrame:
     root = datasets.scratch(spark, "packets")
 
     def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +186,7 @@ def packet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"path": [f"{root}/{name.rsplit('/', 1)[1]}"]})
 
     paths = datasets.stored(read(spark, sf_dir, "events").groupBy("user_id").applyInPandas(save, "path string"), "manifest")  # what lost attempts leave is in no manifest
-    found = logs.read_packets(spark, root, "<qI", ["id", "size"], "size")
+    found = reader(root)
     file = F.regexp_extract("path", r"([0-9]+-[0-9a-f]+)\.bin$", 1)
     own = found.withColumn("f", file).join(paths.select(file.alias("f")), "f", "left_semi")
     user = F.split("f", "-")[0].cast("long").alias("user_id")
