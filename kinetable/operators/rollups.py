@@ -256,3 +256,19 @@ def name_variants(name: str) -> set[str]:
 
 def same_source(a: str, b: str) -> bool:
     return not name_variants(a).isdisjoint(name_variants(b))
+
+
+def active_duplicates(uploads: DataFrame, jobs: DataFrame, episodes: DataFrame, window: float) -> DataFrame:
+    """Uploads (upload, digest, at) with ``duplicate_of``: the first job of the same archive, by its name, that is queued or
+    in process, or that was completed within ``window`` seconds before and whose episode is still there; else null.
+
+    Jobs are (job, digest, status, created, episode), episodes (episode); an upload without a digest has no duplicate.
+    """
+    there = episodes.select("episode").distinct().withColumn("_there", F.lit(True))
+    held = jobs.filter(F.coalesce("digest", F.lit("")) != "").join(there, "episode", "left")
+    busy = F.col("status").isin("queued", "processing")
+    live = held.select("digest", "job", "created", busy.alias("_busy"), ((F.col("status") == "completed") & F.col("_there")).alias("_done")).filter("_busy or _done")
+    recent = F.greatest(F.col("at") - F.col("created"), F.lit(0.0)) <= window
+    met = uploads.join(live, "digest", "left")
+    fits = F.col("_busy") | (F.col("_done") & recent)
+    return met.groupBy("upload", "digest", "at").agg(F.min(F.when(fits, F.col("job"))).alias("duplicate_of"))

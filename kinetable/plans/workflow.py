@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetable.operators.matching import Claim
+
 Inputs = dict[str, DataFrame]
 Run = Callable[[Inputs, dict], Inputs]
 
@@ -152,18 +154,6 @@ def completed(nodes: list[Node], edges: list[Edge], devices: dict[str, str], pro
     return nodes, edges
 
 
-@dataclass(frozen=True)
-class Claim:
-    """What sources an input kind takes: those named by its keys (or parts of one another), else the first that holds one of
-    ``words`` and none of ``without``; all of those if ``every``."""
-
-    kind: str
-    keys: tuple[str, ...] = ()
-    words: tuple[str, ...] = ()
-    without: tuple[str, ...] = ()
-    every: bool = False
-
-
 def claimed(available: set[str], claims: list[Claim]) -> dict[str, list[str]]:
     """The sources of each kind, in the order of the claims; a source goes to one kind only."""
     free = sorted(s.lower() for s in available)

@@ -44,23 +44,21 @@ def ledger(df: DataFrame, keys: list[str], event: str, ts: str, late: str = "1 h
 
 
 def recorded(df: DataFrame, keys: list[str], event: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Each event of (keys, event) once, however late it is sent again: batches are held against the ledger at ``path``.
+    """Each event of (keys, event) once, however late it is sent again, in the table at ``path``.
 
-    Null keys are keys like any other.  A batch that is repeated replaces what it wrote before.
+    Which events have been is state of the stream, by key: a batch looks up its own events only, and reads no history.
+    The state is kept with the checkpoint, on disk with the RocksDB provider, and never forgets; ``ledger`` does, after a
+    time.  Null keys are keys like any other.  A batch that is repeated replaces what it wrote before.
     """
-    own = [*keys, event]
+    once = df.dropDuplicates([*keys, event])
+    return started(once, checkpoint, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))
 
-    def put(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(own)
-        store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store):
-            held = spark.read.parquet(path).filter(F.col("batch") != n).select(*[F.col(c).alias(f"_{c}") for c in own])
-            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own]
-            new = new.join(held, same, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    return started(df, checkpoint, put)
+def first_uploads(df: DataFrame, digest: str, ts: str, window: str) -> DataFrame:
+    """Uploads whose archive was not uploaded within the window before: state that expires with the watermark.  Uploads
+    without a digest are never the same."""
+    timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_same", F.coalesce(digest, F.expr("uuid()")))
+    return timed.withWatermark(ts, window).dropDuplicatesWithinWatermark(["_same"]).drop("_same")
 
 
 def totals(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
