@@ -160,3 +160,9 @@ def worst(status: Column | str, order: Sequence[str]) -> Column:
     """An aggregate: of the known statuses the one that comes first in ``order``, else the last of ``order``."""
     rank = F.array_position(F.array(*map(F.lit, order)), col(status))
     return F.coalesce(F.element_at(F.array(*map(F.lit, order)), F.min(F.when(rank > 0, rank)).cast("int")), F.lit(order[-1]))
+
+
+def lists_of(flat: Column | str, offsets: Column | str) -> Column:
+    """Lists from their values one after another and where each begins, with the end of the last."""
+    a, at = col(flat), col(offsets)
+    return F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.slice(a, F.get(at, i) + 1, F.get(at, i + 1) - F.get(at, i)))

@@ -72,6 +72,13 @@ def revision(checks: dict[str, Check] | None = None) -> str:
     return hashlib.sha256("|".join(names).encode()).hexdigest()[:24]
 
 
+def revisions(applied: DataFrame, checks: dict[str, Check] | None = None) -> DataFrame:
+    """The same of each episode's own rules, from (episode_id, slug)."""
+    versions = F.create_map(*[F.lit(x) for c in (checks or CHECKS).values() for x in (c.slug, f"{c.slug}@{c.version}")])
+    names = F.array_join(F.array_sort(F.collect_set(versions[F.col("slug")])), "|")
+    return applied.groupBy("episode_id").agg(F.substring(F.sha2(names.cast("binary"), 256), 1, 24).alias("revision"))
+
+
 def found(df: DataFrame, rule: str, status: Column, value: Column | str, message: str) -> DataFrame:
     stream = F.col("stream") if "stream" in df.columns else F.lit(None).cast("string")
     v = F.col(value) if isinstance(value, str) else value

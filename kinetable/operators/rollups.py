@@ -254,6 +254,28 @@ def name_variants(name: str) -> set[str]:
     return found
 
 
+def source_variants(name: Column | str) -> Column:
+    """``name_variants`` of a column, as an array: all steps are taken for as long as there may be a new one."""
+    name = F.lower(F.col(name) if isinstance(name, str) else name)
+    steps = (
+        lambda n: F.regexp_replace(n, r"\.[^.]*$", ""),
+        lambda n: F.regexp_replace(n, r"^observation\.", ""),
+        lambda n: F.regexp_replace(n, r"^images\.", ""),
+        lambda n: F.regexp_replace(n, "_rgb$", ""),
+        lambda n: F.replace(n, F.lit("-"), F.lit("_")),
+    )
+    more = lambda found, _: F.array_distinct(F.flatten(F.transform(found, lambda n: F.array(n, *[step(n) for step in steps]))))
+    turns = F.sequence(F.lit(1), F.size(F.split(name, r"\.")) + 4)
+    return F.filter(F.aggregate(turns, F.array(name), more), lambda n: n != "")
+
+
+def matched_sources(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
+    """Names of both sides that may be the same source, as they share a variant; met by variants, each pair once."""
+    a = left.select(F.col(left_name).alias("name")).distinct().withColumn("_v", F.explode(source_variants("name")))
+    b = right.select(F.col(right_name).alias("match")).distinct().withColumn("_v", F.explode(source_variants("match")))
+    return a.join(b, "_v").select("name", "match").distinct()
+
+
 def same_source(a: str, b: str) -> bool:
     return not name_variants(a).isdisjoint(name_variants(b))
 

@@ -700,4 +700,4 @@ def samples_cover_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.covering(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"), ["user_id"], "us").select("user_id", "covered")
 
 
-from kinetable.plans import longstreams, matches, rules, scalars, sequences, storage  # noqa: E402, F401 - these register theirs
+from kinetable.plans import fields, longstreams, matches, rules, scalars, sequences, storage  # noqa: E402, F401 - these register theirs

@@ -152,9 +152,12 @@ def inferred_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("episode_id", F.array_join(quality.inferred_modalities(F.col("channels"), hint), ",").alias("modalities"), F.array_join(quality.channels_for(F.col("modalities")), ",").alias("channels"))
 
 
-@query("WITH c(s) AS (VALUES " + ", ".join(f"('{c.slug}@{c.version}')" for c in quality.CHECKS.values()) + ") SELECT substr(sha256(string_agg(s, '|' ORDER BY s)), 1, 24) AS revision FROM c")
+@query(f"""WITH {_OWN}, r(slug, needs, cards) AS (VALUES {_RULES}), v(slug, name) AS (VALUES {", ".join(f"('{c.slug}', '{c.slug}@{c.version}')" for c in quality.CHECKS.values())}),
+a AS (SELECT episode_id, name FROM e JOIN r ON list_has_all(channels, needs) AND (len(cards) = 0 OR list_has_any(cards, modalities)) JOIN v ON r.slug = v.slug)
+SELECT episode_id, substr(sha256(string_agg(name, '|' ORDER BY name)), 1, 24) AS revision FROM a GROUP BY 1""")
 def ruleset_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.lit(quality.revision()).alias("revision"))
+    """Of each episode the revision of the checks that apply to it, which tells when it has to be checked again."""
+    return quality.revisions(quality.applicable(equipped(spark, sf_dir)))
 
 
 @query(f"WITH {_MAPS}, s AS (SELECT episode_id, avg((len(v) <> 256)::INT) AS v FROM m GROUP BY ALL), c AS (SELECT 'glove.array_shape' AS rule, CASE WHEN v > 0.01 THEN 'fail' WHEN v > 0 THEN 'warn' ELSE 'pass' END AS status FROM s UNION ALL SELECT 'glove.no_contact', CASE WHEN max(len(list_filter(v, lambda x: x > 0))) > 0 THEN 'pass' ELSE 'warn' END FROM m GROUP BY episode_id UNION ALL SELECT 'glove.gate_floor', 'error') SELECT rule, status, count(*) AS n FROM c GROUP BY ALL")
