@@ -6,6 +6,7 @@ executor costs only the tasks it ran.  Nothing here collects rows that grow with
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -67,6 +68,21 @@ def unused(name: str, columns: Sequence[str]) -> str:
     return name
 
 
+def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker returns the memory that it no longer needs: workers outlive their tasks, and what they
+    hold on to is missing in the stages to come."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):
+            pass  # not every platform's allocator can
+
+    return wrapped
+
+
 def map_texts(docs: DataFrame, keep: list[str], fields: str, fn: Callable[[list], Sequence], column: str = "text") -> DataFrame:
     """The columns ``keep`` as they are, and new ``fields``: ``fn`` gets a batch's texts and returns a sequence for each field."""
     new = to_arrow_schema(T.StructType.fromDDL(fields))
@@ -81,7 +97,7 @@ def map_texts(docs: DataFrame, keep: list[str], fields: str, fn: Callable[[list]
     fields_in = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rows.schema.fields[:-1])]
     out = T.StructType([*fields_in, *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(T.StructType.fromDDL(fields).fields))])
     names = out.names
-    return rows.mapInArrow(run, out).toDF(*keep, *T.StructType.fromDDL(fields).names)
+    return rows.mapInArrow(gives_back(run), out).toDF(*keep, *T.StructType.fromDDL(fields).names)
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -98,7 +114,7 @@ def filter_texts(docs: DataFrame, fn: Callable[[list], Sequence[bool]]) -> DataF
             yield batch.filter(pa.array([bool(x) for x in fn(batch.column(at).to_pylist())], pa.bool_()))
 
     rows = numbered(docs)
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(gives_back(run), rows.schema).toDF(*docs.columns)
 
 
 def by_group(df: DataFrame, key: str, fn: Callable[[pa.Table], list[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -123,7 +139,7 @@ def by_group(df: DataFrame, key: str, fn: Callable[[pa.Table], list[pa.RecordBat
             yield from fn(pa.Table.from_batches(rest))
 
     other = [c for c in df.columns if c != key]
-    return df.select(key, *other).repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.select(key, *other).repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(gives_back(run), schema)
 
 
 def small_join(df: DataFrame, side: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
