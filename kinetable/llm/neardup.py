@@ -169,9 +169,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = stored(salted_join(buckets, shared.select("bucket", "a"), "bucket", "inner", shared), "members")
 
     nodes = stored(members.select("node").distinct().join(texts.select("node", "key", F.col("first").alias("doc_id")), "node"), "nodes")
-    own = small_join(docs, nodes, "doc_id").select("node", F.col("key").alias("wanted"), "text")
-    sets = map_texts(own, ["node", "wanted"], "key binary, shingles binary, size int", lambda t: in_lanes(shingle_sets, t))
-    sets = sets.filter(F.col("key") == F.col("wanted")).select("node", "shingles", F.col("size").cast("double").alias("size"))
+    # Rows are found by their id, and told by their text: an id with many texts costs each of its rows once.
+    own = small_join(docs, stored(nodes.select("doc_id").distinct(), "ids"), "doc_id", "left_semi")
+    sets = map_texts(own, ["doc_id"], "key binary, shingles binary, size int", lambda t: in_lanes(shingle_sets, t))
+    sets = small_join(sets, nodes, ["doc_id", "key"]).select("node", "shingles", F.col("size").cast("double").alias("size"))
     if not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
         sets = sets.dropDuplicates(["node"])  # repeated rows would be compared again and again
     sets = stored(sets, "sets")

@@ -159,6 +159,19 @@ def test_different_texts_of_one_id_are_not_lost(documents):
     assert got == sorted([(1, a), (5, b), (1, c), (-1, a)])
 
 
+def test_one_id_of_many_texts_costs_each_row_once(documents, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(150)]
+    rows = [(7, t) for t in texts] + [(7, t + " more") for t in texts]
+    seen = []
+    plain = neardup.map_texts
+    monkeypatch.setattr(neardup, "map_texts", lambda df, keep, fields, *a: seen.append((fields, df)) or plain(df, keep, fields, *a))
+    found = neardup.classes(documents(rows))
+    assert found.filter("keeper").select("key").distinct().count() == 150 and found.select("class_id").distinct().count() == 1
+    assert [df.count() for fields, df in seen if "shingles" in fields] == [300]
+
+
 def test_a_hub_with_many_rays_is_compared_in_parts(documents, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "RAYS", 3)
