@@ -51,10 +51,14 @@ _log = logging.getLogger(__name__)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of length one, in double precision."""
+    """Vectors of length one, in double precision; scaled by their largest component first, so that no square is lost."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
-    return x / np.sqrt((x * x).sum(1, keepdims=True)) if len(column) else x
+    if not len(column):
+        return x
+    _, power = np.frexp(np.abs(x).max(1, keepdims=True))
+    x = np.ldexp(x, -power)  # by powers of two, which is exact
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 PAIRS = "v bigint, u bigint, cos double"

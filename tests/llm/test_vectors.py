@@ -88,6 +88,13 @@ def test_each_length_is_a_set_of_its_own(spark):
     assert got == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), 10: (1, 10, True), 11: (1, 10, False), 20: (0, 20, True), 21: (0, 21, True)}
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 5e-310, 1.0])
+def test_vectors_of_any_magnitude_are_compared(spark, scale):
+    rows = [(1, [scale, 0.0]), (2, [scale, scale / 128]), (3, [-scale, 0.0]), (4, [0.0, scale]), (5, [1.0, 1.0 / 128])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (0, 4), 5: (2, 1)}
+
+
 def test_tight_groups_are_counted_without_comparing(spark, monkeypatch):
     """Copies that lie within half the angle of a link: blocks of them are sure, no pair of theirs is compared."""
     monkeypatch.setattr(vectors, "BLOCK", 16)
