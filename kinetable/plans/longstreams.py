@@ -57,13 +57,13 @@ def long_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.density(events(spark, sf_dir), [], "us", HOUR, ROWS)
 
 
-@query(f"""WITH {_E}, x AS (SELECT event_type, us FROM e), n AS (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN CURRENT ROW AND {HOUR} FOLLOWING) AS n FROM x),
-f AS (SELECT *, max(CASE WHEN n >= 6 THEN us END) OVER (PARTITION BY event_type ORDER BY us) AS dense FROM n), d AS (SELECT * FROM f WHERE dense >= us - {HOUR}),
-s AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY event_type ORDER BY us) <= {2 * HOUR} THEN 0 ELSE 1 END AS st FROM d), i AS (SELECT *, sum(st) OVER (PARTITION BY event_type ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM s)
+@query(f"""WITH {_E}, x AS (SELECT event_type, us FROM e), n AS (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN CURRENT ROW AND {DAY} FOLLOWING) AS n FROM x),
+f AS (SELECT *, max(CASE WHEN n >= 4 THEN us END) OVER (PARTITION BY event_type ORDER BY us) AS dense FROM n), d AS (SELECT * FROM f WHERE dense >= us - {DAY}),
+s AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY event_type ORDER BY us) <= {DAY} THEN 0 ELSE 1 END AS st FROM d), i AS (SELECT *, sum(st) OVER (PARTITION BY event_type ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM s)
 SELECT event_type, min(us) AS start, max(us) AS "end", count(*) AS "rows" FROM i GROUP BY event_type, run""")
 def long_floods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five streams, one for each type of event."""
-    return runs.floods(events(spark, sf_dir).select("event_type", "us"), ["event_type"], "us", HOUR, 6, 2 * HOUR, ROWS)
+    return runs.floods(events(spark, sf_dir).select("event_type", "us"), ["event_type"], "us", DAY, 4, DAY, ROWS)
 
 
 @query("""WITH v AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events),

@@ -245,7 +245,7 @@ def stream_gap_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = datasets.scratch(spark, "gaps")
     e = numbered_events(spark, sf_dir).select("user_id", "event_id", "frame", F.col("us").cast("double").alias("us"))
     half = F.count("*").over(Window.partitionBy("user_id")) / 2
-    e.withColumn("part", (F.col("frame") > half).cast("int")).repartition(1).sortWithinPartitions("part").write.partitionBy("part").parquet(f"{own}/in")
+    e.withColumn("part", (F.col("frame") > half).cast("int")).repartition("part", "user_id").write.partitionBy("part").parquet(f"{own}/in")
     previous = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
