@@ -32,7 +32,7 @@ def test_language_stage(kept):
     langs, net = language.train(kept[0])
     rows = kept[0].collect()
     pred, score = language.classify([r["text"] for r in rows], langs, net)
-    assert ids(kept[1]) == sorted(r["doc_id"] for r, x, s in zip(rows, pred, score) if x != "und" and s >= language.LEAST_SCORE)
+    assert ids(kept[1]) == sorted(r["doc_id"] for r, x, s in zip(rows, pred, score) if x != "und" and s >= language.least_score(langs))
     assert not {9001, 9002, 9003} & {*ids(kept[1])}
     assert len(ids(kept[1])) >= 0.97 * len(rows)
 
