@@ -112,11 +112,13 @@ def chunk_of(index: Column | str, size: int = 1000, one_based: bool = False) ->
 
 
 def episode_name(index: Column | str) -> Column:
-    return F.concat(F.lit("episode_"), F.lpad(col(index).cast("string"), 6, "0"))
+    """Six digits, or all of a longer number."""
+    digits = col(index).cast("string")
+    return F.concat(F.lit("episode_"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
 
 
 def episode_index(name: Column | str) -> Column:
-    found = F.regexp_extract(col(name), r"_(\d{6})(?:\.[A-Za-z0-9]+)?$", 1)
+    found = F.regexp_extract(col(name), r"_(\d{6,})(?:\.[A-Za-z0-9]+)?$", 1)
     return F.when(found != "", found.cast("long"))
 
 

@@ -162,6 +162,13 @@ def test_names_and_arrays(spark):
     assert tuple(r) == (123, "episode_000123", 1, 0, [[1.0, 2.0], [3.0, 4.0]], [1.0, 2.0, 3.0, 4.0, 0.0], [1.0, 2.0, 3.0], "a_b_c")
 
 
+def test_names_of_a_million_episodes_stay_apart(spark):
+    df = spark.createDataFrame([(7,), (999_999,), (1_000_000,), (12_345_678,)], "i long")
+    got = df.select("i", V.episode_name("i").alias("name"), V.episode_index(F.concat(V.episode_name("i"), F.lit(".parquet"))).alias("back")).orderBy("i").collect()
+    assert [r["name"] for r in got] == ["episode_000007", "episode_999999", "episode_1000000", "episode_12345678"]
+    assert all(r["back"] == r["i"] for r in got)
+
+
 @pytest.mark.parametrize("most", [5, 40])
 def test_quantiles_of_large_groups_are_exact(spark, most):
     """Beyond a number of values they come from ever finer histograms: equal to the aggregate, whatever the distribution."""
