@@ -183,22 +183,38 @@ def online_uniform(df: DataFrame, by: list[str], order: list, ts: str, nominal:
 
 def rebuilt_from_host(df: DataFrame, by: list[str], order: list, host: str, quantum: int = 1000) -> DataFrame:
     """Device times from host times: usual steps become the mean of the clean ones, true gaps (over one and a half
-    medians) stay; times are multiples of the quantum and increase strictly."""
-    s = steps(df, by, order, host)
+    medians) stay; times are multiples of the quantum and increase strictly.
+
+    Times are whole numbers and so is all that is added up, so that halves of a quantum go to the even multiple whatever
+    the mean: sums of doubles would let the order of adding decide.
+    """
+    s = steps(df.withColumn("_host", F.col(host).cast("long")), by, order, "_host")
     mid = s.groupBy(*by).agg(F.percentile("step", F.lit(0.5)).alias("_mid"))
     s = s.join(mid, by)
     clean = F.col("step").between(F.col("_mid") * 0.5, F.col("_mid") * 1.5)
-    s = s.join(s.filter(clean).groupBy(*by).agg(F.avg("step").alias("_beta")), by, "left")
+    mean = s.filter(clean).groupBy(*by).agg(F.sum("step").alias("_sum"), F.count("*").alias("_n"))
+    # Without a clean step the median stands in, which is a whole number of halves.
+    s = s.join(mean, by, "left").withColumns({"_sum": F.coalesce("_sum", F.rint(F.col("_mid") * 2).cast("long"), F.lit(0)), "_n": F.coalesce("_n", F.lit(2))})
     w = Window.partitionBy(*by).orderBy(*order)
-    # Times since the first are added up, so that they stay exact to far below the quantum.
-    add = F.when(F.col("step").isNull(), 0.0).when(F.col("step") > 1.5 * F.col("_mid"), F.col("step")).otherwise(F.coalesce("_beta", "_mid"))
-    origin = F.first(host).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-    upto = F.sum(add).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    at = F.floor(origin / quantum) + F.rint((F.pmod(origin, F.lit(quantum)) + upto) / quantum)
-    s = s.withColumn("_at", at.cast("long")).withColumn("_i", F.row_number().over(w))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.col("step") > 1.5 * F.col("_mid")
+    s = s.withColumns({"_origin": F.first("_host").over(upto), "_gaps": F.sum(F.when(gap, F.col("step")).otherwise(0)).over(upto), "_usual": F.count_if(~gap).over(upto), "_i": F.row_number().over(w)})
+    # The time since the quantum in which the stream begins is _whole + _part / _n.
+    part = F.col("_usual") * F.pmod("_sum", "_n")
+    s = s.withColumn("_part", F.pmod(part, F.col("_n")))
+    s = s.withColumn("_whole", F.pmod("_origin", F.lit(quantum)) + F.col("_gaps") + F.col("_usual") * _quotient(F.col("_sum"), F.col("_n")) + _quotient(part, F.col("_n")))
+    s = s.withColumn("_k", _quotient(F.col("_whole"), F.lit(quantum)))
+    over = 2 * (F.pmod("_whole", F.lit(quantum)) * F.col("_n") + F.col("_part")) - F.col("_n") * quantum
+    up = (over > 0) | ((over == 0) & (F.col("_k") % 2 != 0))
+    s = s.withColumn("_at", _quotient(F.col("_origin"), F.lit(quantum)) + F.col("_k") + up.cast("long"))
     # Strictly increasing: the running maximum of time less rank, and the rank again.
-    s = s.withColumn("rebuilt", (F.max(F.col("_at") - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i")) * quantum)
-    return s.drop("prev", "step", "_mid", "_beta", "_at", "_i")
+    s = s.withColumn("rebuilt", (F.max(F.col("_at") - F.col("_i")).over(upto) + F.col("_i")) * quantum)
+    return s.drop("prev", "step", "_host", "_mid", "_sum", "_n", "_origin", "_gaps", "_usual", "_i", "_part", "_whole", "_k", "_at")
+
+
+def _quotient(a: Column, b: Column) -> Column:
+    """Of whole numbers, rounded down."""
+    return F.call_function("div", a - F.pmod(a, b), b)
 
 
 def shifted(df: DataFrame, stamps: str, shift: int, done: str) -> DataFrame:

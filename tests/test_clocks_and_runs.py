@@ -97,6 +97,33 @@ def test_rebuilt_from_host_keeps_gaps_and_increases(spark):
     assert all(b > a for a, b in zip(out, out[1:])) and out[4] - out[3] == 400_000 and all(x % 1000 == 0 for x in out)
 
 
+def test_rebuilt_from_host_rounds_exact_halves_to_even(spark):
+    """Steps with sevenths and the like as their mean: what is exactly half a quantum goes to the even one."""
+    from fractions import Fraction
+
+    rng, rows, want = random.Random(5), [], {}
+    for k in range(60):
+        steps = [rng.randrange(800_000_000, 1_200_000_000) for _ in range(rng.choice((7, 21, 49)))]
+        times = [1_700_000_000_000_000 + rng.randrange(1000)]
+        steps[-1] += (500 - times[0] - sum(steps)) % 1000  # the last time is half a quantum
+        if k % 3 == 0:
+            steps.insert(3, 9_000_000_000)
+        for x in steps:
+            times.append(times[-1] + x)
+        ordered = sorted(steps)
+        mid = Fraction(ordered[(len(steps) - 1) // 2] + ordered[len(steps) // 2], 2)
+        clean = [x for x in steps if mid / 2 <= x <= mid * 3 / 2]
+        beta, at, most = Fraction(sum(clean), len(clean)), Fraction(times[0] % 1000), None
+        for i, t in enumerate(times):
+            at += 0 if not i else steps[i - 1] if steps[i - 1] > mid * 3 / 2 else beta
+            own = times[0] // 1000 + round(at / 1000) - i
+            most = own if most is None else max(most, own)
+            want[k, i] = (most + i) * 1000
+            rows.append((k, i, t))
+    df = spark.createDataFrame(rows, "stream long, i long, ts long")
+    assert {(r["stream"], r["i"]): r["rebuilt"] for r in clocks.rebuilt_from_host(df, ["stream"], ["i"], "ts").collect()} == want
+
+
 def test_shift_is_done_once(spark):
     df = spark.createDataFrame([([1, 2], None)], "t array<long>, done boolean")
     once = clocks.shifted(df, "t", 85, "done")
