@@ -7,22 +7,22 @@ range's rows are finished with what the ranges before it, or after it, hand on.
 so the result is that of one window over the whole stream.
 
 Rows that are equal in the first column of the order are in one range.  Streams of few rows are not cut and cost the
-count of each stream's rows only.  The cuts of a stream are as many as its rows over ``rows``, and so are the summaries:
-both are broadcast, and neither grows with more than that.
+count of each stream's rows only.  Ranges have ``rows`` rows or more: a stream is cut into ``RANGES`` at most until
+these have ``ROWS`` rows each, and only then into more.  The cuts of a stream and its summaries are as many as its
+ranges: both are broadcast, and as every row is held against the cuts of its stream, these must not grow with the rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.sources.datasets import stored
 
-#: Rows of a range.
-ROWS = 1_000_000
+#: Rows of a range; ranges of a stream, while they have no more rows than that.
+ROWS, RANGES = 1_000_000, 1000
 _RANGE = "_range"
 
 
@@ -66,6 +66,11 @@ def rank() -> Measure:
     return Measure("rank", F.lit(1))
 
 
+def range_rows(n: Column, rows: int) -> Column:
+    """Rows of a range of a stream that has ``n`` of them."""
+    return F.greatest(F.lit(rows), F.least(F.lit(ROWS), F.ceil(n / F.lit(RANGES))))
+
+
 def beside(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Beside each row what the small ``side`` has for its keys; null keys are keys."""
     if not keys:
@@ -90,15 +95,16 @@ class Stream:
         """Of streams with more than so many rows the quantiles of their order at which they are cut; None if there are none."""
         sizes = df.groupBy(*self.by).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows)
         sizes = stored(sizes, "sizes")
-        top = sizes.agg(F.max("_n").alias("n")).first()["n"]
-        if top is None:
+        parts = F.ceil(F.col("_n") / range_rows(F.col("_n"), rows))
+        most = sizes.agg(F.max(parts).alias("most")).first()["most"]
+        if most is None:
             return None
-        most = self.most = ceil(top / rows)
+        self.most = most
         points = F.array(*[F.lit(i / most) for i in range(1, most)])
         long = beside(df.select(*self.by, F.col(self.order[0]).alias("_t")), sizes, self.by, "inner")
         every = long.groupBy(*self.by).agg(F.percentile_approx("_t", points, F.lit(max(10_000, 10 * most))).alias("_e"), F.first("_n").alias("_n"))
         # A shorter stream keeps each so-manieth of the cuts that the longest one needs.
-        step = F.greatest(F.floor(F.lit(most) / F.ceil(F.col("_n") / rows)), F.lit(1))
+        step = F.greatest(F.floor(F.lit(most) / parts), F.lit(1))
         kept = F.filter("_e", lambda e, i: (i + 1) % step == 0)
         return stored(every.select(*self.by, F.array_distinct(kept).alias("_edges")), "edges")
 

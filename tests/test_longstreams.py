@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinetable.operators import align, assembly, clocks, runs, stats
+from kinetable.operators import align, assembly, clocks, longstreams, runs, stats
 from kinetable.operators.longstreams import Stream, following, highest, last, previous, rank, total
 
 ROWS = 40
@@ -79,6 +79,19 @@ def test_one_stream_is_many_ranges_of_about_so_many_rows(streams):
     assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
 
 
+def test_cuts_of_a_long_stream_do_not_grow_with_its_rows(spark, monkeypatch):
+    """Each row is held against all cuts of its stream: so many more of both would be work by the square."""
+    monkeypatch.setattr(longstreams, "RANGES", 20)
+    found = {}
+    for n in (1000, 4000):
+        df = spark.range(n).select(F.lit("s").alias("k"), F.col("id").alias("t"), F.lit(1.0).alias("v"))
+        s = Stream(df, ["k"], ["t"], 5)
+        sizes = [r["count"] for r in s._rows.groupBy("_range").count().collect()]
+        assert 10 < len(sizes) <= 21 and max(sizes) < 3 * n / 20
+        found[n] = rows_of(s.add(n=total("v"), p=previous("t")).df) == rows_of(Stream(df, ["k"], ["t"], n).add(n=total("v"), p=previous("t")).df)
+    assert all(found.values())
+
+
 def test_measures(streams):
     order = ["t", "i"]
     asked = {"s": total("v"), "b": total("v", exclusive=True), "h": highest("v"), "l": last("v"), "e": last("v", exclusive=True), "f": following("v"), "p": previous("v"), "r": rank()}
