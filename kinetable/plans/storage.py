@@ -27,7 +27,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TURNS} SELECT conv_id AS episode_index, count(*) AS \"rows\", sum(n)::BIGINT AS n, conv_id // 1000 AS chunk FROM c WHERE turn < 3 GROUP BY 1")
 def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames written by chunk and episode, and read back by column and condition."""
+    """Frames written by chunk, in order of episodes, and read back by column and condition."""
     root = datasets.scratch(spark, "dataset")
     datasets.write_chunked(frames(spark, sf_dir), f"{root}/data")
     back = spark.read.parquet(f"{root}/data").filter("frame_index < 3")

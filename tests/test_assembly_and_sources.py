@@ -69,6 +69,25 @@ def test_dataset_round_trip(spark, tmp_path):
     assert datasets.synthesized(episodes, 30.0).count() == 34
 
 
+def test_files_of_a_dataset_do_not_grow_with_its_episodes(spark, tmp_path):
+    """Each file has a range of episodes in order, so that readers prune by its statistics; a long one is spread."""
+    frames = spark.createDataFrame([(e, i) for e in range(990, 1290) for i in range(3)] + [(1100, i) for i in range(3, 900)], "episode_index long, frame_index long").repartition(5)
+    datasets.write_chunked(frames, f"file://{tmp_path}/set")
+    files = sorted(tmp_path.glob("set/chunk=*/*.parquet"))
+    assert 2 <= len(files) < 20 and {f.parent.name for f in files} == {"chunk=0", "chunk=1"}
+    from pyarrow import parquet
+
+    ranges = []
+    for f in files:
+        own = parquet.ParquetFile(f).read().to_pylist()  # as it lies in the file
+        keys = [(r["episode_index"], r["frame_index"]) for r in own]
+        assert keys == sorted(keys)
+        ranges.append((keys[0], keys[-1]))
+    ranges.sort()
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert spark.read.parquet(f"file://{tmp_path}/set").count() == frames.count()
+
+
 def test_tables_of_sensors_merge_into_the_widest(spark):
     a = spark.createDataFrame([(0, 1), (1, 2)], "frame_index long, x long")
     b = spark.createDataFrame([(0, 1, 5), (1, 2, 6)], "frame_index long, x long, y long")
