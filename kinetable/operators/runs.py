@@ -35,10 +35,10 @@ def _numbered_runs(df: DataFrame, by: list[str], order: list, value: str) -> Dat
     return numbered(df, by, order, first | ~F.col(value).eqNullSafe(prev))
 
 
-def frozen(df: DataFrame, by: list[str], order: list, array: str, index: str, warn: int = 40, fail: int = 300) -> DataFrame:
+def frozen(df: DataFrame, by: list[str], order: list, array: str, index: str, warn: int = 40, fail: int = 300, rows: int | None = None) -> DataFrame:
     """Runs of an array that repeats and isn't all zero."""
     alive = F.exists(array, lambda x: x != 0)
-    runs = runs_of(df, by, order, array, index, warn).filter(alive)
+    runs = runs_of(df, by, order, array, index, warn, rows).filter(alive)
     return runs.withColumn("status", F.when(F.col("length") >= fail, "fail").otherwise("warn")).drop(array)
 
 

@@ -98,3 +98,16 @@ def test_a_check_that_fails_at_a_row_leaves_the_others(spark):
     broken = rows.withColumn("values", F.when(F.col("frame_index") == 0, F.raise_error(F.lit("torn")).cast("array<double>")).otherwise(F.col("values")))
     out = {r["rule"]: r["status"] for r in Q.run_checks({"glove.array_shape": rows, "glove.no_contact": broken}).collect()}
     assert out == {"glove.array_shape": "pass", "glove.no_contact": "error"}
+
+
+def test_long_frozen_streams_are_cut(spark):
+    """Runs that cross the cuts are whole, and no window takes a whole stream."""
+    lengths = [1, 45, 3, 310, 2, 39, 7] * 2
+    values = [v for k, n in enumerate(lengths) for v in [float(k % 5)] * n]
+    rows = [(e, "left", i, [v]) for e, own in (("long", values), ("still", [0.0] * 400), ("short", [1.0] * 41)) for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "episode_id string, stream string, frame_index long, values array<double>").repartition(3)
+    cut, whole = (Q.frozen_array(df, most) for most in (50, 10_000))
+    of = lambda found: {r["episode_id"]: (r["status"], r["value"]) for r in found.collect()}
+    assert of(cut) == of(whole) == {"long": ("fail", 310.0), "still": ("pass", 0.0), "short": ("warn", 41.0)}
+    plans = [found._jdf.queryExecution().executedPlan().toString() for found in (cut, whole)]
+    assert "_range" in plans[0] and "_range" not in plans[1]
