@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ BROADCAST_ROWS = 200_000
 HOT_ROWS = 1_000
 #: Edges that a task reduces to a forest at once.
 EDGES = 1_000_000
+#: Bytes of text that a function over a batch gets at once, beyond those of the first text.
+TEXT_BYTES = 4_000_000
 
 _own_dir: list[str] = []
 
@@ -83,12 +86,23 @@ def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     return wrapped
 
 
+def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about TEXT_BYTES of the texts in column ``at``: what Python makes of texts takes several times
+    their bytes, which has to be held for a piece only."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist(), len(sizes)]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
 def map_texts(docs: DataFrame, keep: list[str], fields: str, fn: Callable[[list], Sequence], column: str = "text") -> DataFrame:
     """The columns ``keep`` as they are, and new ``fields``: ``fn`` gets a batch's texts and returns a sequence for each field."""
     new = to_arrow_schema(T.StructType.fromDDL(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, b.num_columns - 1)):
             made = fn(batch.column(batch.num_columns - 1).to_pylist())
             old = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, f.type, from_pandas=False) for x, f in zip(made, new, strict=True))], names)
@@ -110,7 +124,7 @@ def filter_texts(docs: DataFrame, fn: Callable[[list], Sequence[bool]]) -> DataF
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, at)):
             yield batch.filter(pa.array([bool(x) for x in fn(batch.column(at).to_pylist())], pa.bool_()))
 
     rows = numbered(docs)

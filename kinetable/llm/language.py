@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.llm.common import filter_texts, map_texts
+from kinetable.llm.common import filter_texts, gives_back, map_texts, pieces
 
 #: Bound of the training sample: documents of each language, windows of each of these; languages, at most.
 TRAIN_DOCS, TRAIN_WINDOWS, LANGUAGES = 300, 6, 1000
@@ -173,16 +173,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A few windows of each training document, spread evenly over its bytes; every second one is cut short."""
-    for pdf in batches:
+    for batch in (p for b in batches for p in pieces(b, 0)):
         rows = []
-        for text, lang, h in zip(pdf.text, pdf.lang, pdf.h, strict=True):
+        for text, lang, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode("utf-8", "replace")
             for k, i in enumerate(np.linspace(0, max(0, len(raw) - WINDOW), TRAIN_WINDOWS if len(raw) > WINDOW else 1).astype(int)):
                 own = raw[i : i + (6 + (i * 7 + len(raw)) % 26 if k % 2 == 0 else WINDOW)]
                 rows.append((lang, own.ljust(WINDOW, b"\0"), len(own), h))
-        yield pd.DataFrame(rows, columns=["lang", "bytes", "n", "h"])
+        lang, own, n, h = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(own, pa.binary()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["lang", "bytes", "n", "h"])
 
 
 def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> tuple[list[str], ByteGRU | None]:
@@ -199,7 +200,7 @@ def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> tuple[list[str],
         return [], None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])
     drawn = usable.withColumn("h", F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_003))).filter(F.col("h") < share[F.col("lang")] * 1_000_003)
-    got = drawn.select("text", "lang", "h").mapInPandas(_samples, "lang string, bytes binary, n int, h long")
+    got = drawn.select("text", "lang", "h").mapInArrow(gives_back(_samples), "lang string, bytes binary, n int, h long")
     got = got.orderBy("h", "bytes").limit(2 * docs_per_lang * TRAIN_WINDOWS * len(counts)).drop("h").toPandas()
     langs = sorted(set(got["lang"]))
     if not langs:

@@ -58,3 +58,14 @@ def test_no_local_folder_on_a_cluster():
     assert common.shared_dir(session("spark://h:7077", "hdfs:///x/")) == "hdfs:///x" and common.shared_dir(session("local[4]")).startswith("file://")
     with pytest.raises(RuntimeError):
         common.shared_dir(session("spark://h:7077"))
+
+
+def test_batches_of_texts_come_in_pieces(monkeypatch):
+    """What is made of long texts isn't held for a whole batch: after its first text a piece has so many bytes at most."""
+    monkeypatch.setattr(common, "TEXT_BYTES", 1000)
+    texts = ["x" * n for n in (300, 300, 300, 300, 5000, 10, 0, 990)] + [None, "\u00e9" * 400, "y"]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(len(texts))), "t": texts})
+    own = [p.to_pydict() for p in common.pieces(batch, 1)]
+    assert sum((p["t"] for p in own), []) == texts and sum((p["i"] for p in own), []) == list(range(len(texts)))
+    assert len(own) > 3 and all(sum(len((t or "").encode()) for t in p["t"][1:]) <= 1000 for p in own)
+    assert not list(common.pieces(batch.slice(0, 0), 1))
