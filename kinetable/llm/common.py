@@ -86,12 +86,24 @@ def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     return wrapped
 
 
+def _sizes(column: pa.Array) -> np.ndarray:
+    """The bytes of each value: of texts their own, of structs and lists those of all that they hold."""
+    kind = column.type
+    if pa.types.is_struct(kind):
+        return sum((_sizes(column.field(i)) for i in range(kind.num_fields)), np.zeros(len(column), np.int64))
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        ends = np.concatenate([[0], np.cumsum(_sizes(column.values), dtype=np.int64)])[column.offsets.to_numpy()]
+        return ends[1:] - ends[:-1]
+    if any(f(kind) for f in (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.full(len(column), -(-column.nbytes // max(1, len(column))), np.int64)
+
+
 def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about TEXT_BYTES of the texts in column ``at``: what Python makes of texts takes several times
-    their bytes, which has to be held for a piece only."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes, dtype=np.int64) // TEXT_BYTES
-    cuts = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist(), len(sizes)]
+    """The batch in pieces of about TEXT_BYTES of the texts in column ``at``, whatever structs or lists hold them: what Python
+    makes of texts takes several times their bytes, which has to be held for a piece only."""
+    ends = np.cumsum(_sizes(batch.column(at)), dtype=np.int64) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist(), batch.num_rows]
     for a, z in zip(cuts, cuts[1:], strict=False):
         if z > a:
             yield batch.slice(a, z - a)

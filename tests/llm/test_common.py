@@ -69,3 +69,35 @@ def test_batches_of_texts_come_in_pieces(monkeypatch):
     assert sum((p["t"] for p in own), []) == texts and sum((p["i"] for p in own), []) == list(range(len(texts)))
     assert len(own) > 3 and all(sum(len((t or "").encode()) for t in p["t"][1:]) <= 1000 for p in own)
     assert not list(common.pieces(batch.slice(0, 0), 1))
+
+
+def test_pieces_of_structs_and_lists(monkeypatch):
+    """Texts within structs and lists are cut like plain ones, in slices and beside nulls too."""
+    monkeypatch.setattr(common, "TEXT_BYTES", 1000)
+    texts = ["x" * n for n in (300, 300, 300, 300, 5000, 10, 0, 990)] + [None, "é" * 400, "y"]
+    pairs = [{"html": t, "wrappers": None if i % 3 else b"ab"} for i, t in enumerate(texts)] + [None]
+    lists = [None, [], *([{"layout": i, "reference": None if t is None else t.encode(), "template": [{"node": 1, "hash": i}] * (i % 3)}, None] for i, t in enumerate(texts))]
+    pair = pa.struct([("html", pa.string()), ("wrappers", pa.binary())])
+    item = pa.struct([("layout", pa.int64()), ("reference", pa.binary()), ("template", pa.list_(pa.struct([("node", pa.int32()), ("hash", pa.int64())])))])
+    for rows, kind, bytes_of in (
+        (pairs, pair, lambda r: len(((r or {}).get("html") or "").encode())),
+        (lists, pa.list_(item), lambda r: sum(len(e["reference"] or b"") for e in r or () if e)),
+    ):
+        whole = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, kind)], names=["i", "t"])
+        for start in (0, 3):
+            own = [p.to_pydict() for p in common.pieces(whole.slice(start), 1)]
+            assert sum((p["t"] for p in own), []) == rows[start:] and sum((p["i"] for p in own), []) == list(range(start, len(rows)))
+            assert len(own) > 2 and all(sum(map(bytes_of, p["t"][1:])) <= 1000 for p in own)
+        assert not list(common.pieces(whole.slice(0, 0), 1))
+    for values, kind in (([1, None, 3], pa.int64()), ([None, [("a", "b")]], pa.map_(pa.string(), pa.string())), ([None, None], pa.null())):
+        batch = pa.RecordBatch.from_arrays([pa.array(values, kind)], names=["t"])
+        assert [p.to_pydict()["t"] for p in common.pieces(batch, 0)] == [values]
+
+
+def test_functions_over_structs_and_lists(spark):
+    df = spark.createDataFrame([(1, "a", ["x", None]), (2, None, None), (3, "ccc", [])], "i long, t string, l array<string>")
+    one = df.select("i", F.struct("t", F.col("i").alias("n")).alias("s"))
+    got = common.map_texts(one, ["i"], "o string", lambda rows: [[f"{r['n']}{r['t']}" for r in rows]], "s").collect()
+    assert sorted(map(tuple, got)) == [(1, "1a"), (2, "2None"), (3, "3ccc")]
+    got = common.map_texts(df.select("i", "l"), ["i"], "o int", lambda rows: [[None if r is None else len(r) for r in rows]], "l").collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (2, None), (3, 0)]
