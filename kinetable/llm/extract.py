@@ -509,15 +509,16 @@ def induced(pages: DataFrame) -> DataFrame:
     out = out.groupBy("host").agg(F.collect_list("w").alias("w"))  # as many as the host has layouts of enough pages
 
     def packed(hosts: list) -> tuple[list]:
-        kept = [{w["layout"]: (w["reference"], w["slot"], [(e["node"], e["hash"]) for e in w["template"]]) for w in ws} for ws in hosts]
+        # A layout's wrapper is packed by itself, as a page unpacks no other of its host's.
+        kept = [{w["layout"]: pickle.dumps((w["reference"], w["slot"], [(e["node"], e["hash"]) for e in w["template"]])) for w in ws} for ws in hosts]
         return ([pickle.dumps(x) for x in kept],)
 
     return map_texts(out, ["host"], "wrappers binary", packed, "w")
 
 
-def _wrappers(packed: bytes) -> dict[int, Wrapper]:
-    """By layout."""
-    return {k: Wrapper(_unpacked(r), slot, {*template}) for k, (r, slot, template) in pickle.loads(packed).items()}
+def _wrapper(packed: bytes) -> Wrapper:
+    reference, slot, template = pickle.loads(packed)
+    return Wrapper(_unpacked(reference), slot, {*template})
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -529,14 +530,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def texts(pairs: list) -> tuple[list]:
         out = []
-        known: dict[bytes, dict[int, Wrapper]] = {}
+        known: dict[bytes | None, Wrapper | None] = {None: None}
         for pair in pairs:
             g, own = read_page(pair["html"])
-            packed = pair["wrappers"]
-            if packed is not None and packed not in known:
-                known[packed] = _wrappers(packed)
-            layouts = known[packed] if packed is not None else {}
-            out.append(text_of(g, own, layouts.get(layout_of(g)) or layouts.get(0)))
+            layouts = pickle.loads(pair["wrappers"]) if pair["wrappers"] is not None else {}
+            packed = layouts.get(layout_of(g)) or layouts.get(0)
+            if packed not in known:
+                known[packed] = _wrapper(packed)
+            out.append(text_of(g, own, known[packed]))
         return (out,)
 
     found = map_texts(joined.select("page_id", "url", F.struct("html", "wrappers").alias("pair")), ["page_id", "url"], "text string", texts, "pair")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import pickle
 import random
 import time
 
@@ -163,6 +164,17 @@ def test_layouts_of_a_host_have_wrappers_of_their_own(spark):
     assert got == {i: t.strip() for i, t in want.items()}
 
 
+def test_wrappers_are_packed_by_layout(spark):
+    """A page unpacks the wrapper of its own layout, whatever others its host has."""
+    page = "<body><div class=top{0}><p>Top of {0}</p></div><div class=text{0}><p>Story {0} {1}</p></div></body>"
+    rows = [("h.example", page.format(k, chr(97 + i) * 40)) for k in "xyz" for i in range(5)]
+    (row,) = extract.induced(spark.createDataFrame(rows, "host string, html string")).collect()
+    layouts = pickle.loads(row["wrappers"])
+    assert len(layouts) == 4 and 0 in layouts and all(isinstance(packed, bytes) for packed in layouts.values())
+    g, own = extract.read_page(rows[0][1])
+    assert extract.text_of(g, own, extract._wrapper(layouts[extract.layout_of(g)])) == "Story x " + "a" * 40
+
+
 def test_long_and_deep_pages_of_one_host(spark):
     rows = [(i, "http://big.example.com/", "<div>" * 5_000 + f"deep {i}") for i in range(5)]
     rows += [(10 + i, "http://wide.example.com/", "<body><div class=top>Top</div><div class=text>" + "".join(f"<p id=u{i}x{chr(97 + k % 26)}{k}>par {i} {k}</p>" for k in range(20_000)) + "</div>") for i in range(5)]
